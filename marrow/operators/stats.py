@@ -90,10 +90,12 @@ def category_split_cube(df: DataFrame, category: str = "category", split: str =
 def category_split_crosstab(df: DataFrame, category: str = "category", split: str = "split",
                             splits=SPLITS) -> DataFrame:
     """G14 (table form): one row per category plus 'Total'; one column per split plus 'total'."""
-    piv = df.rollup(category).pivot(split, list(splits)).agg(F.count(F.lit(1)))
-    cols = [F.coalesce(F.col(s), F.lit(0)).cast("long").alias(s) for s in splits]
-    total = sum((F.coalesce(F.col(s), F.lit(0)) for s in splits), F.lit(0)).cast("long").alias("total")
-    return piv.select(F.coalesce(F.col(category), F.lit("Total")).alias(category), *cols, total)
+    # Conditional counts under ROLLUP: one aggregate gives rows and the total row.
+    cols = [F.count_if(F.col(split) == s).cast("long").alias(s) for s in splits]
+    piv = df.rollup(category).agg(*cols)
+    total = sum((F.col(s) for s in splits), F.lit(0)).cast("long").alias("total")
+    return piv.select(F.coalesce(F.col(category), F.lit("Total")).alias(category),
+                      *[F.col(s) for s in splits], total)
 
 
 def category_share(df: DataFrame, category: str = "category") -> DataFrame:
