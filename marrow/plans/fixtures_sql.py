@@ -61,3 +61,13 @@ REPLIES = """replies AS (
       WHEN 4 THEN '{"label": "' || label || '", "reason": '
       ELSE label END AS raw
   FROM votes WHERE task = 'toxicity')"""
+
+HUMAN_REVIEW = """hreview AS (
+  SELECT id, doc_id, annotator, label,
+         CASE WHEN ascii(substr(md5(CAST(doc_id AS VARCHAR) || '|' || annotator || '|fix'), 1, 1)) % 16 = 1
+              THEN 'UNSURE' ELSE label END AS label_fixed, '' AS fixed_reason
+  FROM votes WHERE task = 'toxicity')"""
+
+GAPPY = """gvotes AS (
+  SELECT * FROM votes WHERE task = 'toxicity'
+    AND ascii(substr(md5(CAST(doc_id AS VARCHAR) || '|' || annotator || '|gap'), 1, 1)) % 16 <> 0)"""

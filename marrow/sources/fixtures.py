@@ -141,3 +141,22 @@ def replies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(k == 4, F.concat(F.lit('{"label": "'), F.col("label"), F.lit('", "reason": ')))
             .otherwise(F.col("label")))
     return v.select("id", "annotator", raw.alias("raw"))
+
+
+def _rule(doc_id: str, annotator: str, tag: str) -> F.Column:
+    return F.ascii(F.substring(F.md5(F.concat(F.col(doc_id).cast("string"), F.lit("|"),
+                                              F.col(annotator), F.lit("|" + tag))), 1, 1)) % 16
+
+
+def human_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewer sheets: one row per (id, annotator) with ``label_fixed``; some typos ('UNSURE')."""
+    v = votes(spark, sf_dir).where(F.col("task") == "toxicity")
+    fixed = F.when(_rule("doc_id", "annotator", "fix") == 1, F.lit("UNSURE")).otherwise(F.col("label"))
+    return v.select("id", "doc_id", "annotator", "label", fixed.alias("label_fixed"),
+                    F.lit("").alias("fixed_reason"))
+
+
+def votes_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity votes where about one in sixteen (id, annotator) votes is missing."""
+    v = votes(spark, sf_dir).where(F.col("task") == "toxicity")
+    return v.where(_rule("doc_id", "annotator", "gap") != 0)
