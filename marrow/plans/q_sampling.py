@@ -1 +1,49 @@
-"""Registered queries."""
+"""Seeded samples and per-source caps."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marrow.operators import sampling
+from marrow.plans.registry import register
+from marrow.sources.tables import table
+
+
+@register("stratified_sample", operators=("O3", "O2"), sql="""
+SELECT doc_id, source FROM documents
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('1|' || CAST(doc_id AS VARCHAR)), doc_id) <= 10
+""")
+def stratified_sample(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return sampling.stratified_sample(d, "source", "doc_id", 10, seed=1).select("doc_id", "source")
+
+
+@register("repeated_samples", operators=("O3",), sql="""
+WITH r AS (SELECT CAST(s.k AS BIGINT) AS sample_no, d.doc_id, d.source
+           FROM documents d, range(1, 4) s(k))
+SELECT sample_no, doc_id, source FROM r
+QUALIFY row_number() OVER (PARTITION BY sample_no, source
+                           ORDER BY md5(CAST(sample_no AS VARCHAR) || '|' || CAST(doc_id AS VARCHAR)), doc_id) <= 5
+""")
+def repeated_samples(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return sampling.repeated_samples(d, "source", "doc_id", 5, 3).select("sample_no", "doc_id", "source")
+
+
+@register("fixed_size_sample", operators=("O4",), sql="""
+SELECT doc_id, toxic FROM labels ORDER BY md5('7|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100
+""")
+def fixed_size_sample(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return sampling.fixed_size_sample(lab, "doc_id", 100, seed=7)
+
+
+@register("limit_per_source", operators=("W5", "S9", "S10"), sql="""
+SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS rank
+FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 10
+""")
+def limit_per_source(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    out = sampling.limit_per_source(ev, "user_id", ["ts"], 10, "event_id")
+    return out.select("user_id", "event_id", "rank")
