@@ -1 +1,42 @@
-"""Registered queries."""
+"""Reply threads from ``conversations`` (turn n replies to turn n-1)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marrow.operators import tree
+from marrow.plans.registry import register
+from marrow.sources.tables import table
+
+CHAIN = """RECURSIVE t(conv_id, turn, depth, role, text) AS (
+  SELECT conv_id, turn, 0, role, text FROM conversations WHERE turn = (
+    SELECT min(turn) FROM conversations c2 WHERE c2.conv_id = conversations.conv_id)
+  UNION ALL
+  SELECT c.conv_id, c.turn, t.depth + 1, c.role, c.text
+  FROM conversations c JOIN t ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)"""
+
+
+@register("reply_tree_flatten", operators=("S8", "X9", "F18", "S7"), sql=f"""
+WITH {CHAIN}
+SELECT conv_id, CAST(depth AS BIGINT) AS seq, CAST(depth AS BIGINT) AS depth, role AS author,
+       text AS body, CAST(turn AS BIGINT) AS score
+FROM t
+""")
+def reply_tree_flatten(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    trees = tree.chain_to_tree_json(conv, "conv_id", "turn", "role", "text")
+    return tree.flatten_reply_trees(trees, "tree_json", ["conv_id"])
+
+
+@register("reply_tree_paths", operators=("S8",), sql=f"""
+WITH {CHAIN}
+SELECT conv_id, CAST(turn AS BIGINT) AS turn, CAST(depth AS BIGINT) AS depth, CAST(depth AS BIGINT) AS seq
+FROM t
+""")
+def reply_tree_paths(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    first = conv.groupBy("conv_id").agg(F.min("turn").alias("_t0"))
+    edges = conv.join(first, "conv_id").select(
+        "conv_id", "turn", F.when(F.col("turn") > F.col("_t0"), F.col("turn") - 1).alias("parent"))
+    out = tree.tree_paths(edges, "conv_id", "turn", "parent", "turn")
+    return out.select("conv_id", F.col("turn").cast("long").alias("turn"), "depth", "seq")
