@@ -1 +1,36 @@
-"""Registered queries."""
+"""Language detection by stop-word profile and the three-way route."""
+
+from __future__ import annotations
+
+from marrow.operators import language as L
+from marrow.plans import sqltext as S
+from marrow.plans.registry import register
+from marrow.sources.tables import table
+
+_VALUES = ", ".join(f"('{lang}', '{w}')" for lang, ws in sorted(L.DEFAULT_PROFILE.items()) for w in ws)
+BEST = f"""prof AS (SELECT * FROM (VALUES {_VALUES}) t(lang, word)),
+toks AS (SELECT doc_id, unnest({S.ws_tokens('lower(text)')}) AS word FROM documents),
+hits AS (SELECT doc_id, lang, count(*) AS s FROM toks JOIN prof USING (word) GROUP BY doc_id, lang),
+best AS (SELECT doc_id, lang AS detected, s AS score FROM hits
+         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) = 1)"""
+
+
+@register("language_profile_score", operators=("X1",), sql=f"""
+WITH {BEST}
+SELECT d.doc_id, b.detected, CAST(b.score AS BIGINT) AS score FROM documents d LEFT JOIN best b USING (doc_id)
+""")
+def language_profile_score(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return L.profile_scores(d, "doc_id").select("doc_id", "detected", "score")
+
+
+@register("language_route", operators=("X1", "D23"), sql=f"""
+WITH {BEST}
+SELECT d.doc_id, b.detected,
+       CASE WHEN b.detected IS NULL THEN 'undetectable' WHEN b.detected = 'en' THEN 'accepted'
+            ELSE 'second_opinion' END AS lane
+FROM documents d LEFT JOIN best b USING (doc_id)
+""")
+def language_route(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return L.route_by_language(d, "doc_id", "en").select("doc_id", "detected", "lane")

@@ -1 +1,140 @@
-"""Registered queries."""
+"""Streaming, Python hooks and the Spark ML baseline.
+
+The two streaming queries have oracles (their results equal a batch run);
+the hook and ML queries depend on user code or iterative fitting and are
+checked on row counts only.
+"""
+
+from __future__ import annotations
+
+import os
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from marrow.operators import hooks, language, ml, votes
+from marrow.operators import evaluate as E
+from marrow.plans import sqltext as S
+from marrow.plans.registry import register
+from marrow.sources import fixtures as fx
+from marrow.sources.tables import table
+from marrow.streaming import ingest
+
+DOC_SCHEMA = "doc_id BIGINT, text STRING, split STRING"
+
+
+def _feed_twice(spark, sf_dir, run):
+    """Write documents into a folder in two steps and run the stream after each."""
+    base = ingest.scratch(spark, "stream")
+    src, out, ckpt = (os.path.join(base, p) for p in ("in", "out", "ckpt"))
+    docs = fx.documents_split(spark, sf_dir).select("doc_id", "text", "split")
+    docs.where(F.col("split") != "train").write.mode("append").parquet(src)
+    run(src, out, ckpt)
+    docs.where(F.col("split") == "train").write.mode("append").parquet(src)
+    run(src, out, ckpt)
+    return out
+
+
+@register("stream_dedup", operators=("T2", "T1"), sql="""
+SELECT DISTINCT sha256(text) AS text_sha FROM documents
+""")
+def stream_dedup(spark, sf_dir):
+    out = _feed_twice(spark, sf_dir,
+                      lambda s, o, c: ingest.dedup_stream(spark, s, DOC_SCHEMA, o, c))
+    return spark.read.schema("text_sha STRING").parquet(out)
+
+
+@register("stream_resume_clean", operators=("T1", "T3", "K4"), sql=f"""
+SELECT doc_id, {S.clean_text('text')} AS text FROM documents WHERE {S.clean_text('text')} <> ''
+""")
+def stream_resume_clean(spark, sf_dir):
+    out = _feed_twice(spark, sf_dir,
+                      lambda s, o, c: ingest.clean_stream(spark, s, DOC_SCHEMA, o, c))
+    return ingest.read_lane(spark, out, "ok", "doc_id BIGINT, text STRING").select("doc_id", "text")
+
+
+# --- hooks --------------------------------------------------------------------
+def _kw_annotator(words, flaky=False):
+    def fn(text):
+        if flaky and "q" in text[:40]:
+            raise TimeoutError("annotation service timed out")
+        hit = any(w in text.lower() for w in words)
+        return {"label": "TOXIC" if hit else "NON-TOXIC", "reason": f"keywords {words}"}
+    return fn
+
+
+ANNOTATORS_FIRST = {"deepseek": _kw_annotator(("hate", "kill")),
+                    "mistral": _kw_annotator(("hate", "stupid")),
+                    "qwen": _kw_annotator(("kill", "stupid"), flaky=True)}
+ANNOTATORS_RETRY = dict(ANNOTATORS_FIRST, qwen=_kw_annotator(("kill", "stupid")))
+
+
+@register("hook_annotate_lanes", operators=("X3", "X4", "T3", "G1", "G3", "U1"))
+def hook_annotate_lanes(spark, sf_dir):
+    info = fx.labelled_documents(spark, sf_dir).select("id", "text")
+    first = hooks.annotate(info, ANNOTATORS_FIRST)
+    v = hooks.retry_errors(first, ANNOTATORS_RETRY, info)
+    s = votes.vote_summary(v.where(F.col("lane") == "ok"))
+    disputed = s.where(~F.col("unanimous")).select("id", *votes.DEFAULT_ANNOTATORS)
+    payload = votes.adjudication_payload(disputed, info)
+    adj = hooks.adjudicate_with(payload, lambda p: {"label": "NON-TOXIC", "reason": "adjudicated"})
+    similar = s.where("unanimous").select("id", "label", F.lit("similar").alias("lane"))
+    checked = adj.where(F.col("lane") == "ok").select("id", "label", F.lit("checked").alias("lane"))
+    return similar.unionByName(checked)
+
+
+def _linear_loader():
+    rng = np.random.default_rng(0)
+    w = rng.standard_normal((64, 10)).astype(np.float32)
+
+    def predict(pdf: pd.DataFrame):
+        x = np.stack(pdf["embedding"].to_numpy()).astype(np.float32)
+        return x @ w
+
+    return predict
+
+
+@register("hook_score", operators=("X7", "O7", "G21"))
+def hook_score(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    scored = hooks.score(emb, _linear_loader, ["embedding"], "vec_id", 10)
+    j = scored.join(emb.select("vec_id", "label"), "vec_id")
+    return E.macro_metrics(j)
+
+
+@register("ml_baseline", operators=("X8", "G18", "O6"))
+def ml_baseline(spark, sf_dir):
+    lab = fx.labelled_documents(spark, sf_dir).withColumn("split", fx.split_of("doc_id"))
+    data = lab.select("doc_id", "text", "split", F.col("toxic").alias("label"))
+    model = ml.train(data.where(F.col("split") == "train"), max_iter=20)
+    pred = ml.predict(model, data.where(F.col("split") != "train"), "doc_id")
+    return E.binary_metrics(pred)
+
+
+@register("second_opinion_route", operators=("X2", "S11", "X1"))
+def second_opinion_route(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    routed = language.route_by_language(d, "doc_id", "en")
+
+    def judge(texts: pd.Series) -> pd.Series:
+        # empty reply = accept (mostly English by a looser rule), anything else = reject
+        return texts.map(lambda t: "" if " the " in t.lower() else "None")
+
+    lanes = language.second_opinion(routed.select("doc_id", "text", "detected", "lane"), judge)
+    return lanes.groupBy("lane").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@register("segment_words", operators=("X5", "C6", "C7"))
+def segment_words(spark, sf_dir):
+    d = fx.marked_documents(spark, sf_dir).select("doc_id", "text")
+
+    def pair_segmenter(s: pd.Series) -> pd.Series:
+        # joins every two words with '_' (stands in for a word segmenter)
+        def seg(t):
+            w = t.split()
+            return " ".join("_".join(w[i:i + 2]) for i in range(0, len(w), 2))
+        return s.map(seg)
+
+    out = hooks.segment(d, pair_segmenter)
+    return out.select("doc_id", F.size(F.split("segmented", " ")).cast("long").alias("n_words"))
