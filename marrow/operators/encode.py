@@ -26,15 +26,25 @@ VOCAB_BROADCAST_ROWS = 2_000_000
 
 
 def build_vocab(texts: DataFrame, text: str = "text") -> DataFrame:
-    """``(word, idx)``: <pad>=0, distinct space-split words 1..n in binary order, <unk>=n+1."""
+    """``(word, idx)``: <pad>=0, distinct space-split words 1..n in binary order, <unk>=n+1.
+
+    The distinct words are checkpointed once (one pass over the text); the
+    range sampling of the ranking and the word count then read the checkpoint.
+    """
     words = texts.select(F.explode(tx.space_tokens(text)).alias("word")).distinct()
+    words = _checkpoint(words)
+    n = words.count()
     ranked = positional_rank(words, None, "word", "_r", max_categories=1)
     body = ranked.select("word", (F.col("_r") + 1).cast("long").alias("idx"))
-    n = body.agg(F.count(F.lit(1)).alias("n"))
     spark = texts.sparkSession
-    pad = spark.range(1).select(F.lit(PAD).alias("word"), F.lit(0).cast("long").alias("idx"))
-    unk = n.select(F.lit(UNK).alias("word"), (F.col("n") + 1).cast("long").alias("idx"))
-    return pad.unionByName(body).unionByName(unk)
+    ends = spark.createDataFrame([(PAD, 0), (UNK, n + 1)], "word STRING, idx BIGINT")
+    return ends.unionByName(body)
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    from marrow.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def invert_vocab(vocab: DataFrame) -> DataFrame:
@@ -48,9 +58,7 @@ def materialize_vocab(vocab: DataFrame) -> DataFrame:
     Uses a reliable checkpoint in the shared ``spark.checkpoint.dir``, so a
     lost executor does not force the distinct pass to run again.
     """
-    from marrow.session import checkpoint_dir
-    checkpoint_dir(vocab.sparkSession)
-    return vocab.checkpoint(eager=True)
+    return _checkpoint(vocab)
 
 
 def _lookup_side(vocab: DataFrame) -> DataFrame:

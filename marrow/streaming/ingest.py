@@ -59,8 +59,9 @@ def clean_stream(spark: SparkSession, source_dir: str, schema: str, out_dir: str
 
 def read_lane(spark: SparkSession, out_dir: str, lane: str, schema: str) -> DataFrame:
     """Rows of one lane over every batch written so far."""
-    return (spark.read.schema(schema).option("basePath", out_dir)
-                 .parquet(os.path.join(out_dir, "batch=*", f"lane={lane}")))
+    df = (spark.read.schema(schema).option("basePath", out_dir)
+               .parquet(os.path.join(out_dir, "batch=*", f"lane={lane}")))
+    return df.select(*[f.name for f in df.schema.fields if f.name not in ("batch", "lane")])
 
 
 def fail_on_errors(df: DataFrame, lane_col: str = "lane") -> None:
