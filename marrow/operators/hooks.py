@@ -115,3 +115,21 @@ def score(df: DataFrame, loader: Callable[[], Callable[[pd.DataFrame], np.ndarra
     key_type = df.schema[key].dataType.simpleString()
     return df.select(key, *feature_cols).mapInPandas(
         run, f"{key} {key_type}, logits ARRAY<FLOAT>, prediction BIGINT")
+
+
+def encode_with(df: DataFrame, tokenizer: Callable[[list[str], int], dict], max_len: int = 128,
+                text: str = "text") -> DataFrame:
+    """A pluggable (subword) tokenizer with padding/truncation, in Arrow batches.
+
+    ``tokenizer(texts, max_len) -> {'input_ids': [[...]], 'attention_mask': [[...]]}``
+    (the shape returned by common tokenizer libraries with ``padding='max_length'``).
+    """
+    out_type = "struct<input_ids:array<bigint>,attention_mask:array<bigint>>"
+
+    @F.pandas_udf(out_type)
+    def _enc(s: pd.Series) -> pd.DataFrame:
+        enc = tokenizer(s.tolist(), max_len)
+        return pd.DataFrame({"input_ids": list(enc["input_ids"]),
+                             "attention_mask": list(enc["attention_mask"])})
+
+    return df.withColumn("encoding", _enc(F.col(text)))

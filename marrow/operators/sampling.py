@@ -96,3 +96,8 @@ def limit_per_source(df: DataFrame, source: str, order: Sequence[str], limit: in
                      rank_col: str = "rank", max_groups: int | None = None) -> DataFrame:
     """The first ``limit`` items of every source in (page, position) order."""
     return top_n_per_group(df, [source], order, limit, key, rank_col, max_groups)
+
+
+def shuffle_rows(df: DataFrame, seed: int = 0) -> DataFrame:
+    """A seeded random order of all rows (for training loaders)."""
+    return df.orderBy(F.rand(seed))

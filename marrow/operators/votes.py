@@ -27,8 +27,15 @@ def canonical_label(c) -> F.Column:
     return out
 
 
-def vote_summary(votes: DataFrame, annotators=DEFAULT_ANNOTATORS, id_col: str = "id") -> DataFrame:
-    """One row per id: per-annotator labels, vote count and whether all agree."""
+def vote_summary(votes: DataFrame, annotators=DEFAULT_ANNOTATORS, id_col: str = "id",
+                 raw: bool = False) -> DataFrame:
+    """One row per id: per-annotator labels, vote count and whether all agree.
+
+    By default labels are compared after trimming and alias mapping (C21);
+    ``raw=True`` compares the literal replies, as the source's production mode.
+    """
+    if not raw:
+        votes = votes.withColumn("label", canonical_label(tx.strip_ws("label")))
     per = [F.max(F.when(F.col("annotator") == a, F.col("label"))).alias(a) for a in annotators]
     return (votes.groupBy(id_col)
                  .agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"),
@@ -228,3 +235,14 @@ def parse_reply(df: DataFrame, raw: str = "raw", strip_fences: bool = False) ->
     ok = F.col("_p.label").isNotNull()
     return (out.withColumn("label", F.col("_p.label")).withColumn("reason", F.col("_p.reason"))
                .withColumn("lane", F.when(ok, "ok").otherwise("error")).drop("_p"))
+
+
+def drop_vote_columns(df: DataFrame, annotators=DEFAULT_ANNOTATORS) -> DataFrame:
+    """production mode keeps only the adjudicated label."""
+    cols = [c for c in df.columns if c in annotators or any(c.startswith(a + "_") for a in annotators)]
+    return df.drop(*cols)
+
+
+def undecided(task: str) -> F.Column:
+    """the label is the empty string (no decision yet)."""
+    return F.col(task) == ""

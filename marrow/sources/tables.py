@@ -107,7 +107,7 @@ def read_json_folder(spark: SparkSession, root: str, schema: T.StructType | str)
 def read_link_list(df: DataFrame, platform: str) -> DataFrame:
     """Rows of one platform whose note is empty; keep number and link."""
     return (df.where((F.col("Platform") == platform) & F.col("note").isNull())
-              .select(F.col("No.").alias("no"), F.col("Link").alias("link")))
+              .select(F.col("`No.`").alias("no"), F.col("Link").alias("link")))
 
 
 def read_word_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
