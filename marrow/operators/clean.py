@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marrow.functions import text as tx
+from marrow.session import checkpoint_dir
 
 # Broadcast the (category, partition) offset table only below this many rows.
 OFFSET_BROADCAST_ROWS = 2_000_000
@@ -96,48 +97,64 @@ def drop_repeated_header(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Positional ids (W1), keep-first dedup (U2), batches (K6)
 # ---------------------------------------------------------------------------
-def positional_rank(df: DataFrame, category: str | None, pos: str, rank_col: str = "rank",
-                    num_partitions: int | None = None,
-                    max_categories: int | None = None) -> DataFrame:
-    """0-based rank of ``pos`` within ``category`` (or globally when None).
+def rank_table(df: DataFrame, category: str | None, pos: str, rank_col: str = "rank",
+               num_partitions: int | None = None) -> DataFrame:
+    """``(category, pos, rank)``: 0-based rank of ``pos`` within ``category`` (or overall).
 
     A window partitioned by category would put a hot category (a third of the
     rows) into one task, and a global window puts everything there.  Instead
-    rows are range-partitioned on (category, pos) and sorted; the rank is the
-    row offset inside its partition plus the rows of the same category in
-    earlier partitions: a prefix sum over a table of at most
-    (partitions + categories) rows, broadcast when that bound is small.
-    ``pos`` must be unique within a category.
+    the narrow ``(category, pos)`` projection is range-partitioned and sorted;
+    the rank is the row offset inside its partition plus the rows of the same
+    category in earlier partitions: a prefix sum over a table of at most
+    (partitions + categories) rows, broadcast when that counted bound is small.
+
+    The ranged projection is checkpointed once, so the offsets and the rows
+    they are added to come from the same materialized partitioning (a second
+    evaluation could draw different range bounds).  ``pos`` must be non-null
+    and unique within a category.
     """
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    work = df if category else df.withColumn("_cat", F.lit(0))
     cat = category or "_cat"
-    ranged = (work.repartitionByRange(n, cat, pos)
-                  .sortWithinPartitions(cat, pos)
-                  .withColumn("_pid", F.spark_partition_id())
-                  .withColumn("_mid", F.monotonically_increasing_id()))
+    narrow = df.select((F.col(category) if category else F.lit(0)).alias(cat), F.col(pos))
+    ranged = (narrow.repartitionByRange(n, cat, pos)
+                    .sortWithinPartitions(cat, pos)
+                    .withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_mid", F.monotonically_increasing_id())
+                    .checkpoint(eager=True))
     stats = ranged.groupBy(cat, "_pid").agg(F.min("_mid").alias("_first"),
                                               F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(cat).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stats.select(cat, "_pid", "_first",
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    if max_categories is None:
-        max_categories = 1 if not category else df.select(category).distinct().count()
-    if n + max_categories <= OFFSET_BROADCAST_ROWS:
+    n_categories = ranged.select(cat).distinct().count() if category else 1
+    if n + n_categories <= OFFSET_BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     rank = (F.col("_before") + F.col("_mid") - F.col("_first")).cast("long")
-    out = ranged.join(offsets, [cat, "_pid"]).withColumn(rank_col, rank)
-    return out.drop("_pid", "_mid", "_first", "_before", *([] if category else ["_cat"]))
+    out = ranged.join(offsets, [cat, "_pid"]).select(cat, pos, rank.alias(rank_col))
+    return out if category else out.drop(cat)
+
+
+def positional_rank(df: DataFrame, category: str | None, pos: str, rank_col: str = "rank",
+                    num_partitions: int | None = None) -> DataFrame:
+    """``df`` with the rank of :func:`rank_table`, joined back on the unique (category, pos)."""
+    t = rank_table(df, category, pos, rank_col, num_partitions)
+    keys = [category, pos] if category else [pos]
+    if sorted(df.columns) == sorted(keys):
+        return t
+    return df.join(t, keys)
+
+
+def id_expr(category: str, rank: str) -> F.Column:
+    return F.concat(F.col(category), F.lit("_"), F.col(rank).cast("string"))
 
 
 def assign_ids(df: DataFrame, category: str = "category", pos: str = "pos",
-               id_col: str = "id", num_partitions: int | None = None,
-               max_categories: int | None = None) -> DataFrame:
+               id_col: str = "id", num_partitions: int | None = None) -> DataFrame:
     """``id = category || '_' || (rank of pos within category, from 0)``."""
-    ranked = positional_rank(df, category, pos, "_rank", num_partitions, max_categories)
-    return (ranked.withColumn(id_col, F.concat(F.col(category), F.lit("_"), F.col("_rank").cast("string")))
-                  .drop("_rank"))
+    ranked = positional_rank(df, category, pos, "_rank", num_partitions)
+    return ranked.withColumn(id_col, id_expr(category, "_rank")).drop("_rank")
 
 
 def text_key(col: str = "text"):
@@ -177,10 +194,14 @@ def clean_chain(df: DataFrame, category: str = "category", pos: str = "pos",
     """Ids -> keep-first dedup -> URLs -> hashtags -> whitespace -> lowercase.
 
     Ids are assigned before dedup (so later ids have gaps), as in the source.
-    With ``dedup_on_clean`` the dedup key is the cleaned text instead.
+    With ``dedup_on_clean`` the dedup key is the cleaned text instead.  Ranks
+    and first positions are computed on narrow projections; the full rows are
+    shuffled once, to meet their surviving (position, id) pairs.
     """
-    with_ids = assign_ids(df, category, pos)
-    if dedup_on_clean:
-        cleaned = with_ids.withColumn(text, clean_text(text))
-        return dedup_keep_first(cleaned, text, pos)
-    return dedup_keep_first(with_ids, text, pos).withColumn(text, clean_text(text))
+    ranks = rank_table(df, category, pos, "_rank")
+    keyed = df.withColumn(text, clean_text(text)) if dedup_on_clean else df
+    firsts = (keyed.select(text_key(text).alias("_h"), F.col(pos))
+                   .groupBy("_h").agg(F.min(pos).alias(pos)))
+    keep = ranks.join(firsts.select(pos), pos, "left_semi")
+    out = df.join(keep, [category, pos])
+    return out.withColumn("id", id_expr(category, "_rank")).withColumn(text, clean_text(text)).drop("_rank")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marrow.functions import text as tx
-from marrow.operators.clean import positional_rank
+from marrow.operators.clean import rank_table
 
 PAD, UNK = "<pad>", "<unk>"
 # Fixed label maps of the three tasks (unknown labels are an error lane).
@@ -28,14 +28,13 @@ VOCAB_BROADCAST_ROWS = 2_000_000
 def build_vocab(texts: DataFrame, text: str = "text") -> DataFrame:
     """``(word, idx)``: <pad>=0, distinct space-split words 1..n in binary order, <unk>=n+1.
 
-    The distinct words are checkpointed once (one pass over the text); the
-    range sampling of the ranking and the word count then read the checkpoint.
+    The distinct words are ranked once (the ranking checkpoints its narrow
+    input, so the text is tokenized in one pass); n is counted from that.
     """
     words = texts.select(F.explode(tx.space_tokens(text)).alias("word")).distinct()
-    words = _checkpoint(words)
-    n = words.count()
-    ranked = positional_rank(words, None, "word", "_r", max_categories=1)
+    ranked = rank_table(words, None, "word", "_r")
     body = ranked.select("word", (F.col("_r") + 1).cast("long").alias("idx"))
+    n = body.count()
     spark = texts.sparkSession
     ends = spark.createDataFrame([(PAD, 0), (UNK, n + 1)], "word STRING, idx BIGINT")
     return ends.unionByName(body)
