@@ -70,17 +70,24 @@ def agreement_matrix(votes: DataFrame, domain, id_col: str = "id") -> DataFrame:
     return votes.groupBy(id_col).agg(*cols)
 
 
-def fleiss_kappa(votes: DataFrame, scope: str | None = None, id_col: str = "id",
+def fleiss_kappa(votes: DataFrame, scope=None, id_col: str = "id",
                  min_raters: int = 3) -> DataFrame:
-    """Fleiss' kappa per scope (one row overall when ``scope`` is None).
+    """Fleiss' kappa per scope (one row overall when ``scope`` is None; a list of
+    scope columns/expressions computes all of them in one pass).
 
     P_i = (sum_j n_ij^2 - n) / (n (n - 1)),  P = mean(P_i),
     p_j = sum_i n_ij / (N n),  P_e = sum_j p_j^2,  kappa = (P - P_e) / (1 - P_e).
     kappa is null below ``min_raters`` raters (the source computes it only
     for more than two) and when P_e = 1.  Everything is double.
     """
-    sc = F.col(scope) if scope else F.lit("all")
-    v = votes.select(sc.alias("scope"), id_col, "label")
+    if scope is None:
+        v = votes.select(F.lit("all").alias("scope"), id_col, "label")
+    elif isinstance(scope, (list, tuple)):
+        # several scopes in one pass: each vote is counted once per scope
+        v = votes.select(F.explode(F.array(*[F.col(c) if isinstance(c, str) else c for c in scope])).alias("scope"),
+                         id_col, "label")
+    else:
+        v = votes.select(F.col(scope).alias("scope"), id_col, "label")
     nij = v.groupBy("scope", id_col, "label").agg(F.count(F.lit(1)).cast("double").alias("nij"))
     subj = nij.groupBy("scope", id_col).agg(F.sum(F.col("nij") * F.col("nij")).alias("s2"),
                                             F.sum("nij").alias("n"))

@@ -85,9 +85,7 @@ FROM ps JOIN pe USING (scope)
 """)
 def fleiss_kappa(spark, sf_dir):
     v = _tv(spark, sf_dir)
-    overall = V.fleiss_kappa(v)
-    per_cat = V.fleiss_kappa(v.withColumn("category", F.split("id", "_", 2).getItem(0)), "category")
-    return overall.unionByName(per_cat)
+    return V.fleiss_kappa(v, [F.lit("all"), F.split("id", "_", 2).getItem(0)])
 
 
 @register("disagreement_report", operators=("G6", "J2"), sql=f"""

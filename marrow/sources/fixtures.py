@@ -78,7 +78,8 @@ def vote_hash(doc_id: str, annotator) -> F.Column:
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels joined to their documents: id, text, category, truth labels."""
     lab = table(spark, sf_dir, "labels")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    # Only keys and a pass-through text: no per-row work worth spreading.
+    docs = table(spark, sf_dir, "documents", spread=False).select("doc_id", "text", "source")
     return lab.join(docs, "doc_id").select(
         "doc_id",
         F.concat(F.col("source"), F.lit("_"), F.col("doc_id").cast("string")).alias("id"),
