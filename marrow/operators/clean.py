@@ -14,6 +14,19 @@ from marrow.session import checkpoint_dir
 
 # Broadcast the (category, partition) offset table only below this many rows.
 OFFSET_BROADCAST_ROWS = 2_000_000
+# Broadcast a materialized key table (e.g. surviving positions) only below this many rows.
+KEY_BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(keys: DataFrame, max_rows: int = KEY_BROADCAST_ROWS) -> DataFrame:
+    """Materialize a narrow key table once and broadcast it only if its counted size is small.
+
+    The checkpoint (shared checkpoint dir) makes the count and the later join
+    read the same rows, so the key pipeline is not evaluated twice.
+    """
+    checkpoint_dir(keys.sparkSession)
+    keys = keys.checkpoint(eager=True)
+    return F.broadcast(keys) if keys.count() <= max_rows else keys
 
 
 # ---------------------------------------------------------------------------
@@ -167,11 +180,12 @@ def dedup_keep_first(df: DataFrame, key: str = "text", pos: str = "pos") -> Data
 
     The grouping runs on (hash, pos) only, with map-side partial aggregation,
     so a key that repeats on a third of all rows collapses before the shuffle.
-    The survivors are then kept by a semi join on the unique ``pos``.
+    The survivors are then kept by a semi join on the unique ``pos`` (a
+    broadcast when the counted survivors are few, else a shuffle join).
     """
     firsts = (df.select(text_key(key).alias("_h"), F.col(pos))
                 .groupBy("_h").agg(F.min(pos).alias(pos)))
-    return df.join(firsts.select(pos), pos, "left_semi")
+    return df.join(bounded_broadcast(firsts.select(pos)), pos, "left_semi")
 
 
 def batch_assign(df: DataFrame, pos: str = "pos", size: int = 100,
@@ -202,6 +216,6 @@ def clean_chain(df: DataFrame, category: str = "category", pos: str = "pos",
     keyed = df.withColumn(text, clean_text(text)) if dedup_on_clean else df
     firsts = (keyed.select(text_key(text).alias("_h"), F.col(pos))
                    .groupBy("_h").agg(F.min(pos).alias(pos)))
-    keep = ranks.join(firsts.select(pos), pos, "left_semi")
+    keep = bounded_broadcast(ranks.join(firsts.select(pos), pos, "left_semi"))
     out = df.join(keep, [category, pos])
     return out.withColumn("id", id_expr(category, "_rank")).withColumn(text, clean_text(text)).drop("_rank")
