@@ -67,21 +67,21 @@ def second_opinion(df: DataFrame, judge: Callable[[pd.Series], pd.Series], text:
     """Rows in lane 'second_opinion' are judged in Arrow batches.
 
     ``judge(texts) -> replies``; an empty reply accepts the row (lane
-    'accepted_second'), anything else rejects it ('rejected').  Both lanes are
-    kept, so accepted and rejected rows stay auditable.
+    'accepted_second'), anything else rejects it ('rejected').  Only the rows
+    that need a second opinion go through Python; both outcomes are kept, so
+    accepted and rejected rows stay auditable.
     """
     schema = df.schema.simpleString()[len("struct<"):-1]
 
     def run(batches):
         for pdf in batches:
-            todo = pdf[lane_col] == "second_opinion"
-            if todo.any():
-                replies = pd.Series(judge(pdf.loc[todo, text].reset_index(drop=True))).astype("string")
-                decided = replies.fillna("x").eq("").map({True: "accepted_second", False: "rejected"})
-                pdf.loc[todo, lane_col] = decided.values
+            replies = pd.Series(judge(pdf[text].reset_index(drop=True))).astype("string")
+            pdf[lane_col] = replies.fillna("x").eq("").map({True: "accepted_second", False: "rejected"}).values
             yield pdf
 
-    return df.mapInPandas(run, schema)
+    todo = df.where(F.col(lane_col) == "second_opinion")
+    rest = df.where((F.col(lane_col) != "second_opinion") | F.col(lane_col).isNull())
+    return rest.unionByName(todo.mapInPandas(run, schema))
 
 
 def accepted(df: DataFrame, lane_col: str = "lane") -> DataFrame:

@@ -89,11 +89,15 @@ USER_ITEMS_SCHEMA = """kind STRING, data STRUCT<title: STRING, subreddit: STRING
   body: STRING, created_utc: DOUBLE>"""
 
 
-def normalise_user_items(items: DataFrame, user: str, order: list[str], limit: int) -> DataFrame:
+def normalise_user_items(items: DataFrame, user: str, order: list[str], limit: int,
+                         key: str | None = None) -> DataFrame:
     """S9 + W5: the first ``limit`` items per user (every kind counts), then
-    t3 -> 'post' rows and t1 -> 'comment' rows; other kinds are dropped."""
+    t3 -> 'post' rows and t1 -> 'comment' rows; other kinds are dropped.
+
+    ``key`` is a unique item key (default: the user with the order columns)."""
     from marrow.operators.sampling import limit_per_source
-    keyed = items.withColumn("_k", F.monotonically_increasing_id())
+    kcols = [user, *order] if key is None else [key]
+    keyed = items.withColumn("_k", F.to_json(F.struct(*[F.col(c) for c in kcols])))
     capped = limit_per_source(keyed, user, order, limit, "_k", "_rank")
     d = F.col("data")
     url = F.concat(F.lit(REDDIT_HOST), F.coalesce(d["permalink"], F.lit("")))

@@ -37,7 +37,8 @@ def _clean_splits(spark, sf_dir):
 
 def _vocab(spark, sf_dir):
     cd = _clean_splits(spark, sf_dir)
-    return encode.materialize_vocab(encode.build_vocab(cd.where(F.col("split") == "train")))
+    # build_vocab materializes its ranked words once; no second checkpoint is needed.
+    return encode.build_vocab(cd.where(F.col("split") == "train"))
 
 
 def _encoded(spark, sf_dir):
