@@ -175,17 +175,22 @@ def text_key(col: str = "text"):
     return F.unhex(F.sha2(F.col(col), 256))
 
 
-def dedup_keep_first(df: DataFrame, key: str = "text", pos: str = "pos") -> DataFrame:
-    """Keep the first row (smallest ``pos``) of every distinct ``key``.
-
-    The grouping runs on (hash, pos) only, with map-side partial aggregation,
-    so a key that repeats on a third of all rows collapses before the shuffle.
-    The survivors are then kept by a semi join on the unique ``pos`` (a
-    broadcast when the counted survivors are few, else a shuffle join).
+def dedup_keep_first(df: DataFrame, key: str = "text", pos: str = "pos",
+                     within: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Keep the first row (smallest ``pos``) of every distinct ``key`` within ``within``.
+
+    The source dedups each category file on its own, so the cleaning chain
+    passes ``within=[category]``; an empty ``within`` dedups globally.  The
+    grouping runs on (scope, 32-byte hash, pos) only, with map-side partial
+    aggregation, so a key that repeats on a third of all rows collapses before
+    the shuffle.  The survivors are kept by a semi join on the unique
+    (scope, pos) - a broadcast when the counted survivors are few, else a
+    shuffle join.
     """
-    firsts = (df.select(text_key(key).alias("_h"), F.col(pos))
-                .groupBy("_h").agg(F.min(pos).alias(pos)))
-    return df.join(bounded_broadcast(firsts.select(pos)), pos, "left_semi")
+    within = list(within)
+    firsts = (df.select(*within, text_key(key).alias("_h"), F.col(pos))
+                .groupBy(*within, "_h").agg(F.min(pos).alias(pos)))
+    return df.join(bounded_broadcast(firsts.select(*within, pos)), [*within, pos], "left_semi")
 
 
 def batch_assign(df: DataFrame, pos: str = "pos", size: int = 100,
@@ -207,15 +212,18 @@ def clean_chain(df: DataFrame, category: str = "category", pos: str = "pos",
                 text: str = "text", dedup_on_clean: bool = False) -> DataFrame:
     """Ids -> keep-first dedup -> URLs -> hashtags -> whitespace -> lowercase.
 
-    Ids are assigned before dedup (so later ids have gaps), as in the source.
+    Runs per category (the source cleans one category file at a time): ids
+    count positions within the category, and dedup keeps the first copy of a
+    text within the category.  Ids are assigned before dedup (so later ids
+    have gaps), as in the source.
     With ``dedup_on_clean`` the dedup key is the cleaned text instead.  Ranks
     and first positions are computed on narrow projections; the full rows are
     shuffled once, to meet their surviving (position, id) pairs.
     """
     ranks = rank_table(df, category, pos, "_rank")
     keyed = df.withColumn(text, clean_text(text)) if dedup_on_clean else df
-    firsts = (keyed.select(text_key(text).alias("_h"), F.col(pos))
-                   .groupBy("_h").agg(F.min(pos).alias(pos)))
-    keep = bounded_broadcast(ranks.join(firsts.select(pos), pos, "left_semi"))
+    firsts = (keyed.select(F.col(category), text_key(text).alias("_h"), F.col(pos))
+                   .groupBy(category, "_h").agg(F.min(pos).alias(pos)))
+    keep = bounded_broadcast(ranks.join(firsts.select(category, pos), [category, pos], "left_semi"))
     out = df.join(keep, [category, pos])
     return out.withColumn("id", id_expr(category, "_rank")).withColumn(text, clean_text(text)).drop("_rank")

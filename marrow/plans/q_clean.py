@@ -24,7 +24,7 @@ def _comments(spark, sf_dir):
 
 @register("clean_chain", operators=("C5", "W1", "U2", "C1", "C2", "C3", "C4"), sql=f"""
 WITH {IDS_SQL},
-kept AS (SELECT * FROM ided QUALIFY row_number() OVER (PARTITION BY text ORDER BY pos) = 1)
+kept AS (SELECT * FROM ided QUALIFY row_number() OVER (PARTITION BY category, text ORDER BY pos) = 1)
 SELECT id, pos, category, {S.clean_text('text')} AS text FROM kept
 """)
 def clean_chain(spark, sf_dir):
@@ -41,19 +41,27 @@ def assign_ids(spark, sf_dir):
 
 @register("dedup_keep_first", operators=("U2", "W2"), sql="""
 SELECT doc_id AS pos, source AS category FROM documents
-QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1
+QUALIFY row_number() OVER (PARTITION BY source, text ORDER BY doc_id) = 1
 """)
 def dedup_keep_first(spark, sf_dir):
+    return clean.dedup_keep_first(_comments(spark, sf_dir), within=["category"]).select("pos", "category")
+
+
+@register("dedup_global", operators=("U2", "T2"), sql="""
+SELECT doc_id AS pos, source AS category FROM documents
+QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1
+""")
+def dedup_global(spark, sf_dir):
     return clean.dedup_keep_first(_comments(spark, sf_dir)).select("pos", "category")
 
 
 @register("dedup_after_clean", operators=("U2", "C5"), sql=f"""
-WITH c AS (SELECT doc_id AS pos, {S.clean_text('text')} AS text FROM documents)
-SELECT pos, text FROM c QUALIFY row_number() OVER (PARTITION BY text ORDER BY pos) = 1
+WITH c AS (SELECT doc_id AS pos, source AS category, {S.clean_text('text')} AS text FROM documents)
+SELECT pos, text FROM c QUALIFY row_number() OVER (PARTITION BY category, text ORDER BY pos) = 1
 """)
 def dedup_after_clean(spark, sf_dir):
-    c = _comments(spark, sf_dir).select("pos", clean.clean_text("text").alias("text"))
-    return clean.dedup_keep_first(c).select("pos", "text")
+    c = _comments(spark, sf_dir).select("pos", "category", clean.clean_text("text").alias("text"))
+    return clean.dedup_keep_first(c, within=["category"]).select("pos", "text")
 
 
 @register("batch_assign", operators=("K6", "W3"), sql="""
@@ -68,7 +76,7 @@ def batch_assign(spark, sf_dir):
 
 @register("stage_funnel", operators=("G16", "K4"), sql=f"""
 WITH {IDS_SQL},
-kept AS (SELECT * FROM ided QUALIFY row_number() OVER (PARTITION BY text ORDER BY pos) = 1),
+kept AS (SELECT * FROM ided QUALIFY row_number() OVER (PARTITION BY category, text ORDER BY pos) = 1),
 cleaned AS (SELECT category, {S.clean_text('text')} AS text FROM kept)
 SELECT r.category, CAST(r.n AS BIGINT) AS n_raw, CAST(k.n AS BIGINT) AS n_dedup,
        CAST(c.n AS BIGINT) AS n_nonempty
@@ -79,7 +87,7 @@ JOIN (SELECT category, count(*) FILTER (WHERE text <> '') AS n FROM cleaned GROU
 def stage_funnel(spark, sf_dir):
     from marrow.operators.stats import stage_funnel as funnel
     raw = _comments(spark, sf_dir)
-    kept = clean.dedup_keep_first(raw)
+    kept = clean.dedup_keep_first(raw, within=["category"])
     cleaned = kept.withColumn("text", clean.clean_text("text"))
     return funnel({"raw": raw, "dedup": kept,
                    "nonempty": cleaned.where(F.col("text") != "")}, "category")

@@ -44,10 +44,12 @@ def test_assign_ids_before_dedup_and_keep_first(spark):
     df = spark.createDataFrame(data, "pos INT, category STRING, text STRING")
     ids = clean.assign_ids(df)
     assert rows(ids, "pos", "id") == [(0, "a_0"), (1, "a_1"), (2, "b_0"), (3, "a_2"), (4, "b_1"), (5, "a_3")]
-    kept = clean.dedup_keep_first(ids)
-    # the second 'x' (pos 2) and third (pos 3) go; ids keep their gaps
-    assert rows(kept, "pos", "id") == [(0, "a_0"), (1, "a_1"), (4, "b_1"), (5, "a_3")]
-    assert rows(clean.dedup_keep_first(kept)) == rows(kept)  # idempotent
+    kept = clean.dedup_keep_first(ids, within=["category"])
+    # per category: the second 'x' of category a (pos 3) goes; ids keep their gaps
+    assert rows(kept, "pos", "id") == [(0, "a_0"), (1, "a_1"), (2, "b_0"), (4, "b_1"), (5, "a_3")]
+    assert rows(clean.dedup_keep_first(kept, within=["category"])) == rows(kept)  # idempotent
+    # globally, the 'x' of category b (pos 2) goes as well
+    assert rows(clean.dedup_keep_first(ids), "pos") == [(0,), (1,), (4,), (5,)]
 
 
 def test_assign_ids_hot_category_many_partitions(spark):
