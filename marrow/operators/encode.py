@@ -71,10 +71,14 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, text: str = "text",
 
     Tokens are exploded with their position, looked up, and re-collected per
     row; a row's group is bounded by its own token count.  The <unk> id is a
-    scalar subquery (evaluated once).
+    scalar subquery (evaluated once).  With a broadcast vocabulary the only
+    shuffle is the rows themselves, by key.
     """
     unk = vocab.where(F.col("word") == UNK).select(F.max("idx")).scalar()
-    toks = df.select(key, F.posexplode(tx.space_tokens(text)).alias("_p", "word"))
+    # Partition the rows by key once: explode and the broadcast lookup keep that
+    # partitioning, so re-collecting per row needs no shuffle of the token rows.
+    toks = df.select(key, text).repartition(key).select(
+        key, F.posexplode(tx.space_tokens(text)).alias("_p", "word"))
     j = toks.join(_lookup_side(vocab.where(F.col("word") != UNK)), "word", "left")
     j = j.select(key, "_p", F.coalesce(F.col("idx"), unk).alias("_id"))
     packed = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "_id"))).alias("_l"))

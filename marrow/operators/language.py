@@ -1,9 +1,9 @@
 """Language routing.
 
-The default detector is a stop-word profile scored in SQL: tokens are joined
-to a small fixed profile table (broadcast: its size is fixed by the profile),
-hits are counted per (row, language) with partial aggregation, and the best
-language wins (ties by language name).  Rows without a single hit are
+The default detector is a stop-word profile scored in SQL: with the small
+fixed profile every row is scored by array expressions (no shuffle); a large
+profile table is joined (broadcast) and hits are counted per (row, language).
+The best language wins (ties by language name).  Rows without a single hit are
 "undetectable" and get their own lane instead of vanishing.  Any
 ``pandas_udf`` can replace the detector, and a second-opinion function can
 be plugged in for rows detected as another language.
@@ -33,16 +33,45 @@ def profile_table(spark: SparkSession, profile: dict[str, tuple[str, ...]] = DEF
     return spark.createDataFrame(rows, "lang STRING, word STRING")
 
 
+# Profiles up to this many words are scored per row, without a join.
+INLINE_PROFILE_WORDS = 1_000
+
+
 def profile_scores(df: DataFrame, key: str, text: str = "text",
-                   profile: DataFrame | None = None) -> DataFrame:
-    """Per row: best language by profile hits, and its score; null when no hit."""
-    prof = profile if profile is not None else profile_table(df.sparkSession)
-    toks = df.select(key, F.explode(tx.ws_tokens(F.lower(F.col(text)))).alias("word"))
-    hits = toks.join(F.broadcast(prof), "word").groupBy(key, "lang").agg(F.count(F.lit(1)).alias("_s"))
+                   profile: dict[str, tuple[str, ...]] | DataFrame | None = None) -> DataFrame:
+    """Per row: best language by profile hits, and its score; null when no hit.
+
+    A small profile (a dict, the default) is scored per row: for each
+    language, the number of tokens in its word set; the best is the minimum
+    of (-score, language), so ties go to the language name.  No explode, join
+    or shuffle.  A profile given as a table (any size) is joined instead:
+    one shuffle of the rows by key, kept through explode, broadcast join,
+    both aggregates and the join back.
+    """
+    prof = DEFAULT_PROFILE if profile is None else profile
+    toks = tx.ws_tokens(F.lower(F.col(text)))
+    if isinstance(prof, dict) and sum(len(w) for w in prof.values()) <= INLINE_PROFILE_WORDS:
+        def in_words(ws):
+            return lambda t: t.isin(*ws)
+
+        per_lang = [F.struct((-F.size(F.filter(F.col("_toks"), in_words(tuple(ws))))).alias("ns"),
+                             F.lit(lang).alias("lang"))
+                    for lang, ws in sorted(prof.items())]
+        # tokens and the best (score, language) are projected once each, then reused
+        best = (df.withColumn("_toks", toks)
+                  .withColumn("_best", F.array_min(F.array(*per_lang)))
+                  .drop("_toks"))
+        hit = F.col("_best.ns") < 0
+        return (best.withColumn("detected", F.when(hit, F.col("_best.lang")))
+                    .withColumn("score", F.when(hit, -F.col("_best.ns")).cast("long")).drop("_best"))
+    table = prof if isinstance(prof, DataFrame) else profile_table(df.sparkSession, prof)
+    rows = df.repartition(key)
+    words = rows.select(key, F.explode(toks).alias("word"))
+    hits = words.join(F.broadcast(table), "word").groupBy(key, "lang").agg(F.count(F.lit(1)).alias("_s"))
     best = hits.groupBy(key).agg(
         F.min_by(F.col("lang"), F.struct(-F.col("_s"), F.col("lang"))).alias("detected"),
         F.max("_s").cast("long").alias("score"))
-    return df.join(best, key, "left")
+    return rows.join(best, key, "left")
 
 
 def route_by_language(df: DataFrame, key: str, target: str, text: str = "text",
