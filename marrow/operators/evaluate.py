@@ -61,12 +61,20 @@ def macro_metrics(df: DataFrame, label: str = "label", prediction: str = "predic
     """Accuracy and unweighted means of per-class precision, recall and F1."""
     pc = per_class_counts(df, label, prediction)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    per = pc.select(_ratio(tp, tp + fp).alias("p"), _ratio(tp, tp + fn).alias("r"),
+    per = pc.select("cls", _ratio(tp, tp + fp).alias("p"), _ratio(tp, tp + fn).alias("r"),
                     _ratio(2 * tp, 2 * tp + fp + fn).alias("f"), tp, fp, fn)
-    return per.agg(F.count(F.lit(1)).cast("long").alias("n_classes"),
-                   _ratio(F.sum("tp"), F.sum("tp") + F.sum("fn")).alias("accuracy"),
-                   F.avg("p").alias("macro_precision"), F.avg("r").alias("macro_recall"),
-                   F.avg("f").alias("macro_f1"))
+    # One row per class (bounded by the label domain): the means are summed in
+    # class order, so the result does not depend on partition order.
+    agg = per.agg(F.count(F.lit(1)).cast("long").alias("n_classes"),
+                  _ratio(F.sum("tp"), F.sum("tp") + F.sum("fn")).alias("accuracy"),
+                  F.array_sort(F.collect_list(F.struct("cls", "p", "r", "f"))).alias("_c"))
+
+    def mean_of(field):
+        total = F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + c[field])
+        return total / F.col("n_classes").cast("double")
+
+    return agg.select("n_classes", "accuracy", mean_of("p").alias("macro_precision"),
+                      mean_of("r").alias("macro_recall"), mean_of("f").alias("macro_f1"))
 
 
 def cross_entropy(logits, label) -> F.Column:

@@ -88,19 +88,25 @@ def fleiss_kappa(votes: DataFrame, scope=None, id_col: str = "id",
                          id_col, "label")
     else:
         v = votes.select(F.col(scope).alias("scope"), id_col, "label")
-    nij = v.groupBy("scope", id_col, "label").agg(F.count(F.lit(1)).cast("double").alias("nij"))
+    nij = v.groupBy("scope", id_col, "label").agg(F.count(F.lit(1)).alias("nij"))
     subj = nij.groupBy("scope", id_col).agg(F.sum(F.col("nij") * F.col("nij")).alias("s2"),
                                             F.sum("nij").alias("n"))
-    p_i = (F.col("s2") - F.col("n")) / (F.col("n") * (F.col("n") - F.lit(1.0)))
+    dbl = lambda c: F.col(c).cast("double")
+    p_i = (dbl("s2") - dbl("n")) / (dbl("n") * (dbl("n") - F.lit(1.0)))
     per_scope = subj.groupBy("scope").agg(
-        F.avg(F.when(F.col("n") > 1, p_i)).alias("p_bar"),
+        F.avg(F.when(F.col("n") > 1, p_i)).alias("_p_avg"),
         F.count(F.lit(1)).cast("long").alias("n_subjects"),
-        F.max("n").cast("long").alias("n_raters"),
-        F.sum("n").alias("n_total"))
+        F.min("n").alias("_n_min"), F.max("n").cast("long").alias("n_raters"),
+        (F.sum("s2") - F.sum("n")).alias("_agree"),
+        F.sum(F.col("n") * (F.col("n") - 1)).alias("_pairs"))
+    # Equal raters per subject (the usual case): P = sum(s2 - n) / sum(n (n - 1)), from
+    # exact integer sums, so the result does not depend on summation order.
+    p_bar = F.when(F.col("_n_min") == F.col("n_raters"), dbl("_agree") / dbl("_pairs")).otherwise(F.col("_p_avg"))
     cat = nij.groupBy("scope", "label").agg(F.sum("nij").alias("nj"))
-    pe = (cat.join(per_scope.select("scope", "n_total"), "scope")
-             .groupBy("scope").agg(F.sum((F.col("nj") / F.col("n_total")) ** 2).alias("p_e")))
-    out = per_scope.join(pe, "scope")
+    pe = cat.groupBy("scope").agg(F.sum(F.col("nj") * F.col("nj")).alias("_c2"), F.sum("nj").alias("_tot"))
+    p_e = dbl("_c2") / (dbl("_tot") * dbl("_tot"))
+    out = per_scope.join(pe, "scope").select("scope", "n_subjects", "n_raters", p_bar.alias("p_bar"),
+                                             p_e.alias("p_e"))
     kappa = F.when((F.col("n_raters") >= min_raters) & (F.col("p_e") != 1.0),
                    (F.col("p_bar") - F.col("p_e")) / (F.lit(1.0) - F.col("p_e")))
     return out.select("scope", "n_subjects", "n_raters", kappa.cast("double").alias("kappa"))

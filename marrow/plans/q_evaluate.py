@@ -56,13 +56,15 @@ pc AS (SELECT c,
          count(*) FILTER (WHERE pr.label <> c AND pr.prediction = c) AS fp,
          count(*) FILTER (WHERE pr.label = c AND pr.prediction <> c) AS fn
        FROM cls, pr GROUP BY c),
-m AS (SELECT tp, fp, fn,
+m AS (SELECT c, tp, fp, fn,
         CASE WHEN tp + fp = 0 THEN 0e0 ELSE tp / CAST(tp + fp AS DOUBLE) END AS p,
         CASE WHEN tp + fn = 0 THEN 0e0 ELSE tp / CAST(tp + fn AS DOUBLE) END AS r,
         CASE WHEN 2 * tp + fp + fn = 0 THEN 0e0 ELSE 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) END AS f
       FROM pc)
 SELECT CAST(count(*) AS BIGINT) AS n_classes, sum(tp) / CAST(sum(tp) + sum(fn) AS DOUBLE) AS accuracy,
-       avg(p) AS macro_precision, avg(r) AS macro_recall, avg(f) AS macro_f1
+       list_reduce(list_prepend(0e0, list(p ORDER BY c)), lambda a, b: a + b) / CAST(count(*) AS DOUBLE) AS macro_precision,
+       list_reduce(list_prepend(0e0, list(r ORDER BY c)), lambda a, b: a + b) / CAST(count(*) AS DOUBLE) AS macro_recall,
+       list_reduce(list_prepend(0e0, list(f ORDER BY c)), lambda a, b: a + b) / CAST(count(*) AS DOUBLE) AS macro_f1
 FROM m
 """)
 def macro_metrics(spark, sf_dir):

@@ -71,17 +71,20 @@ def agreement_matrix(spark, sf_dir):
 WITH {VOTES}, {TV},
 sv AS (SELECT 'all' AS scope, id, label FROM tv
        UNION ALL SELECT split_part(id, '_', 1), id, label FROM tv),
-nij AS (SELECT scope, id, label, CAST(count(*) AS DOUBLE) AS nij FROM sv GROUP BY scope, id, label),
+nij AS (SELECT scope, id, label, count(*) AS nij FROM sv GROUP BY scope, id, label),
 subj AS (SELECT scope, id, sum(nij * nij) AS s2, sum(nij) AS n FROM nij GROUP BY scope, id),
-ps AS (SELECT scope, avg(CASE WHEN n > 1 THEN (s2 - n) / (n * (n - 1e0)) END) AS p_bar,
-              count(*) AS n_subjects, max(n) AS n_raters, sum(n) AS n_total
+ps AS (SELECT scope, count(*) AS n_subjects, min(n) AS n_min, max(n) AS n_raters,
+              CAST(sum(s2) - sum(n) AS DOUBLE) / CAST(sum(n * (n - 1)) AS DOUBLE) AS p_exact,
+              avg(CASE WHEN n > 1 THEN (CAST(s2 AS DOUBLE) - CAST(n AS DOUBLE))
+                                       / (CAST(n AS DOUBLE) * (CAST(n AS DOUBLE) - 1e0)) END) AS p_avg
        FROM subj GROUP BY scope),
-pe AS (SELECT c.scope, sum((c.nj / ps.n_total) * (c.nj / ps.n_total)) AS p_e
-       FROM (SELECT scope, label, sum(nij) AS nj FROM nij GROUP BY scope, label) c JOIN ps USING (scope)
-       GROUP BY c.scope)
+pe AS (SELECT scope, CAST(sum(nj * nj) AS DOUBLE) / (CAST(sum(nj) AS DOUBLE) * CAST(sum(nj) AS DOUBLE)) AS p_e
+       FROM (SELECT scope, label, sum(nij) AS nj FROM nij GROUP BY scope, label) GROUP BY scope),
+k AS (SELECT scope, n_subjects, n_raters, CASE WHEN n_min = n_raters THEN p_exact ELSE p_avg END AS p_bar, p_e
+      FROM ps JOIN pe USING (scope))
 SELECT scope, CAST(n_subjects AS BIGINT) AS n_subjects, CAST(n_raters AS BIGINT) AS n_raters,
        CASE WHEN n_raters >= 3 AND p_e <> 1 THEN (p_bar - p_e) / (1e0 - p_e) END AS kappa
-FROM ps JOIN pe USING (scope)
+FROM k
 """)
 def fleiss_kappa(spark, sf_dir):
     v = _tv(spark, sf_dir)
