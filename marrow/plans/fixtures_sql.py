@@ -26,11 +26,15 @@ LABELLED = """ldocs AS (
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
 
 VOTES = LABELLED + """,
-ann AS (SELECT * FROM (VALUES ('deepseek', 1), ('mistral', 2), ('qwen', 3)) t(annotator, rnk)),
+va AS (
+  SELECT ld.id, ld.doc_id, ld.toxic,
+         unnest([{'annotator': 'deepseek', 'rnk': 1}, {'annotator': 'mistral', 'rnk': 2},
+                 {'annotator': 'qwen', 'rnk': 3}]) AS a
+  FROM ldocs ld),
 vh AS (
-  SELECT ld.id, ld.doc_id, ld.toxic, a.annotator, a.rnk,
-         ascii(substr(md5(CAST(ld.doc_id AS VARCHAR) || '|' || a.annotator), 1, 1)) AS h
-  FROM ldocs ld, ann a),
+  SELECT id, doc_id, toxic, a.annotator AS annotator, a.rnk AS rnk,
+         ascii(substr(md5(CAST(doc_id AS VARCHAR) || '|' || a.annotator), 1, 1)) AS h
+  FROM va),
 votes AS (
   SELECT id, doc_id, 'toxicity' AS task, annotator, CAST(rnk AS INTEGER) AS rnk,
          CASE WHEN (CASE WHEN h % 5 = 0 THEN 1 - toxic ELSE toxic END) = 1 THEN 'TOXIC' ELSE 'NON-TOXIC' END AS label,

@@ -25,7 +25,8 @@ unk AS (SELECT idx FROM vocab WHERE word = '<unk>'),
 toks AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word,
                 unnest(generate_series(1, len(string_split(text, ' ')))) AS p
          FROM cd WHERE split = 'test'),
-enc AS (SELECT t.doc_id, list(coalesce(v.idx, (SELECT idx FROM unk)) ORDER BY t.p) AS ids
+enc AS (SELECT t.doc_id, list(coalesce(v.idx, (SELECT idx FROM unk)) ORDER BY t.p) AS ids,
+               count(*) FILTER (WHERE v.idx IS NULL) AS n_unk
         FROM toks t LEFT JOIN (SELECT * FROM vocab WHERE word <> '<unk>') v ON t.word = v.word
         GROUP BY t.doc_id)"""
 
@@ -55,10 +56,9 @@ def build_vocab(spark, sf_dir):
 
 @register("encode_tokens", operators=("J5",), sql=f"""
 WITH {ENCODED_SQL}
-SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens,
-       CAST(len(list_filter(ids, lambda x: x = u.idx)) AS BIGINT) AS n_unk,
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, CAST(n_unk AS BIGINT) AS n_unk,
        array_to_string(ids, ',') AS input_ids
-FROM enc, unk u
+FROM enc
 """)
 def encode_tokens(spark, sf_dir):
     vocab = _vocab(spark, sf_dir)

@@ -50,12 +50,12 @@ def binary_metrics(spark, sf_dir):
 
 @register("macro_metrics", operators=("G19",), sql=f"""
 WITH {LOGITS},
-cls AS (SELECT label AS c FROM pr UNION SELECT prediction FROM pr),
-pc AS (SELECT c,
-         count(*) FILTER (WHERE pr.label = c AND pr.prediction = c) AS tp,
-         count(*) FILTER (WHERE pr.label <> c AND pr.prediction = c) AS fp,
-         count(*) FILTER (WHERE pr.label = c AND pr.prediction <> c) AS fn
-       FROM cls, pr GROUP BY c),
+pc AS (SELECT c, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (
+         SELECT label AS c, count(*) FILTER (WHERE label = prediction) AS tp, 0 AS fp,
+                count(*) FILTER (WHERE label <> prediction) AS fn FROM pr GROUP BY label
+         UNION ALL
+         SELECT prediction, 0, count(*) FILTER (WHERE label <> prediction), 0 FROM pr GROUP BY prediction)
+       GROUP BY c),
 m AS (SELECT c, tp, fp, fn,
         CASE WHEN tp + fp = 0 THEN 0e0 ELSE tp / CAST(tp + fp AS DOUBLE) END AS p,
         CASE WHEN tp + fn = 0 THEN 0e0 ELSE tp / CAST(tp + fn AS DOUBLE) END AS r,

@@ -8,6 +8,7 @@ checked on row counts only.
 from __future__ import annotations
 
 import os
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -57,7 +58,8 @@ def stream_resume_clean(spark, sf_dir):
 # --- hooks --------------------------------------------------------------------
 def _kw_annotator(words, flaky=False):
     def fn(text):
-        if flaky and "q" in text[:40]:
+        # a flaky service: fails on about one text in five (checksum of the whole text)
+        if flaky and zlib.crc32(text.encode("utf-8")) % 5 == 0:
             raise TimeoutError("annotation service timed out")
         hit = any(w in text.lower() for w in words)
         return {"label": "TOXIC" if hit else "NON-TOXIC", "reason": f"keywords {words}"}

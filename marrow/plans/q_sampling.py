@@ -19,8 +19,7 @@ def stratified_sample(spark, sf_dir):
 
 
 @register("repeated_samples", operators=("O3",), sql="""
-WITH r AS (SELECT CAST(s.k AS BIGINT) AS sample_no, d.doc_id, d.source
-           FROM documents d, range(1, 4) s(k))
+WITH r AS (SELECT CAST(unnest(range(1, 4)) AS BIGINT) AS sample_no, doc_id, source FROM documents)
 SELECT sample_no, doc_id, source FROM r
 QUALIFY row_number() OVER (PARTITION BY sample_no, source
                            ORDER BY md5(CAST(sample_no AS VARCHAR) || '|' || CAST(doc_id AS VARCHAR)), doc_id) <= 5
