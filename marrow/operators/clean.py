@@ -141,8 +141,9 @@ def rank_table(df: DataFrame, category: str | None, pos: str, rank_col: str = "r
     before = Window.partitionBy(cat).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stats.select(cat, "_pid", "_first",
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    n_categories = ranged.select(cat).distinct().count() if category else 1
-    if n + n_categories <= OFFSET_BROADCAST_ROWS:
+    # One offset row per (category, partition) pair: count exactly that (on the
+    # narrow checkpoint) before deciding to broadcast it.
+    if not category or stats.count() <= OFFSET_BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     rank = (F.col("_before") + F.col("_mid") - F.col("_first")).cast("long")
     out = ranged.join(offsets, [cat, "_pid"]).select(cat, pos, rank.alias(rank_col))

@@ -30,11 +30,21 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 
 def dedup_stream(spark: SparkSession, source_dir: str, schema: str, out_dir: str, ckpt: str,
-                 text: str = "text") -> None:
-    """Run the dedup stream over every file not yet processed, then stop."""
+                 text: str = "text", event_time: str | None = None,
+                 watermark: str = "1 day") -> None:
+    """Run the dedup stream over every file not yet processed, then stop.
+
+    Without ``event_time`` the seen-set is unbounded (one hash per distinct
+    text).  With an event-time column, duplicates are only removed within the
+    watermark delay (``dropDuplicatesWithinWatermark``) and state is evicted.
+    """
     src = spark.readStream.schema(schema).parquet(source_dir)
     hashed = src.withColumn("text_sha", F.sha2(F.col(text), 256))
-    q = (hashed.dropDuplicates(["text_sha"]).select("text_sha")
+    if event_time:
+        deduped = hashed.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["text_sha"])
+    else:
+        deduped = hashed.dropDuplicates(["text_sha"])
+    q = (deduped.select("text_sha")
                .writeStream.format("parquet").option("path", out_dir)
                .option("checkpointLocation", ckpt).outputMode("append")
                .trigger(availableNow=True).start())

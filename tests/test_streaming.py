@@ -33,3 +33,14 @@ def test_dedup_and_clean_resume(spark):
     import pytest
     with pytest.raises(RuntimeError):
         ingest.fail_on_errors(err.withColumn("lane", F.lit("error")))
+
+
+def test_dedup_within_watermark(spark):
+    schema = "doc_id BIGINT, text STRING, ts TIMESTAMP"
+    base = ingest.scratch(spark, "test-wm")
+    src = os.path.join(base, "in")
+    spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", None)], "doc_id BIGINT, text STRING, ts STRING") \
+        .select("doc_id", "text", F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("ts")).write.parquet(src)
+    ingest.dedup_stream(spark, src, schema, os.path.join(base, "out"), os.path.join(base, "ck"),
+                        event_time="ts", watermark="1 hour")
+    assert spark.read.parquet(os.path.join(base, "out")).count() == 2
