@@ -129,7 +129,7 @@ def normalise_posts(posts: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Reply trees as JSON (S8): Python UDTF, one tree per row.
 # ---------------------------------------------------------------------------
-@udtf(returnType="seq: bigint, depth: bigint, author: string, body: string, score: bigint")
+@udtf(returnType="seq: bigint, depth: bigint, author: string, body: string, score: bigint", useArrow=True)
 class FlattenReplies:
     """Pre-order rows of every ``kind == 't1'`` item; ``replies`` may be '' or an object."""
 
@@ -191,35 +191,36 @@ def chain_to_tree_json(turns: DataFrame, tree: str, pos: str, author: str, body:
 # Reply forests as edge tables: level-by-level joins (no recursion limit).
 # ---------------------------------------------------------------------------
 def tree_paths(edges: DataFrame, tree: str, node: str, parent: str, pos: str,
-               max_depth: int = 100_000, checkpoint_every: int = 8) -> DataFrame:
+               max_depth: int = 100_000) -> DataFrame:
     """Depth, root path and pre-order sequence of every node of a forest.
 
     ``edges`` has one row per node; roots have a null parent.  Each level is
-    one join of the frontier with the edges; lineage is cut with a reliable
-    checkpoint every few levels.  The pre-order number is the rank of the
+    one join of the edges with the previous frontier, and every frontier is
+    written once as a reliable checkpoint: lineage never grows with depth,
+    a lost executor recomputes one level at most, and the result is a flat
+    union of materialized levels.  The pre-order number is the rank of the
     position path within its tree (range-partitioned, no single-task sort).
     """
     checkpoint_dir(edges.sparkSession)
     e = edges.select(F.col(tree).alias("_t"), F.col(node).alias("_n"), F.col(parent).alias("_par"),
                      F.col(pos).alias("_pos"))
     level = e.where(F.col("_par").isNull()).select(
-        "_t", "_n", F.lit(0).cast("long").alias("depth"), F.array(F.col("_pos")).alias("path"))
-    out = level
+        "_t", "_n", F.lit(0).cast("long").alias("depth"), F.array(F.col("_pos")).alias("path")
+    ).checkpoint(eager=True)
+    levels = [level]
     children = e.where(F.col("_par").isNotNull())
-    d = 0
-    while d < max_depth:
-        d += 1
+    for d in range(1, max_depth + 1):
         nxt = (children.join(level.select(F.col("_t"), F.col("_n").alias("_par"), F.col("path").alias("_pp")),
                              ["_t", "_par"])
                        .select("_t", "_n", F.lit(d).cast("long").alias("depth"),
-                               F.concat(F.col("_pp"), F.array(F.col("_pos"))).alias("path")))
-        if d % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
+                               F.concat(F.col("_pp"), F.array(F.col("_pos"))).alias("path"))
+                       .checkpoint(eager=True))
         if nxt.isEmpty():
             break
-        out = out.unionByName(nxt)
+        levels.append(nxt)
         level = nxt
-        if d % checkpoint_every == 0:
-            out = out.checkpoint(eager=True)
+    out = levels[0]
+    for lv in levels[1:]:
+        out = out.unionByName(lv)
     ranked = positional_rank(out, "_t", "path", "seq")
     return ranked.select(F.col("_t").alias(tree), F.col("_n").alias(node), "depth", "path", "seq")
