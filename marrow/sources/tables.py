@@ -87,7 +87,7 @@ def fold_mentions(df: DataFrame) -> DataFrame:
     """TikTok: fold every ``mentions*`` column into ``mentions ARRAY<STRING>``."""
     cols = [c for c in df.columns if c.startswith("mentions")]
     arr = F.array(*[F.col(c).cast("string") for c in cols]) if cols else F.array().cast("array<string>")
-    return df.drop(*cols).withColumn("mentions", F.filter(arr, lambda m: m.isNotNull()))
+    return df.withColumn("mentions", F.filter(arr, lambda m: m.isNotNull())).drop(*cols)
 
 
 def read_json_rows(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

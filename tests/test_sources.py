@@ -114,3 +114,12 @@ def test_raw_compare_and_subword_hook(spark):
     df = spark.createDataFrame([("ab c",), ("a b c d e",)], "text STRING")
     out = [r.encoding.input_ids for r in hooks.encode_with(df, tok, 3).collect()]
     assert sorted(out) == [[1, 1, 1], [2, 1, 0]]
+
+
+def test_tiktok_csv_mentions_folded(spark):
+    root = scratch(spark, "tt")
+    _write(f"{root}/sexism/tiktok/t.csv",
+           "text,mentions1,mentions2\n@ab @cd,@ab,@cd\n@ab hello there,@ab,\nplain,,\n")
+    df = tables.fold_mentions(tables.read_platform_csv(spark, root, "tiktok"))
+    out = rows(clean.repair_tiktok(df), "text")
+    assert out == [("ab hello there",), ("plain",)]
