@@ -15,41 +15,63 @@ from marrow.functions import text as tx
 SPLITS = ("train", "dev", "test")
 
 
-def _vocab_size(df: DataFrame, split: str, text: str, letters_only: bool) -> DataFrame:
-    toks = df.select(split, F.explode(tx.ws_tokens(text)).alias("_tok"))
-    if letters_only:
-        toks = toks.where(tx.has_letter("_tok"))
-    # distinct() collapses repeats map-side before the shuffle by (split, token).
-    return toks.distinct().groupBy(split).agg(F.count(F.lit(1)).cast("long").alias("vocab_size"))
+def _token_profile(df: DataFrame, split: str, text: str, letters_only: bool) -> DataFrame:
+    """One scan, one explode: per split, rows, summed lengths and distinct tokens.
+
+    Each row explodes into its tokens plus one marker element (a null token)
+    that carries the row's character length and token count.  The first
+    aggregate (by split, token) removes repeated tokens map-side; the second
+    (by split) counts distinct tokens and sums the markers.  No second pass
+    over the text and no join.
+    """
+    toks = tx.ws_tokens(text)
+    marker = F.struct(F.lit(None).cast("string").alias("tok"),
+                      F.length(text).cast("long").alias("chars"), F.size(toks).cast("long").alias("ntok"))
+    items = F.concat(F.array(marker),
+                     F.transform(toks, lambda t: F.struct(t.alias("tok"), F.lit(None).cast("long").alias("chars"),
+                                                          F.lit(None).cast("long").alias("ntok"))))
+    e = df.select(split, F.explode(items).alias("_e")).select(split, "_e.*")
+    per_tok = e.groupBy(split, "tok").agg(F.count_if(F.col("tok").isNull()).alias("_rows"),
+                                          F.sum("chars").alias("_chars"), F.sum("ntok").alias("_ntok"))
+    counted = (F.col("tok").isNotNull() & tx.has_letter("tok")) if letters_only else F.col("tok").isNotNull()
+    return per_tok.groupBy(split).agg(
+        F.sum("_rows").cast("long").alias("n_comments"),
+        F.count_if(counted).cast("long").alias("vocab_size"),
+        F.sum("_chars").alias("_chars"), F.sum("_ntok").alias("_ntok"))
 
 
 def corpus_stats_chars(df: DataFrame, split: str = "split", text: str = "text") -> DataFrame:
-    """Rows, distinct letter-bearing tokens, mean character length per split."""
-    base = df.groupBy(split).agg(F.count(F.lit(1)).cast("long").alias("n_comments"),
-                                 F.avg(F.length(text).cast("double")).alias("avg_length"))
-    return base.join(_vocab_size(df, split, text, True), split, "left") \
-               .select(split, "n_comments", F.coalesce("vocab_size", F.lit(0)).cast("long").alias("vocab_size"),
-                       "avg_length")
+    """Rows, distinct tokens having a letter, mean character length per split."""
+    p = _token_profile(df, split, text, True)
+    return p.select(split, "n_comments", "vocab_size",
+                    (F.col("_chars").cast("double") / F.col("n_comments").cast("double")).alias("avg_length"))
 
 
 def corpus_stats_tokens(df: DataFrame, split: str = "split", text: str = "text") -> DataFrame:
     """Rows, distinct tokens, mean token count per split."""
-    base = df.groupBy(split).agg(F.count(F.lit(1)).cast("long").alias("n_comments"),
-                                 F.avg(F.size(tx.ws_tokens(text)).cast("double")).alias("avg_tokens"))
-    return base.join(_vocab_size(df, split, text, False), split, "left") \
-               .select(split, "n_comments", F.coalesce("vocab_size", F.lit(0)).cast("long").alias("vocab_size"),
-                       "avg_tokens")
+    p = _token_profile(df, split, text, False)
+    return p.select(split, "n_comments", "vocab_size",
+                    (F.col("_ntok").cast("double") / F.col("n_comments").cast("double")).alias("avg_tokens"))
 
 
 def token_lengths(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("n_tokens", F.size(tx.ws_tokens(text)).cast("long"))
 
 
+def length_histogram(df: DataFrame, split: str = "split", text: str = "text") -> DataFrame:
+    """(split, n_tokens, freq): one scan; its size is bounded by the distinct lengths."""
+    return token_lengths(df, text).groupBy(split, "n_tokens").agg(F.count(F.lit(1)).alias("freq"))
+
+
 def length_distribution(df: DataFrame, split: str = "split", text: str = "text") -> DataFrame:
-    """Min, quartiles (linear interpolation) and max of token counts, truncated to int."""
+    """Min, quartiles (linear interpolation) and max of token counts, truncated to int.
+
+    Exact percentiles are taken over the length histogram with frequencies.
+    """
+    h = length_histogram(df, split, text)
     n = F.col("n_tokens")
-    q = F.percentile(n, [0.25, 0.5, 0.75])
-    agg = token_lengths(df, text).groupBy(split).agg(F.min(n).alias("mn"), q.alias("q"), F.max(n).alias("mx"))
+    q = F.percentile(n, [0.25, 0.5, 0.75], F.col("freq"))
+    agg = h.groupBy(split).agg(F.min(n).alias("mn"), q.alias("q"), F.max(n).alias("mx"))
     return agg.select(split, F.col("mn").cast("long").alias("min_len"),
                       F.get("q", 0).cast("long").alias("p25_len"),
                       F.get("q", 1).cast("long").alias("median_len"),
@@ -58,20 +80,23 @@ def length_distribution(df: DataFrame, split: str = "split", text: str = "text")
 
 
 def length_whiskers(df: DataFrame, split: str = "split", text: str = "text", k: float = 1.5) -> DataFrame:
-    """Boxplot numbers: quartiles, whiskers at k*IQR (most extreme data inside), outliers."""
-    lens = token_lengths(df, text).select(split, "n_tokens")
-    quart = lens.groupBy(split).agg(F.percentile("n_tokens", [0.25, 0.5, 0.75]).alias("q"))
+    """Boxplot numbers: quartiles, whiskers at k*IQR (most extreme data inside), outliers.
+
+    Everything after the single scan runs on the length histogram.
+    """
+    h = length_histogram(df, split, text)
+    quart = h.groupBy(split).agg(F.percentile("n_tokens", [0.25, 0.5, 0.75], F.col("freq")).alias("q"))
     quart = quart.select(split, F.get("q", 0).alias("q1"), F.get("q", 1).alias("median"),
                          F.get("q", 2).alias("q3"))
     lo = F.col("q1") - F.lit(k) * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1"))
     # One row per split: broadcast is bounded by the number of splits.
-    j = lens.join(F.broadcast(quart), split)
+    j = h.join(F.broadcast(quart), split)
     inside = (F.col("n_tokens") >= lo) & (F.col("n_tokens") <= hi)
     return j.groupBy(split, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("n_tokens"))).cast("long").alias("lo_whisker"),
         F.max(F.when(inside, F.col("n_tokens"))).cast("long").alias("hi_whisker"),
-        F.count_if(~inside).cast("long").alias("n_outliers"))
+        F.coalesce(F.sum(F.when(~inside, F.col("freq"))), F.lit(0)).cast("long").alias("n_outliers"))
 
 
 def longest_comment(df: DataFrame, split: str = "split", text: str = "text",
