@@ -18,26 +18,28 @@ SPLITS = ("train", "dev", "test")
 def _token_profile(df: DataFrame, split: str, text: str, letters_only: bool) -> DataFrame:
     """One scan, one explode: per split, rows, summed lengths and distinct tokens.
 
-    Each row explodes into its tokens plus one marker element (a null token)
-    that carries the row's character length and token count.  The first
-    aggregate (by split, token) removes repeated tokens map-side; the second
-    (by split) counts distinct tokens and sums the markers.  No second pass
-    over the text and no join.
+    Rows are exploded into (position, token) with ``posexplode_outer`` (a row
+    without tokens yields one null token); the row's character length and
+    token count ride on its first element only (the token count is the sum of
+    token occurrences).  The first aggregate (by
+    split, token) removes repeated tokens map-side; the second (by split)
+    counts distinct tokens and sums the row values.  No second pass over the
+    text and no join.
     """
-    toks = tx.ws_tokens(text)
-    marker = F.struct(F.lit(None).cast("string").alias("tok"),
-                      F.length(text).cast("long").alias("chars"), F.size(toks).cast("long").alias("ntok"))
-    items = F.concat(F.array(marker),
-                     F.transform(toks, lambda t: F.struct(t.alias("tok"), F.lit(None).cast("long").alias("chars"),
-                                                          F.lit(None).cast("long").alias("ntok"))))
-    e = df.select(split, F.explode(items).alias("_e")).select(split, "_e.*")
-    per_tok = e.groupBy(split, "tok").agg(F.count_if(F.col("tok").isNull()).alias("_rows"),
-                                          F.sum("chars").alias("_chars"), F.sum("ntok").alias("_ntok"))
+    # The length is projected before the explode, so the generator does not have
+    # to carry the text along with every token row.
+    rows = df.select(split, F.length(text).cast("long").alias("_len"), tx.ws_tokens(text).alias("_toks"))
+    e = (rows.select(split, "_len", F.posexplode_outer("_toks").alias("_p", "tok"))
+             .withColumn("_first", F.coalesce(F.col("_p"), F.lit(0)) == 0))
+    per_tok = e.groupBy(split, "tok").agg(
+        F.count_if("_first").alias("_rows"),
+        F.sum(F.when(F.col("_first"), F.col("_len"))).alias("_chars"),
+        F.count("tok").alias("_occ"))
     counted = (F.col("tok").isNotNull() & tx.has_letter("tok")) if letters_only else F.col("tok").isNotNull()
     return per_tok.groupBy(split).agg(
         F.sum("_rows").cast("long").alias("n_comments"),
         F.count_if(counted).cast("long").alias("vocab_size"),
-        F.sum("_chars").alias("_chars"), F.sum("_ntok").alias("_ntok"))
+        F.sum("_chars").alias("_chars"), F.sum("_occ").alias("_ntok"))
 
 
 def corpus_stats_chars(df: DataFrame, split: str = "split", text: str = "text") -> DataFrame:
