@@ -60,3 +60,11 @@ def test_fixed_size_sample_is_top_k(spark):
 def test_votes_reports_group_by_id_without_window(spark):
     for name in ("unanimous_votes", "disputed_votes", "majority_vote", "fleiss_kappa"):
         assert "Window" not in plan(spark, name)
+
+
+def test_explodes_never_carry_text(spark):
+    for name in ("corpus_stats_chars", "corpus_stats_tokens", "encode_tokens", "oov_rate",
+                 "build_vocab", "pad_and_mask", "language_profile_score"):
+        text = Q[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        for m in re.finditer(r"Generate \w+\(.*?\), \[([^\]]*)\]", text):
+            assert not re.search(r"\b(text|html)#", m.group(1)), (name, m.group(1))
