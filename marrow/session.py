@@ -21,6 +21,8 @@ _LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.locality.wait": "0s",
+    # checkpoint files of DataFrames that went out of scope are removed by Spark
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
