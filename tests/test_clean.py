@@ -87,3 +87,16 @@ def test_clean_chain_order(spark):
     # raw dedup drops pos 2 only; pos 1 equals pos 0 only after cleaning, so it survives
     assert out == [("c_0", "hello world"), ("c_1", "hello world")]
     assert rows(clean.clean_chain(df, dedup_on_clean=True), "id") == [("c_0",)]
+
+
+def test_rank_table_matches_window_beyond_sampling(spark):
+    # enough rows that range partitioning sees only a sample of them
+    from pyspark.sql import Window
+    n = 200_000
+    df = spark.range(n).select((F.col("id") * 7919 % 1_000_003).alias("pos"),
+                               F.when(F.col("id") % 3 == 0, "hot")
+                                .otherwise(F.concat(F.lit("c"), (F.col("id") % 11).cast("string"))).alias("category"))
+    r = clean.rank_table(df, "category", "pos", "rank", num_partitions=24)
+    w = df.withColumn("want", F.row_number().over(Window.partitionBy("category").orderBy("pos")) - 1)
+    j = r.join(w, ["category", "pos"])
+    assert j.count() == n and j.where(F.col("rank") != F.col("want")).count() == 0
