@@ -9,6 +9,8 @@ vocabularies use a shuffle join (AQE splits skewed hot words).
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ LABEL_MAPS = {
     "expression_type": {"IMPLICIT": 0, "EXPLICIT": 1, "REPORT": 2},
 }
 VOCAB_BROADCAST_ROWS = 2_000_000
+# Row counts already known for vocabularies built here (no second counting job).
+_KNOWN_ROWS: "weakref.WeakKeyDictionary[DataFrame, int]" = weakref.WeakKeyDictionary()
+# Vocabularies built by build_vocab (their <unk> id is their row count - 1).
+_BUILT: "weakref.WeakSet[DataFrame]" = weakref.WeakSet()
 
 
 def build_vocab(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -37,7 +43,10 @@ def build_vocab(texts: DataFrame, text: str = "text") -> DataFrame:
     n = body.count()
     spark = texts.sparkSession
     ends = spark.createDataFrame([(PAD, 0), (UNK, n + 1)], "word STRING, idx BIGINT")
-    return ends.unionByName(body)
+    vocab = ends.unionByName(body)
+    _KNOWN_ROWS[vocab] = n + 2
+    _BUILT.add(vocab)
+    return vocab
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -60,9 +69,17 @@ def materialize_vocab(vocab: DataFrame) -> DataFrame:
     return _checkpoint(vocab)
 
 
-def _lookup_side(vocab: DataFrame) -> DataFrame:
+def vocab_rows(vocab: DataFrame) -> int:
+    """Rows of a vocabulary: known from :func:`build_vocab`, else counted once."""
+    n = _KNOWN_ROWS.get(vocab)
+    if n is None:
+        n = _KNOWN_ROWS[vocab] = vocab.count()
+    return n
+
+
+def _lookup_side(vocab: DataFrame, rows: int) -> DataFrame:
     """Broadcast the (materialized) vocabulary only when its counted size is small."""
-    return F.broadcast(vocab) if vocab.count() <= VOCAB_BROADCAST_ROWS else vocab
+    return F.broadcast(vocab) if rows <= VOCAB_BROADCAST_ROWS else vocab
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, text: str = "text",
@@ -74,12 +91,16 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, text: str = "text",
     scalar subquery (evaluated once).  With a broadcast vocabulary the only
     shuffle is the rows themselves, by key.
     """
-    unk = vocab.where(F.col("word") == UNK).select(F.max("idx")).scalar()
+    n = vocab_rows(vocab)
+    if vocab in _BUILT:
+        unk = F.lit(n - 1).cast("long")  # built here: <pad>=0, words 1..n-2, <unk>=n-1
+    else:
+        unk = vocab.where(F.col("word") == UNK).select(F.max("idx")).scalar()
     # Partition the rows by key once: explode and the broadcast lookup keep that
     # partitioning, so re-collecting per row needs no shuffle of the token rows.
     toks = df.select(key, text).repartition(key).select(
         key, F.posexplode(tx.space_tokens(text)).alias("_p", "word"))
-    j = toks.join(_lookup_side(vocab.where(F.col("word") != UNK)), "word", "left")
+    j = toks.join(_lookup_side(vocab.where(F.col("word") != UNK), n), "word", "left")
     j = j.select(key, "_p", F.coalesce(F.col("idx"), unk).alias("_id"))
     packed = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "_id"))).alias("_l"))
     return packed.select(key, F.transform("_l", lambda s: s["_id"]).alias(out))
@@ -118,7 +139,7 @@ def oov_rate(df: DataFrame, vocab: DataFrame, group: str, text: str = "text") ->
     """U5 extension: tokens (and share) not in the training vocabulary, per group."""
     toks = df.select(group, F.explode(tx.space_tokens(text)).alias("word"))
     known = vocab.where(~F.col("word").isin(PAD, UNK)).select("word", F.lit(1).alias("_k"))
-    j = toks.join(_lookup_side(known), "word", "left")
+    j = toks.join(_lookup_side(known, vocab_rows(vocab)), "word", "left")
     return j.groupBy(group).agg(
         F.count(F.lit(1)).cast("long").alias("n_tokens"),
         F.count_if(F.col("_k").isNull()).cast("long").alias("n_oov")) \
