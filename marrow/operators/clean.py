@@ -31,7 +31,8 @@ def bounded_broadcast(keys: DataFrame, max_rows: int = KEY_BROADCAST_ROWS) -> Da
 
 # ---------------------------------------------------------------------------
 # Platform repairers (F1-F8).  Each keeps ``pos`` (and any extra columns) so
-# that ids and keep-first stay defined; the source returned text only.
+# that ids and keep-first stay defined; the source returned text only (F10),
+# which callers get with ``select("text")``.
 # ---------------------------------------------------------------------------
 def drop_null_text(df: DataFrame, col: str = "text") -> DataFrame:
     """rows whose text is missing (null or a CSV NA spelling) are dropped."""

@@ -3,6 +3,8 @@
 Every report is a grouped aggregate with map-side partial aggregation; the
 only global sort-free structures are exact percentiles, whose state is one
 counter per distinct length (bounded by the longest text, not by row count).
+Averages are returned unrounded (C19): Python, Spark and DuckDB round halves
+differently, so rounding belongs to presentation.
 """
 
 from __future__ import annotations

@@ -17,6 +17,9 @@ from pyspark.sql.functions import udtf
 from marrow.operators.clean import positional_rank
 from marrow.session import checkpoint_dir
 
+# Missing fields default the way the source's dict.get(key, default) did (C20):
+# ``coalesce(field, default)`` in every normaliser below.
+
 # Fixed values
 REDDIT_HOST = "https://www.reddit.com"
 DESCRIPTION_CHARS = 269
