@@ -15,6 +15,10 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
 
 # Inputs below this size are read as they are (spreading them costs more than it saves).
 SPREAD_MIN_BYTES = 4 * 1024 * 1024
+# Inputs above this size are never spread: they have enough splits, and a
+# shuffle of them would cost real time (on 1000 executors cores x split size
+# alone would allow a terabyte).
+SPREAD_MAX_BYTES = 1024 * 1024 * 1024
 
 
 def input_bytes(spark: SparkSession, path: str) -> int:
@@ -30,14 +34,14 @@ def spread_small_input(spark: SparkSession, df: DataFrame, path: str) -> DataFra
 
     A small file with one row group is read by a single task, which then
     runs all per-row text work alone.  When the whole input is smaller than
-    (cores x maxPartitionBytes), a round-robin repartition to the core count
-    costs at most that much shuffle and parallelises the text work.  Large
-    inputs already have far more splits than cores and are left untouched.
+    one split per core (and below an absolute 1 GiB), a round-robin
+    repartition to the core count costs little shuffle and parallelises the
+    text work.  Larger inputs already have enough splits and are untouched.
     """
     cores = spark.sparkContext.defaultParallelism
     max_split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
     size = input_bytes(spark, path)
-    if SPREAD_MIN_BYTES <= size < cores * max_split and cores > 1:
+    if SPREAD_MIN_BYTES <= size < min(cores * max_split, SPREAD_MAX_BYTES) and cores > 1:
         return df.repartition(cores)
     return df
 
