@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Broadcast the chosen keys only below this many rows.
-CHOSEN_BROADCAST_ROWS = 5_000_000
+CHOSEN_BROADCAST_ROWS = 2_000_000
 
 
 def sample_key(seed, key: str) -> F.Column:

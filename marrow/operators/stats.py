@@ -9,7 +9,7 @@ differently, so rounding belongs to presentation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marrow.functions import text as tx
@@ -130,8 +130,9 @@ def category_split_crosstab(df: DataFrame, category: str = "category", split: st
 def category_share(df: DataFrame, category: str = "category") -> DataFrame:
     """Each category's share of all rows, in percent (unrounded)."""
     counts = df.groupBy(category).agg(F.count(F.lit(1)).cast("long").alias("n"))
-    # The window runs over one row per category after the aggregate.
-    share = F.col("n") * F.lit(100.0) / F.sum("n").over(Window.partitionBy())
+    # The total is a scalar subquery (one value), so no task has to hold all categories.
+    total = counts.select(F.sum("n")).scalar()
+    share = F.col("n") * F.lit(100.0) / total
     return counts.select(category, "n", share.cast("double").alias("share_pct"))
 
 
