@@ -40,3 +40,54 @@ def reply_tree_paths(spark, sf_dir):
         "conv_id", "turn", F.when(F.col("turn") > F.col("_t0"), F.col("turn") - 1).alias("parent"))
     out = tree.tree_paths(edges, "conv_id", "turn", "parent", "turn")
     return out.select("conv_id", F.col("turn").cast("long").alias("turn"), "depth", "seq")
+
+
+@register("thread_page_flatten", operators=("S5",), sql="""
+WITH c AS (SELECT conv_id, turn, role, text, turn - min(turn) OVER (PARTITION BY conv_id) AS reply
+           FROM conversations)
+SELECT conv_id AS page, CAST(0 AS BIGINT) AS item, CAST(reply AS BIGINT) AS reply, role AS author, text,
+       CAST(turn AS BIGINT) AS likeCount
+FROM c
+""")
+def thread_page_flatten(spark, sf_dir):
+    # One comment-thread page per conversation: its first turn is the top-level
+    # comment and the later turns are the replies, in turn order.
+    conv = table(spark, sf_dir, "conversations")
+
+    def snippet(r):
+        return F.struct(r["role"].alias("authorDisplayName"), r["text"].alias("textDisplay"),
+                        r["turn"].alias("likeCount"), F.lit("").alias("publishedAt"))
+
+    per = conv.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    top = F.get("t", 0)
+    replies = F.transform(F.slice("t", 2, 1 << 30), lambda r: F.struct(snippet(r).alias("snippet")))
+    item = F.struct(
+        F.struct((F.size("t") - 1).cast("long").alias("totalReplyCount"),
+                 F.struct(F.lit("").alias("id"), snippet(top).alias("snippet")).alias("topLevelComment")
+                 ).alias("snippet"),
+        F.struct(replies.alias("comments")).alias("replies"))
+    pages = per.select(F.col("conv_id").alias("page"), F.array(item).alias("items"))
+    out = tree.flatten_thread_pages(pages)
+    return out.select("page", F.col("item").cast("long").alias("item"), F.col("reply").cast("long").alias("reply"),
+                      "author", "text", F.col("likeCount").cast("long").alias("likeCount"))
+
+
+@register("user_items_normalise", operators=("S9", "W5"), sql="""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rk FROM events)
+SELECT user_id, CAST(rk AS BIGINT) AS rank,
+       CASE WHEN event_type = 'view' THEN 'post' ELSE 'comment' END AS type,
+       'https://www.reddit.com/e/' || CAST(event_id AS VARCHAR) AS url
+FROM r WHERE rk <= 10 AND event_type IN ('view', 'click')
+""")
+def user_items_normalise(spark, sf_dir):
+    # Each user's activity as a listing: views are posts (t3), clicks are comments
+    # (t1), every other kind counts toward the cap and is then dropped.
+    ev = table(spark, sf_dir, "events")
+    kind = (F.when(F.col("event_type") == "view", "t3").when(F.col("event_type") == "click", "t1")
+             .otherwise(F.col("event_type")))
+    data = F.struct(F.col("props").alias("title"), F.col("user_id").cast("string").alias("subreddit"),
+                    F.concat(F.lit("/e/"), F.col("event_id").cast("string")).alias("permalink"),
+                    F.col("props").alias("body"), F.unix_timestamp("ts").cast("double").alias("created_utc"))
+    items = ev.select("user_id", "ts", "event_id", kind.alias("kind"), data.alias("data"))
+    out = tree.normalise_user_items(items, "user_id", ["ts", "event_id"], 10, key="event_id")
+    return out.select("user_id", F.col("rank").cast("long").alias("rank"), "type", "url")
