@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marrow.functions import text as tx
 from marrow.operators import tree
 from marrow.plans.registry import register
 from marrow.sources.tables import table
@@ -91,3 +92,29 @@ def user_items_normalise(spark, sf_dir):
     items = ev.select("user_id", "ts", "event_id", kind.alias("kind"), data.alias("data"))
     out = tree.normalise_user_items(items, "user_id", ["ts", "event_id"], 10, key="event_id")
     return out.select("user_id", F.col("rank").cast("long").alias("rank"), "type", "url")
+
+
+@register("post_listing_normalise", operators=("S10",), sql="""
+SELECT page_id AS score,
+       CASE WHEN url LIKE '%#%' AND url IS NOT NULL THEN url
+            WHEN url LIKE '%?%' THEN 'https://preview.example/' || CAST(page_id AS VARCHAR) || '.jpg' END AS image_url,
+       CASE WHEN url LIKE 'https%' THEN NULL ELSE 'https://thumbs.example/' || CAST(page_id AS VARCHAR) END
+         AS thumbnail_url
+FROM pages
+""")
+def post_listing_normalise(spark, sf_dir):
+    # Pages as a subreddit listing: a '#' in the link marks an image post, a '?'
+    # gives the post a preview image, and https pages carry the 'self' thumbnail.
+    p = table(spark, sf_dir, "pages")
+    pid = F.col("page_id").cast("string")
+    preview = F.when(F.col("url").contains("?"), F.struct(F.array(F.struct(F.struct(
+        F.concat(F.lit("https://preview.example/"), pid, F.lit(".jpg")).alias("url")).alias("source"))).alias("images")))
+    posts = p.select(F.col("url").alias("title"), F.lit("author").alias("author"),
+                     tx.url_path("url").alias("permalink"), F.col("page_id").alias("score"),
+                     F.length("html").cast("long").alias("num_comments"),
+                     F.col("page_id").cast("double").alias("created_utc"),
+                     F.when(F.col("url").contains("#"), F.lit("image")).alias("post_hint"), "url",
+                     F.when(F.col("url").startswith("https"), F.lit("self"))
+                      .otherwise(F.concat(F.lit("https://thumbs.example/"), pid)).alias("thumbnail"),
+                     preview.alias("preview"))
+    return tree.normalise_posts(posts).select("score", "image_url", "thumbnail_url")
