@@ -118,3 +118,29 @@ def post_listing_normalise(spark, sf_dir):
                       .otherwise(F.concat(F.lit("https://thumbs.example/"), pid)).alias("thumbnail"),
                      preview.alias("preview"))
     return tree.normalise_posts(posts).select("score", "image_url", "thumbnail_url")
+
+
+@register("post_detail_flatten", operators=("S7", "S8", "F18"), sql="""
+WITH f AS (SELECT conv_id, arg_min(text, turn) AS title, arg_min(role, turn) AS body, count(*) AS n
+           FROM conversations GROUP BY conv_id)
+SELECT conv_id, title, body, CAST(n - 1 AS BIGINT) AS n_comments FROM f WHERE n >= 2
+""")
+def post_detail_flatten(spark, sf_dir):
+    # Each conversation as a post-detail document: part 0 is the post (its first
+    # turn), part 1 the comment tree of the later turns.  A conversation with a
+    # single turn yields a one-part document, which the reader rejects.
+    conv = table(spark, sf_dir, "conversations")
+    first = conv.groupBy("conv_id").agg(
+        F.min("turn").alias("_t0"),
+        F.min_by(F.struct(F.col("text").alias("title"), F.col("role").alias("selftext")), F.col("turn")).alias("_p"))
+    later = conv.join(first.select("conv_id", "_t0"), "conv_id").where(F.col("turn") > F.col("_t0"))
+    trees = tree.chain_to_tree_json(later, "conv_id", "turn", "role", "text")
+    post = F.concat(F.lit('{"data":{"children":[{"kind":"t3","data":'), F.to_json("_p"), F.lit("}]}}"))
+    doc = F.when(F.col("tree_json").isNull(), F.concat(F.lit("["), post, F.lit("]"))).otherwise(
+        F.concat(F.lit("["), post, F.lit(',{"data":{"children":'), F.col("tree_json"), F.lit("}}]")))
+    raw = first.join(trees, "conv_id", "left").select("conv_id", doc.alias("json"))
+    detail = tree.post_detail(raw, "json")
+    comments = tree.flatten_reply_trees(detail, "comments_json", ["conv_id"])
+    counts = comments.groupBy("conv_id").agg(F.count(F.lit(1)).cast("long").alias("n_comments"))
+    return detail.select("conv_id", "title", "body").join(counts, "conv_id", "left") \
+                 .select("conv_id", "title", "body", F.coalesce("n_comments", F.lit(0)).cast("long").alias("n_comments"))
