@@ -1,7 +1,5 @@
 """User-model hooks: error lanes and retry, adjudication, scoring, segmentation, ML baseline."""
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
 
 from marrow.operators import evaluate as E
 from marrow.operators import hooks, ml

@@ -1,7 +1,6 @@
 """Small helpers: vote-column drop, undecided predicate, vocab inversion, per-file samples,
 row shuffle, second opinion lanes."""
 import pandas as pd
-from pyspark.sql import functions as F
 
 from marrow.operators import encode, language, sampling, votes as V
 from tests.conftest import rows
