@@ -74,23 +74,41 @@ def batch_assign(spark, sf_dir):
     return clean.batch_assign(d, "pos", 100).select("pos", "row", "batch")
 
 
-@register("stage_funnel", operators=("G16", "K4"), sql=f"""
+def _funnel_sql():
+    from marrow.plans.q_language import _VALUES
+    return f"""
 WITH {IDS_SQL},
 kept AS (SELECT * FROM ided QUALIFY row_number() OVER (PARTITION BY category, text ORDER BY pos) = 1),
-cleaned AS (SELECT category, {S.clean_text('text')} AS text FROM kept)
+cleaned AS (SELECT category, pos, {S.clean_text('text')} AS text FROM kept),
+ne AS (SELECT * FROM cleaned WHERE text <> ''),
+prof AS (SELECT * FROM (VALUES {_VALUES}) t(lang, word)),
+ctoks AS (SELECT pos, unnest({S.ws_tokens('lower(text)')}) AS word FROM ne),
+chits AS (SELECT pos, lang, count(*) AS s FROM ctoks JOIN prof USING (word) GROUP BY pos, lang),
+cbest AS (SELECT pos, lang AS detected FROM chits
+          QUALIFY row_number() OVER (PARTITION BY pos ORDER BY s DESC, lang) = 1),
+routed AS (SELECT ne.category, b.detected FROM ne LEFT JOIN cbest b USING (pos))
 SELECT r.category, CAST(r.n AS BIGINT) AS n_raw, CAST(k.n AS BIGINT) AS n_dedup,
-       CAST(c.n AS BIGINT) AS n_nonempty
+       CAST(c.n AS BIGINT) AS n_nonempty, CAST(l.a AS BIGINT) AS n_accepted,
+       CAST(l.u AS BIGINT) AS n_undetectable
 FROM (SELECT category, count(*) AS n FROM ided GROUP BY category) r
 JOIN (SELECT category, count(*) AS n FROM kept GROUP BY category) k USING (category)
 JOIN (SELECT category, count(*) FILTER (WHERE text <> '') AS n FROM cleaned GROUP BY category) c USING (category)
-""")
+JOIN (SELECT category, count(*) FILTER (WHERE detected = 'en') AS a,
+             count(*) FILTER (WHERE detected IS NULL) AS u FROM routed GROUP BY category) l USING (category)
+"""
+
+
+@register("stage_funnel", operators=("G16", "K4", "D23", "X1"), sql=_funnel_sql())
 def stage_funnel(spark, sf_dir):
+    from marrow.operators.language import route_by_language
     from marrow.operators.stats import stage_funnel as funnel
     raw = _comments(spark, sf_dir)
     kept = clean.dedup_keep_first(raw, within=["category"])
-    cleaned = kept.withColumn("text", clean.clean_text("text"))
-    return funnel({"raw": raw, "dedup": kept,
-                   "nonempty": cleaned.where(F.col("text") != "")}, "category")
+    nonempty = kept.withColumn("text", clean.clean_text("text")).where(F.col("text") != "")
+    routed = route_by_language(nonempty, "pos", "en")
+    return funnel({"raw": raw, "dedup": kept, "nonempty": nonempty,
+                   "accepted": routed.where(F.col("lane") == "accepted"),
+                   "undetectable": routed.where(F.col("lane") == "undetectable")}, "category")
 
 
 # --- scalar text functions ---------------------------------------------------
