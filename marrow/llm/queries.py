@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import decontaminate, pii, repetition, secrets, sharding
+from marrow.llm import decontaminate, linededup, pii, repetition, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,9 @@ def op7_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.score(_table(spark, sf_dir, "documents")).drop("repeat_spans")
+
+
+@_query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.score(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped_lines"))
