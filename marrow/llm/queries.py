@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import decontaminate, linededup, pii, repetition, secrets, sharding
+from marrow.llm import decontaminate, linededup, packing, pii, repetition, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +56,11 @@ def op8_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.score(_table(spark, sf_dir, "documents")).drop("repeat_spans")
 
 
+@_query
+def op9_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @_query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.score(_table(spark, sf_dir, "documents"))
