@@ -129,6 +129,21 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
+def rolling(hashes: np.ndarray) -> np.ndarray:
+    """Prefix sums from which the hash of any window of words follows; one longer than ``hashes``."""
+    up, _ = _powers(len(hashes) + 1)
+    return np.concatenate((np.zeros(1, U64), np.cumsum(hashes * up[: len(hashes)], dtype=U64)))
+
+
+def window_hashes(prefix: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of all windows of m words, by their first word; equal words hash alike anywhere."""
+    count = len(prefix) - m
+    if count <= 0:
+        return np.zeros(0, U64)
+    _, down = _powers(len(prefix))
+    return mix64((prefix[m:] - prefix[:-m]) * down[:count] + U64(m))
+
+
 def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values[first[d]:first[d + 1]]; empty segments give 0."""
     total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))

@@ -42,21 +42,6 @@ def _words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b" ".join(data[s - base: e - base] for s, e in zip(starts.tolist(), ends.tolist())).lower()
 
 
-def _rolling(hashes: np.ndarray) -> np.ndarray:
-    """Prefix sums from which the hash of any window follows; one longer than ``hashes``."""
-    up, _ = core._powers(len(hashes) + 1)
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)))
-
-
-def _window_hashes(prefix: np.ndarray, m: int) -> np.ndarray:
-    """Hashes of all windows of m words, by their first word."""
-    count = len(prefix) - m
-    if count <= 0:
-        return np.zeros(0, np.uint64)
-    _, down = core._powers(len(prefix))
-    return core.mix64((prefix[m:] - prefix[:-m]) * down[:count] + np.uint64(m))
-
-
 def windows(benchmark: DataFrame, n: int = 10, item: str = "item_id", text: str = "text") -> DataFrame:
     """Distinct (words, hash, size, item) windows of the benchmark's items."""
 
@@ -70,7 +55,7 @@ def windows(benchmark: DataFrame, n: int = 10, item: str = "item_id", text: str
                 if a == b:
                     continue
                 m = min(n, b - a)
-                for at, value in zip(range(a, b - m + 1), _window_hashes(_rolling(h[a:b]), m)):
+                for at, value in zip(range(a, b - m + 1), core.window_hashes(core.rolling(h[a:b]), m)):
                     texts.append(_words(buf, starts[at:at + m], ends[at:at + m]))
                     hashes.append(int(value.view(np.int64)))
                     sizes.append(m)
@@ -104,14 +89,13 @@ class WindowSet:
         out = []
         if not len(hashes):
             return out
-        prefix = _rolling(hashes)
+        prefix = core.rolling(hashes)
         stop = np.repeat(first[1:], np.diff(first))
         for m, (known, bits) in self.sizes.items():
-            h = _window_hashes(prefix, m)
+            h = core.window_hashes(prefix, m)
             at = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)])
             at = at[at + m <= stop[at]]
             place = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
-            # a window's hash counts from its own first word, so equal words hash alike anywhere
             for i in at[known[place] == h[at]].tolist():
                 if found := self.items.get(_words(buf, starts[i:i + m], ends[i:i + m])):
                     out.append((i, i + m, found))
