@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import decontaminate, linededup, ngramjoin, packing, pii, repetition, secrets, sharding
+from marrow.llm import decontaminate, linededup, ngramjoin, packing, pii, repetition, secrets, sharding, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 @_query
 def op2_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.score(_table(spark, sf_dir, "documents"), n=4, percent=85)
