@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marrow.llm import decontaminate, linededup, ngramjoin, packing, pii, repetition, secrets, sharding, tokencount, toxicity
+from marrow.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def _query(fn):
@@ -74,7 +74,8 @@ def op7_jump_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.score(_table(spark, sf_dir, "documents")).drop("repeat_spans")
+    return repetition.score(_table(spark, sf_dir, "documents")).drop(
+        "longest_repeat", "n_repeats", "repeat_spans")
 
 
 @_query
