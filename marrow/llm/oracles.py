@@ -9,7 +9,7 @@ _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 OP2 = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW}, {_WORD}) AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, hash(CASE WHEN len(w) >= 4 THEN list_slice(w, i, i + 3) ELSE w END) AS s
-      FROM d, unnest(range(1, greatest(len(w) - 2, 2))) AS t(i) WHERE len(w) > 0),
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM p JOIN n m ON m.doc_id = x JOIN n o ON o.doc_id = y WHERE 100 * c >= 85 * (m.n + o.n - c)),
@@ -23,12 +23,12 @@ OP6 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, {_ALNUM}) AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOW}, {_ALNUM}) AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, list_slice(w, i, i + least(len(w), 10) - 1) AS win
-       FROM b, unnest(range(1, greatest(len(w) - 8, 2))) AS t(i) WHERE len(w) > 0),
-dw AS (SELECT doc_id, m, i, list_slice(w, i, i + m - 1) AS win
-       FROM d, (SELECT DISTINCT m FROM bw) s, unnest(range(1, greatest(len(w) - m + 2, 1))) AS t(i)),
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, m, i, list_slice(w, i, i + m - 1) AS win FROM (
+  SELECT doc_id, w, m, unnest(range(1, greatest(len(w) - m + 2, 1))) AS i FROM d, (SELECT DISTINCT m FROM bw) s)),
 h AS (SELECT doc_id, dw.m, i, item_id FROM dw JOIN bw ON dw.m = bw.m AND dw.win = bw.win),
-c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT doc_id, m, i FROM h), unnest(range(i, i + m)) AS t(k)
-      GROUP BY doc_id),
+c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (
+        SELECT doc_id, unnest(range(i, i + m)) AS k FROM (SELECT DISTINCT doc_id, m, i FROM h)) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
@@ -65,13 +65,15 @@ OP8 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
 l AS (SELECT doc_id, line, count(*) - 1 AS more
       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, {_WORD}) GROUP BY 1, 2),
-win AS (SELECT doc_id, m, i, count(*) OVER (PARTITION BY doc_id, m, hash(list_slice(w, i, i + m - 1))) AS n
-        FROM d, (VALUES (4), (8)) s(m), unnest(range(1, greatest(len(w) - m + 2, 1))) AS t(i)),
+wh AS (SELECT doc_id, m, i, hash(list_slice(w, i, i + m - 1)) AS h FROM (
+  SELECT doc_id, w, m, unnest(range(1, greatest(len(w) - m + 2, 1))) AS i FROM d, (VALUES (4), (8)) s(m))),
+win AS (SELECT doc_id, m, i, count(*) OVER (PARTITION BY doc_id, m, h) AS n FROM wh),
 cov AS (SELECT doc_id, count(DISTINCT k) FILTER (m = 8) AS n8, count(DISTINCT k) FILTER (m = 4) AS n4
-        FROM win, unnest(range(i, i + m)) AS t(k) WHERE n > 1 GROUP BY doc_id),
+        FROM (SELECT doc_id, m, unnest(range(i, i + m)) AS k FROM win WHERE n > 1) GROUP BY doc_id),
 long AS (SELECT DISTINCT doc_id FROM (
-          SELECT doc_id FROM d JOIN cov USING (doc_id), unnest(range(1, greatest(len(w) - 199, 1))) AS t(i) WHERE n8 > 200
-          GROUP BY doc_id, hash(list_slice(w, i, i + 200)) HAVING count(*) > 1)),
+  SELECT doc_id FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 199, 1))) AS i
+                      FROM d JOIN cov USING (doc_id) WHERE n8 > 200)
+  GROUP BY doc_id, hash(list_slice(w, i, i + 200)) HAVING count(*) > 1)),
 f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
         CAST(coalesce((SELECT sum(more) FROM l WHERE l.doc_id = d.doc_id), 0) AS BIGINT) AS n_dup_lines,
@@ -90,7 +92,7 @@ WITH o AS (SELECT doc_id, line_no, regexp_extract_all({_LOWER.format("line")}, {
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
 x AS (SELECT w, len(w) AS n, min((doc_id, line_no)) AS first FROM o WHERE len(w) >= 4 GROUP BY w),
 z AS (SELECT w, first, k, hash(list_concat(list_slice(w, 1, k - 1), list_slice(w, k + 1, n))) AS v, n - 1 AS m
-      FROM x, unnest(range(1, n + 1)) AS t(k) WHERE n >= 10),
+      FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM x WHERE n >= 10)),
 whole AS (SELECT w, first, hash(w) AS v, n FROM x WHERE n >= 10),
 near AS (
   SELECT a.w FROM (SELECT w, first, min(first) OVER (PARTITION BY v, k) AS least FROM z) a WHERE a.first > a.least
