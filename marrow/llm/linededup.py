@@ -1,6 +1,6 @@
 """Line dedup with a deletion-neighbourhood join, in DataFrame functions only.
 
-A line is its lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+``.  It is dropped if an
+A line is its lower-cased words ``[^\\x20\\x09-\\x0D]+``.  It is dropped if an
 earlier line of the corpus equals it, or, from ``near_words`` words on, lies
 within one edit of it (a word inserted, deleted or replaced).  Earlier means
 the order by key, text hash and line number, nulls first.  Lines of fewer than
@@ -32,40 +32,43 @@ from pyspark.sql import functions as F
 
 from marrow.session import checkpoint_dir
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS = 4
 NEAR_WORDS = 10
 
 
-def line_words(line: Column) -> Column:
-    """The normalised words of a line."""
-    return F.regexp_extract_all(F.translate(line, UPPER, LOWER), F.lit(WORD), F.lit(0))
+def normal_line(line: Column) -> Column:
+    """A line's lower-cased words, joined by single spaces."""
+    low = F.lower(line)
+    odd = F.lit(False)
+    for sign in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains(low, F.lit(sign))
+    odd = odd | F.startswith(low, F.lit(" ")) | F.endswith(low, F.lit(" "))
+    # most lines are in this form already; the pattern is only for the others
+    return F.when(odd, F.array_join(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), " ")).otherwise(low)
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, rid, line_no, words, n, h, g): every line with its identity (h, g)."""
+    """(key, rid, line_no, line, n, h, g): every normal line with its number of words and its identity (h, g)."""
     body = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("rid"), F.split(text, "\n").alias("body"))
-    lines = body.select("key", "rid", F.posexplode("body").alias("line_no", "line"))
-    lines = lines.select("key", "rid", "line_no", line_words(F.col("line")).alias("words"))
-    lines = lines.select("*", F.size("words").alias("n"), F.array_join("words", " ").alias("joined"))
-    return lines.select("key", "rid", "line_no", "words", "n",
-                        F.xxhash64("joined").alias("h"), F.xxhash64(F.lit(1), "joined").alias("g"))
+    lines = body.select("key", "rid", F.posexplode("body").alias("line_no", "raw"))
+    lines = lines.select("key", "rid", "line_no", normal_line(F.col("raw")).alias("line"))
+    spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    return lines.select("*", F.when(F.col("line") == "", 0).otherwise(spaces + 1).alias("n"),
+                        F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
-def _half_keys(near_words: int) -> Column:
+def _half_keys(near_words: int) -> list[Column]:
     """Hashes of a line's halves, for its own length and for one word less; lines within one
     edit share one of them."""
-    n, words = F.col("n"), F.col("words")
-
-    def halves(v: Column) -> list[Column]:
+    n = F.col("n")
+    out = []
+    for v, least in ((n, near_words), (n - 1, near_words + 1)):
         h = F.floor(v / 2).cast("int")
-        return [F.xxhash64(F.lit(0), v, F.array_join(F.slice(words, F.lit(1), h), " ")),
-                F.xxhash64(F.lit(1), v, F.array_join(F.slice(words, n - (v - h) + 1, v - h), " "))]
-
-    return (F.when(n > near_words, F.array(*halves(n), *halves(n - 1)))
-            .when(n == near_words, F.array(*halves(n)))
-            .otherwise(F.array().cast("array<bigint>")))
+        for side, words in ((0, h), (1, h - v)):
+            part = F.call_function("substring_index", F.col("line"), F.lit(" "), words)
+            out.append(F.when(n >= least, F.xxhash64(F.lit(side), v, part)))
+    return out
 
 
 def _within_one_edit(a: Column, b: Column) -> Column:
@@ -85,43 +88,47 @@ def _within_one_edit(a: Column, b: Column) -> Column:
 
 def _near_drops(docs: DataFrame, distinct: DataFrame, key: str, text: str, near_words: int) -> DataFrame:
     """(h, g): distinct lines that have an earlier line within one edit."""
-    halves = distinct.filter(F.col("n") >= near_words).select("h", "g", F.explode("halves").alias("half"))
+    halves = distinct.filter(F.col("n") >= near_words).select(
+        "h", "g", F.explode(F.array(*(f"half{k}" for k in range(4)))).alias("half")).filter("half is not null")
     shared = halves.groupBy("half").agg(F.count("*").alias("lines")).filter("lines > 1").select("half")
     candidates = halves.join(shared, "half").select("h", "g").distinct()
     firsts = distinct.select("h", "g", F.col("first").alias("place")).join(candidates, ["h", "g"])
-    # the words of the candidates, once each: from the line's first place
-    words = _lines(docs, key, text).filter(F.col("n") >= near_words).select(
-        "h", "g", "n", "words", F.struct("key", "rid", "line_no").alias("at"))
-    words = words.join(firsts, ["h", "g"]).filter(F.col("at").eqNullSafe(F.col("place"))).drop("at")
-    words = words.dropDuplicates(["h", "g"]).checkpoint()
-
-    each = words.select("h", "g", "n", "place", F.posexplode("words").alias("k", "word"))
-    each = each.select(
-        "h", "g", "n", "place", "k",
-        *(F.xxhash64(F.lit(seed), "word", F.col("k") - back).alias(f"x{seed}{back}") for seed in (2, 3) for back in (0, 1)))
-    line = Window.partitionBy("h", "g")
-    upto = line.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    # without place k: words before it where they are, words after it one place earlier
-    each = each.select("h", "g", "n", "place", "k", *(
+    # the text of the candidates, once each: from the line's first place
+    found = _lines(docs, key, text).filter(F.col("n") >= near_words).select(
+        "h", "g", "line", F.struct("key", "rid", "line_no").alias("at"))
+    found = found.join(firsts, ["h", "g"]).filter(F.col("at").eqNullSafe(F.col("place"))).dropDuplicates(["h", "g"])
+    # sorted by place, so that smaller ids stand for earlier lines
+    found = found.select("h", "g", "line", "place").orderBy("place").select(
+        F.monotonically_increasing_id().alias("id"), "h", "g", "line").checkpoint()
+
+    each = found.repartition("id").select("id", F.posexplode(F.split("line", " ")).alias("k", "word"))
+    each = each.select("id", "k", *(F.xxhash64(F.lit(seed), "word", F.col("k") - back).alias(f"x{seed}{back}")
+                                    for seed in (2, 3) for back in (0, 1)))
+    whole_line = Window.partitionBy("id")
+    upto = whole_line.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.count("*").over(whole_line)
+    # without place k: words before it where they are, words after it one place earlier; and the length
+    each = each.select("id", "k", *(
         F.bit_xor(f"x{s}0").over(upto).bitwiseXOR(F.col(f"x{s}0")).bitwiseXOR(F.bit_xor(f"x{s}1").over(upto))
-        .bitwiseXOR(F.bit_xor(f"x{s}1").over(line)).alias(f"v{s}") for s in (2, 3)),
-        *(F.bit_xor(f"x{s}0").over(line).alias(f"full{s}") for s in (2, 3)))
-    me = F.struct("place", "h", "g").alias("me")
-    variants = each.select("v2", "v3", "k", (F.col("n") - 1).alias("len"), me).checkpoint()
-    whole = each.filter("k = 0").select(F.col("full2").alias("v2"), F.col("full3").alias("v3"), F.col("n").alias("len"), me)
-
-    groups = variants.groupBy("v2", "v3", "k", "len").agg(F.min("me").alias("leader"), F.count("*").alias("lines"))
-    replaced = variants.join(groups.filter("lines > 1").drop("lines"), ["v2", "v3", "k", "len"]).filter(
-        "me.h != leader.h or me.g != leader.g").select(F.col("me").alias("later"), F.col("leader").alias("earlier"))
-    inserted = variants.withColumnRenamed("me", "long").join(
-        whole.withColumnRenamed("me", "short"), ["v2", "v3", "len"]).select(
-        F.greatest("long", "short").alias("later"), F.least("long", "short").alias("earlier"))
-    pairs = replaced.union(inserted).select(
-        F.col("later.h").alias("h"), F.col("later.g").alias("g"),
-        F.col("earlier.h").alias("eh"), F.col("earlier.g").alias("eg")).distinct()
-    mine = words.select("h", "g", F.col("words").alias("mine"))
-    theirs = words.select(F.col("h").alias("eh"), F.col("g").alias("eg"), F.col("words").alias("theirs"))
-    return (pairs.join(mine, ["h", "g"]).join(theirs, ["eh", "eg"])
+        .bitwiseXOR(F.bit_xor(f"x{s}1").over(whole_line)).bitwiseXOR(F.xxhash64(n - 1)).alias(f"v{s}") for s in (2, 3)),
+        *(F.bit_xor(f"x{s}0").over(whole_line).bitwiseXOR(F.xxhash64(n)).alias(f"full{s}") for s in (2, 3)))
+    each = each.select("id", "k", "v2", "v3", F.when(F.col("k") == 0, F.struct("full2", "full3")).alias("full"))
+    each = each.checkpoint()
+    whole = each.filter("full is not null").select(
+        F.col("full.full2").alias("v2"), F.col("full.full3").alias("v3"), F.col("id").alias("short"))
+
+    variants = each.select("v2", "v3", "k", "id").repartition("v2", "v3")
+    groups = variants.groupBy("v2", "v3", "k").agg(F.min("id").alias("leader"), F.count("*").alias("lines"))
+    groups = groups.filter("lines > 1").select("v2", "v3", F.col("k").alias("at"), "leader")
+    replaced = variants.join(groups, ["v2", "v3"]).filter("k - at = 0 and id <> leader").select(
+        F.col("id").alias("later"), F.col("leader").alias("earlier"))
+    inserted = variants.join(whole, ["v2", "v3"]).select(
+        F.greatest("id", "short").alias("later"), F.least("id", "short").alias("earlier"))
+    pairs = replaced.union(inserted).distinct()
+    words = found.select("id", F.split("line", " ").alias("words"))
+    mine = found.select(F.col("id").alias("later"), "h", "g", F.split("line", " ").alias("mine"))
+    theirs = words.select(F.col("id").alias("earlier"), F.col("words").alias("theirs"))
+    return (pairs.join(mine, "later").join(theirs, "earlier")
             .filter(_within_one_edit(F.col("mine"), F.col("theirs"))).select("h", "g").distinct())
 
 
@@ -131,12 +138,16 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     that lose nothing are missing.  ``rid`` is xxhash64 of the text."""
     if edit_bound not in (0, 1):
         raise ValueError("edit_bound is 0 or 1")
+    if near_words < 2:
+        raise ValueError("near_words is at least 2")
     checkpoint_dir(docs.sparkSession)
-    lines = _lines(docs, key, text).filter(F.col("n") >= min_words)
-    distinct = lines.select("h", "g", "n", F.struct("key", "rid", "line_no").alias("place"),
-                            _half_keys(near_words).alias("halves")).groupBy("h", "g").agg(
-        F.min("place").alias("first"), F.max("n").alias("n"), F.max("halves").alias("halves"),
-        F.count("*").alias("lines")).checkpoint()
+    halves = [half.alias(f"half{k}") for k, half in enumerate(_half_keys(near_words))]
+    # without texts: read several times
+    lines = _lines(docs, key, text).filter(F.col("n") >= min_words).select(
+        "key", "rid", "line_no", "n", "h", "g", *halves).checkpoint()
+    distinct = lines.groupBy("h", "g").agg(
+        F.min(F.struct("key", "rid", "line_no")).alias("first"), F.count("*").alias("lines"), F.max("n").alias("n"),
+        *(F.max(f"half{k}").alias(f"half{k}") for k in range(4)))
     verdict = distinct.select("h", "g", "first", "lines")
     if edit_bound:
         near = _near_drops(docs, distinct, key, text, near_words).withColumn("near", F.lit(True))

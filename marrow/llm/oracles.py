@@ -1,7 +1,6 @@
 """DuckDB SQL for the queries that SQL can express, written independently of the operators."""
 
-_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_LOW = _LOWER.format("text")
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: words ``[^\x20\x09-\x0D]+``
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -87,7 +86,7 @@ FROM v
 """
 
 OP10 = rf"""
-WITH o AS (SELECT doc_id, line_no, regexp_extract_all({_LOWER.format("line")}, {_WORD}) AS w FROM (
+WITH o AS (SELECT doc_id, line_no, regexp_extract_all(lower(line), {_WORD}) AS w FROM (
   SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
 x AS (SELECT w, len(w) AS n, min((doc_id, line_no)) AS first FROM o WHERE len(w) >= 4 GROUP BY w),
