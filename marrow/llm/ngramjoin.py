@@ -8,18 +8,24 @@ dealt by hash into n1 blocks of n2 partitions.  k differences leave more than
 n1 - k / (k2 + 1) blocks with at most k2 touched partitions, so two similar
 sets agree on some n2 - k2 partitions of those blocks.  A signature is a band,
 a block, one of the subsets of n2 - k2 partitions, and the features in it;
-similar sets always share signatures, at least ``AGREE - 1`` of them.
+similar sets agree on ``agree`` blocks and share at least ``need`` signatures.
 
 Signatures without features would be shared by many short sets; a set emits
-them only where its empty places could otherwise cost it that guarantee.
+them only where its empty places could otherwise cost it that guarantee: with
+at most agree - need such blocks it has ``need`` others, and two sets with
+more of them both emit all.
+
+That guarantee also prunes: whoever shares fewer than ``need`` signatures with
+anyone cannot be similar to them, so nodes and pairs are dropped on counts of
+signatures before any text is looked at.
 
 Links are found without expanding groups into pairs:
 
 1. equal sets are one node; a signature's members are compared with its first
    member only, and verified links are contracted to components;
 2. signatures whose members are by then in one component are done; members of
-   different components are compared with each other, in large groups only if
-   they share a second signature as well.
+   different components are compared with each other if they share enough
+   signatures, those that share large groups only by pairs of these groups.
 
 Every pair of similar sets is thus either verified or already connected, and
 verification is exact, on the texts' n-grams.
@@ -46,8 +52,8 @@ from marrow.llm.components import components
 from marrow.session import checkpoint_dir
 
 WORDS = core.Scanner(~core.SPACE_BYTE, lower=True)
-#: Blocks that any two similar sets agree on at least.
-AGREE = 3
+#: Blocks that two similar sets agree on at least: this many, and one more for each so many differences.
+AGREE, AGREE_STEP = 3, 16
 #: Members of a signature up to which those of different components are compared directly.
 SMALL_GROUP = 64
 
@@ -91,8 +97,14 @@ class Instance:
 
     @property
     def agree(self) -> int:
+        """Blocks that two similar sets agree on at least."""
         return self.blocks - self.differ // (self.k2 + 1)
 
+    @property
+    def need(self) -> int:
+        """Signatures that two similar sets share at least."""
+        return (self.agree + 1) // 2
+
 
 @lru_cache(64)
 def instances(percent: int, upto: int, n2: int = 2, k2: int = 1) -> tuple[Instance, ...]:
@@ -101,7 +113,7 @@ def instances(percent: int, upto: int, n2: int = 2, k2: int = 1) -> tuple[Instan
     while True:
         high = 100 * low // percent
         differ = 2 * high * (100 - percent) // (100 + percent)
-        blocks = differ // (k2 + 1) + AGREE
+        blocks = differ // (k2 + 1) + AGREE + differ // AGREE_STEP
         out.append(Instance(len(out), low, high, differ, blocks, n2, k2))
         if low > upto:
             return tuple(out)
@@ -116,7 +128,7 @@ def signatures(owner: np.ndarray, value: np.ndarray, size: np.ndarray, percent:
     all_ = instances(percent, int(size.max()), n2, k2)
     band = np.searchsorted(np.array([i.low for i in all_]), size, "right") - 1
     blocks_of = np.array([i.blocks for i in all_])
-    agree_of = np.array([i.agree for i in all_])
+    spare_of = np.array([i.agree - i.need for i in all_])
     differ_of = np.array([i.differ for i in all_])
     docs_out, sigs_out = [], []
     for step in (0, 1):
@@ -140,8 +152,8 @@ def signatures(owner: np.ndarray, value: np.ndarray, size: np.ndarray, percent:
         subsets = list(combinations(range(n2), n2 - k2))
         empty = np.stack([count[:, c].sum(axis=1) == 0 for c in subsets], axis=1)
         holes = np.bincount(doc, weights=empty.any(axis=1), minlength=len(size))
-        # with so many holes the blocks that must agree may be holes: then these count too
-        loose = holes >= agree_of[at] - 1
+        # with so many holes too few of the blocks that must agree may be others: then holes count too
+        loose = holes > spare_of[at]
         tag = salt[doc] + core.mix64(number.astype(np.uint64) * np.uint64(64))
         for c, subset in enumerate(subsets):
             keep = ~empty[:, c] | loose[doc]
@@ -239,9 +251,41 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     return both.mapInArrow(core.over_batches(each), "a long, b long")
 
 
-def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, sa, b, sb) whose sizes allow the similarity, once each."""
-    return pairs.filter(100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")).select("a", "b").distinct()
+def needs(sizes: DataFrame, percent: int, n2: int, k2: int) -> DataFrame:
+    """(node, size, need): with the signatures that a node shares at least with any similar one up to its size."""
+
+    def each(batch: pa.RecordBatch):
+        size = batch.column(1).to_numpy()
+        all_ = instances(percent, int(size.max()) if len(size) else 1, n2, k2)
+        band = np.searchsorted(np.array([i.low for i in all_]), size, "right") - 1
+        # a band whose sets may not differ has no signatures of its own
+        need = np.array([i.need if i.differ else 0 for i in all_], np.int32)[band]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(need)], names=["node", "size", "need"])
+
+    return sizes.mapInArrow(core.over_batches(each), "node long, size int, need int")
+
+
+def _prune(groups: DataFrame, needed: DataFrame) -> DataFrame:
+    """Rows (sig, node) without nodes that share fewer signatures than any similar pair does, and
+    without signatures that one node is left with."""
+    enough = groups.groupBy("node").agg(F.count("*").alias("n")).join(needed, "node").filter("n >= least").select("node")
+    groups = groups.join(enough, "node", "left_semi")
+    shared = groups.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("sig")
+    return groups.join(shared, "sig", "left_semi").checkpoint()
+
+
+def _candidates(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those that sizes and shared signatures allow; ``lists`` has a node's size,
+    need and shared signatures, which are in proportion to its set."""
+    pairs = pairs.distinct().join(lists.toDF("a", "sa", "na", "la"), "a").join(lists.toDF("b", "sb", "nb", "lb"), "b")
+    need = F.when(F.col("sa") > F.col("sb"), F.col("na")).otherwise(F.col("nb"))
+    return pairs.filter((100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))
+                        & (F.size(F.array_intersect("la", "lb")) >= F.greatest(need, F.lit(1)))).select("a", "b")
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of different components that meet in a signature."""
+    return rows.toDF("sig", "a", "la").join(rows.toDF("sig", "b", "lb"), "sig").filter("a < b and la <> lb").select("a", "b")
 
 
 def links(docs: DataFrame, n: int, percent: int, text: str = "text", n2: int = 2, k2: int = 1) -> DataFrame:
@@ -250,31 +294,46 @@ def links(docs: DataFrame, n: int, percent: int, text: str = "text", n2: int = 2
     table = signature_table(docs, n, percent, text, n2, k2)
     # only signatures that two different nodes share
     ends = table.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    groups = table.join(ends.select("sig", "low"), "sig").distinct().checkpoint()
-    texts = node_texts(docs, groups, n, text).checkpoint()
-
-    sizes = groups.select("node", "size").distinct()
-    stars = groups.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"), F.col("size").alias("sb"))
-    stars = stars.distinct().join(sizes.toDF("a", "sa"), "a")
-    first = verify(_fitting(stars, percent), texts, n, percent).checkpoint()
+    found = table.join(ends.select("sig"), "sig", "left_semi").distinct().checkpoint()
+    sized = needs(found.select("node", "size").distinct(), percent, n2, k2).checkpoint()
+    # a node may be the smaller one of its pairs, whose instance is the next band's, or its own
+    needed = sized.select("node", F.greatest("need", F.lit(1)).alias("least"))
+    groups = _prune(found.select("sig", "node"), needed)
+    lists = groups.groupBy("node").agg(F.collect_list("sig").alias("sigs")).join(sized, "node").select(
+        "node", "size", "need", "sigs").checkpoint()
+
+    low = groups.groupBy("sig").agg(F.min("node").alias("a"))
+    stars = groups.join(low, "sig").filter("node <> a").select("a", F.col("node").alias("b"))
+    stars = _candidates(stars, lists, percent).checkpoint()
+    texts = node_texts(docs, stars.select(F.col("a").alias("node")).union(stars.select("b")), n, text).checkpoint()
+    first = verify(stars, texts, n, percent).checkpoint()
 
     label = components(first)
-    rows = groups.join(label, "node", "left").select("sig", "node", "size", F.coalesce("label", "node").alias("label"))
+    rows = groups.join(label, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
     mixed = rows.groupBy("sig").agg(
-        F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members")).filter("x <> y")
-    rows = rows.join(mixed.select("sig", "members"), "sig").checkpoint()
-    small = rows.filter(F.col("members") <= SMALL_GROUP).select("sig", "node", "size", "label")
-    large = rows.filter(F.col("members") > SMALL_GROUP)
-    # a similar pair shares two signatures at least; both lie in `groups`
-    second = large.select("sig", "node", "size", "label").join(
-        groups.select(F.col("sig").alias("other"), "node"), "node").filter("other <> sig").select(
-        F.xxhash64(F.least("sig", "other"), F.greatest("sig", "other")).alias("sig"), "node", "size", "label").distinct()
+        F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members"))
+    # two members are a pair that has been looked at
+    rows = rows.join(mixed.filter("x <> y and members > 2").select("sig", "members"), "sig").checkpoint()
+    small = rows.filter(F.col("members") <= SMALL_GROUP).select("sig", "node", "label")
+    large = rows.filter(F.col("members") > SMALL_GROUP).select("sig", "node", "label")
+    wide = large.groupBy("node").agg(F.count("*").alias("wide"))
+    about = sized.join(wide, "node", "left").select("node", "size", "need", F.coalesce("wide", F.lit(0)).alias("wide"))
+    near = _apart(small).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    near = near.join(about.toDF("a", "sa", "na", "wa"), "a").join(about.toDF("b", "sb", "nb", "wb"), "b").filter(
+        (F.col("shared") + F.least("wa", "wb") + 1 >= F.when(F.col("sa") > F.col("sb"), F.col("na")).otherwise(F.col("nb")))
+        & (100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))).select("a", "b")
+    # pairs that share large groups only share two of them at least
+    second = large.join(large.select(F.col("sig").alias("other"), "node"), "node").filter("sig < other").select(
+        F.xxhash64("sig", "other").alias("sig"), "node", "label")
     again = second.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
-    rest = small.union(second.join(again, "sig").select("sig", "node", "size", "label"))
-    pairs = rest.toDF("sig", "a", "sa", "la").join(rest.toDF("sig", "b", "sb", "lb"), "sig").filter("a < b and la <> lb")
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verify(_fitting(pairs, percent).join(done, ["a", "b"], "left_anti"), texts, n, percent)
-    return components(first.union(more))
+    far = _apart(second.join(again, "sig", "left_semi")).distinct()
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = near.union(far).distinct().join(done, ["a", "b"], "left_anti")
+    pairs = _candidates(pairs, lists, percent).checkpoint()
+    if pairs.isEmpty():
+        return label
+    texts = node_texts(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), n, text).checkpoint()
+    return components(first.union(verify(pairs, texts, n, percent)))
 
 
 def score(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text",
