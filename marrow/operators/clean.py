@@ -12,21 +12,11 @@ from pyspark.sql import functions as F
 from marrow.functions import text as tx
 from marrow.session import checkpoint_dir
 
-# Broadcast the (category, partition) offset table only below this many rows.
-OFFSET_BROADCAST_ROWS = 2_000_000
-# Broadcast a materialized key table (e.g. surviving positions) only below this many rows.
-KEY_BROADCAST_ROWS = 1_000_000
-
-
-def bounded_broadcast(keys: DataFrame, max_rows: int = KEY_BROADCAST_ROWS) -> DataFrame:
-    """Materialize a narrow key table once and broadcast it only if its counted size is small.
-
-    The checkpoint (shared checkpoint dir) makes the count and the later join
-    read the same rows, so the key pipeline is not evaluated twice.
-    """
+def written(keys: DataFrame) -> DataFrame:
+    """A narrow key table written once to the checkpoint folder, so that what is joined and what
+    was computed from are the same rows; the join strategy is left to measured sizes (AQE)."""
     checkpoint_dir(keys.sparkSession)
-    keys = keys.checkpoint(eager=True)
-    return F.broadcast(keys) if keys.count() <= max_rows else keys
+    return keys.checkpoint(eager=True)
 
 
 # ---------------------------------------------------------------------------
@@ -120,7 +110,7 @@ def rank_table(df: DataFrame, category: str | None, pos: str, rank_col: str = "r
     the narrow ``(category, pos)`` projection is range-partitioned and sorted;
     the rank is the row offset inside its partition plus the rows of the same
     category in earlier partitions: a prefix sum over a table of at most
-    (partitions + categories) rows, broadcast when that counted bound is small.
+    (partitions + categories) rows.
 
     The ranged projection is checkpointed once, so the offsets and the rows
     they are added to come from the same materialized partitioning (a second
@@ -142,12 +132,10 @@ def rank_table(df: DataFrame, category: str | None, pos: str, rank_col: str = "r
     before = Window.partitionBy(cat).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stats.select(cat, "_pid", "_first",
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    # One offset row per (category, partition) pair: count exactly that (on the
-    # narrow checkpoint) before deciding to broadcast it.
-    if not category or stats.count() <= OFFSET_BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
     rank = (F.col("_before") + F.col("_mid") - F.col("_first")).cast("long")
-    out = ranged.join(offsets, [cat, "_pid"]).select(cat, pos, rank.alias(rank_col))
+    offsets = offsets.withColumnRenamed(cat, "_ocat").withColumnRenamed("_pid", "_opid")
+    out = ranged.join(offsets, F.col(cat).eqNullSafe(F.col("_ocat")) & (F.col("_pid") == F.col("_opid"))) \
+                .select(cat, pos, rank.alias(rank_col))
     return out if category else out.drop(cat)
 
 
@@ -158,11 +146,16 @@ def positional_rank(df: DataFrame, category: str | None, pos: str, rank_col: str
     keys = [category, pos] if category else [pos]
     if sorted(df.columns) == sorted(keys):
         return t
-    return df.join(t, keys)
+    t = t.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], rank_col)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(f"_k{i}").eqNullSafe(F.col(k))
+    return df.join(t, same).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def id_expr(category: str, rank: str) -> F.Column:
-    return F.concat(F.col(category), F.lit("_"), F.col(rank).cast("string"))
+    # a null category is the unnamed one, so its rows keep an id
+    return F.concat(F.coalesce(F.col(category).cast("string"), F.lit("")), F.lit("_"), F.col(rank).cast("string"))
 
 
 def assign_ids(df: DataFrame, category: str = "category", pos: str = "pos",
@@ -185,14 +178,32 @@ def dedup_keep_first(df: DataFrame, key: str = "text", pos: str = "pos",
     passes ``within=[category]``; an empty ``within`` dedups globally.  The
     grouping runs on (scope, 32-byte hash, pos) only, with map-side partial
     aggregation, so a key that repeats on a third of all rows collapses before
-    the shuffle.  The survivors are kept by a semi join on the unique
-    (scope, pos) - a broadcast when the counted survivors are few, else a
-    shuffle join.
+    the shuffle.  Only the groups with copies meet the rows again: a row goes
+    if its group's first position is smaller.  Null keys are one group, null
+    scopes are a scope, and ``pos`` must be unique in its scope, or overall
+    when ``within`` is empty (else a ValueError).
     """
     within = list(within)
-    firsts = (df.select(*within, text_key(key).alias("_h"), F.col(pos))
-                .groupBy(*within, "_h").agg(F.min(pos).alias(pos)))
-    return df.join(bounded_broadcast(firsts.select(*within, pos)), [*within, pos], "left_semi")
+    keyed = df.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)],
+                      text_key(key).alias("_h"), F.col(pos).alias("_p"))
+    scope = [f"_w{i}" for i in range(len(within))]
+    losers = written(_losers(keyed, scope))
+    if not within and not df.select(pos).groupBy(pos).count().filter("count > 1").isEmpty():
+        raise ValueError(f"{pos!r} must be unique over all rows; pass its scope in within=")
+    same = F.col("_p") == F.col(pos)
+    for i, c in enumerate(within):
+        same = same & F.col(f"_w{i}").eqNullSafe(F.col(c))
+    return df.join(losers, same, "left_anti")
+
+
+def _losers(keyed: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, _p) of the rows after the first one of their (scope, _h) group: a small table."""
+    firsts = keyed.groupBy(*scope, "_h").agg(F.min("_p").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    firsts = firsts.filter("_n > 1").select(*[F.col(c).alias(f"{c}_f") for c in scope], F.col("_h").alias("_hf"), "_first")
+    same = F.col("_h").eqNullSafe(F.col("_hf"))
+    for c in scope:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_f"))
+    return keyed.join(firsts, same).filter("_p > _first").select(*scope, "_p")
 
 
 def batch_assign(df: DataFrame, pos: str = "pos", size: int = 100,
@@ -224,8 +235,9 @@ def clean_chain(df: DataFrame, category: str = "category", pos: str = "pos",
     """
     ranks = rank_table(df, category, pos, "_rank")
     keyed = df.withColumn(text, clean_text(text)) if dedup_on_clean else df
-    firsts = (keyed.select(F.col(category), text_key(text).alias("_h"), F.col(pos))
-                   .groupBy(category, "_h").agg(F.min(pos).alias(pos)))
-    keep = bounded_broadcast(ranks.join(firsts.select(category, pos), [category, pos], "left_semi"))
-    out = df.join(keep, [category, pos])
+    losers = _losers(keyed.select(F.col(category).alias("_w0"), text_key(text).alias("_h"), F.col(pos).alias("_p")), ["_w0"])
+    lost = F.col("_w0").eqNullSafe(F.col(category)) & (F.col("_p") == F.col(pos))
+    keep = ranks.join(losers, lost, "left_anti").select(
+        F.col(category).alias("_c"), F.col(pos).alias("_p"), "_rank")
+    out = df.join(keep, F.col("_c").eqNullSafe(F.col(category)) & (F.col("_p") == F.col(pos))).drop("_c", "_p")
     return out.withColumn("id", id_expr(category, "_rank")).withColumn(text, clean_text(text)).drop("_rank")

@@ -2,15 +2,13 @@
 
 Vocabulary ids follow binary word order (the source used set order, which
 changes per run).  The vocabulary is ranked with the same range-partition +
-prefix-sum scheme as positional ids, so no single task sorts it.  Lookups
-broadcast the vocabulary only when its counted size is below a bound; larger
-vocabularies use a shuffle join (AQE splits skewed hot words).
+prefix-sum scheme as positional ids, so no single task sorts it.  Lookups join
+distinct words, never raw tokens; AQE broadcasts a vocabulary that measures
+small and splits skewed words otherwise.
 """
 
 from __future__ import annotations
 
-import weakref
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,29 +22,23 @@ LABEL_MAPS = {
     "toxic_type": {"OFFENSIVE": 0, "HATE": 1},
     "expression_type": {"IMPLICIT": 0, "EXPLICIT": 1, "REPORT": 2},
 }
-VOCAB_BROADCAST_ROWS = 2_000_000
-# Row counts already known for vocabularies built here (no second counting job).
-_KNOWN_ROWS: "weakref.WeakKeyDictionary[DataFrame, int]" = weakref.WeakKeyDictionary()
-# Vocabularies built by build_vocab (their <unk> id is their row count - 1).
-_BUILT: "weakref.WeakSet[DataFrame]" = weakref.WeakSet()
 
 
 def build_vocab(texts: DataFrame, text: str = "text") -> DataFrame:
     """``(word, idx)``: <pad>=0, distinct space-split words 1..n in binary order, <unk>=n+1.
 
-    The distinct words are ranked once (the ranking checkpoints its narrow
-    input, so the text is tokenized in one pass); n is counted from that.
+    One row per word: a text that holds ``<pad>`` or ``<unk>`` as a word adds
+    nothing, as these have their entries already.  The distinct words are
+    ranked once; the ranking's checkpoint is what the vocabulary reads.
     """
-    words = texts.select(F.explode(tx.space_tokens(text)).alias("word")).distinct()
+    words = texts.select(F.explode(tx.space_tokens(text)).alias("word")).where(
+        ~F.col("word").isin(PAD, UNK)).distinct()
     ranked = rank_table(words, None, "word", "_r")
     body = ranked.select("word", (F.col("_r") + 1).cast("long").alias("idx"))
-    n = body.count()
     spark = texts.sparkSession
-    ends = spark.createDataFrame([(PAD, 0), (UNK, n + 1)], "word STRING, idx BIGINT")
-    vocab = ends.unionByName(body)
-    _KNOWN_ROWS[vocab] = n + 2
-    _BUILT.add(vocab)
-    return vocab
+    pad = spark.createDataFrame([(PAD, 0)], "word STRING, idx BIGINT")
+    unk = body.agg(F.lit(UNK).alias("word"), (F.count(F.lit(1)) + 1).cast("long").alias("idx"))
+    return pad.unionByName(body).unionByName(unk)
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -69,40 +61,25 @@ def materialize_vocab(vocab: DataFrame) -> DataFrame:
     return _checkpoint(vocab)
 
 
-def vocab_rows(vocab: DataFrame) -> int:
-    """Rows of a vocabulary: known from :func:`build_vocab`, else counted once."""
-    n = _KNOWN_ROWS.get(vocab)
-    if n is None:
-        n = _KNOWN_ROWS[vocab] = vocab.count()
-    return n
-
-
-def _lookup_side(vocab: DataFrame, rows: int) -> DataFrame:
-    """Broadcast the (materialized) vocabulary only when its counted size is small."""
-    return F.broadcast(vocab) if rows <= VOCAB_BROADCAST_ROWS else vocab
-
-
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, text: str = "text",
-                  out: str = "input_ids") -> DataFrame:
+                  out: str = "input_ids", max_len: int | None = None) -> DataFrame:
     """Space-split tokens -> vocabulary ids (unknown -> <unk>), order kept.
 
-    Tokens are exploded with their position, looked up, and re-collected per
-    row; a row's group is bounded by its own token count.  The <unk> id is a
-    scalar subquery (evaluated once).  With a broadcast vocabulary the only
-    shuffle is the rows themselves, by key.
+    ``key`` must be unique (rows that share one would be merged).  Every row's
+    distinct words are looked up with their places, not its tokens, so a word
+    that makes up half of all tokens is one row per text; AQE broadcasts a
+    vocabulary that measures small and splits skewed words otherwise.  A row's
+    group is bounded by its own tokens.  With ``max_len`` the tokens are
+    cropped before the lookup, which leaves the first ``max_len`` ids as they are.
     """
-    n = vocab_rows(vocab)
-    if vocab in _BUILT:
-        unk = F.lit(n - 1).cast("long")  # built here: <pad>=0, words 1..n-2, <unk>=n-1
-    else:
-        unk = vocab.where(F.col("word") == UNK).select(F.max("idx")).scalar()
-    # Partition the rows by key once: explode and the broadcast lookup keep that
-    # partitioning, so re-collecting per row needs no shuffle of the token rows.
-    toks = df.select(key, text).repartition(key).select(
-        key, F.posexplode(tx.space_tokens(text)).alias("_p", "word"))
-    j = toks.join(_lookup_side(vocab.where(F.col("word") != UNK), n), "word", "left")
-    j = j.select(key, "_p", F.coalesce(F.col("idx"), unk).alias("_id"))
-    packed = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "_id"))).alias("_l"))
+    unk = vocab.where(F.col("word") == UNK).select(F.max("idx")).scalar()
+    toks = tx.space_tokens(text)
+    toks = df.select(key, (F.slice(toks, 1, max_len) if max_len else toks).alias("_toks")).repartition(key)
+    words = toks.select(key, F.posexplode("_toks").alias("_p", "word")).groupBy(key, "word").agg(
+        F.collect_list("_p").alias("_ps"))
+    ids = words.join(vocab.where(F.col("word") != UNK), "word", "left").select(
+        key, F.coalesce(F.col("idx"), unk).alias("_id"), F.explode("_ps").alias("_p"))
+    packed = ids.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "_id"))).alias("_l"))
     return packed.select(key, F.transform("_l", lambda s: s["_id"]).alias(out))
 
 
@@ -137,10 +114,12 @@ def vocab_vectors(vocab: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
 
 def oov_rate(df: DataFrame, vocab: DataFrame, group: str, text: str = "text") -> DataFrame:
     """U5 extension: tokens (and share) not in the training vocabulary, per group."""
-    toks = df.select(group, F.explode(tx.space_tokens(text)).alias("word"))
+    # counted per (group, word) before the join: a frequent word is one row per group
+    toks = df.select(group, F.explode(tx.space_tokens(text)).alias("word")).groupBy(group, "word").agg(
+        F.count(F.lit(1)).alias("_n"))
     known = vocab.where(~F.col("word").isin(PAD, UNK)).select("word", F.lit(1).alias("_k"))
-    j = toks.join(_lookup_side(known, vocab_rows(vocab)), "word", "left")
+    j = toks.join(known, "word", "left")
     return j.groupBy(group).agg(
-        F.count(F.lit(1)).cast("long").alias("n_tokens"),
-        F.count_if(F.col("_k").isNull()).cast("long").alias("n_oov")) \
+        F.sum("_n").cast("long").alias("n_tokens"),
+        F.sum(F.when(F.col("_k").isNull(), F.col("_n")).otherwise(0)).cast("long").alias("n_oov")) \
         .withColumn("oov_rate", F.col("n_oov") / F.col("n_tokens").cast("double"))

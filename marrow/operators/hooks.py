@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marrow.functions import text as tx
+from marrow.session import checkpoint_dir
 
 VOTE_SCHEMA = "id STRING, annotator STRING, rnk INT, label STRING, reason STRING, lane STRING, error STRING"
 
@@ -28,7 +29,9 @@ def annotate(df: DataFrame, annotators: dict[str, Callable[[str], dict]], id_col
     """One vote row per (row, annotator); ``fn(text) -> {'label', 'reason'}``.
 
     Output is the long ``votes`` table with a lane ('ok' / 'error').  Annotator
-    rank follows the order of the dict (first wins majority ties).
+    rank follows the order of the dict (first wins majority ties).  The votes
+    are written to the checkpoint folder before anything reads them, so every
+    (row, annotator) pair is one call however often the table is used.
     """
     names = list(annotators)
 
@@ -41,10 +44,11 @@ def annotate(df: DataFrame, annotators: dict[str, Callable[[str], dict]], id_col
                         r = annotators[name](t) or {}
                         out.append((rid, name, rank, r.get("label"), r.get("reason"), "ok", None))
                     except Exception as e:  # noqa: BLE001 - any failure goes to the error lane
-                        out.append((rid, name, rank, None, None, "error", repr(e)[:500]))
+                        out.append((rid, name, rank, None, None, "error", repr(e)))
             yield pd.DataFrame(out, columns=["id", "annotator", "rnk", "label", "reason", "lane", "error"])
 
-    return df.select(F.col(id_col).cast("string").alias(id_col), text).mapInPandas(run, VOTE_SCHEMA)
+    checkpoint_dir(df.sparkSession)
+    return df.select(F.col(id_col).cast("string").alias(id_col), text).mapInPandas(run, VOTE_SCHEMA).checkpoint()
 
 
 def adjudicate_with(disputed_payload: DataFrame, judge: Callable[[str], dict], id_col: str = "id",
@@ -68,10 +72,28 @@ def adjudicate_with(disputed_payload: DataFrame, judge: Callable[[str], dict], i
 
 def retry_errors(votes: DataFrame, annotators: dict[str, Callable[[str], dict]], texts: DataFrame,
                  id_col: str = "id", text: str = "text") -> DataFrame:
-    """Re-run only the (id, annotator) pairs in lane 'error' and union them with the rest."""
-    failed = votes.where(F.col("lane") == "error").select(id_col, "annotator")
-    todo = texts.join(failed.select(id_col).distinct(), id_col, "left_semi")
-    again = annotate(todo, annotators, id_col, text).join(failed, [id_col, "annotator"], "left_semi")
+    """Call the failed (id, annotator) pairs again, and only these, and union them with the rest.
+
+    ``votes`` must be a written table (as :func:`annotate` returns it); the
+    answers are written before they are used, so no vote is lost or doubled
+    when an annotator answers differently the next time.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]):
+        for pdf in batches:
+            out = []
+            for rid, name, rank, t in zip(pdf[id_col], pdf["annotator"], pdf["rnk"], pdf[text]):
+                try:
+                    r = annotators[name](t) or {}
+                    out.append((rid, name, rank, r.get("label"), r.get("reason"), "ok", None))
+                except Exception as e:  # noqa: BLE001 - stays in the error lane
+                    out.append((rid, name, rank, None, None, "error", repr(e)))
+            yield pd.DataFrame(out, columns=["id", "annotator", "rnk", "label", "reason", "lane", "error"])
+
+    checkpoint_dir(votes.sparkSession)
+    failed = votes.where(F.col("lane") == "error").select(id_col, "annotator", "rnk")
+    body = texts.select(F.col(id_col).cast("string").alias(id_col), text)
+    again = failed.join(body, id_col).mapInPandas(run, VOTE_SCHEMA).checkpoint()
     return votes.where(F.col("lane") != "error").unionByName(again)
 
 
@@ -80,19 +102,25 @@ def segment(df: DataFrame, segmenter: Callable[[pd.Series], pd.Series] | None =
     """X5 + C6 + C7: emoji removal, word segmentation, tightened '_' joiners.
 
     The default segmenter is the whitespace split (JVM-side); a pluggable
-    segmenter runs as an Arrow ``pandas_udf``; a failing batch falls back to
-    the emoji-free text, as the source does per row.
+    segmenter runs as an Arrow ``pandas_udf``; a failing batch is retried row
+    by row, and only a failing row falls back to the emoji-free text.
     """
     clean = tx.remove_emoji(text)
     if segmenter is None:
         seg = F.array_join(tx.ws_tokens(clean), " ")
     else:
+        def _one(t):
+            try:
+                return segmenter(pd.Series([t])).iloc[0]
+            except Exception:  # noqa: BLE001
+                return t
+
         @F.pandas_udf(T.StringType())
         def _seg(s: pd.Series) -> pd.Series:
             try:
                 return segmenter(s)
             except Exception:  # noqa: BLE001
-                return s
+                return s.map(_one)
 
         seg = _seg(clean)
     return df.withColumn(out, tx.join_underscores(seg))

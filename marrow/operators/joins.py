@@ -37,9 +37,13 @@ def enrich_left_default(target: DataFrame, source: DataFrame, key: str, fields:
 
 
 def overwrite_by_key(target: DataFrame, updates: DataFrame, key: str, value_col: str,
-                     target_col: str) -> DataFrame:
-    """Where ``key`` is in ``updates``, replace ``target_col`` by the update value."""
-    u = updates.select(F.col(key), F.col(value_col).alias("_new"), F.lit(True).alias("_hit"))
+                     target_col: str, order: str | None = None) -> DataFrame:
+    """Where ``key`` is in ``updates``, replace ``target_col`` by the update value.
+
+    Of several updates for a key the one with the greatest ``order`` wins (by
+    default the greatest value); null keys match nothing."""
+    last = last_per_key(updates, key, [value_col], order or value_col)
+    u = last.select(F.col(key), F.col(value_col).alias("_new"), F.lit(True).alias("_hit"))
     j = target.join(u, key, "left")
     return (j.withColumn(target_col, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(target_col)))
              .drop("_new", "_hit"))

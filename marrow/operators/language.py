@@ -1,8 +1,8 @@
 """Language routing.
 
-The default detector is a stop-word profile scored in SQL: with the small
-fixed profile every row is scored by array expressions (no shuffle); a large
-profile table is joined (broadcast) and hits are counted per (row, language).
+The default detector is a stop-word profile scored in SQL: a profile given as
+a dict is scored by array expressions in every row (no shuffle); a profile
+table is joined with the words of the distinct texts.
 The best language wins (ties by language name).  Rows without a single hit are
 "undetectable" and get their own lane instead of vanishing.  Any
 ``pandas_udf`` can replace the detector, and a second-opinion function can
@@ -33,24 +33,21 @@ def profile_table(spark: SparkSession, profile: dict[str, tuple[str, ...]] = DEF
     return spark.createDataFrame(rows, "lang STRING, word STRING")
 
 
-# Profiles up to this many words are scored per row, without a join.
-INLINE_PROFILE_WORDS = 1_000
-
-
 def profile_scores(df: DataFrame, key: str, text: str = "text",
                    profile: dict[str, tuple[str, ...]] | DataFrame | None = None) -> DataFrame:
     """Per row: best language by profile hits, and its score; null when no hit.
 
-    A small profile (a dict, the default) is scored per row: for each
-    language, the number of tokens in its word set; the best is the minimum
-    of (-score, language), so ties go to the language name.  No explode, join
-    or shuffle.  A profile given as a table (any size) is joined instead:
-    one shuffle of the rows by key, kept through explode, broadcast join,
-    both aggregates and the join back.
+    The score of a language is the number of tokens in its set of words; the
+    best is the minimum of (-score, language), so ties go to the language
+    name.  A profile given as a dict (the default) is scored per row by array
+    expressions, without explode, join or shuffle.  A profile given as a table
+    is reduced to distinct (language, word) and joined with the words of every
+    distinct text; a score depends on the text alone, so rows that share a key
+    or a text are scored each, with the same result as by a dict.
     """
     prof = DEFAULT_PROFILE if profile is None else profile
     toks = tx.ws_tokens(F.lower(F.col(text)))
-    if isinstance(prof, dict) and sum(len(w) for w in prof.values()) <= INLINE_PROFILE_WORDS:
+    if isinstance(prof, dict):
         def in_words(ws):
             return lambda t: t.isin(*ws)
 
@@ -64,14 +61,14 @@ def profile_scores(df: DataFrame, key: str, text: str = "text",
         hit = F.col("_best.ns") < 0
         return (best.withColumn("detected", F.when(hit, F.col("_best.lang")))
                     .withColumn("score", F.when(hit, -F.col("_best.ns")).cast("long")).drop("_best"))
-    table = prof if isinstance(prof, DataFrame) else profile_table(df.sparkSession, prof)
-    rows = df.repartition(key)
-    words = rows.select(key, F.explode(toks).alias("word"))
-    hits = words.join(F.broadcast(table), "word").groupBy(key, "lang").agg(F.count(F.lit(1)).alias("_s"))
-    best = hits.groupBy(key).agg(
+    words = df.select(F.sha2(F.col(text), 256).alias("_h"), toks.alias("_toks")).dropDuplicates(["_h"])
+    # words of a text are counted before they meet the profile, so a frequent word is one row per text
+    words = words.select("_h", F.explode("_toks").alias("word")).groupBy("_h", "word").agg(F.count(F.lit(1)).alias("_n"))
+    hits = words.join(prof.select("lang", "word").distinct(), "word").groupBy("_h", "lang").agg(F.sum("_n").alias("_s"))
+    best = hits.groupBy("_h").agg(
         F.min_by(F.col("lang"), F.struct(-F.col("_s"), F.col("lang"))).alias("detected"),
         F.max("_s").cast("long").alias("score"))
-    return rows.join(best, key, "left")
+    return df.withColumn("_h", F.sha2(F.col(text), 256)).join(best, "_h", "left").drop("_h")
 
 
 def route_by_language(df: DataFrame, key: str, target: str, text: str = "text",

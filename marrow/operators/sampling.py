@@ -2,23 +2,18 @@
 
 The source samples with an unseeded RNG; here every sample is "the n rows
 with the smallest md5(seed|id)" per group, which is exact, deterministic and
-checkable.  Top-n per group never sorts a whole group in one task: each input
-partition first keeps its own n best rows per group (map side, on narrow
-columns), only those candidates are shuffled and ranked, and the winners are
-joined back by their unique key.
+checkable.  Top-n per group is ``row_number() <= n``: Spark cuts every input
+partition to n rows per group before the shuffle (WindowGroupLimit) and again
+after it, so a hot group is never sorted whole in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Broadcast the chosen keys only below this many rows.
-CHOSEN_BROADCAST_ROWS = 2_000_000
-
 
 def sample_key(seed, key: str) -> F.Column:
     """md5 of ``seed|key``: the ordering that defines a seeded sample."""
@@ -26,59 +21,32 @@ def sample_key(seed, key: str) -> F.Column:
                           F.lit("|"), F.col(key).cast("string")))
 
 
-def _local_top_n(group: list[str], order: list[str], n: int):
-    cols = order
-
-    def run(batches):
-        keep = None
-        for pdf in batches:
-            cand = pdf if keep is None else pd.concat([keep, pdf], ignore_index=True)
-            cand = cand.sort_values(cols, kind="mergesort")
-            keep = cand.groupby(group, sort=False, dropna=False).head(n)
-        if keep is not None and len(keep):
-            yield keep
-
-    return run
+def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int,
+                    key: str, rank_col: str = "rank") -> DataFrame:
+    """Rows ranked 1..n per ``group`` by ``order`` (ties broken by the unique ``key``)."""
+    order = list(order) + ([key] if key not in order else [])
+    w = Window.partitionBy(*group).orderBy(*order)
+    # the filter sits on the bare row number, from which Spark derives the group limit
+    return (df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
+              .withColumn(rank_col, F.col(rank_col).cast("long")))
 
 
-def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int,
-                    key: str, rank_col: str = "rank", max_groups: int | None = None) -> DataFrame:
-    """Rows ranked 1..n per ``group`` by ``order`` (ties broken by the unique ``key``).
-
-    Exact for any group size: a row in a group's global top n is in the top n
-    of its own input partition, so the map-side cut loses nothing.
-    """
-    group, order = list(group), list(order)
-    sort_cols = order + ([key] if key not in order else [])
-    narrow = df.select(*group, *[c for c in sort_cols if c not in group])
-    cand = narrow.mapInPandas(_local_top_n(group, sort_cols, n), narrow.schema)
-    w = Window.partitionBy(*group).orderBy(*sort_cols)
-    chosen = (cand.withColumn(rank_col, F.row_number().over(w).cast("long"))
-                  .where(F.col(rank_col) <= n).select(key, rank_col))
-    if max_groups is None:
-        max_groups = df.select(*group).distinct().count() if group else 1
-    if n * max_groups <= CHOSEN_BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    return df.join(chosen, key)
-
-
-def stratified_sample(df: DataFrame, group: str, key: str, n: int, seed=1,
-                      max_groups: int | None = None) -> DataFrame:
+def stratified_sample(df: DataFrame, group: str, key: str, n: int, seed=1) -> DataFrame:
     """O3: ``min(n, group size)`` rows per group, the same rows for the same seed."""
     keyed = df.withColumn("_sk", sample_key(seed, key))
-    return top_n_per_group(keyed, [group], ["_sk"], n, key, "_rank", max_groups).drop("_sk", "_rank")
+    return top_n_per_group(keyed, [group], ["_sk"], n, key, "_rank").drop("_sk", "_rank")
+
 
+def repeated_samples(df: DataFrame, group: str, key: str, n: int, k: int) -> DataFrame:
+    """O3 repeated: ``k`` independent samples (seed = sample number 1..k).
 
-def repeated_samples(df: DataFrame, group: str, key: str, n: int, k: int,
-                     max_groups: int | None = None) -> DataFrame:
-    """O3 repeated: ``k`` independent samples (seed = sample number 1..k)."""
-    rep = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_s"))
-    rep = rep.withColumn("sample_no", F.col("_s").cast("long")).drop("_s")
-    rep = rep.withColumn("_sk", sample_key(F.col("sample_no"), key)) \
-             .withColumn("_rk", F.concat_ws("#", F.col("sample_no").cast("string"), F.col(key).cast("string")))
-    out = top_n_per_group(rep, ["sample_no", group], ["_sk"], n, "_rk", "_rank",
-                          None if max_groups is None else max_groups * k)
-    return out.drop("_sk", "_rank", "_rk")
+    All seeds are ranked on the narrow (group, key) projection; the rows are
+    joined to the winners once, by their unique key."""
+    rep = df.select(F.col(group).alias("_g"), F.col(key).alias("_k"),
+                    F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))).alias("sample_no"))
+    rep = rep.withColumn("_sk", sample_key(F.col("sample_no"), "_k"))
+    won = top_n_per_group(rep, ["sample_no", "_g"], ["_sk"], n, "_k", "_rank").select("sample_no", "_k")
+    return df.join(won, F.col(key) == F.col("_k")).drop("_k")
 
 
 def sample_per_file(df: DataFrame, key: str, n: int, seed=1, file_col: str = "file") -> DataFrame:
@@ -93,9 +61,9 @@ def fixed_size_sample(df: DataFrame, key: str, n: int, seed=1) -> DataFrame:
 
 
 def limit_per_source(df: DataFrame, source: str, order: Sequence[str], limit: int, key: str,
-                     rank_col: str = "rank", max_groups: int | None = None) -> DataFrame:
+                     rank_col: str = "rank") -> DataFrame:
     """The first ``limit`` items of every source in (page, position) order."""
-    return top_n_per_group(df, [source], order, limit, key, rank_col, max_groups)
+    return top_n_per_group(df, [source], order, limit, key, rank_col)
 
 
 def shuffle_rows(df: DataFrame, seed: int = 0) -> DataFrame:

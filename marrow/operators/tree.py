@@ -166,10 +166,9 @@ def flatten_reply_trees(df: DataFrame, json_col: str, keys: list[str]) -> DataFr
     """Lateral-join the UDTF; output ``keys + (seq, depth, author, body, score)``."""
     spark: SparkSession = df.sparkSession
     spark.udtf.register("marrow_flatten_replies", FlattenReplies)
-    view = f"_marrow_trees_{abs(hash((id(df), json_col))) % 10**9}"
-    df.select(*keys, F.col(json_col).alias("_doc")).createOrReplaceTempView(view)
     cols = ", ".join(f"t.`{k}`" for k in keys)
-    return spark.sql(f"SELECT {cols}, f.* FROM {view} t, LATERAL marrow_flatten_replies(t._doc) f")
+    return spark.sql(f"SELECT {cols}, f.* FROM {{trees}} t, LATERAL marrow_flatten_replies(t._doc) f",
+                     trees=df.select(*keys, F.col(json_col).alias("_doc")))
 
 
 def chain_to_tree_json(turns: DataFrame, tree: str, pos: str, author: str, body: str) -> DataFrame:

@@ -29,7 +29,11 @@ def canonical_label(c) -> F.Column:
 
 def vote_summary(votes: DataFrame, annotators=DEFAULT_ANNOTATORS, id_col: str = "id",
                  raw: bool = False) -> DataFrame:
-    """One row per id: per-annotator labels, vote count and whether all agree.
+    """One row per id: per-annotator labels, vote counts and the lane.
+
+    Lanes partition the ids: ``similar`` (every annotator gave a label, all
+    alike), ``different`` (every annotator gave a label, not all alike) and
+    ``incomplete`` (a vote or a label is missing, or an annotator voted twice).
 
     By default labels are compared after trimming and alias mapping (C21);
     ``raw=True`` compares the literal replies, as the source's production mode.
@@ -37,23 +41,31 @@ def vote_summary(votes: DataFrame, annotators=DEFAULT_ANNOTATORS, id_col: str =
     if not raw:
         votes = votes.withColumn("label", canonical_label(tx.strip_ws("label")))
     per = [F.max(F.when(F.col("annotator") == a, F.col("label"))).alias(a) for a in annotators]
+    need = len(annotators)
+    lane = (F.when((F.col("n_votes") != need) | (F.col("n_labels") != need), "incomplete")
+             .when(F.col("label") == F.col("_hi"), "similar").otherwise("different"))
     return (votes.groupBy(id_col)
-                 .agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"),
-                      F.count(F.lit(1)).alias("n_votes"), *per)
-                 .withColumn("unanimous", F.col("_lo") == F.col("_hi"))
-                 .withColumnRenamed("_lo", "label").drop("_hi"))
+                 .agg(F.min("label").alias("label"), F.max("label").alias("_hi"),
+                      F.count(F.lit(1)).alias("n_votes"), F.count("label").alias("n_labels"), *per)
+                 .withColumn("lane", lane).withColumn("unanimous", F.col("lane") == "similar").drop("_hi"))
 
 
-def unanimous_votes(votes: DataFrame, id_col: str = "id") -> DataFrame:
+def unanimous_votes(votes: DataFrame, annotators=DEFAULT_ANNOTATORS, id_col: str = "id") -> DataFrame:
     """G1 'similar' lane: ids whose labels all agree, with that label."""
-    s = vote_summary(votes, (), id_col)
-    return s.where("unanimous").select(id_col, "label")
+    s = vote_summary(votes, annotators, id_col)
+    return s.where("lane = 'similar'").select(id_col, "label")
 
 
 def disputed_votes(votes: DataFrame, annotators=DEFAULT_ANNOTATORS, id_col: str = "id") -> DataFrame:
     """G1 'different' lane: ids with more than one label, one column per annotator."""
     s = vote_summary(votes, annotators, id_col)
-    return s.where(~F.col("unanimous")).select(id_col, *annotators)
+    return s.where("lane = 'different'").select(id_col, *annotators)
+
+
+def incomplete_votes(votes: DataFrame, annotators=DEFAULT_ANNOTATORS, id_col: str = "id") -> DataFrame:
+    """G1 error lane: ids that lack a vote or a label, one column per annotator."""
+    s = vote_summary(votes, annotators, id_col)
+    return s.where("lane = 'incomplete'").select(id_col, *annotators)
 
 
 def majority_vote(votes: DataFrame, id_col: str = "id") -> DataFrame:
@@ -122,9 +134,10 @@ def disagreement_report(votes: DataFrame, info: DataFrame, annotators=DEFAULT_AN
                 .withColumn("note", F.lit("")).withColumn("final", F.lit("")))
 
 
-def consensus_labels(votes: DataFrame, info: DataFrame, task: str, id_col: str = "id") -> DataFrame:
-    """Every id with its agreed label, or '' (undecided) when annotators differ."""
-    s = vote_summary(votes, (), id_col)
+def consensus_labels(votes: DataFrame, info: DataFrame, task: str, id_col: str = "id",
+                     annotators=DEFAULT_ANNOTATORS) -> DataFrame:
+    """Every id with its agreed label, or '' (undecided) when annotators differ or one is missing."""
+    s = vote_summary(votes, annotators, id_col)
     lab = F.when(F.col("unanimous"), F.col("label")).otherwise(F.lit(""))
     return info.select(id_col, "text", "category").join(s.select(id_col, lab.alias(task)), id_col)
 
@@ -163,8 +176,9 @@ def consensus_resolve(consensus: DataFrame, human: DataFrame, model: DataFrame,
     ``reference``: the literal source rule - the model label when a human
     decision exists, else the (empty or missing) human decision.
     """
-    h = human.select(id_col, F.col("final").alias("_final"))
-    m = model.select(id_col, F.col("label").alias("_model"))
+    # one row per id: of several decisions the greatest counts
+    h = human.groupBy(id_col).agg(F.max("final").alias("_final"))
+    m = model.groupBy(id_col).agg(F.max("label").alias("_model"))
     j = consensus.join(h, id_col, "left").join(m, id_col, "left")
     undecided = F.col(task) == ""
     if policy == "human_first":
@@ -200,9 +214,10 @@ def label_domain_violations(df: DataFrame, label_col: str, domain, id_col: str =
     bad = df.where(lab.isNull() | ~lab.isin(*domain))
     out = bad.select(F.col(who), F.col(id_col), F.col(label_col).alias("label"))
     if strict:
+        # in a filter, which no later projection or count can prune
         msg = F.concat(F.lit("invalid label "), F.coalesce(F.col("label"), F.lit("null")),
                        F.lit(" at ("), F.col(who), F.lit(", "), F.col(id_col), F.lit(")"))
-        out = out.withColumn("label", F.raise_error(msg).cast("string"))
+        out = out.where(F.raise_error(msg).isNull())
     return out
 
 
@@ -214,9 +229,9 @@ def adjudicate(disputed: DataFrame, adjudications: DataFrame, id_col: str = "id"
 
 def label_lanes_union(votes: DataFrame, adjudications: DataFrame, id_col: str = "id") -> DataFrame:
     """The 'similar' lane unioned with the adjudicated ('checked') lane."""
-    s = vote_summary(votes, (), id_col)
-    similar = s.where("unanimous").select(id_col, "label", F.lit("similar").alias("lane"))
-    disputed = s.where(~F.col("unanimous")).select(id_col)
+    s = vote_summary(votes, DEFAULT_ANNOTATORS, id_col)
+    similar = s.where("lane = 'similar'").select(id_col, "label", "lane")
+    disputed = s.where("lane = 'different'").select(id_col)
     checked = adjudicate(disputed, adjudications, id_col).select(id_col, "label", F.lit("checked").alias("lane"))
     return similar.unionByName(checked)
 

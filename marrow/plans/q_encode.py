@@ -42,12 +42,12 @@ def _vocab(spark, sf_dir):
     return encode.build_vocab(cd.where(F.col("split") == "train"))
 
 
-def _encoded(spark, sf_dir):
+def _encoded(spark, sf_dir, max_len):
     cd = _clean_splits(spark, sf_dir)
-    return encode.encode_tokens(cd.where(F.col("split") == "test"), _vocab(spark, sf_dir), "doc_id")
+    return encode.encode_tokens(cd.where(F.col("split") == "test"), _vocab(spark, sf_dir), "doc_id", max_len=max_len)
 
 
-@register("build_vocab", operators=("G17", "U5", "C9", "C17"), sql=f"""
+@register("build_vocab", operators=("G17", "U5", "C9"), sql=f"""
 WITH {VOCAB_SQL} SELECT word, idx FROM vocab
 """)
 def build_vocab(spark, sf_dir):
@@ -71,7 +71,7 @@ def encode_tokens(spark, sf_dir):
                       F.array_join("input_ids", ",").alias("input_ids"))
 
 
-@register("pad_and_mask", operators=("C15", "C16", "X6"), sql=f"""
+@register("pad_and_mask", operators=("C15", "C16"), sql=f"""
 WITH {ENCODED_SQL},
 pm AS (SELECT doc_id, list_resize(ids, 128, 0) AS padded FROM enc)
 SELECT doc_id, array_to_string(padded, ',') AS input_ids,
@@ -80,7 +80,7 @@ SELECT doc_id, array_to_string(padded, ',') AS input_ids,
 FROM pm
 """)
 def pad_and_mask(spark, sf_dir):
-    enc = _encoded(spark, sf_dir)
+    enc = _encoded(spark, sf_dir, 128)
     padded, mask = encode.pad_and_mask("input_ids", 128)
     out = enc.select("doc_id", padded.alias("ids"), mask.alias("mask"))
     return out.select("doc_id", F.array_join("ids", ",").alias("input_ids"),
@@ -100,7 +100,7 @@ def label_encode(spark, sf_dir):
     return encode.label_encode(hr, "toxicity", "label_fixed").select("id", "annotator", "label_id", "lane")
 
 
-@register("vocab_vectors", operators=("J6", "S12"), sql=f"""
+@register("vocab_vectors", operators=("J6",), sql=f"""
 WITH {VOCAB_SQL},
 vec AS (SELECT v.word, e.embedding FROM vocab v JOIN embeddings e ON e.vec_id = v.idx)
 SELECT v.word, v.idx,

@@ -9,7 +9,8 @@ from marrow.plans.registry import register
 from marrow.sources.tables import table
 
 BIN = "b AS (SELECT doc_id, toxic AS label, quality AS prediction FROM labels)"
-LOGITS = """lg AS (SELECT vec_id, label, list_slice(embedding, 1, 10) AS logits FROM embeddings),
+LOGITS = """lg AS (SELECT vec_id, label, list_transform(range(10), lambda c: list_sum(list_transform(
+  list_filter(embedding, lambda x, i: (i - 1) % 10 = c), lambda x: CAST(round(x * 1000000) AS BIGINT))) / 1e6) AS logits FROM embeddings),
 pr AS (SELECT vec_id, label, CAST(list_position(logits, list_max(logits)) - 1 AS BIGINT) AS prediction, logits FROM lg)"""
 
 
@@ -20,7 +21,10 @@ def _binary(spark, sf_dir):
 
 def _logits(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    lg = F.slice("embedding", 1, 10)
+    # ten sums over all entries, in whole millionths so that they are exact in any order
+    lg = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.aggregate(
+        F.filter("embedding", lambda x, i: i % 10 == c), F.lit(0).cast("long"),
+        lambda total, x: total + F.round(x.cast("double") * 1000000).cast("long")) / F.lit(1e6))
     return e.select("vec_id", "label", lg.alias("logits"), E.argmax(lg).alias("prediction"))
 
 
@@ -31,7 +35,7 @@ def confusion_matrix(spark, sf_dir):
     return E.confusion_matrix(_binary(spark, sf_dir))
 
 
-@register("binary_metrics", operators=("G18", "K7"), sql=f"""
+@register("binary_metrics", operators=("G18",), sql=f"""
 WITH {BIN},
 c AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = prediction) AS correct,
              count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
@@ -71,7 +75,7 @@ def macro_metrics(spark, sf_dir):
     return E.macro_metrics(_logits(spark, sf_dir))
 
 
-@register("argmax_prediction", operators=("O7", "X7"), sql=f"""
+@register("argmax_prediction", operators=("O7",), sql=f"""
 WITH {LOGITS} SELECT vec_id, CAST(label AS BIGINT) AS label, prediction FROM pr
 """)
 def argmax_prediction(spark, sf_dir):

@@ -9,7 +9,7 @@ from marrow.plans.registry import register
 from marrow.sources.tables import table
 
 
-@register("stratified_sample", operators=("O3", "O2"), sql="""
+@register("stratified_sample", operators=("O3",), sql="""
 SELECT doc_id, source FROM documents
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('1|' || CAST(doc_id AS VARCHAR)), doc_id) <= 10
 """)
@@ -37,7 +37,7 @@ def fixed_size_sample(spark, sf_dir):
     return sampling.fixed_size_sample(lab, "doc_id", 100, seed=7)
 
 
-@register("limit_per_source", operators=("W5", "S9", "S10"), sql="""
+@register("limit_per_source", operators=("W5",), sql="""
 SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS rank
 FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 10

@@ -233,3 +233,12 @@ def resume_pending(spark, sf_dir):
     work = clean.batch_assign(d, "pos", 100)
     done = work.where(F.substring(F.md5(F.col("batch").cast("string")), 1, 1) < "8").select("batch")
     return joins.pending(work, done, "batch").select("pos", "batch")
+
+
+@register("vote_lanes", operators=("G1", "J2"), sql=f"""
+WITH {VOTES}, {GAPPY}
+SELECT id, CASE WHEN count(label) <> 3 THEN 'incomplete' WHEN min(label) = max(label) THEN 'similar' ELSE 'different' END AS lane,
+       CAST(count(*) AS BIGINT) AS n_votes FROM gvotes GROUP BY id
+""")
+def vote_lanes(spark, sf_dir):
+    return V.vote_summary(fx.votes_with_gaps(spark, sf_dir)).select("id", "lane", "n_votes")

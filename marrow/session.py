@@ -45,8 +45,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when nothing is configured (local
-    tests) a fresh scratch folder is created and registered.
+    The cluster's setting always wins.  Only where nothing is configured and
+    the master is local (driver and tasks share one machine) a fresh scratch
+    folder is created and registered; a cluster without the setting is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -57,6 +58,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    master = sc.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="marrow-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)

@@ -13,46 +13,15 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
                  "conversations")
 
 
-# Inputs below this size are read as they are (spreading them costs more than it saves).
-SPREAD_MIN_BYTES = 4 * 1024 * 1024
-# Inputs above this size are never spread: they have enough splits, and a
-# shuffle of them would cost real time (on 1000 executors cores x split size
-# alone would allow a terabyte).
-SPREAD_MAX_BYTES = 1024 * 1024 * 1024
-
-
-def input_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of a file or folder through the Hadoop FileSystem (works for any store)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
-
-
-def spread_small_input(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """Use every core on inputs smaller than one split per core.
-
-    A small file with one row group is read by a single task, which then
-    runs all per-row text work alone.  When the whole input is smaller than
-    one split per core (and below an absolute 1 GiB), a round-robin
-    repartition to the core count costs little shuffle and parallelises the
-    text work.  Larger inputs already have enough splits and are untouched.
-    """
-    cores = spark.sparkContext.defaultParallelism
-    max_split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
-    size = input_bytes(spark, path)
-    if SPREAD_MIN_BYTES <= size < min(cores * max_split, SPREAD_MAX_BYTES) and cores > 1:
-        return df.repartition(cores)
-    return df
-
+def table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
+    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it."""
+    ``partitions`` spreads the rows over that many tasks (for files of one row
+    group that feed heavy per-row work); by default the scan's splits stay."""
     if name not in DRIVER_TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    df = spark.read.parquet(path)
-    return spread_small_input(spark, df, path) if spread else df
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return df.repartition(partitions) if partitions else df
 
 
 # ---------------------------------------------------------------------------

@@ -44,8 +44,8 @@ def dedup_stream(spark: SparkSession, source_dir: str, schema: str, out_dir: str
         deduped = hashed.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["text_sha"])
     else:
         deduped = hashed.dropDuplicates(["text_sha"])
-    q = (deduped.select("text_sha")
-               .writeStream.format("parquet").option("path", out_dir)
+    # the first row of every text with all its columns; the state holds the hashes only
+    q = (deduped.writeStream.format("parquet").option("path", out_dir)
                .option("checkpointLocation", ckpt).outputMode("append")
                .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -27,6 +27,50 @@ def test_annotate_error_lane_and_retry(spark):
         ("a_2", "a", "NON-TOXIC"), ("a_2", "b", "NON-TOXIC")]
 
 
+def test_random_failures_lose_and_double_nothing(spark):
+    import random
+    n = 2000
+    texts = spark.range(n).selectExpr("cast(id as string) id", "concat('t', id) text")
+
+    def flaky(t):
+        if random.random() < 0.5:
+            raise ConnectionError("down")
+        return {"label": "A", "reason": t}
+
+    votes = hooks.annotate(texts, {"a": flaky})
+    failed = {r.id for r in votes.where("lane = 'error'").collect()}
+    again = hooks.retry_errors(votes, {"a": lambda t: {"label": "B", "reason": t}}, texts)
+    got = again.collect()
+    assert len(got) == n == len({r.id for r in got})
+    # exactly the failed pairs were called again
+    assert {r.id for r in got if r.label == "B"} == failed and 0 < len(failed) < n
+
+
+def test_retry_calls_only_the_failed_annotator(spark):
+    texts = spark.createDataFrame([("1", "x")], "id STRING, text STRING")
+
+    def down(t):
+        raise ConnectionError("down")
+
+    def never(t):
+        raise AssertionError("called for a pair that had not failed")
+
+    votes = hooks.annotate(texts, {"a": lambda t: {"label": "T"}, "b": down})
+    fixed = hooks.retry_errors(votes, {"a": never, "b": lambda t: {"label": "N"}}, texts)
+    assert rows(fixed, "annotator", "label", "lane") == [("a", "T", "ok"), ("b", "N", "ok")]
+
+
+def test_segment_falls_back_for_the_failing_row_only(spark):
+    df = spark.createDataFrame([("good one",), ("bad one",)], "text STRING").coalesce(1)
+
+    def segmenter(s):
+        if s.str.contains("bad").any():
+            raise ValueError("cannot segment")
+        return s.str.replace(" ", "_")
+
+    assert rows(hooks.segment(df, segmenter), "text", "segmented") == [("bad one", "bad one"), ("good one", "good_one")]
+
+
 def test_adjudicate_and_score(spark):
     payload = spark.createDataFrame([("x", '{"text": "t"}'), ("y", "bad")], "id STRING, payload STRING")
 

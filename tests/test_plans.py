@@ -42,14 +42,14 @@ def test_dedup_keys_are_narrow(spark):
     assert agg and all("text" not in line for line in agg)   # grouped on the hash, never the text
     out = clean.dedup_keep_first(docs, within=["category"])
     text = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "LeftSemi" in text and "Aggregate" not in text     # survivors come from a materialized key table
+    assert "LeftAnti" in text and "Aggregate" not in text     # the few rows to drop come from a written key table
 
 
-def test_top_n_is_map_side(spark):
-    text = plan(spark, "stratified_sample")
-    assert "MapInPandas" in text or "PythonMapInArrow" in text or "MapInArrow" in text
-    # the window ranks candidates only: it sits above the map-side cut
-    assert text.index("Window") < text.index("MapIn")
+def test_top_n_limits_groups_before_the_shuffle(spark):
+    for name in ("stratified_sample", "limit_per_source", "repeated_samples", "user_items_normalise"):
+        text = plan(spark, name)
+        assert text.count("WindowGroupLimit") >= 2, name   # partial and final
+        assert "MapIn" not in text
 
 
 def test_fixed_size_sample_is_top_k(spark):

@@ -16,7 +16,7 @@ def test_stratified_sample_matches_brute_force_with_hot_group(spark):
     df = spark.range(n_rows).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot")
                                     .otherwise(F.concat(F.lit("g"), (F.col("id") % 5).cast("string"))).alias("g"))
     df = df.repartition(7)
-    got = rows(sampling.stratified_sample(df, "g", "id", 4, seed=9, max_groups=6), "g", "id")
+    got = rows(sampling.stratified_sample(df, "g", "id", 4, seed=9), "g", "id")
     groups = {}
     for i in range(n_rows):
         groups.setdefault("hot" if i % 3 == 0 else f"g{i % 5}", []).append(i)

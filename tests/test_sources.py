@@ -103,8 +103,8 @@ def test_sinks_roundtrip(spark):
 def test_raw_compare_and_subword_hook(spark):
     v = spark.createDataFrame([("1", "a", 1, "TOXIC"), ("1", "b", 2, " TOXIC\n"), ("1", "c", 3, "TOXIC")],
                               "id STRING, annotator STRING, rnk INT, label STRING")
-    assert V.vote_summary(v, ()).collect()[0].unanimous is True
-    assert V.vote_summary(v, (), raw=True).collect()[0].unanimous is False
+    assert V.vote_summary(v, ("a", "b", "c")).collect()[0].unanimous is True
+    assert V.vote_summary(v, ("a", "b", "c"), raw=True).collect()[0].unanimous is False
 
     def tok(texts, max_len):
         ids = [[len(w) for w in t.split()][:max_len] for t in texts]

@@ -50,7 +50,9 @@ def votes_df(spark):
 
 
 def test_lanes_and_majority(spark, votes_df):
-    assert rows(V.unanimous_votes(votes_df)) == [("a_1", "TOXIC"), ("b_4", "NON-TOXIC")]
+    assert rows(V.unanimous_votes(votes_df)) == [("a_1", "TOXIC")]
+    # mistral never voted on b_4
+    assert rows(V.incomplete_votes(votes_df)) == [("b_4", "NON-TOXIC", None, "NON-TOXIC")]
     assert rows(V.disputed_votes(votes_df), "id", "deepseek", "mistral", "qwen") == [
         ("a_2", "TOXIC", "NON-TOXIC", "NON-TOXIC"), ("b_3", "IMPLICIT", "EXPLICIT", "REPORT")]
     # 1-1-1 tie -> first annotator (deepseek)
@@ -77,13 +79,13 @@ def test_disagreement_and_consensus(spark, votes_df):
     share = {r.scope: (r.n_total, r.n_different) for r in V.disagreement_share(rep, info).collect()}
     assert share == {"all": (4, 2), "a": (2, 1), "b": (2, 1)}
     cons = V.consensus_labels(votes_df, info, "toxicity")
-    assert rows(cons, "id", "toxicity") == [("a_1", "TOXIC"), ("a_2", ""), ("b_3", ""), ("b_4", "NON-TOXIC")]
+    assert rows(cons, "id", "toxicity") == [("a_1", "TOXIC"), ("a_2", ""), ("b_3", ""), ("b_4", "")]
     human = spark.createDataFrame([("a_2", "TOXIC"), ("b_3", "")], "id STRING, final STRING")
     model = spark.createDataFrame([("a_2", "NON-TOXIC"), ("b_3", "EXPLICIT")], "id STRING, label STRING")
     hf = rows(V.consensus_resolve(cons, human, model, "toxicity"), "id", "toxicity")
-    assert hf == [("a_1", "TOXIC"), ("a_2", "TOXIC"), ("b_3", "EXPLICIT"), ("b_4", "NON-TOXIC")]
+    assert hf == [("a_1", "TOXIC"), ("a_2", "TOXIC"), ("b_3", "EXPLICIT"), ("b_4", None)]
     lit = rows(V.consensus_resolve(cons, human, model, "toxicity", policy="reference"), "id", "toxicity")
-    assert lit == [("a_1", "TOXIC"), ("a_2", "NON-TOXIC"), ("b_3", ""), ("b_4", "NON-TOXIC")]
+    assert lit == [("a_1", "TOXIC"), ("a_2", "NON-TOXIC"), ("b_3", ""), ("b_4", None)]
 
 
 def test_enrich_left_default_keeps_missing_kinds_apart(spark):
@@ -98,3 +100,27 @@ def test_parse_reply_lanes(spark):
                                 ("3", '{"label": "TOXIC", "reason": ')], "id STRING, raw STRING")
     assert rows(V.parse_reply(df), "id", "label", "lane") == [
         ("1", "TOXIC", "ok"), ("2", None, "error"), ("3", None, "error")]
+
+
+def test_lanes_partition_the_ids(spark):
+    three = [("deepseek", 1), ("mistral", 2), ("qwen", 3)]
+    labels = {"same": "TTT", "split": "TNT", "null": "TT-", "all_null": "---", "one": "T", "twice": "TTTT"}
+    data = [(i, *three[k % 3], None if c == "-" else c) for i, cs in labels.items() for k, c in enumerate(cs)]
+    v = spark.createDataFrame(data, "id STRING, annotator STRING, rnk INT, label STRING")
+    lanes = dict(rows(V.vote_summary(v), "id", "lane"))
+    assert lanes == {"same": "similar", "split": "different", "null": "incomplete", "all_null": "incomplete",
+                     "one": "incomplete", "twice": "incomplete"}
+    parts = [{r.id for r in f(v).collect()} for f in (V.unanimous_votes, V.disputed_votes, V.incomplete_votes)]
+    assert sum(map(len, parts)) == len(set().union(*parts)) == len(labels)
+
+
+def test_strict_domain_check_fails_under_count(spark):
+    bad = spark.createDataFrame([("x", "h1", "WRONG")], "id STRING, annotator STRING, label STRING")
+    with pytest.raises(Exception):
+        V.label_domain_violations(bad, "label", ("RIGHT",), strict=True).count()
+
+
+def test_overwrite_keeps_one_row_per_target(spark):
+    target = spark.createDataFrame([("a", "x"), ("b", "y")], "id STRING, label STRING")
+    updates = spark.createDataFrame([("a", "1", 1), ("a", "0", 2)], "id STRING, v STRING, at INT")
+    assert rows(joins.overwrite_by_key(target, updates, "id", "v", "label", order="at")) == [("a", "0"), ("b", "y")]
