@@ -184,11 +184,14 @@ def members(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") ->
     return docs.select(key, text).mapInArrow(core.over_batches(each), f"key {kind}, node long, size long")
 
 
-def signature_table(docs: DataFrame, n: int, percent: int, text: str = "text", n2: int = 2, k2: int = 1) -> DataFrame:
-    """(sig, node, size); a task shows every node once, however many copies it reads."""
+def shared_signatures(docs: DataFrame, n: int, percent: int, text: str = "text", n2: int = 2, k2: int = 1) -> DataFrame:
+    """(sig, node), once each, of the signatures that at least two nodes have.
 
-    def run(batches):
-        seen: set[int] = set()
+    The one large shuffle: signatures meet in sorted partitions, which are read as a stream
+    that holds one row of a signature at a time, however many nodes share it."""
+
+    def emit(batches):
+        seen: set[int] = set()  # a task shows every node once, however many copies it reads
         for batch in batches:
             for lo, hi, buf, offsets in core.chunks(batch.column(0)):
                 owner, value = shingles(buf, offsets, n)
@@ -200,24 +203,62 @@ def signature_table(docs: DataFrame, n: int, percent: int, text: str = "text", n
                         fresh[d] = True
                 use = fresh[owner]
                 doc, sig = signatures(owner[use], value[use], np.where(fresh, size, 0), percent, n2, k2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig), pa.array(fp[doc]), pa.array(size[doc].astype(np.int32))], names=["sig", "node", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(fp[doc])], names=["sig", "node"])
 
-    return docs.select(text).mapInArrow(run, "sig long, node long, size int")
+    def keep_shared(batches):
+        head, told = None, False  # the last row so far, and whether it has been given out
+        for batch in batches:
+            sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(sig):
+                continue
+            if head is not None:
+                sig, node = np.append(head[0], sig), np.append(head[1], node)
+            new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
+            sig, node = sig[new], node[new]
+            same = np.concatenate(([False], sig[1:] == sig[:-1]))
+            shared = same | np.append(same[1:], False)
+            last = told if len(sig) == 1 else bool(shared[-1])
+            if told:
+                shared[0] = False
+            head, told = (sig[-1:], node[-1:]), last
+            yield pa.RecordBatch.from_arrays([pa.array(sig[shared]), pa.array(node[shared])], names=["sig", "node"])
+
+    schema = "sig long, node long"
+    table = docs.select(text).mapInArrow(emit, schema)
+    return table.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(keep_shared, schema)
+
+
+#: Bits of the map that tells which nodes' texts are wanted (4 MB, whatever the input).
+MAP_BITS = 1 << 25
+
+
+def _wanted_map(wanted: DataFrame) -> np.ndarray:
+    """A bit map of the low bits of all wanted nodes; made by aggregation, of fixed size."""
+    words = wanted.select(F.expr(f"shiftright(node & {MAP_BITS - 1}L, 6)").alias("word"),
+                          F.expr("shiftleft(1L, cast(node & 63L AS int))").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 64, np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
 def node_texts(docs: DataFrame, wanted: DataFrame, n: int, text: str = "text") -> DataFrame:
-    """(node, text): one text of each wanted node."""
+    """(node, text): one text of each wanted node.  The bit map spares most other texts the shuffle."""
+    wanted = wanted.select("node").distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(_wanted_map(wanted))
 
     def run(batches):
+        bits = shared.value
         seen: set[int] = set()
         for batch in batches:
             column = batch.column(0)
             for lo, hi, buf, offsets in core.chunks(column):
                 fp, size = nodes(*shingles(buf, offsets, n), hi - lo)
+                at = fp & (MAP_BITS - 1)
+                maybe = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
                 pick = []
-                for d, node in enumerate(fp.tolist()):
-                    if size[d] and node not in seen:
+                for d in np.flatnonzero((maybe == 1) & (size > 0)).tolist():
+                    if (node := int(fp[d])) not in seen:
                         seen.add(node)
                         pick.append(d)
                 pick = np.array(pick, np.int64)
@@ -225,7 +266,7 @@ def node_texts(docs: DataFrame, wanted: DataFrame, n: int, text: str = "text") -
                     [pa.array(fp[pick]), column.take(pa.array(lo + pick))], names=["node", "text"])
 
     found = docs.select(text).mapInArrow(run, "node long, text string")
-    return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -262,7 +303,7 @@ def needs(sizes: DataFrame, percent: int, n2: int, k2: int) -> DataFrame:
         need = np.array([i.need if i.differ else 0 for i in all_], np.int32)[band]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(need)], names=["node", "size", "need"])
 
-    return sizes.mapInArrow(core.over_batches(each), "node long, size int, need int")
+    return sizes.mapInArrow(core.over_batches(each), "node long, size long, need int")
 
 
 def _prune(groups: DataFrame, needed: DataFrame) -> DataFrame:
@@ -288,17 +329,15 @@ def _apart(rows: DataFrame) -> DataFrame:
     return rows.toDF("sig", "a", "la").join(rows.toDF("sig", "b", "lb"), "sig").filter("a < b and la <> lb").select("a", "b")
 
 
-def links(docs: DataFrame, n: int, percent: int, text: str = "text", n2: int = 2, k2: int = 1) -> DataFrame:
-    """(node, label): the components of all nodes that are linked with another one."""
-    checkpoint_dir(docs.sparkSession)
-    table = signature_table(docs, n, percent, text, n2, k2)
-    # only signatures that two different nodes share
-    ends = table.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    found = table.join(ends.select("sig"), "sig", "left_semi").distinct().checkpoint()
-    sized = needs(found.select("node", "size").distinct(), percent, n2, k2).checkpoint()
+def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, text: str = "text", n2: int = 2, k2: int = 1
+          ) -> DataFrame:
+    """(node, label): the components of all nodes that are linked with another one; ``rows`` has the members."""
+    found = shared_signatures(docs, n, percent, text, n2, k2).checkpoint()
+    sized = rows.select("node", "size").distinct().join(found.select("node").distinct(), "node")
+    sized = needs(sized, percent, n2, k2).checkpoint()
     # a node may be the smaller one of its pairs, whose instance is the next band's, or its own
     needed = sized.select("node", F.greatest("need", F.lit(1)).alias("least"))
-    groups = _prune(found.select("sig", "node"), needed)
+    groups = _prune(found, needed)
     lists = groups.groupBy("node").agg(F.collect_list("sig").alias("sigs")).join(sized, "node").select(
         "node", "size", "need", "sigs").checkpoint()
 
@@ -339,8 +378,9 @@ def links(docs: DataFrame, n: int, percent: int, text: str = "text", n2: int = 2
 def score(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text",
           n2: int = 2, k2: int = 1) -> DataFrame:
     """One row per document: key, n_shingles, component_id (the smallest key it is linked with, directly or not)."""
-    label = links(docs, n, percent, text, n2, k2).withColumnRenamed("node", "linked")
+    checkpoint_dir(docs.sparkSession)
     rows = members(docs, n, key, text).checkpoint()
+    label = links(docs, rows, n, percent, text, n2, k2).withColumnRenamed("node", "linked")
     found = rows.join(label, F.col("node") == F.col("linked"), "left").select(
         "key", "size", F.coalesce("label", "node").alias("class"))
     least = found.filter(F.col("class").isNotNull()).groupBy(F.col("class").alias("group")).agg(
@@ -353,8 +393,9 @@ def score(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", t
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near duplicates: of every component the smallest key stays
     (with all rows that bear it); documents without words stay."""
-    label = links(docs, n, percent, text).withColumnRenamed("node", "linked")
+    checkpoint_dir(docs.sparkSession)
     rows = members(docs, n, key, text).checkpoint()
+    label = links(docs, rows, n, percent, text).withColumnRenamed("node", "linked")
     found = rows.join(label, F.col("node") == F.col("linked"), "left").select("key", F.coalesce("label", "node").alias("class"))
     best = found.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("key").alias("best"))
     lost = found.join(best, "class").filter(~F.col("key").eqNullSafe(F.col("best"))).select("key").distinct()
