@@ -131,7 +131,8 @@ def count(docs: DataFrame, ranks: str, whole: str, pattern: str, sections: DataF
     appears only where it holds tokens."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    if sections is not None:
+    listed_sections = sections is not None
+    if listed_sections:
         # as many as a document has sections
         lists = sections.groupBy(F.col(key).alias("of")).agg(
             F.array_sort(F.collect_list(F.struct("start", "end", "section"))).alias("sections"))
@@ -139,7 +140,7 @@ def count(docs: DataFrame, ranks: str, whole: str, pattern: str, sections: DataF
 
     def each(batch: pa.RecordBatch):
         encode = offset_tokenizer(ranks, whole, pattern)
-        given = batch.column(2) if sections is not None else None
+        given = batch.column(2) if listed_sections else None
         for lo, hi, buf, offsets in core.chunks(batch.column(1)):
             data, at = buf.tobytes(), offsets.tolist()
             parts = {k: [] for k in ("row", "section", "start", "end", "first", "most", "share", "crossing", "n_doc")}
