@@ -235,7 +235,7 @@ def log_likelihood(model: Crf, X: np.ndarray, Y: np.ndarray, mask: np.ndarray):
     return (gold - z.sum()) / w, g_emit / w, g_move / w
 
 
-def fit(X: np.ndarray, Y: np.ndarray, mask: np.ndarray, steps: int = 60, rate: float = 0.4, l2: float = 1e-4) -> Crf:
+def fit(X: np.ndarray, Y: np.ndarray, mask: np.ndarray, steps: int = 120, rate: float = 0.5, l2: float = 1e-4) -> Crf:
     """Maximum likelihood by Adagrad over all windows; deterministic."""
     model = Crf(np.zeros((TABLE, TAGS)), np.zeros((TAGS, TAGS)))
     if not len(Y) or not Y.any():
