@@ -25,8 +25,8 @@ def written(keys: DataFrame) -> DataFrame:
 # which callers get with ``select("text")``.
 # ---------------------------------------------------------------------------
 def drop_null_text(df: DataFrame, col: str = "text") -> DataFrame:
-    """rows whose text is missing (null or a CSV NA spelling) are dropped."""
-    return df.withColumn(col, tx.csv_null(col)).where(F.col(col).isNotNull())
+    """rows without a text are dropped (the CSV reader turns NA spellings into null)."""
+    return df.where(F.col(col).isNotNull())
 
 
 def mention_only_filter(df: DataFrame, text: str = "text", mentions: str = "mentions") -> DataFrame:

@@ -41,26 +41,11 @@ def build_vocab(texts: DataFrame, text: str = "text") -> DataFrame:
     return pad.unionByName(body).unionByName(unk)
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    from marrow.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def invert_vocab(vocab: DataFrame) -> DataFrame:
     """C17: idx -> word."""
     return vocab.select("idx", "word")
 
 
-def materialize_vocab(vocab: DataFrame) -> DataFrame:
-    """Write the vocabulary once (the source keeps vocab.json) and cut its lineage.
-
-    Uses a reliable checkpoint in the shared ``spark.checkpoint.dir``, so a
-    lost executor does not force the distinct pass to run again.
-    """
-    return _checkpoint(vocab)
-
-
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, text: str = "text",
                   out: str = "input_ids", max_len: int | None = None) -> DataFrame:
     """Space-split tokens -> vocabulary ids (unknown -> <unk>), order kept.

@@ -2,8 +2,8 @@
 
 Spark has no recursive struct type, so a reply tree stays a JSON string and
 one tree (one row) is flattened by a Python UDTF with an explicit stack (no
-recursion limit).  Forests stored as edge tables are walked level by level
-with joins instead, so no tree has to fit in one row.
+recursion limit).  Forests stored as edge tables are resolved by pointer
+doubling instead, so no tree has to fit in one row.
 """
 
 from __future__ import annotations
@@ -132,9 +132,11 @@ def normalise_posts(posts: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Reply trees as JSON (S8): Python UDTF, one tree per row.
 # ---------------------------------------------------------------------------
-@udtf(returnType="seq: bigint, depth: bigint, author: string, body: string, score: bigint", useArrow=True)
+@udtf(returnType="seq: bigint, depth: bigint, author: string, body: string, score: double, lane: string", useArrow=True)
 class FlattenReplies:
-    """Pre-order rows of every ``kind == 't1'`` item; ``replies`` may be '' or an object."""
+    """Pre-order rows of every ``kind == 't1'`` item; ``replies`` may be '' or an object.
+
+    A document that is no JSON gives one row in lane ``error``, with the document as its body."""
 
     def eval(self, doc: str):
         if doc is None:
@@ -142,6 +144,7 @@ class FlattenReplies:
         try:
             items = json.loads(doc)
         except ValueError:
+            yield (None, None, None, doc, None, "error")
             return
         if isinstance(items, dict):
             items = [items]
@@ -154,7 +157,7 @@ class FlattenReplies:
             data = item.get("data") or {}
             score = data.get("score")
             yield (seq, depth, data.get("author", ""), data.get("body", ""),
-                   score if isinstance(score, int) and not isinstance(score, bool) else None)
+                   float(score) if isinstance(score, (int, float)) and not isinstance(score, bool) else None, "ok")
             seq += 1
             replies = data.get("replies", "")
             if isinstance(replies, dict):
@@ -163,7 +166,7 @@ class FlattenReplies:
 
 
 def flatten_reply_trees(df: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
-    """Lateral-join the UDTF; output ``keys + (seq, depth, author, body, score)``."""
+    """Lateral-join the UDTF; output ``keys + (seq, depth, author, body, score, lane)``."""
     spark: SparkSession = df.sparkSession
     spark.udtf.register("marrow_flatten_replies", FlattenReplies)
     cols = ", ".join(f"t.`{k}`" for k in keys)
@@ -190,39 +193,41 @@ def chain_to_tree_json(turns: DataFrame, tree: str, pos: str, author: str, body:
 
 
 # ---------------------------------------------------------------------------
-# Reply forests as edge tables: level-by-level joins (no recursion limit).
+# Reply forests as edge tables: pointer doubling (no recursion limit).
 # ---------------------------------------------------------------------------
-def tree_paths(edges: DataFrame, tree: str, node: str, parent: str, pos: str,
-               max_depth: int = 100_000) -> DataFrame:
-    """Depth, root path and pre-order sequence of every node of a forest.
-
-    ``edges`` has one row per node; roots have a null parent.  Each level is
-    one join of the edges with the previous frontier, and every frontier is
-    written once as a reliable checkpoint: lineage never grows with depth,
-    a lost executor recomputes one level at most, and the result is a flat
-    union of materialized levels.  The pre-order number is the rank of the
-    position path within its tree (range-partitioned, no single-task sort).
+def tree_paths(edges: DataFrame, tree: str, node: str, parent: str, pos: str) -> DataFrame:
+    """Depth, root path and pre-order sequence of every node of a forest, with its lane.
+
+    ``edges`` has one row per node; roots have a null parent.  Every node knows
+    the path below some ancestor; a round joins it with that ancestor's own
+    path, so the known stretch doubles and a thread of depth d takes log2(d)
+    rounds, each written once as a reliable checkpoint.  The pre-order number
+    is the rank of the position path within its tree (range-partitioned, no
+    single-task sort).  Nodes that no root leads to (a missing parent, a cycle,
+    or below either) keep null depth, path and seq in lane ``unreached``.
     """
     checkpoint_dir(edges.sparkSession)
-    e = edges.select(F.col(tree).alias("_t"), F.col(node).alias("_n"), F.col(parent).alias("_par"),
-                     F.col(pos).alias("_pos"))
-    level = e.where(F.col("_par").isNull()).select(
-        "_t", "_n", F.lit(0).cast("long").alias("depth"), F.array(F.col("_pos")).alias("path")
-    ).checkpoint(eager=True)
-    levels = [level]
-    children = e.where(F.col("_par").isNotNull())
-    for d in range(1, max_depth + 1):
-        nxt = (children.join(level.select(F.col("_t"), F.col("_n").alias("_par"), F.col("path").alias("_pp")),
-                             ["_t", "_par"])
-                       .select("_t", "_n", F.lit(d).cast("long").alias("depth"),
-                               F.concat(F.col("_pp"), F.array(F.col("_pos"))).alias("path"))
-                       .checkpoint(eager=True))
-        if nxt.isEmpty():
+    state = edges.select(
+        F.col(tree).alias("_t"), F.col(node).alias("_n"), F.col(parent).alias("_up"),
+        F.array(F.col(pos)).alias("path")).checkpoint(eager=True)
+    # a path has no more nodes than its tree, so more rounds would only go round a cycle
+    largest = state.groupBy("_t").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(max(largest - 1, 0).bit_length()):
+        above = state.select(F.col("_t").alias("_at"), F.col("_n").alias("_an"), F.col("_up").alias("_next"),
+                             F.col("path").alias("_pp"))
+        joined = state.join(above, F.col("_t").eqNullSafe(F.col("_at")) & (F.col("_up") == F.col("_an")), "left")
+        found = F.col("_an").isNotNull()
+        state = joined.select("_t", "_n", F.when(found, F.col("_next")).otherwise(F.col("_up")).alias("_up"),
+                              F.when(found, F.concat("_pp", "path")).otherwise(F.col("path")).alias("path")
+                              ).checkpoint(eager=True)
+        if state.where(F.col("_up").isNotNull()).isEmpty():
             break
-        levels.append(nxt)
-        level = nxt
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    ranked = positional_rank(out, "_t", "path", "seq")
-    return ranked.select(F.col("_t").alias(tree), F.col("_n").alias(node), "depth", "path", "seq")
+    reached = state.where(F.col("_up").isNull()).select("_t", "_n", F.size("path").alias("_d"), "path")
+    ranked = positional_rank(reached.select("_t", "_n", "_d", "path"), "_t", "path", "seq")
+    good = ranked.select(F.col("_t").alias(tree), F.col("_n").alias(node), (F.col("_d") - 1).cast("long").alias("depth"),
+                         "path", "seq", F.lit("ok").alias("lane"))
+    lost = state.where(F.col("_up").isNotNull()).select(
+        F.col("_t").alias(tree), F.col("_n").alias(node), F.lit(None).cast("long").alias("depth"),
+        F.lit(None).cast(state.schema["path"].dataType).alias("path"), F.lit(None).cast("long").alias("seq"),
+        F.lit("unreached").alias("lane"))
+    return good.unionByName(lost)

@@ -204,7 +204,7 @@ def remove_emoji(spark, sf_dir):
     return d.select("doc_id", tx.remove_emoji("text").alias("text"))
 
 
-@register("removed_body_filter", operators=("F6", "F7", "F8"), sql=f"""
+@register("removed_body_filter", operators=("F6",), sql=f"""
 WITH {MARKED}
 SELECT doc_id, text FROM marked
 WHERE text IS NOT NULL AND text NOT IN ('[removed]', '[deleted]', '')
@@ -240,7 +240,7 @@ def drop_repeated_header(spark, sf_dir):
     return out.select(F.col("_pos").alias("pos"), "source")
 
 
-@register("id_prefix", operators=("C12", "F11"), sql=f"""
+@register("id_prefix", operators=("C12",), sql=f"""
 WITH {IDS_SQL}
 SELECT id, split_part(id, '_', 1) AS category FROM ided
 """)

@@ -93,7 +93,7 @@ def category_split_cube(spark, sf_dir):
     return stats.category_split_cube(_split_docs(spark, sf_dir))
 
 
-@register("category_split_crosstab", operators=("G14", "J9", "U4", "O1"), sql=f"""
+@register("category_split_crosstab", operators=("G14", "J9", "U4"), sql=f"""
 WITH {SPLIT_DOCS},
 c AS (SELECT coalesce(source, 'Total') AS category,
              CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS train,

@@ -17,7 +17,7 @@ CHAIN = """RECURSIVE t(conv_id, turn, depth, role, text) AS (
   FROM conversations c JOIN t ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)"""
 
 
-@register("reply_tree_flatten", operators=("S8", "X9", "F18", "S7"), sql=f"""
+@register("reply_tree_flatten", operators=("S8", "X9"), sql=f"""
 WITH {CHAIN}
 SELECT conv_id, CAST(depth AS BIGINT) AS seq, CAST(depth AS BIGINT) AS depth, role AS author,
        text AS body, CAST(turn AS BIGINT) AS score
@@ -26,7 +26,8 @@ FROM t
 def reply_tree_flatten(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
     trees = tree.chain_to_tree_json(conv, "conv_id", "turn", "role", "text")
-    return tree.flatten_reply_trees(trees, "tree_json", ["conv_id"])
+    out = tree.flatten_reply_trees(trees, "tree_json", ["conv_id"])
+    return out.select("conv_id", "seq", "depth", "author", "body", F.col("score").cast("long").alias("score"))
 
 
 @register("reply_tree_paths", operators=("S8",), sql=f"""
@@ -120,7 +121,7 @@ def post_listing_normalise(spark, sf_dir):
     return tree.normalise_posts(posts).select("score", "image_url", "thumbnail_url")
 
 
-@register("post_detail_flatten", operators=("S7", "S8", "F18"), sql="""
+@register("post_detail_flatten", operators=("S7", "S8"), sql="""
 WITH f AS (SELECT conv_id, arg_min(text, turn) AS title, arg_min(role, turn) AS body, count(*) AS n
            FROM conversations GROUP BY conv_id)
 SELECT conv_id, title, body, CAST(n - 1 AS BIGINT) AS n_comments FROM f WHERE n >= 2
@@ -144,3 +145,29 @@ def post_detail_flatten(spark, sf_dir):
     counts = comments.groupBy("conv_id").agg(F.count(F.lit(1)).cast("long").alias("n_comments"))
     return detail.select("conv_id", "title", "body").join(counts, "conv_id", "left") \
                  .select("conv_id", "title", "body", F.coalesce("n_comments", F.lit(0)).cast("long").alias("n_comments"))
+
+
+# Branching threads: node k of a conversation (counted from 0) replies to node (k - 1) / 2; every
+# fifth conversation has lost its third node, so what hangs below it is unreached.
+BRANCHED = """k AS (SELECT conv_id, turn - min(turn) OVER (PARTITION BY conv_id) AS k FROM conversations),
+e AS (SELECT conv_id, k, CASE WHEN k > 0 THEN (k - 1) // 2 END AS parent FROM k WHERE NOT (conv_id % 5 = 0 AND k = 2))"""
+
+
+@register("reply_tree_branches", operators=("S8",), sql=f"""
+WITH RECURSIVE {BRANCHED},
+t AS (SELECT conv_id, k, 0 AS depth, [k] AS path FROM e WHERE parent IS NULL
+      UNION ALL SELECT e.conv_id, e.k, depth + 1, list_append(path, e.k) FROM e JOIN t ON e.conv_id = t.conv_id AND e.parent = t.k)
+SELECT conv_id, CAST(k AS BIGINT) AS k, CAST(depth AS BIGINT) AS depth, array_to_string(path, '/') AS path,
+       CAST(row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS BIGINT) AS seq, 'ok' AS lane FROM t
+UNION ALL
+SELECT e.conv_id, CAST(e.k AS BIGINT), NULL, NULL, NULL, 'unreached' FROM e LEFT JOIN t ON e.conv_id = t.conv_id AND e.k = t.k
+WHERE t.k IS NULL
+""")
+def reply_tree_branches(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    first = conv.groupBy("conv_id").agg(F.min("turn").alias("_t0"))
+    k = conv.join(first, "conv_id").select("conv_id", (F.col("turn") - F.col("_t0")).cast("long").alias("k"))
+    edges = k.where(~((F.col("conv_id") % 5 == 0) & (F.col("k") == 2))).withColumn(
+        "parent", F.when(F.col("k") > 0, F.floor((F.col("k") - 1) / 2)))
+    out = tree.tree_paths(edges, "conv_id", "k", "parent", "k")
+    return out.select("conv_id", "k", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "seq", "lane")

@@ -149,7 +149,7 @@ def consensus_resolve(spark, sf_dir):
     return V.consensus_resolve(cons, fx.human_final(spark, sf_dir), model, "toxicity")
 
 
-@register("label_overwrite", operators=("J4", "F16"), sql=f"""
+@register("label_overwrite", operators=("J4",), sql=f"""
 WITH {VOTES}, {TV}, {SUMMARY}, {HUMAN_FINAL}, {HUMAN_REVIEW},
 diff AS (SELECT s.id, h.final FROM summ s JOIN hfinal h ON s.id = h.id WHERE s.lo <> s.hi)
 SELECT r.id, r.annotator, CASE WHEN d.id IS NOT NULL THEN d.final ELSE r.label_fixed END AS label_fixed
@@ -190,7 +190,7 @@ def label_lanes_union(spark, sf_dir):
     return V.label_lanes_union(_tv(spark, sf_dir), fx.adjudications(spark, sf_dir))
 
 
-@register("adjudication_payload", operators=("F12", "F13"), sql=f"""
+@register("adjudication_payload", operators=("F12",), sql=f"""
 WITH {VOTES}, {TV}, {SUMMARY}
 SELECT i.id, i.text, s.deepseek, s.mistral, s.qwen
 FROM ldocs i JOIN summ s ON i.id = s.id WHERE s.lo <> s.hi

@@ -16,7 +16,8 @@ def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
     own header, so readers must skip header copies (:func:`marrow.operators.clean.drop_repeated_header`)
     or read with ``header=True`` per file, as Spark does."""
     (df.write.mode("append" if append else "overwrite").option("header", True)
-       .option("escape", '"').csv(path))
+       .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+       .csv(path))
 
 
 def write_stage(df: DataFrame, path: str, stage: str, partition_cols: tuple[str, ...] = ()) -> None:

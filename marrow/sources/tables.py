@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marrow.functions import text as tx
+
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
                  "conversations")
@@ -31,36 +34,55 @@ PLATFORM_SCHEMAS = {
     "youtube": "author STRING, text STRING, likeCount BIGINT, publishedAt STRING, video_id STRING",
     "reddit": "author STRING, body STRING, score BIGINT, link STRING",
     "facebook": "text STRING",
+    "tiktok": "text STRING",
 }
+#: The column a platform's repairer cannot do without.
+PLATFORM_TEXT = {"youtube": "text", "reddit": "body", "facebook": "text", "tiktok": "text"}
 
 
 def read_platform_csv(spark: SparkSession, root: str, platform: str,
                       schema: str | None = None) -> DataFrame:
-    """Scan every CSV of one platform below ``root/<category>/<platform>/``.
-
-    Adds ``category`` (from the path), ``file`` and ``row`` so later steps can
-    order rows as (file, row) instead of relying on listing order.  Category
-    folders whose name contains ``link`` are skipped (link lists live there).
-    TikTok files carry a ragged set of ``mentions*`` columns; read them with
-    ``schema=None`` (header inference of names only, all strings).
+    """Scan every CSV of one platform below ``root/<category>/<platform>/``, by column names.
+
+    Files are grouped by their header line and every distinct header is one
+    read, so columns may stand in any order and headers may differ (TikTok's
+    ragged ``mentions*`` columns become one array).  A file without the
+    platform's text column is an error; other columns of the schema are null
+    where a file lacks them.  NA spellings of the text become null, as the
+    source's CSV reader has them.
+
+    Adds ``category`` (from the path), ``file``, and ``pos``, the struct (file,
+    row) that orders rows within a category.  Category folders whose name
+    contains ``link`` are skipped (link lists live there).  Quoted newlines
+    make one file one task, so large dumps should come as many files.
     """
-    reader = (spark.read.option("header", True).option("multiLine", True)
-              .option("escape", '"').option("mode", "PERMISSIVE"))
-    if schema or platform in PLATFORM_SCHEMAS:
-        reader = reader.schema(schema or PLATFORM_SCHEMAS[platform])
-    df = reader.csv(os.path.join(root, "*", platform, "*.csv"))
-    path = F.col("_metadata.file_path")
-    df = (df.withColumn("category", F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1))
-            .withColumn("file", F.col("_metadata.file_name"))
-            .withColumn("_rowid", F.monotonically_increasing_id()))
-    return df.where(~F.col("category").contains("link"))
-
-
-def fold_mentions(df: DataFrame) -> DataFrame:
-    """TikTok: fold every ``mentions*`` column into ``mentions ARRAY<STRING>``."""
-    cols = [c for c in df.columns if c.startswith("mentions")]
-    arr = F.array(*[F.col(c).cast("string") for c in cols]) if cols else F.array().cast("array<string>")
-    return df.withColumn("mentions", F.filter(arr, lambda m: m.isNotNull())).drop(*cols)
+    if platform not in PLATFORM_TEXT:
+        raise ValueError(f"unsupported platform {platform!r}; expected one of {sorted(PLATFORM_TEXT)}")
+    wanted = spark.createDataFrame([], schema or PLATFORM_SCHEMAS[platform]).schema
+    text = PLATFORM_TEXT[platform]
+    # file names and header lines only: as much as a listing of the folder holds
+    files = spark.read.format("binaryFile").load(os.path.join(root, "*", platform, "*.csv")).select(
+        "path", F.regexp_replace(F.substring_index(F.col("content").cast("string"), "\n", 1), r"^\x{feff}|\r$", "").alias("header"))
+    names = F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1)
+    groups = files.where(~names.contains("link")).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    out = None
+    for g in sorted(groups, key=lambda g: g.header):
+        header = next(csv.reader([g.header]), [])
+        if text not in header:
+            raise ValueError(f"{g.paths[0]}: no column {text!r} in {header}")
+        part = (spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
+                .schema(T.StructType([T.StructField(f"_{i}_{c}", T.StringType()) for i, c in enumerate(header)])).csv(g.paths))
+        at = {c: F.col(f"`_{i}_{c}`") for i, c in reversed(list(enumerate(header)))}
+        cols = [at.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.fields]
+        if platform == "tiktok":
+            cols.append(F.array_compact(F.array(*[at[c] for c in header if c.startswith("mentions")])).cast("array<string>").alias("mentions"))
+        path = F.col("_metadata.file_path")
+        part = part.select(*cols, F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1).alias("category"),
+                           F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("_row"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError(f"no CSV files of {platform!r} below {root}")
+    return (out.withColumn(text, tx.csv_null(text)).withColumn("pos", F.struct("file", F.col("_row").alias("row"))).drop("_row"))
 
 
 def read_json_rows(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -83,12 +105,21 @@ def read_link_list(df: DataFrame, platform: str) -> DataFrame:
               .select(F.col("`No.`").alias("no"), F.col("Link").alias("link")))
 
 
-def read_word_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """Text file ``word f1 f2 ...``; the last line of a repeated word wins."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
-    parts = F.split(F.regexp_replace(F.col("value"), r"[\r\n]+$", ""), " ", -1)
-    vecs = lines.select(
-        F.get(parts, 0).alias("word"),
-        F.transform(F.slice(parts, 2, dim), lambda x: x.cast("float")).alias("vector"),
-        "line_no")
-    return vecs.groupBy("word").agg(F.max_by("vector", "line_no").alias("vector"))
+def read_word_vectors(spark: SparkSession, path: str, dim: int, header: bool = False) -> DataFrame:
+    """``(word, vector, lane)`` from text lines ``word f1 f2 ...``.
+
+    The last line of a repeated word wins, in order of file name and line.
+    Lines of another width, or with an entry that is no number, are kept in
+    lane ``error`` with a null vector; ``header`` skips ``count dim`` lines.
+    """
+    lines = spark.read.text(path).select("value", F.struct(
+        F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line")).alias("at"))
+    if header:
+        lines = lines.where(~F.col("value").rlike(r"^\s*[0-9]+ [0-9]+\s*$"))
+    parts = F.split(F.regexp_replace(F.col("value"), r"[\r\n ]+$", ""), " ", -1)
+    numbers = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda x: x.try_cast("float"))
+    vecs = lines.select(F.get(parts, 0).alias("word"), numbers.alias("vector"), "at")
+    good = (F.size("vector") == dim) & ~F.exists("vector", lambda x: x.isNull())
+    ok = vecs.where(good).groupBy("word").agg(F.max_by("vector", "at").alias("vector")).withColumn("lane", F.lit("ok"))
+    bad = vecs.where(~good).select("word", F.lit(None).cast("array<float>").alias("vector"), F.lit("error").alias("lane"))
+    return ok.unionByName(bad)

@@ -22,7 +22,8 @@ def test_mention_only_edges(spark):
 
 def test_youtube_and_reddit_repair(spark):
     yt = spark.createDataFrame([(0, "@bob hi @"), (1, None), (2, "nan"), (3, "x")], "pos INT, text STRING")
-    assert rows(clean.repair_youtube(yt), "pos", "text") == [(0, "bob hi @"), (3, "x")]
+    assert rows(clean.repair_youtube(yt), "pos", "text") == [
+        (0, "bob hi @"), (2, "nan"), (3, "x")]   # only the CSV reader takes "nan" for a missing text
     bodies = [(0, "[removed]"), (1, "[deleted]"), (2, ""), (3, None),
               (4, "ok *I am a bot, and this action was performed automatically. see *faq* here* tail"),
               (5, "a *I am a bot, and this action was performed automatically* x\nnext *star*"),

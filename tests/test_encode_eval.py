@@ -60,3 +60,23 @@ def test_argmax_and_cross_entropy(spark):
     assert [r.p for r in df.select(E.argmax("logits").alias("p")).collect()] == [1, 2]
     want = np.mean([math.log(sum(math.exp(x) for x in l)) - l[y] for l, y in zip(logits, labels)])
     assert E.mean_cross_entropy(df).collect()[0].mean_ce == pytest.approx(want)
+
+
+def test_reserved_words_and_hot_words(spark):
+    from marrow.operators import encode
+    df = spark.createDataFrame([(1, "a <pad> b <unk>"), (2, "a " * 50 + "zz")], "id INT, text STRING")
+    vocab = encode.build_vocab(df.where("id = 1"))
+    assert sorted((r.word, r.idx) for r in vocab.collect()) == [("<pad>", 0), ("<unk>", 3), ("a", 1), ("b", 2)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ids = {r.id: r.input_ids for r in encode.encode_tokens(df.withColumn("text", tx_strip("text")), vocab, "id").collect()}
+        assert ids[1] == [1, 0, 2, 3] and ids[2] == [1] * 50 + [3]
+        short = encode.encode_tokens(df.withColumn("text", tx_strip("text")), vocab, "id", max_len=2)
+        assert {r.id: r.input_ids for r in short.collect()} == {1: [1, 0], 2: [1, 1]}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def tx_strip(c):
+    from marrow.functions import text as tx
+    return tx.strip_ws(c)

@@ -39,3 +39,28 @@ def test_second_opinion_lanes(spark):
     assert rows(out, "doc_id", "lane") == [(1, "accepted"), (2, "rejected"), (3, "accepted_second"),
                                           (4, "undetectable")]
     assert rows(language.accepted(out), "doc_id") == [(1,), (3,)]
+
+
+def test_profile_as_table_equals_profile_as_dict(spark):
+    from marrow.operators import language as L
+    profile = {"fr": ("le", "la"), "it": ("la", "il"), "en": ("the",)}
+    table = spark.createDataFrame([(k, w) for k, ws in profile.items() for w in ws] * 2, "lang STRING, word STRING")
+    df = spark.createDataFrame([(1, "le la le LA x"), (1, "il il la"), (2, None), (3, ""), (3, "the the"), (4, "la"), (4, "la")],
+                               "id INT, text STRING")
+    got = [sorted(str((r.id, r.detected, r.score)) for r in L.profile_scores(df, "id", profile=p).collect()) for p in (profile, table)]
+    a = [(r.id, r.detected, r.score) for r in L.profile_scores(df, "id", profile=profile).collect()]
+    assert got[0] == got[1]
+    assert (1, "fr", 4) in a and (1, "it", 3) in a
+
+
+def test_global_dedup_needs_unique_positions(spark):
+    import pytest
+    from marrow.operators import clean
+    from tests.conftest import rows
+    df = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "x"), (None, 0, "x"), (None, 1, "x")],
+                               "category STRING, pos INT, text STRING")
+    with pytest.raises(ValueError):
+        clean.dedup_keep_first(df)
+    assert clean.dedup_keep_first(df, within=["category"]).count() == 4  # the null category is one too
+    chain = clean.clean_chain(df)
+    assert sorted(r.id for r in chain.collect()) == ["_0", "a_0", "a_1", "b_0"]

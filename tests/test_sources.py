@@ -28,6 +28,29 @@ def test_platform_csv_tree(spark):
         ("religion", "a.csv", 'bob hi, "quoted"\nline two'), ("religion", "b.csv", "ok")]
 
 
+def test_platform_csv_is_read_by_name_into_the_cleaning_chain(spark):
+    root = scratch(spark, "csv")
+    _write(f"{root}/a/facebook/1.csv", "author,date,text\nbob,2024,first\nann,2024,Second\nann,2024,first\n")
+    _write(f"{root}/a/facebook/2.csv", "\ufefftext,author\nNA,x\n#tag third  word,y\n")
+    df = tables.read_platform_csv(spark, root, "facebook")
+    chain = clean.clean_chain(clean.repair_platform(df, "facebook"))
+    assert rows(chain, "id", "text") == [("a_0", "first"), ("a_1", "second"), ("a_3", "third word")]
+    _write(f"{root}/b/facebook/3.csv", "author\nx\n")
+    try:
+        tables.read_platform_csv(spark, root, "facebook")
+        raise AssertionError("a file without text was accepted")
+    except ValueError as e:
+        assert "no column 'text'" in str(e)
+
+
+def test_tiktok_headers_may_differ(spark):
+    root = scratch(spark, "csv")
+    _write(f"{root}/a/tiktok/1.csv", "mentions/0,text\n@x,@x hello\n@yy,@yy\n")
+    _write(f"{root}/a/tiktok/2.csv", "text,mentions/0,mentions/1\n@x @y,@x,@y\nplain @z,,\n")
+    out = clean.repair_platform(tables.read_platform_csv(spark, root, "tiktok"), "tiktok")
+    assert rows(out, "file", "text") == [("1.csv", "x hello"), ("2.csv", "plain @z")]
+
+
 def test_json_rows_folder_and_links(spark):
     root = scratch(spark, "json")
     _write(f"{root}/toxic_nontoxic/train.json", json.dumps([{"id": "a_0", "text": "xin chào"}], ensure_ascii=False))
@@ -46,8 +69,11 @@ def test_json_rows_folder_and_links(spark):
 def test_word_vectors_last_wins(spark):
     root = scratch(spark, "vec")
     _write(f"{root}/v.txt", "a 1 2\nb 3 4\na 5 6\n")
+    _write(f"{root}/w.txt", "2 2\nc 7 8\nshort 1\nword x y\n")
     got = {r.word: r.vector for r in tables.read_word_vectors(spark, f"{root}/v.txt", 2).collect()}
     assert got == {"a": [5.0, 6.0], "b": [3.0, 4.0]}
+    both = rows(tables.read_word_vectors(spark, f"{root}/w.txt", 2, header=True), "word", "lane")
+    assert both == [("c", "ok"), ("short", "error"), ("word", "error")]
 
 
 def test_thread_pages_and_post_detail(spark):
@@ -120,6 +146,6 @@ def test_tiktok_csv_mentions_folded(spark):
     root = scratch(spark, "tt")
     _write(f"{root}/sexism/tiktok/t.csv",
            "text,mentions1,mentions2\n@ab @cd,@ab,@cd\n@ab hello there,@ab,\nplain,,\n")
-    df = tables.fold_mentions(tables.read_platform_csv(spark, root, "tiktok"))
+    df = tables.read_platform_csv(spark, root, "tiktok")
     out = rows(clean.repair_tiktok(df), "text")
     assert out == [("ab hello there",), ("plain",)]

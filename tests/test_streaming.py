@@ -24,7 +24,8 @@ def test_dedup_and_clean_resume(spark):
 
     both = a.unionByName(b)
     dd = spark.read.parquet(os.path.join(base, "dd"))
-    assert rows(dd) == rows(both.select(F.sha2("text", 256).alias("text_sha")).distinct())
+    assert rows(dd, "text", "text_sha") == rows(both.select("text", F.sha2("text", 256).alias("text_sha")).distinct())
+    assert set(dd.columns) == {*both.columns, "text_sha"} and dd.count() == 4   # whole rows, one per text
     ok = ingest.read_lane(spark, os.path.join(base, "cl"), "ok", SCHEMA)
     err = ingest.read_lane(spark, os.path.join(base, "cl"), "error", SCHEMA)
     batch = both.select("doc_id", clean.clean_text("text").alias("text"))

@@ -78,3 +78,18 @@ def test_crosstab_totals(spark):
     assert got == [("Total", 2, 1, 0, 3), ("a", 1, 1, 0, 2), ("b", 1, 0, 0, 1)]
     share = {r.category: r.share_pct for r in stats.category_share(df).collect()}
     assert abs(share["a"] - 200 / 3) < 1e-9
+
+
+def test_deep_chains_orphans_and_cycles(spark):
+    chain = [("deep", i, i - 1 if i else None) for i in range(300)]
+    odd = [("odd", 0, None), ("odd", 1, 0), ("odd", 2, 99), ("odd", 3, 2), ("odd", 4, 5), ("odd", 5, 4), ("odd", 6, 5)]
+    df = spark.createDataFrame(chain + odd, "t STRING, n INT, p INT")
+    out = {(r.t, r.n): (r.depth, r.seq, r.lane) for r in tree.tree_paths(df, "t", "n", "p", "n").collect()}
+    assert len(out) == 307
+    assert all(out["deep", i] == (i, i, "ok") for i in range(300))
+    assert out["odd", 1] == (1, 1, "ok") and all(out["odd", i] == (None, None, "unreached") for i in range(2, 7))
+
+
+def test_malformed_documents_are_reported(spark):
+    df = spark.createDataFrame([(1, "{not json"), (2, None), (3, "[]")], "k INT, j STRING")
+    assert rows(tree.flatten_reply_trees(df, "j", ["k"]), "k", "body", "lane") == [(1, "{not json", "error")]
