@@ -256,9 +256,10 @@ REPLY_SCHEMA = "label STRING, reason STRING"
 
 
 def parse_reply(df: DataFrame, raw: str = "raw", strip_fences: bool = False) -> DataFrame:
-    """Greedy ``{...}`` extract + JSON parse; unparseable replies go to lane 'error'."""
+    """Greedy ``{...}`` extract + JSON parse; a bare newline inside a string is taken as
+    part of it, as the source repairs it; unparseable replies go to lane 'error'."""
     obj = tx.extract_json_object(raw, strip_fences)
-    parsed = F.from_json(obj, REPLY_SCHEMA)
+    parsed = F.from_json(obj, REPLY_SCHEMA, {"allowUnquotedControlChars": "true"})
     out = df.withColumn("_p", parsed)
     ok = F.col("_p.label").isNotNull()
     return (out.withColumn("label", F.col("_p.label")).withColumn("reason", F.col("_p.reason"))

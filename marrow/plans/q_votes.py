@@ -214,15 +214,16 @@ def review_sheet(spark, sf_dir):
 @register("parse_reply", operators=("C13", "T3"), sql=f"""
 WITH {VOTES}, {REPLIES},
 p AS (SELECT id, annotator,
-             json_extract_string(nullif(regexp_extract(raw, '(?s)\\{{.*\\}}', 0), ''), '$.label') AS label
+             json_extract_string(nullif(regexp_extract(raw, '(?s)\\{{.*\\}}', 0), ''), '$.label') AS label,
+             json_extract_string(nullif(regexp_extract(raw, '(?s)\\{{.*\\}}', 0), ''), '$.reason') AS reason
       FROM replies)
-SELECT id, annotator, label, CASE WHEN label IS NULL THEN 'error' ELSE 'ok' END AS lane FROM p
+SELECT id, annotator, label, reason, CASE WHEN label IS NULL THEN 'error' ELSE 'ok' END AS lane FROM p
 """)
 def parse_reply(spark, sf_dir):
-    return V.parse_reply(fx.replies_raw(spark, sf_dir)).select("id", "annotator", "label", "lane")
+    return V.parse_reply(fx.replies_raw(spark, sf_dir)).select("id", "annotator", "label", "reason", "lane")
 
 
-@register("resume_pending", operators=("J8", "T1", "S11"), sql="""
+@register("resume_pending", operators=("J8", "T1"), sql="""
 WITH b AS (SELECT doc_id AS pos, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 100 + 1 AS BIGINT) AS batch
            FROM documents),
 done AS (SELECT DISTINCT batch FROM b WHERE substr(md5(CAST(batch AS VARCHAR)), 1, 1) < '8')

@@ -124,3 +124,9 @@ def test_overwrite_keeps_one_row_per_target(spark):
     target = spark.createDataFrame([("a", "x"), ("b", "y")], "id STRING, label STRING")
     updates = spark.createDataFrame([("a", "1", 1), ("a", "0", 2)], "id STRING, v STRING, at INT")
     assert rows(joins.overwrite_by_key(target, updates, "id", "v", "label", order="at")) == [("a", "0"), ("b", "y")]
+
+
+def test_newline_inside_a_reason_is_kept(spark):
+    df = spark.createDataFrame([(1, '{"label": "TOXIC", "reason": "first\nsecond"}'), (2, "no json")], "id INT, raw STRING")
+    assert rows(V.parse_reply(df), "id", "label", "reason", "lane") == [
+        (1, "TOXIC", "first\nsecond", "ok"), (2, None, None, "error")]
