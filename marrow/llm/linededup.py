@@ -37,25 +37,32 @@ MIN_WORDS = 4
 NEAR_WORDS = 10
 
 
-def normal_line(line: Column) -> Column:
-    """A line's lower-cased words, joined by single spaces."""
-    low = F.lower(line)
-    odd = F.lit(False)
-    for sign in ("  ", "\t", "\r", "\x0b", "\x0c"):
+def normal_lines(text: Column) -> Column:
+    """The lines of a text, each as its lower-cased words joined by single spaces."""
+    low = F.lower(text)
+    odd = F.startswith(low, F.lit(" ")) | F.endswith(low, F.lit(" "))
+    for sign in ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c"):
         odd = odd | F.contains(low, F.lit(sign))
-    odd = odd | F.startswith(low, F.lit(" ")) | F.endswith(low, F.lit(" "))
-    # most lines are in this form already; the pattern is only for the others
-    return F.when(odd, F.array_join(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), " ")).otherwise(low)
+    lines = F.split(low, "\n")
+    # most texts are in this form already; the pattern is only for the others
+    return F.when(odd, F.transform(lines, lambda line: F.array_join(
+        F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), " "))).otherwise(lines)
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, rid, line_no, line, n, h, g): every normal line with its number of words and its identity (h, g)."""
-    body = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("rid"), F.split(text, "\n").alias("body"))
-    lines = body.select("key", "rid", F.posexplode("body").alias("line_no", "raw"))
-    lines = lines.select("key", "rid", "line_no", normal_line(F.col("raw")).alias("line"))
+    """(key, rid, line_no, line, h): every normal line with the first half of its identity."""
+    body = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("rid"), normal_lines(F.col(text)).alias("body"))
+    lines = body.select("key", "rid", F.posexplode("body").alias("line_no", "line"))
+    return lines.select("*", F.xxhash64("line").alias("h"))
+
+
+def _second_half() -> Column:
+    return F.xxhash64(F.lit(1), "line")
+
+
+def _n_words() -> Column:
     spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
-    return lines.select("*", F.when(F.col("line") == "", 0).otherwise(spaces + 1).alias("n"),
-                        F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    return F.when(F.col("line") == "", 0).otherwise(spaces + 1)
 
 
 def _half_keys(near_words: int) -> list[Column]:
@@ -86,16 +93,36 @@ def _within_one_edit(a: Column, b: Column) -> Column:
     return (most - least <= 1) & (both >= most - 1)
 
 
+#: Bits of the map that tells which lines' texts are wanted (2 MB, whatever the input).
+MAP_BITS = 1 << 24
+
+
+def _wanted_map(wanted: DataFrame) -> Column:
+    """A bit map of the low bits of all wanted hashes h, as a scalar of fixed size."""
+    bits = wanted.select(F.expr(f"shiftright(h & {MAP_BITS - 1}L, 6)").alias("word"),
+                         F.expr("shiftleft(1L, cast(h & 63L AS int))").alias("bit"))
+    bits = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    dense = wanted.sparkSession.range(MAP_BITS // 64).join(bits, F.col("id") == F.col("word"), "left")
+    row = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return dense.agg(F.transform(row, lambda s: s["bits"])).scalar()
+
+
+def _in_map(bit_map: Column) -> Column:
+    word = F.get(bit_map, F.expr(f"cast(shiftright(h & {MAP_BITS - 1}L, 6) AS int)"))
+    return word.bitwiseAND(F.expr("shiftleft(1L, cast(h & 63L AS int))")) != 0
+
+
 def _near_drops(docs: DataFrame, distinct: DataFrame, key: str, text: str, near_words: int) -> DataFrame:
     """(h, g): distinct lines that have an earlier line within one edit."""
     halves = distinct.filter(F.col("n") >= near_words).select(
         "h", "g", F.explode(F.array(*(f"half{k}" for k in range(4)))).alias("half")).filter("half is not null")
     shared = halves.groupBy("half").agg(F.count("*").alias("lines")).filter("lines > 1").select("half")
     candidates = halves.join(shared, "half").select("h", "g").distinct()
-    firsts = distinct.select("h", "g", F.col("first").alias("place")).join(candidates, ["h", "g"])
-    # the text of the candidates, once each: from the line's first place
-    found = _lines(docs, key, text).filter(F.col("n") >= near_words).select(
-        "h", "g", "line", F.struct("key", "rid", "line_no").alias("at"))
+    firsts = distinct.select("h", "g", F.col("first").alias("place")).join(candidates, ["h", "g"]).checkpoint()
+    # the text of the candidates, once each: from the line's first place; the bit map spares
+    # most other lines the shuffle
+    found = _lines(docs, key, text).filter(_in_map(_wanted_map(firsts.select("h")))).select(
+        "h", _second_half().alias("g"), "line", F.struct("key", "rid", "line_no").alias("at"))
     found = found.join(firsts, ["h", "g"]).filter(F.col("at").eqNullSafe(F.col("place"))).dropDuplicates(["h", "g"])
     # sorted by place, so that smaller ids stand for earlier lines
     found = found.select("h", "g", "line", "place").orderBy("place").select(
@@ -143,8 +170,8 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     checkpoint_dir(docs.sparkSession)
     halves = [half.alias(f"half{k}") for k, half in enumerate(_half_keys(near_words))]
     # without texts: read several times
-    lines = _lines(docs, key, text).filter(F.col("n") >= min_words).select(
-        "key", "rid", "line_no", "n", "h", "g", *halves).checkpoint()
+    lines = _lines(docs, key, text).withColumn("n", _n_words()).filter(F.col("n") >= min_words).select(
+        "key", "rid", "line_no", "n", "h", _second_half().alias("g"), *halves).checkpoint()
     distinct = lines.groupBy("h", "g").agg(
         F.min(F.struct("key", "rid", "line_no")).alias("first"), F.count("*").alias("lines"), F.max("n").alias("n"),
         *(F.max(f"half{k}").alias(f"half{k}") for k in range(4)))
