@@ -93,23 +93,31 @@ def _within_one_edit(a: Column, b: Column) -> Column:
     return (most - least <= 1) & (both >= most - 1)
 
 
-#: Bits of the map that tells which lines' texts are wanted (2 MB, whatever the input).
+#: Bits of a map that tells which hashes are wanted (2 MB, whatever the input).
 MAP_BITS = 1 << 24
 
 
-def _wanted_map(wanted: DataFrame) -> Column:
-    """A bit map of the low bits of all wanted hashes h, as a scalar of fixed size."""
-    bits = wanted.select(F.expr(f"shiftright(h & {MAP_BITS - 1}L, 6)").alias("word"),
-                         F.expr("shiftleft(1L, cast(h & 63L AS int))").alias("bit"))
-    bits = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+def _place_in_map(hashed: Column) -> tuple[Column, Column]:
+    """The word of a bit map that a hash belongs to, and its bit there."""
+    low = hashed.bitwiseAND(F.lit(MAP_BITS - 1).cast("long"))
+    bit = F.lit(1).cast("long")
+    for k in range(6):  # 1 << (low & 63), step by step: shiftleft takes fixed steps only
+        bit = F.when(low.bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.shiftleft(bit, 1 << k)).otherwise(bit)
+    return F.shiftright(low, 6), bit
+
+
+def _wanted_map(wanted: DataFrame, name: str) -> Column:
+    """A bit map of the low bits of all wanted hashes, as a scalar of fixed size."""
+    word, bit = _place_in_map(F.col(name))
+    bits = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     dense = wanted.sparkSession.range(MAP_BITS // 64).join(bits, F.col("id") == F.col("word"), "left")
     row = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
     return dense.agg(F.transform(row, lambda s: s["bits"])).scalar()
 
 
-def _in_map(bit_map: Column) -> Column:
-    word = F.get(bit_map, F.expr(f"cast(shiftright(h & {MAP_BITS - 1}L, 6) AS int)"))
-    return word.bitwiseAND(F.expr("shiftleft(1L, cast(h & 63L AS int))")) != 0
+def _in_map(bit_map: Column, hashed: Column) -> Column:
+    word, bit = _place_in_map(hashed)
+    return F.get(bit_map, word.cast("int")).bitwiseAND(bit) != 0
 
 
 def _near_drops(docs: DataFrame, distinct: DataFrame, key: str, text: str, near_words: int) -> DataFrame:
@@ -119,9 +127,10 @@ def _near_drops(docs: DataFrame, distinct: DataFrame, key: str, text: str, near_
     shared = halves.groupBy("half").agg(F.count("*").alias("lines")).filter("lines > 1").select("half")
     candidates = halves.join(shared, "half").select("h", "g").distinct()
     firsts = distinct.select("h", "g", F.col("first").alias("place")).join(candidates, ["h", "g"]).checkpoint()
-    # the text of the candidates, once each: from the line's first place; the bit map spares
-    # most other lines the shuffle
-    found = _lines(docs, key, text).filter(_in_map(_wanted_map(firsts.select("h")))).select(
+    # the text of the candidates, once each: from the line's first place; bit maps spare most
+    # other documents the work, and most other lines the shuffle
+    held = docs.filter(_in_map(_wanted_map(firsts.select("place.rid"), "rid"), F.xxhash64(text)))
+    found = _lines(held, key, text).filter(_in_map(_wanted_map(firsts, "h"), F.col("h"))).select(
         "h", _second_half().alias("g"), "line", F.struct("key", "rid", "line_no").alias("at"))
     found = found.join(firsts, ["h", "g"]).filter(F.col("at").eqNullSafe(F.col("place"))).dropDuplicates(["h", "g"])
     # sorted by place, so that smaller ids stand for earlier lines
