@@ -8,11 +8,15 @@ dealt by hash into n1 blocks of n2 partitions.  k differences leave more than
 n1 - k / (k2 + 1) blocks with at most k2 touched partitions, so two similar
 sets agree on some n2 - k2 partitions of those blocks.  A signature is a band,
 a block, one of the subsets of n2 - k2 partitions, and the features in it;
-similar sets agree on ``agree`` blocks and share at least ``need`` signatures.
+similar sets share at least ``need`` signatures.  With subsets of one partition
+(the default) that number is counted from the exact distribution: k features
+dealt by hash touch many partitions more than once, so similar sets agree on far
+more of them than the worst case says, with a chance of error (``MISS``, 1e-15
+for a pair) in the range of a 64-bit hash collision.
 
 Signatures without features would be shared by many short sets; a set emits
 them only where its empty places could otherwise cost it that guarantee: with
-at most agree - need such blocks it has ``need`` others, and two sets with
+at most agree - need such places it has ``need`` others, and two sets with
 more of them both emit all.
 
 That guarantee also prunes: whoever shares fewer than ``need`` signatures with
@@ -44,7 +48,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marrow.llm import core
@@ -83,6 +87,28 @@ def nodes(owner: np.ndarray, value: np.ndarray, docs: int) -> tuple[np.ndarray,
     return core.mix64(total + size.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)).view(np.int64), size
 
 
+#: Chance that a similar pair shares fewer signatures than ``need``.
+MISS = 1e-15
+#: Differences up to which their distribution is counted out; beyond, McDiarmid's inequality bounds it.
+COUNTED = 2000
+
+
+@lru_cache(None)
+def untouched(balls: int, bins: int) -> int:
+    """The number of bins that stay empty with probability 1 - MISS at least, when so many balls fall at random."""
+    if balls > COUNTED:
+        return max(0, int(bins * (1 - 1 / bins) ** balls - (balls * np.log(1 / MISS) / 2) ** 0.5))
+    chance = np.zeros(bins + 1)  # of so many bins touched
+    chance[0] = 1.0
+    touched = np.arange(bins + 1)
+    for _ in range(balls):
+        hit_new = chance * (bins - touched) / bins
+        chance = chance * touched / bins
+        chance[1:] += hit_new[:-1]
+    tail = np.cumsum(chance[::-1])[::-1]  # of at least so many touched
+    return int(bins - (np.flatnonzero(tail > MISS)[-1] if balls else 0))
+
+
 @dataclass(frozen=True)
 class Instance:
     """Signatures of one band and the one below it."""
@@ -95,15 +121,21 @@ class Instance:
     n2: int
     k2: int
 
+    @property
+    def single(self) -> bool:
+        """Whether every signature is one partition."""
+        return self.n2 - self.k2 == 1
+
     @property
     def agree(self) -> int:
-        """Blocks that two similar sets agree on at least."""
-        return self.blocks - self.differ // (self.k2 + 1)
+        """Blocks (or, where signatures are single partitions, partitions) that two similar sets agree on at least."""
+        worst = self.blocks - self.differ // (self.k2 + 1)
+        return max(worst, untouched(self.differ, self.blocks * self.n2)) if self.single else worst
 
     @property
     def need(self) -> int:
         """Signatures that two similar sets share at least."""
-        return (self.agree + 1) // 2
+        return self.agree - self.agree // 4 if self.agree > 4 else (self.agree + 1) // 2
 
 
 @lru_cache(64)
@@ -151,7 +183,7 @@ def signatures(owner: np.ndarray, value: np.ndarray, size: np.ndarray, percent:
         number = np.arange(len(doc)) - np.repeat(base[:-1] // n2, blocks)
         subsets = list(combinations(range(n2), n2 - k2))
         empty = np.stack([count[:, c].sum(axis=1) == 0 for c in subsets], axis=1)
-        holes = np.bincount(doc, weights=empty.any(axis=1), minlength=len(size))
+        holes = np.bincount(doc, weights=empty.sum(axis=1) if n2 - k2 == 1 else empty.any(axis=1), minlength=len(size))
         # with so many holes too few of the blocks that must agree may be others: then holes count too
         loose = holes > spare_of[at]
         tag = salt[doc] + core.mix64(number.astype(np.uint64) * np.uint64(64))
@@ -362,7 +394,11 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, text: str = "t
         (F.col("shared") + F.least("wa", "wb") + 1 >= F.when(F.col("sa") > F.col("sb"), F.col("na")).otherwise(F.col("nb")))
         & (100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))).select("a", "b")
     # pairs that share large groups only share two of them at least
-    second = large.join(large.select(F.col("sig").alias("other"), "node"), "node").filter("sig < other").select(
+    # (of its first places, so many less as it needs to share)
+    places = Window.partitionBy("node").orderBy("sig")
+    most = large.withColumn("at", F.row_number().over(places)).join(about.select("node", "need", "wide"), "node").filter(
+        F.col("at") <= F.col("wide") - F.greatest("need", F.lit(2)) + 2).select("sig", "node", "label")
+    second = most.join(most.select(F.col("sig").alias("other"), "node"), "node").filter("sig < other").select(
         F.xxhash64("sig", "other").alias("sig"), "node", "label")
     again = second.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
     far = _apart(second.join(again, "sig", "left_semi")).distinct()
