@@ -325,17 +325,22 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
 
 
 def needs(sizes: DataFrame, percent: int, n2: int, k2: int) -> DataFrame:
-    """(node, size, need): with the signatures that a node shares at least with any similar one up to its size."""
+    """(node, size, need, least): with the signatures that a node shares at least with any similar one
+    up to its size, and with any similar one at all."""
 
     def each(batch: pa.RecordBatch):
         size = batch.column(1).to_numpy()
         all_ = instances(percent, int(size.max()) if len(size) else 1, n2, k2)
         band = np.searchsorted(np.array([i.low for i in all_]), size, "right") - 1
         # a band whose sets may not differ has no signatures of its own
-        need = np.array([i.need if i.differ else 0 for i in all_], np.int32)[band]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(need)], names=["node", "size", "need"])
+        need = np.array([i.need if i.differ else 0 for i in all_], np.int32)
+        # the larger one of a pair tells its instance, and the next band may ask for fewer
+        own, above = need[band], need[band + 1]
+        least = np.where((own > 0) & (above > 0), np.minimum(own, above), np.maximum(np.maximum(own, above), 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(least.astype(np.int32))],
+                                         names=["node", "size", "need", "least"])
 
-    return sizes.mapInArrow(core.over_batches(each), "node long, size long, need int")
+    return sizes.mapInArrow(core.over_batches(each), "node long, size long, need int, least int")
 
 
 def _prune(groups: DataFrame, needed: DataFrame) -> DataFrame:
@@ -367,9 +372,7 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, text: str = "t
     found = shared_signatures(docs, n, percent, text, n2, k2).checkpoint()
     sized = rows.select("node", "size").distinct().join(found.select("node").distinct(), "node")
     sized = needs(sized, percent, n2, k2).checkpoint()
-    # a node may be the smaller one of its pairs, whose instance is the next band's, or its own
-    needed = sized.select("node", F.greatest("need", F.lit(1)).alias("least"))
-    groups = _prune(found, needed)
+    groups = _prune(found, sized.select("node", "least"))
     lists = groups.groupBy("node").agg(F.collect_list("sig").alias("sigs")).join(sized, "node").select(
         "node", "size", "need", "sigs").checkpoint()
 
@@ -388,16 +391,16 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, text: str = "t
     small = rows.filter(F.col("members") <= SMALL_GROUP).select("sig", "node", "label")
     large = rows.filter(F.col("members") > SMALL_GROUP).select("sig", "node", "label")
     wide = large.groupBy("node").agg(F.count("*").alias("wide"))
-    about = sized.join(wide, "node", "left").select("node", "size", "need", F.coalesce("wide", F.lit(0)).alias("wide"))
+    about = sized.join(wide, "node", "left").select("node", "size", "need", "least", F.coalesce("wide", F.lit(0)).alias("wide"))
     near = _apart(small).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    near = near.join(about.toDF("a", "sa", "na", "wa"), "a").join(about.toDF("b", "sb", "nb", "wb"), "b").filter(
+    near = near.join(about.drop("least").toDF("a", "sa", "na", "wa"), "a").join(about.drop("least").toDF("b", "sb", "nb", "wb"), "b").filter(
         (F.col("shared") + F.least("wa", "wb") + 1 >= F.when(F.col("sa") > F.col("sb"), F.col("na")).otherwise(F.col("nb")))
         & (100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))).select("a", "b")
     # pairs that share large groups only share two of them at least
     # (of its first places, so many less as it needs to share)
     places = Window.partitionBy("node").orderBy("sig")
-    most = large.withColumn("at", F.row_number().over(places)).join(about.select("node", "need", "wide"), "node").filter(
-        F.col("at") <= F.col("wide") - F.greatest("need", F.lit(2)) + 2).select("sig", "node", "label")
+    most = large.withColumn("at", F.row_number().over(places)).join(about.select("node", "least", "wide"), "node").filter(
+        F.col("at") <= F.col("wide") - F.greatest("least", F.lit(2)) + 2).select("sig", "node", "label")
     second = most.join(most.select(F.col("sig").alias("other"), "node"), "node").filter("sig < other").select(
         F.xxhash64("sig", "other").alias("sig"), "node", "label")
     again = second.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")

@@ -265,6 +265,17 @@ def test_similar_sets_share_the_signatures_that_pruning_asks_for():
         assert len(np.intersect1d(sig[doc == 0], sig[doc == 1])) >= need, (trial, percent, len(a), len(b))
 
 
+@pytest.mark.parametrize("n, percent, sizes", [(4, 85, (17, 20)), (5, 80, (12, 15)), (4, 85, (29, 34))])
+def test_join_links_pairs_whose_larger_set_asks_for_fewer_signatures(spark, n, percent, sizes):
+    rng = random.Random(percent)
+    texts = []
+    for _ in range(400):  # alone in their signatures, each contained in the other
+        words = [f"w{rng.randrange(10**9)}" for _ in range(sizes[1] + n - 1)]
+        texts += [" ".join(words[:sizes[0] + n - 1]), " ".join(words)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.score(docs_of(spark, texts), n, percent).collect()}
+    assert got == {d: (sizes[d % 2], d - d % 2) for d in range(len(texts))}
+
+
 def test_keep_one_leaves_the_smallest_key_and_clean_documents(spark):
     rng = random.Random(1)
     texts = near_copies(rng)
