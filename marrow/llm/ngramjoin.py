@@ -37,7 +37,7 @@ verification is exact, on the texts' n-grams.
 Defined results: a null text, or one without words, has an empty set and is
 linked with nothing; fewer than n words are one n-gram; rows with one key are
 each judged by their own text and the smallest key counts; an empty table
-gives no rows; further columns are ignored.
+gives no rows; further columns are ignored by ``score`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marrow.llm import core
@@ -430,12 +430,31 @@ def score(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", t
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near duplicates: of every component the smallest key stays
-    (with all rows that bear it); documents without words stay."""
+    """The documents without near duplicates: of every component one row stays, with its smallest
+    key (nulls last), and of that key's texts the one with the smallest hash; documents without
+    words stay, all of them.  Rows are told apart by key and text, so neither a null nor a
+    repeated key takes other texts along."""
     checkpoint_dir(docs.sparkSession)
-    rows = members(docs, n, key, text).checkpoint()
+    ids = docs.select(F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("rid")).alias("id"), F.col(text).alias("text"))
+    rows = members(ids, n, "id").checkpoint()
     label = links(docs, rows, n, percent, text).withColumnRenamed("node", "linked")
-    found = rows.join(label, F.col("node") == F.col("linked"), "left").select("key", F.coalesce("label", "node").alias("class"))
-    best = found.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("key").alias("best"))
-    lost = found.join(best, "class").filter(~F.col("key").eqNullSafe(F.col("best"))).select("key").distinct()
-    return docs.join(lost, docs[key].eqNullSafe(lost["key"]), "left_anti")
+    found = rows.join(label, F.col("node") == F.col("linked"), "left").select(
+        F.struct(F.col("key.key").isNull().alias("none"), "key.key", "key.rid").alias("id"),
+        F.coalesce("label", "node").alias("class"))
+    best = found.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("best"))
+    judged = found.join(best, "class").groupBy("id.key", "id.rid").agg(
+        F.max(F.col("id").eqNullSafe(F.col("best"))).alias("stays"), F.count("*").alias("copies"))
+    marked = judged.filter("not stays or copies > 1").checkpoint()
+    kept = docs.join(marked, _same(docs, marked, key, text), "left_anti")
+    copied = marked.filter("stays")
+    if copied.isEmpty():
+        return kept
+    # rows equal in key and text: the one whose columns have the smallest hash (maps have none)
+    order = F.xxhash64(*(c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()))
+    once = docs.join(copied, _same(docs, copied, key, text), "left_semi").groupBy(
+        F.col(key).alias("key_"), F.xxhash64(text).alias("rid_")).agg(F.min_by(F.struct(*docs.columns), order).alias("row_"))
+    return kept.union(once.select(*(F.col("row_")[c].alias(c) for c in docs.columns)))
+
+
+def _same(docs: DataFrame, marked: DataFrame, key: str, text: str) -> Column:
+    return docs[key].eqNullSafe(marked["key"]) & (F.xxhash64(docs[text]) == marked["rid"])

@@ -285,6 +285,31 @@ def test_keep_one_leaves_the_smallest_key_and_clean_documents(spark):
     assert ngramjoin.score(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_keep_one_tells_rows_of_null_and_repeated_keys_apart(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    base = [" ".join(word() for _ in range(30)) for _ in range(12)]
+    near = [t + " more" for t in base]
+    rows = [(1, base[0]), (7, near[0]), (7, base[1]), (7, base[2]),  # one text of key 7 is a near copy
+            (None, near[1]), (None, base[3]), (None, None), (None, ""), (9, ""), (9, ""),
+            (None, base[4]), (None, near[4]),  # a class of null keys only
+            (5, base[5]), (5, base[5]), (5, base[5].upper()), (5, near[5]),  # copies under one key
+            (3, base[6]), (2, near[6]), (3, base[7]), (4, near[7])]  # key 3 is lost through one class, first in another
+    ids, texts = [k for k, _ in rows], [t for _, t in rows]
+    got = [(r.doc_id, r.text) for r in ngramjoin.keep_one(docs_of(spark, texts, ids)).collect()]
+    want, groups = [], {}
+    for d, (_, c) in brute_components(texts, 5, 80).items():
+        if sets_of([texts[d]], 5)[0]:
+            groups.setdefault(c, []).append(rows[d])
+        else:
+            want.append(rows[d])
+    assert sorted(map(repr, want)) == sorted(repr(r) for r in got if not r[1])
+    for group in groups.values():
+        kept = [r for r in got if r[1] and r in group]
+        assert len(kept) == 1 and (kept[0][0] is None, kept[0][0] or 0) == min((k is None, k or 0) for k, _ in group), group
+    assert len(got) == len(want) + len(groups)
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(200, 201), (201, 202), (202, 200), (7, 7)]
