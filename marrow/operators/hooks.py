@@ -76,13 +76,15 @@ def retry_errors(votes: DataFrame, annotators: dict[str, Callable[[str], dict]],
 
     ``votes`` must be a written table (as :func:`annotate` returns it); the
     answers are written before they are used, so no vote is lost or doubled
-    when an annotator answers differently the next time.
+    when an annotator answers differently the next time.  An id with several
+    texts is asked with the smallest; a failed vote without a text row stays
+    in lane 'error' as it is.
     """
 
     def run(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
             out = []
-            for rid, name, rank, t in zip(pdf[id_col], pdf["annotator"], pdf["rnk"], pdf[text]):
+            for rid, name, rank, t in zip(pdf[id_col], pdf["annotator"], pdf["rnk"], pdf["_text"]):
                 try:
                     r = annotators[name](t) or {}
                     out.append((rid, name, rank, r.get("label"), r.get("reason"), "ok", None))
@@ -91,10 +93,13 @@ def retry_errors(votes: DataFrame, annotators: dict[str, Callable[[str], dict]],
             yield pd.DataFrame(out, columns=["id", "annotator", "rnk", "label", "reason", "lane", "error"])
 
     checkpoint_dir(votes.sparkSession)
-    failed = votes.where(F.col("lane") == "error").select(id_col, "annotator", "rnk")
-    body = texts.select(F.col(id_col).cast("string").alias(id_col), text)
-    again = failed.join(body, id_col).mapInPandas(run, VOTE_SCHEMA).checkpoint()
-    return votes.where(F.col("lane") != "error").unionByName(again)
+    is_error = F.col("lane").eqNullSafe("error")
+    body = texts.groupBy(F.col(id_col).cast("string").alias("_id")).agg(
+        F.min(text).alias("_text"), F.lit(True).alias("_found"))
+    failed = votes.where(is_error)
+    failed = failed.join(body, failed[id_col].eqNullSafe(body["_id"]), "left").checkpoint()
+    again = failed.where("_found").select(id_col, "annotator", "rnk", "_text").mapInPandas(run, VOTE_SCHEMA).checkpoint()
+    return votes.where(~is_error).unionByName(again).unionByName(failed.where("_found is null").select(*votes.columns))
 
 
 def segment(df: DataFrame, segmenter: Callable[[pd.Series], pd.Series] | None = None,

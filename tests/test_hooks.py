@@ -60,6 +60,19 @@ def test_retry_calls_only_the_failed_annotator(spark):
     assert rows(fixed, "annotator", "label", "lane") == [("a", "T", "ok"), ("b", "N", "ok")]
 
 
+def test_retry_keeps_votes_without_a_text_and_doubles_none(spark):
+    votes = spark.createDataFrame([("x", "a", 1, None, None, "error", "E1"), (None, "a", 1, None, None, "error", "E2"),
+                                   ("gone", "a", 1, None, None, "error", "E3"), ("y", "a", 1, "T", None, "ok", None)],
+                                  hooks.VOTE_SCHEMA)
+    texts = spark.createDataFrame([("x", "t"), ("x", "t"), ("x", "u"), ("y", "v")], "id STRING, text STRING")
+    ask = {"a": lambda t: {"label": t}}
+    found = hooks.retry_errors(votes, ask, texts).collect()
+    got = {(r.id, r.label, r.lane, r.error) for r in found}
+    assert len(found) == 4 and got == {("x", "t", "ok", None), (None, None, "error", "E2"), ("gone", None, "error", "E3"), ("y", "T", "ok", None)}
+    texts = texts.union(spark.createDataFrame([(None, "n")], "id STRING, text STRING"))
+    assert (None, "n", "ok") in {(r.id, r.label, r.lane) for r in hooks.retry_errors(votes, ask, texts).collect()}
+
+
 def test_segment_falls_back_for_the_failing_row_only(spark):
     df = spark.createDataFrame([("good one",), ("bad one",)], "text STRING").coalesce(1)
 
