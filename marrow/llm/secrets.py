@@ -10,10 +10,12 @@ Training is weakly supervised: the tokens of pattern values are the labelled
 secrets, and windows around them, around other tokens with digits and around
 arbitrary tokens are the examples.  Each labelled secret is also shown with
 other keywords, delimiters and random values of other forms, some without any
-keyword, so that the field learns shape and context apart from each other.  At
-most ``SAMPLE_DOCS`` documents (the lowest hashes of the key) and
-``SAMPLE_WINDOWS`` windows (the lowest hashes again) are used, so training is
-bounded on the driver whatever the input.
+keyword, so that the field learns shape and context apart from each other.
+The secrets come from at most ``SECRET_DOCS`` of the documents that hold one,
+looked for in all rows, and the other windows from at most ``SAMPLE_DOCS`` of
+all documents (the lowest hashes of the key each); ``SAMPLE_WINDOWS`` windows
+(the lowest hashes again) are used, so training is bounded on the driver
+whatever the input, and secrets that are rare in it are still learnt.
 
 Decoding covers every token of every whole text.  A token whose outside score
 leads by more than any change of its transitions could win back is outside in
@@ -21,7 +23,7 @@ the best path whatever its neighbours, so the exact path needs Viterbi only on
 the runs between such tokens.
 
 Defined results: a null or empty text has no spans; repeated rows are treated
-alike; an empty table gives no rows; without any labelled secret in the sample
+alike; an empty table gives no rows; without any labelled secret in the table
 nothing is added; further columns are ignored.
 """
 
@@ -44,6 +46,7 @@ from marrow.session import checkpoint_dir
 
 KINDS = ("assign", "access", "hex", "crf")
 SAMPLE_DOCS = 10_000
+SECRET_DOCS = 2_000
 SAMPLE_WINDOWS = 4_000
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -324,7 +327,14 @@ def _examples(column: pa.Array):
 
 def training_windows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(place, x, y) windows of the sampled documents; ``place`` orders them, secrets first, by hash."""
-    sample = docs.select(F.xxhash64(F.col(key).cast("string")).alias("at")).distinct().orderBy("at").limit(SAMPLE_DOCS)
+    hashed = docs.select(F.xxhash64(F.col(key).cast("string")).alias("at"), text)
+
+    def labelled(batch: pa.RecordBatch):
+        holds = [bool(t) and bool(detect(t)[1]) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0)], names=["at"]).filter(pa.array(holds, pa.bool_()))
+
+    secret = hashed.mapInArrow(core.over_batches(labelled), "at long").distinct().orderBy("at").limit(SECRET_DOCS)
+    sample = hashed.select("at").distinct().orderBy("at").limit(SAMPLE_DOCS).union(secret).distinct()
 
     def each(batch: pa.RecordBatch):
         place, xs, ys = [], [], []
@@ -344,7 +354,7 @@ def training_windows(docs: DataFrame, key: str, text: str) -> DataFrame:
             [pa.array(place, pa.int64()), pa.array(xs, pa.list_(pa.int16())), pa.array(ys, pa.list_(pa.int16()))],
             names=["place", "x", "y"])
 
-    chosen = docs.select(F.xxhash64(F.col(key).cast("string")).alias("at"), text).join(F.broadcast(sample), "at")
+    chosen = hashed.join(F.broadcast(sample), "at")
     return chosen.select(text).mapInArrow(core.over_batches(each), "place long, x array<smallint>, y array<smallint>")
 
 

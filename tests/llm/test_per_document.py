@@ -194,6 +194,16 @@ def test_gradient_is_the_slope_of_the_likelihood():
         assert abs((up - down) / 2e-5 - grad[at]) < 1e-5
 
 
+def test_rare_secrets_are_learnt_wherever_they_are(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SAMPLE_DOCS", 20)
+    ids = spark.range(400).select("id", F.xxhash64(F.col("id").cast("string")).alias("at")).orderBy("at").collect()
+    last = {r.id for r in ids[-5:]}  # none of them is among the lowest hashes
+    texts = [f"some words {i} then token = {'0123456789abcdef' * 2} end" if i in last else f"plain words {i} only here" for i in range(400)]
+    windows = secrets.training_windows(frame(spark, texts), "doc_id", "text")
+    assert windows.filter(F.col("place") < (1 << 61)).count() >= 5
+    assert windows.filter(F.col("place") >= (1 << 61)).count() >= 20
+
+
 def test_crf_finds_secrets_that_no_pattern_has(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abdefghiou") for _ in range(rng.randint(2, 7)))
