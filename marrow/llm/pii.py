@@ -8,6 +8,10 @@ transducer keeps: each output character knows the source characters it stands
 for.  A hit counts as disguised only if it holds a rewritten character and no
 plain hit contains it.
 
+Not found: a bare " at " before a host with plain dots ("john at example.com").
+It has the form of ordinary prose ("look at home.page"), which must give no hit;
+a bare at counts only if the host is disguised too.
+
 Rewriting runs only on texts that hold something to rewrite; plain detection
 scans every whole text in time linear in its length.  Everything is per row.
 
