@@ -7,9 +7,9 @@ written as Parquet to the shared checkpoint folder and read again, so a stage
 never recomputes an earlier one.
 
 Defined results: documents without a text fall to the quality rules (too few
-words); repeated rows are lines of earlier ones only if their keys differ; an
-empty table gives no pieces; further columns of ``documents`` pass through all
-stages but the last.
+words); repeated rows are lines of earlier ones only if their keys differ, and
+near-duplicate removal leaves one of them; an empty table gives no pieces;
+further columns of ``documents`` pass through all stages but the last.
 """
 
 from __future__ import annotations
