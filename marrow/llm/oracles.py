@@ -105,10 +105,97 @@ SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) A
 FROM documents d LEFT JOIN per USING (doc_id)
 """
 
+#: CRC-32 of an expression's UTF-8 bytes by the table ``tbl`` of ``_BITS``
+_BITS = """bits AS (
+  SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS tbl FROM range(256) t(i))"""
+
+
+def _crc32(x: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+    regexp_extract_all(hex(encode({x})), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+    lambda c, v: xor(c >> 8, tbl[CAST(xor(c, v) & 255 AS INTEGER) + 1])))"""
+
+
+def _edit(state: str, op: str, cost: str, line: str) -> str:
+    return (f"CASE WHEN {state} IS NOT NULL THEN "
+            f"{{'c': {state}.c + {cost}, 'p': {state}.p || '{op}', 't': {state}.t || {line}}} END")
+
+
+def _row(target: str, froms: str, initial: str | None) -> str:
+    """The best way into a state by one row: from itself by a delete, from ``froms`` by keep or rerole."""
+    ways = [_edit(f"v.{target}", "D", "2", "''")]
+    for q in froms:
+        ways.append(f"CASE WHEN ok AND ini = '{initial}' THEN " + _edit(f"v.{q}", "K", "more", "chr(10) || role || ':' || text") + " END")
+        if initial != "s":
+            made = {"u": "user", "a": "assistant"}[initial]
+            ways.append("CASE WHEN ok THEN " + _edit(f"v.{q}", "R", "more + 1", f"chr(10) || '{made}:' || text") + " END")
+    return f"list_min([{', '.join(ways)}])"
+
+
+OP12 = rf"""
+WITH RECURSIVE {_BITS},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS d
+      FROM conversations, bits),
+r AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+        CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE d <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+        regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM r),
+f AS (SELECT *, substr(role, 1, 1) AS ini, CASE WHEN last = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+        WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+g AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS ok, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more,
+        lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM f),
+c AS (SELECT DISTINCT conv_id FROM conversations),
+v AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0::BIGINT, 'p': '', 't': ''}} AS z,
+    CAST(NULL AS STRUCT(c BIGINT, p VARCHAR, t VARCHAR)) AS s,
+    {{'c': 5::BIGINT, 'p': 'I', 't': chr(10) || 'user:'}} AS u,
+    {{'c': 10::BIGINT, 'p': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS a FROM c
+  UNION ALL
+  SELECT conv_id, i, z, s, u, list_min([a, {_edit("u", "I", "5", "chr(10) || 'assistant:'")}]) FROM (
+    SELECT conv_id, i, z, s, a, list_min([u, {", ".join(_edit(q, "I", "5", "chr(10) || 'user:'") for q in "zsa")}]) AS u FROM (
+      SELECT v.conv_id, g.i, {_row("z", "", None)} AS z, {_row("s", "z", "s")} AS s, {_row("u", "zsa", "u")} AS u,
+        {_row("a", "u", "a")} AS a
+      FROM v JOIN g ON v.conv_id IS NOT DISTINCT FROM g.conv_id AND g.i = v.i + 1) x) y),
+best AS (SELECT conv_id, list_min([z, a]) AS b FROM v QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+        count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+        count(*) FILTER (WHERE prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+SELECT best.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(b.c AS BIGINT) AS cost, b.p AS audit,
+  sha256(substr(b.t, 2)) AS repaired_sha256
+FROM best LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+OP13 = rf"""
+WITH {_BITS},
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, {_ALNUM}) AS w FROM documents),
+f AS (SELECT r, unnest(w) AS word FROM d),
+q AS (SELECT unnest(regexp_extract_all({_LOW}, {_ALNUM})) AS word FROM benchmark),
+m AS (SELECT word, {_crc32("word")} % 10000 AS bucket FROM (SELECT word FROM f UNION SELECT word FROM q), bits),
+s AS (SELECT bucket, count(*) AS n FROM f JOIN m USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM q JOIN m USING (word) GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)::DOUBLE)
+    / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM q) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN m USING (word) JOIN gain USING (bucket) GROUP BY r),
+x AS (SELECT r, doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+    (CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN w USING (r)),
+y AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM x WHERE n_features >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM x LEFT JOIN y USING (r)
+"""
+
 ORACLES = {
     "op2_partenum_jaccard": OP2,
     "op6_benchmark_decontamination": OP6,
     "op7_jump_hash_sharding": OP7,
     "op8_suffix_repetition": OP8,
     "op10_line_dedup": OP10,
+    "op12_conversation_repair": OP12,
+    "op13_importance_resampling": OP13,
 }

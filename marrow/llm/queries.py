@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import decontaminate, linededup, ngramjoin, packing, pii, repetition, secrets, sharding, tokencount, toxicity
+from marrow.llm import convrepair, decontaminate, linededup, ngramjoin, packing, pii, repetition, resampling, secrets, sharding, tokencount, toxicity
 from marrow.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,14 @@ def op9_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.score(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped_lines"))
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = convrepair.damaged(_table(spark, sf_dir, "conversations"))
+    return convrepair.audits(rows, present="present").drop("peak")
+
+
+@_query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
