@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import convrepair, decontaminate, linededup, ngramjoin, packing, pii, repetition, resampling, secrets, sharding, tokencount, toxicity
+from marrow.llm import bpe, convrepair, decontaminate, linededup, ngramjoin, packing, pii, repetition, resampling, secrets, sharding, tokencount, toxicity
 from marrow.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped_lines"))
 
 
+@_query
+def op11_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"),
+                  public_tokenizers.PATTERN)
+    decoded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), *vocabulary), *vocabulary)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
+
+
 @_query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = convrepair.damaged(_table(spark, sf_dir, "conversations"))
