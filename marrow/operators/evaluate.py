@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marrow.functions.exact import exact_mean
+
 
 def argmax(arr) -> F.Column:
     """0-based index of the first maximum of an array."""
@@ -87,6 +89,6 @@ def cross_entropy(logits, label) -> F.Column:
 
 
 def mean_cross_entropy(df: DataFrame, logits: str = "logits", label: str = "label") -> DataFrame:
-    """Mean per-row cross-entropy (the source evaluates one row per batch)."""
-    return df.agg(F.count(F.lit(1)).cast("long").alias("n"),
-                  F.avg(cross_entropy(logits, label)).alias("mean_ce"))
+    """Mean per-row cross-entropy (the source evaluates one row per batch), the same bits
+    for any partitioning of the rows."""
+    return exact_mean(df.select(cross_entropy(logits, label).alias("_ce")), "_ce", out="mean_ce")

@@ -9,8 +9,20 @@ from marrow.plans.registry import register
 from marrow.sources.tables import table
 
 BIN = "b AS (SELECT doc_id, toxic AS label, quality AS prediction FROM labels)"
+
+
+def exact_sum_sql(x: str) -> str:
+    """The sum of doubles by whole numbers at fixed scales, as in ``marrow.functions.exact``."""
+    rest, parts = x, []
+    for unit in (20, -10, -40, -70):
+        whole = f"round_even({rest} * pow(2e0, {-unit}), 0)"
+        parts.append(f"CAST(sum(CAST({whole} AS HUGEINT)) AS DOUBLE) * pow(2e0, {unit})")
+        rest = f"({rest} - {whole} * pow(2e0, {unit}))"
+    return "(" + " + ".join(parts) + ")"
+
+
 LOGITS = """lg AS (SELECT vec_id, label, list_transform(range(10), lambda c: list_sum(list_transform(
-  list_filter(embedding, lambda x, i: (i - 1) % 10 = c), lambda x: CAST(round(x * 1000000) AS BIGINT))) / 1e6) AS logits FROM embeddings),
+  list_filter(embedding, lambda x, i: (i - 1) % 10 = c), lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT))) / 1e6) AS logits FROM embeddings),
 pr AS (SELECT vec_id, label, CAST(list_position(logits, list_max(logits)) - 1 AS BIGINT) AS prediction, logits FROM lg)"""
 
 
@@ -87,7 +99,7 @@ WITH {LOGITS},
 d AS (SELECT label, list_transform(logits, lambda x: CAST(x AS DOUBLE)) AS l FROM lg),
 ce AS (SELECT list_max(l) + ln(list_reduce(list_transform(l, lambda x: exp(x - list_max(l))), lambda a, b: a + b))
               - l[label + 1] AS loss FROM d)
-SELECT CAST(count(*) AS BIGINT) AS n, avg(loss) AS mean_ce FROM ce
+SELECT CAST(count(*) AS BIGINT) AS n, {exact_sum_sql("loss")} / count(loss) AS mean_ce FROM ce
 """)
 def mean_cross_entropy(spark, sf_dir):
     return E.mean_cross_entropy(_logits(spark, sf_dir), "logits", "label")

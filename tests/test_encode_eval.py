@@ -80,3 +80,37 @@ def test_reserved_words_and_hot_words(spark):
 def tx_strip(c):
     from marrow.functions import text as tx
     return tx.strip_ws(c)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_exact_mean_is_the_same_bits_in_any_order(spark, seed):
+    import math
+    import random
+
+    from marrow.functions.exact import exact_mean
+
+    rng = random.Random(3)
+    values = [rng.uniform(-1, 1) * 10 ** rng.randint(-12, 12) for _ in range(4000)] + [1e15, -1e15, 1e-9, None]
+    rng = random.Random(seed)
+    rng.shuffle(values)
+    df = spark.createDataFrame([(i % 3, v) for i, v in enumerate(values)], "g int, v double").repartition(1 + seed * 3)
+    row = exact_mean(df, "v", total="sum").first()
+    real = [v for v in values if v is not None]
+    assert row.n == len(values)
+    assert row["sum"] == pytest.approx(math.fsum(real), rel=0, abs=1e-9)
+    first = exact_mean(spark.createDataFrame([(v,) for v in sorted(real)], "v double").coalesce(1), "v").first()
+    assert row["mean"] == first["mean"]  # bit by bit
+    assert exact_mean(df.where("v is null"), "v").first()["mean"] is None
+    odd = spark.createDataFrame([(1.0,), (float("inf"),)], "v double")
+    assert exact_mean(odd, "v").first()["mean"] == float("inf")
+
+
+def test_mean_cross_entropy_does_not_depend_on_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from marrow.operators.evaluate import mean_cross_entropy
+
+    df = spark.range(3000).select(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.sin(F.col("id") * (i + 1))).alias("logits"),
+                                  (F.col("id") % 5).cast("int").alias("label"), F.xxhash64("id").alias("k"))
+    found = {mean_cross_entropy(df.repartition(n, "k")).first().mean_ce.hex() for n in (1, 2, 5, 8, 13, 21)}
+    assert len(found) == 1
