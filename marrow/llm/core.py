@@ -13,11 +13,17 @@ every run.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
+try:  # glibc
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _TRIM = None
+
 CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
@@ -181,3 +187,10 @@ def over_batches(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
             yield from fn(batch)
 
     return run
+
+
+def give_back() -> None:
+    """Return the freed memory of this worker to the system: Arrow's pool, and the C library's where it can."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)

@@ -14,7 +14,7 @@ never shuffled and no group of rows is brought together.
 
 Defined results: a null or empty text (or item) has no words, hits nothing and
 is not contaminated; repeated documents are judged alike; repeated items count
-by their id; an empty benchmark hits nothing; an empty document table gives no
+by their id, and items without an id hit words like others but are not listed; an empty benchmark hits nothing; an empty document table gives no
 rows; further columns pass through untouched, whatever their names.
 """
 
@@ -155,7 +155,7 @@ def _pass(frame: DataFrame, shared, text: str, keep: list[str], names, ddl, merg
                 if merge:
                     s = s + [(x["start"], x["end"]) for x in old_spans[lo + d]]
                     i = i | set(old_items[lo + d])
-                items.append(sorted(i))
+                items.append(sorted(x for x in i if x is not None))
                 if not s:
                     spans.append([])
                     chars.append([])

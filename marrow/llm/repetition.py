@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marrow.llm import core
 
@@ -51,6 +52,8 @@ def suffix_repeats(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     n = len(ids)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # one array of ranks is kept for each doubling: half the width where places fit
+    kind = np.int32 if n < np.iinfo(np.int32).max else np.int64
     doc = core.owners(first)
     end = np.repeat(first[1:], np.diff(first))
     _, word = np.unique(ids, return_inverse=True)
@@ -60,7 +63,7 @@ def suffix_repeats(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     head = np.concatenate(([True], key[1:] != key[:-1]))
     group = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     # rank n stands for a place that no other equals: one past every array
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, kind)
     rank[order], rank[n] = group, n
     levels, step = [rank.copy()], 1
     size = np.diff(np.append(np.flatnonzero(head), n))
@@ -188,10 +191,15 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Rules
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``docs`` whose text is kept, with all their columns."""
-    at = docs.columns.index(text)
+    """The rows of ``docs`` whose text is kept, with all their columns.
 
-    def each(batch: pa.RecordBatch):
-        yield batch.filter(pa.array(measure(batch.column(at), rules)["kept"], pa.bool_()))
+    Only texts go to the Python workers and only verdicts come back; the workers, which Spark
+    goes on using, give what they took back to the system after each batch."""
+
+    @F.arrow_udf("boolean")
+    def kept(texts: pa.Array) -> pa.Array:
+        verdict = pa.array(measure(texts, rules)["kept"], pa.bool_())
+        core.give_back()
+        return verdict
 
-    return docs.mapInArrow(core.over_batches(each), docs.schema)
+    return docs.filter(kept(F.col(text)))

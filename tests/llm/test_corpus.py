@@ -446,3 +446,15 @@ def test_pipeline_takes_empty_and_further_columns(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id BIGINT, text STRING").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_items_without_an_id_hit_but_are_not_listed(spark):
+    words = " ".join(f"w{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, "before " + words + " after"), (2, "clean text")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, words), ("x", words[6:]), (None, None), (None, "w3 w4")], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.score(docs, items).collect()}
+    assert (got[1].n_hit, got[1].items, got[1].contaminated) == (14, ["x"], True)
+    assert (got[2].n_hit, got[2].items, got[2].contaminated) == (0, [], False)
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, items).collect()] == [2]
+    blocks = {r.doc_id: (r.n_hit, r.items) for r in decontaminate.score(docs, items, max_set_bytes=300).collect()}
+    assert blocks == {1: (14, ["x"]), 2: (0, [])}
