@@ -2,8 +2,8 @@
 
 Spark has no recursive struct type, so a reply tree stays a JSON string and
 one tree (one row) is flattened by a Python UDTF with an explicit stack (no
-recursion limit).  Forests stored as edge tables are resolved by pointer
-doubling instead, so no tree has to fit in one row.
+recursion limit).  Forests stored as edge tables are put in order by their
+Euler tours instead, so no tree has to fit in one row.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from marrow.operators.clean import positional_rank
+from marrow.operators.clean import positional_rank, rank_table
 from marrow.session import checkpoint_dir
 
 # Missing fields default the way the source's dict.get(key, default) did (C20):
@@ -193,7 +193,77 @@ def chain_to_tree_json(turns: DataFrame, tree: str, pos: str, author: str, body:
 
 
 # ---------------------------------------------------------------------------
-# Reply forests as edge tables: pointer doubling (no recursion limit).
+# Reply forests as edge tables: Euler tour and list ranking (no recursion limit,
+# constant state per node).
+# ---------------------------------------------------------------------------
+def tree_order(edges: DataFrame, tree: str, node: str, parent: str, pos: str) -> DataFrame:
+    """(tree, node, depth, seq, lane): depth and pre-order number of every node of a forest.
+
+    ``edges`` has one row per node; roots have a null parent, siblings stand in
+    order of ``pos``, then of their id.  Every node gives two events, entering
+    and leaving it, and the tour of a tree links them into one list: before
+    entering a node comes leaving its previous sibling, or entering its parent;
+    before leaving it comes leaving its last child, or entering it.  The list is
+    ranked by pointer jumping: an event knows the sums (nodes entered, levels
+    gone down) of a stretch of the list that ends with it, and each round joins
+    it with the stretch before, so stretches double.  A node entered as the n-th
+    has pre-order number n - 1, and the levels are its depth.
+
+    The state is five numbers per event however deep a thread is, and no two
+    events wait for the same one, so no join has a hot key, not even below a
+    node that holds all replies.  Sibling order is one range-partitioned ranking
+    of the forest; the tour takes log2 of twice the largest tree rounds, each
+    written once as a reliable checkpoint.
+
+    Nodes that no root leads to (a missing parent, a cycle, or below either)
+    have null depth and seq in lane ``unreached``.  Of rows that repeat a node
+    the first in sibling order has its children; a null node has none; a null
+    tree is a tree.
+    """
+    checkpoint_dir(edges.sparkSession)
+    row = F.struct(F.col(tree).alias("t"), F.col(parent).alias("up"), F.col(pos).alias("pos"), F.col(node).alias("n"),
+                   F.monotonically_increasing_id().alias("row"))
+    nodes = rank_table(edges.select(row.alias("of")), None, "of", "r").select("of.t", "of.up", "of.n", "r").checkpoint(eager=True)
+
+    # the children of a node are neighbours in that ranking: its first and last one say all
+    families = nodes.groupBy("t", "up").agg(F.min("r").alias("first"), F.max("r").alias("last"))
+    heads = nodes.where(F.col("n").isNotNull()).groupBy(F.col("t").alias("ht"), F.col("n").alias("hn")).agg(F.min("r").alias("head"))
+    families = families.join(heads, F.col("t").eqNullSafe(F.col("ht")) & (F.col("up") == F.col("hn")), "left")
+    enter, leave = 2 * F.col("r"), 2 * F.col("r") + 1  # the events of node r
+    first = families.select((2 * F.col("first")).alias("at"), (2 * F.col("head")).alias("to"),
+                            F.when(F.col("up").isNull(), True).when(F.col("head").isNull(), False).alias("rooted"))
+    last = families.where(F.col("head").isNotNull()).select(
+        (2 * F.col("head") + 1).alias("at"), (2 * F.col("last") + 1).alias("to"), F.lit(None).cast("boolean").alias("rooted"))
+    special = first.unionByName(last)
+    events = nodes.select(F.explode(F.array(
+        F.struct(enter.alias("id"), (enter - 1).alias("back"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("d")),
+        F.struct(leave.alias("id"), enter.alias("back"), F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("d"))
+    )).alias("e")).select("e.*")
+    state = events.join(special, F.col("id") == F.col("at"), "left").select(
+        "id", F.when(F.col("at").isNull(), F.col("back")).otherwise(F.col("to")).alias("back"), "n", "d", "rooted").checkpoint(eager=True)
+
+    # a list is no longer than twice its tree; what still waits after that goes round a cycle
+    largest = nodes.groupBy("t").count().agg(F.max("count")).first()[0] or 0
+    for _ in range((2 * largest).bit_length()):
+        if state.where(F.col("back").isNotNull()).isEmpty():
+            break
+        before = state.select(F.col("id").alias("_id"), F.col("back").alias("_back"), F.col("n").alias("_n"),
+                              F.col("d").alias("_d"), F.col("rooted").alias("_rooted"))
+        zero = F.lit(0).cast("long")
+        state = state.join(before, F.col("back") == F.col("_id"), "left").select(
+            "id", F.col("_back").alias("back"), (F.col("n") + F.coalesce("_n", zero)).alias("n"),
+            (F.col("d") + F.coalesce("_d", zero)).alias("d"), F.coalesce("rooted", "_rooted").alias("rooted")).checkpoint(eager=True)
+    reached = F.coalesce(F.col("rooted") & F.col("back").isNull(), F.lit(False))
+    ranked = state.where(F.col("id") % 2 == 0).select(
+        F.expr("id div 2").alias("_r"), F.when(reached, F.col("d") - 1).alias("depth"), F.when(reached, F.col("n") - 1).alias("seq"),
+        F.when(reached, "ok").otherwise("unreached").alias("lane"))
+    return nodes.join(ranked, F.col("r") == F.col("_r")).select(
+        F.col("t").alias(tree), F.col("n").alias(node), "depth", "seq", "lane")
+
+
+# ---------------------------------------------------------------------------
+# Root paths of a forest: pointer doubling, for callers that want the paths themselves
+# (their size is the depth; ``tree_order`` gives depth and order without them).
 # ---------------------------------------------------------------------------
 def tree_paths(edges: DataFrame, tree: str, node: str, parent: str, pos: str) -> DataFrame:
     """Depth, root path and pre-order sequence of every node of a forest, with its lane.

@@ -40,7 +40,7 @@ def reply_tree_paths(spark, sf_dir):
     first = conv.groupBy("conv_id").agg(F.min("turn").alias("_t0"))
     edges = conv.join(first, "conv_id").select(
         "conv_id", "turn", F.when(F.col("turn") > F.col("_t0"), F.col("turn") - 1).alias("parent"))
-    out = tree.tree_paths(edges, "conv_id", "turn", "parent", "turn")
+    out = tree.tree_order(edges, "conv_id", "turn", "parent", "turn")
     return out.select("conv_id", F.col("turn").cast("long").alias("turn"), "depth", "seq")
 
 
@@ -171,3 +171,35 @@ def reply_tree_branches(spark, sf_dir):
         "parent", F.when(F.col("k") > 0, F.floor((F.col("k") - 1) / 2)))
     out = tree.tree_paths(edges, "conv_id", "k", "parent", "k")
     return out.select("conv_id", "k", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "seq", "lane")
+
+
+# Forests with several roots, siblings against the order of their ids, orphans and cycles: node k of a
+# conversation replies to node (k - 1) / 3, in falling order of k among siblings; every fourth node of
+# every third conversation starts a thread of its own, in every fifth conversation what replied to node 1
+# lost it, and in every seventh nodes 1 and 2 reply to each other.
+FOREST = """k AS (SELECT conv_id, turn - min(turn) OVER (PARTITION BY conv_id) AS k FROM conversations),
+e AS (SELECT conv_id, k, CASE WHEN k = 0 OR (conv_id % 3 = 0 AND k % 4 = 0) THEN NULL WHEN conv_id % 7 = 0 AND k IN (1, 2) THEN 3 - k
+        ELSE (k - 1) // 3 END AS parent
+      FROM k WHERE NOT (conv_id % 5 = 0 AND k = 1))"""
+
+
+@register("reply_forest_order", operators=("S8",), sql=f"""
+WITH RECURSIVE {FOREST},
+t AS (SELECT conv_id, k, 0 AS depth, [-k] AS path FROM e WHERE parent IS NULL
+      UNION ALL SELECT e.conv_id, e.k, depth + 1, list_append(path, -e.k) FROM e JOIN t ON e.conv_id = t.conv_id AND e.parent = t.k)
+SELECT conv_id, CAST(k AS BIGINT) AS k, CAST(depth AS BIGINT) AS depth,
+       CAST(row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS BIGINT) AS seq, 'ok' AS lane FROM t
+UNION ALL
+SELECT e.conv_id, CAST(e.k AS BIGINT), NULL, NULL, 'unreached' FROM e LEFT JOIN t ON e.conv_id = t.conv_id AND e.k = t.k
+WHERE t.k IS NULL
+""")
+def reply_forest_order(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    first = conv.groupBy("conv_id").agg(F.min("turn").alias("_t0"))
+    k = conv.join(first, "conv_id").select("conv_id", (F.col("turn") - F.col("_t0")).cast("long").alias("k"))
+    root = (F.col("k") == 0) | ((F.col("conv_id") % 3 == 0) & (F.col("k") % 4 == 0))
+    loop = (F.col("conv_id") % 7 == 0) & F.col("k").isin(1, 2)
+    edges = k.where(~((F.col("conv_id") % 5 == 0) & (F.col("k") == 1))).select(
+        "conv_id", "k", F.when(root, None).when(loop, 3 - F.col("k")).otherwise(F.floor((F.col("k") - 1) / 3)).alias("parent"),
+        (-F.col("k")).alias("pos"))
+    return tree.tree_order(edges, "conv_id", "k", "parent", "pos")

@@ -93,3 +93,57 @@ def test_deep_chains_orphans_and_cycles(spark):
 def test_malformed_documents_are_reported(spark):
     df = spark.createDataFrame([(1, "{not json"), (2, None), (3, "[]")], "k INT, j STRING")
     assert rows(tree.flatten_reply_trees(df, "j", ["k"]), "k", "body", "lane") == [(1, "{not json", "error")]
+
+
+def brute_order(rows):
+    """{row number: (depth, seq)} of (tree, node, parent, pos) rows by a walk with a stack."""
+    kids = {}
+    for i, (t, n, up, pos) in enumerate(rows):
+        kids.setdefault((t, up), []).append((pos, n, i))
+    out = {}
+    for t in {r[0] for r in rows}:
+        seq, stack = 0, [(i, 0) for _, _, i in sorted(kids.get((t, None), []), reverse=True)]
+        while stack:
+            i, depth = stack.pop()
+            out[i] = (depth, seq)
+            seq += 1
+            stack += [(j, depth + 1) for _, _, j in sorted(kids.get((t, rows[i][1]), []), reverse=True)]
+    return out
+
+
+def test_tree_order_on_random_forests(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for t in range(30):
+        n = rng.randint(1, 60)
+        for k in range(n):
+            up = None if rng.random() < 0.1 or k == 0 else rng.choice([rng.randrange(k), k - 1, rng.randrange(n), 1000])
+            rows.append((t if t else None, k, up if up != k else None, rng.randrange(5)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "thread int, node int, up int, pos int").repartition(4)
+    got = {(r.thread, r.node): (r.depth, r.seq, r.lane) for r in tree.tree_order(df, "thread", "node", "up", "pos").collect()}
+    want = brute_order(rows)
+    assert len(got) == len(rows)
+    for i, (t, n, _, _) in enumerate(rows):
+        assert got[t, n] == ((*want[i], "ok") if i in want else (None, None, "unreached"))
+    assert len({lane for _, _, lane in got.values()}) == 2
+
+
+def test_tree_order_of_deep_and_wide_threads(spark):
+    n = 20000
+    deep = spark.range(n).select(F.lit("deep").alias("t"), "id", F.when(F.col("id") > 0, F.col("id") - 1).alias("up"))
+    wide = spark.range(n).select(F.lit("wide").alias("t"), "id", F.when(F.col("id") > 0, F.lit(0)).cast("long").alias("up"))
+    got = tree.tree_order(deep.unionByName(wide), "t", "id", "up", "id")
+    assert not any("array" in f.dataType.simpleString() for f in got.schema)
+    assert got.where("lane = 'ok' and seq = id and depth = if(t = 'deep', id, if(id = 0, 0, 1))").count() == 2 * n
+    assert tree.tree_order(deep.limit(0), "t", "id", "up", "id").count() == 0
+
+
+def test_tree_order_of_repeated_and_null_nodes(spark):
+    rows = [("a", 1, None, 0), ("a", 1, None, 1), ("a", 2, 1, 0), ("a", None, 1, 1), ("a", 5, 6, 0), ("a", 6, 5, 0)]
+    df = spark.createDataFrame(rows, "t string, n int, up int, pos int")
+    got = sorted((str(r.n), r.depth, r.seq, r.lane) for r in tree.tree_order(df, "t", "n", "up", "pos").collect())
+    assert got == [("1", 0, 0, "ok"), ("1", 0, 3, "ok"), ("2", 1, 1, "ok"), ("5", None, None, "unreached"),
+                   ("6", None, None, "unreached"), ("None", 1, 2, "ok")]
