@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import csv
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marrow.functions import text as tx
+from marrow.sources import blocks
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -44,59 +45,79 @@ def read_platform_csv(spark: SparkSession, root: str, platform: str,
                       schema: str | None = None) -> DataFrame:
     """Scan every CSV of one platform below ``root/<category>/<platform>/``, by column names.
 
-    Files are grouped by their header line and every distinct header is one
-    read, so columns may stand in any order and headers may differ (TikTok's
-    ragged ``mentions*`` columns become one array).  A file without the
-    platform's text column is an error; other columns of the schema are null
-    where a file lacks them.  NA spellings of the text become null, as the
-    source's CSV reader has them.
-
-    Adds ``category`` (from the path), ``file``, and ``pos``, the struct (file,
-    row) that orders rows within a category.  Category folders whose name
-    contains ``link`` are skipped (link lists live there).  Quoted newlines
-    make one file one task, so large dumps should come as many files.
+    Files are read in blocks by many tasks, however long they are and wherever quoted line ends lie
+    (:mod:`marrow.sources.blocks`); quotes follow RFC 4180 (doubled inside quoted fields).  A file's
+    header is its first line.  Columns may stand in any order and headers may differ (TikTok's ragged
+    ``mentions*`` columns become one array).  A file without the platform's text column is an error;
+    other columns of the schema are null where a file lacks them.  NA spellings of the text become
+    null, as the source's CSV reader has them; blank lines are no rows.
+
+    Adds ``category`` (from the path), ``file``, and ``pos``, the struct (file, row) that orders rows
+    within a category (``row`` is the record's place in the file, about its byte).  Category folders
+    whose name contains ``link`` are skipped (link lists live there).
     """
     if platform not in PLATFORM_TEXT:
         raise ValueError(f"unsupported platform {platform!r}; expected one of {sorted(PLATFORM_TEXT)}")
     wanted = spark.createDataFrame([], schema or PLATFORM_SCHEMAS[platform]).schema
     text = PLATFORM_TEXT[platform]
-    # file names and header lines only: as much as a listing of the folder holds
-    files = spark.read.format("binaryFile").load(os.path.join(root, "*", platform, "*.csv")).select(
-        "path", F.regexp_replace(F.substring_index(F.col("content").cast("string"), "\n", 1), r"^\x{feff}|\r$", "").alias("header"))
-    names = F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1)
-    groups = files.where(~names.contains("link")).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
-    out = None
-    for g in sorted(groups, key=lambda g: g.header):
-        header = next(csv.reader([g.header]), [])
-        if text not in header:
-            raise ValueError(f"{g.paths[0]}: no column {text!r} in {header}")
-        part = (spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
-                .schema(T.StructType([T.StructField(f"_{i}_{c}", T.StringType()) for i, c in enumerate(header)])).csv(g.paths))
-        at = {c: F.col(f"`_{i}_{c}`") for i, c in reversed(list(enumerate(header)))}
-        cols = [at.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.fields]
-        if platform == "tiktok":
-            cols.append(F.array_compact(F.array(*[at[c] for c in header if c.startswith("mentions")])).cast("array<string>").alias("mentions"))
-        path = F.col("_metadata.file_path")
-        part = part.select(*cols, F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1).alias("category"),
-                           F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("_row"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    try:
+        recs, table = blocks.records(spark, os.path.join(root, "*", platform, "*.csv"), blocks.LINE)
+    except AnalysisException as e:
+        raise ValueError(f"no CSV files of {platform!r} below {root}") from e
+    category = F.regexp_extract("file", r"([^/]+)/[^/]+/[^/]+$", 1)
+    # one row per file; the widest header has at most as many columns as commas and one more
+    heads = table.where((F.col("block") == 0) & ~category.contains("link"))
+    width = heads.agg(F.max(F.size(F.split("first", ",")))).first()[0]
+    if width is None:
         raise ValueError(f"no CSV files of {platform!r} below {root}")
-    return (out.withColumn(text, tx.csv_null(text)).withColumn("pos", F.struct("file", F.col("_row").alias("row"))).drop("_row"))
-
-
-def read_json_rows(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A JSON array (or JSON lines) of records, UTF-8, explicit schema."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
-def read_json_folder(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
-    """S3: every JSON file below ``root``; parent folder -> ``task``, stem -> ``split``."""
-    df = (spark.read.schema(schema).option("multiLine", True)
-          .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root))
-    path = F.col("_metadata.file_path")
-    return (df.withColumn("task", F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
-              .withColumn("split", F.regexp_extract(path, r"([^/.]+)\.json$", 1)))
+    layout = ", ".join(f"_{i} STRING" for i in range(width))
+
+    def fields(line):
+        cells = F.from_csv(line, layout, {"escape": '"'})
+        return F.array(*[cells[f"_{i}"] for i in range(width)])
+
+    def line(c):
+        return F.regexp_replace(c, r"\r?\n?\z", "")
+
+    lacking = heads.select("file", fields(line("first")).alias("names")).where(~F.coalesce(F.array_contains("names", text), F.lit(False))).first()
+    if lacking:
+        raise ValueError(f"{lacking.file}: no column {text!r} in {[n for n in lacking.names if n is not None]}")
+    rows = recs.where((F.col("place") > 0) & (line("record") != "") & ~category.contains("link")).select(
+        category.alias("category"), F.substring_index("file", "/", -1).alias("file"), F.col("place").alias("_row"),
+        fields(line("record")).alias("_f"), fields(line("first")).alias("_n"))
+    cols = [F.get("_f", (F.array_position("_n", f.name) - 1).cast("int")).cast(f.dataType).alias(f.name) for f in wanted.fields]
+    if platform == "tiktok":
+        named = F.filter("_f", lambda x, i: x.isNotNull() & F.get("_n", i).startswith("mentions"))
+        cols.append(named.alias("mentions"))
+    return rows.select(*cols, "category", "file", F.struct("file", F.col("_row").alias("row")).alias("pos")).withColumn(text, tx.csv_null(text))
+
+
+def read_json_rows(spark: SparkSession, path: str, schema: T.StructType | str, lanes: bool = False, **options) -> DataFrame:
+    """JSON arrays of objects (or JSON lines), UTF-8, explicit schema.
+
+    Files are read in blocks by many tasks, also where an array is one line.  With ``lanes`` what
+    is no valid object, or cut off by the end of its file, is a row of lane ``error`` with null
+    columns and its text in ``raw``; without, only a row of nulls.  ``lanes`` also adds ``file`` and ``place``."""
+    recs, _ = blocks.records(spark, path, blocks.BRACE, **options)
+    wanted = spark.createDataFrame([], schema).schema
+    body = F.regexp_replace("record", r"\A[\x{feff}\s\[,]+", "")
+    found = recs.select("file", "place", "ended", body.alias("_body")).where(~F.col("_body").rlike(r"\A[\s\],]*\z"))
+    marked = T.StructType([*wanted.fields, T.StructField("_bad", T.StringType())])
+    found = found.withColumn("_v", F.from_json("_body", marked, {"columnNameOfCorruptRecord": "_bad"}))
+    ok = F.col("ended") & F.col("_v._bad").isNull()
+    cols = [F.when(ok, F.col("_v")[f.name]).alias(f.name) for f in wanted.fields]
+    if not lanes:
+        return found.select(*cols)
+    return found.select(*cols, F.when(ok, "ok").otherwise("error").alias("lane"), F.when(~ok, F.col("_body")).alias("raw"), "file", "place")
+
+
+def read_json_folder(spark: SparkSession, root: str, schema: T.StructType | str, lanes: bool = False, glob: str = "*.json") -> DataFrame:
+    """S3: every JSON file below ``root``; parent folder -> ``task``, stem -> ``split``; lanes as in
+    :func:`read_json_rows`."""
+    df = read_json_rows(spark, root, schema, True, recursiveFileLookup=True, pathGlobFilter=glob)
+    df = (df.withColumn("task", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1))
+            .withColumn("split", F.regexp_extract("file", r"([^/]+)\.[^/.]+$", 1)))
+    return df if lanes else df.drop("lane", "raw", "file", "place")
 
 
 def read_link_list(df: DataFrame, platform: str) -> DataFrame:
