@@ -70,22 +70,68 @@ def flatten_search(listing: DataFrame) -> DataFrame:
                      .alias("description"))
 
 
-POST_DETAIL_SCHEMA = "ARRAY<STRUCT<data: STRUCT<children: ARRAY<STRUCT<kind: STRING, data: STRUCT<title: STRING, selftext: STRING>>>>>>"
+def listing_items(raw: DataFrame, keys: list[str], json_col: str = "json", path: str = "$.data.children") -> DataFrame:
+    """``keys`` + (pos, item, lane, raw): the items of listing documents, as VARIANT.
 
+    No schema is fixed, so an item of another kind or with further fields stays whole.  A document
+    that is no JSON, or has no array at ``path``, is one row of lane ``error`` with its text in ``raw``."""
+    doc = F.try_parse_json(F.col(json_col))
+    items = raw.select(*keys, F.col(json_col).alias("_json"), F.try_variant_get(doc, path, "array<variant>").alias("_items"))
+    good = items.where(F.col("_items").isNotNull()).select(*keys, F.posexplode("_items").alias("pos", "item"))
+    bad = items.where(F.col("_items").isNull()).select(*keys, F.lit(None).cast("int").alias("pos"), F.lit(None).cast("variant").alias("item"),
+                                                       F.lit("error").alias("lane"), F.col("_json").alias("raw"))
+    return good.select("*", F.lit("ok").alias("lane"), F.lit(None).cast("string").alias("raw")).unionByName(bad)
 
-def post_detail(raw: DataFrame, json_col: str = "json") -> DataFrame:
+
+def _field(name: str, kind: str, item: str = "item") -> F.Column:
+    return F.try_variant_get(F.col(item), f"$.data.{name}", kind)
+
+
+def search_rows(items: DataFrame, keys: list[str]) -> DataFrame:
+    """S6 on :func:`listing_items`: title, absolute link and description of every search result."""
+    ok = F.col("lane") == "ok"
+    link = F.concat(F.lit(REDDIT_HOST), _field("permalink", "string"))
+    text = F.substring(F.coalesce(_field("selftext", "string"), F.lit("")), 1, DESCRIPTION_CHARS)
+    return items.select(*keys, "pos", _field("title", "string").alias("title"), link.alias("link"),
+                        F.when(ok, text).alias("description"), "lane", "raw")
+
+
+def user_item_columns(items: DataFrame, keys: list[str]) -> DataFrame:
+    """The input of :func:`normalise_user_items` from :func:`listing_items` of user pages."""
+    data = F.struct(*[_field(c, k).alias(c) for c, k in (
+        ("title", "string"), ("subreddit", "string"), ("permalink", "string"), ("body", "string"), ("created_utc", "double"))])
+    return items.where("lane = 'ok'").select(
+        *keys, "pos", F.try_variant_get("item", "$.kind", "string").alias("kind"), data.alias("data"), "item")
+
+
+def post_columns(items: DataFrame, keys: list[str]) -> DataFrame:
+    """The input of :func:`normalise_posts` from :func:`listing_items` of post listings."""
+    plain = [_field(c, k).alias(c) for c, k in (
+        ("title", "string"), ("author", "string"), ("permalink", "string"), ("score", "long"), ("num_comments", "long"),
+        ("created_utc", "double"), ("post_hint", "string"), ("url", "string"), ("thumbnail", "string"))]
+    images = _field("preview", "struct<images: array<struct<source: struct<url: string>>>>")
+    return items.where("lane = 'ok'").select(*keys, "pos", *plain, images.alias("preview"))
+
+
+def post_detail(raw: DataFrame, json_col: str = "json", lanes: bool = False) -> DataFrame:
     """Valid only when the JSON is a list of at least two parts.
 
-    Returns ``title``, ``body`` (selftext or '') and ``comments_json`` (part 1's
-    children, for :func:`flatten_reply_trees`).
-    """
-    parts = F.from_json(F.col(json_col), POST_DETAIL_SCHEMA)
-    comments = F.get_json_object(F.col(json_col), "$[1].data.children")
-    out = raw.withColumn("_p", parts).where(F.size("_p") >= 2)
-    post = F.get(F.get("_p", 0)["data"]["children"], 0)["data"]
-    return out.select("*", post["title"].alias("title"),
-                      F.coalesce(post["selftext"], F.lit("")).alias("body"),
-                      comments.alias("comments_json")).drop("_p")
+    Returns ``title``, ``body`` (selftext or '') and ``comments_json`` (part 1's children, for
+    :func:`flatten_reply_trees`).  With ``lanes`` documents that are no JSON, no list or of fewer
+    parts stay, in lane ``error``; without, only valid ones are returned."""
+    parts = F.try_variant_get(F.try_parse_json(F.col(json_col)), "$", "array<variant>")
+    valid = F.coalesce(F.size("_p") >= 2, F.lit(False))
+    post = F.get("_p", 0)
+
+    def field(name):
+        return F.try_variant_get(post, f"$.data.children[0].data.{name}", "string")
+
+    out = raw.withColumn("_p", parts).select(
+        *raw.columns, F.when(valid, field("title")).alias("title"),
+        F.when(valid, F.coalesce(field("selftext"), F.lit(""))).alias("body"),
+        F.when(valid, F.get_json_object(F.col(json_col), "$[1].data.children")).alias("comments_json"),
+        F.when(valid, "ok").otherwise("error").alias("lane"))
+    return out if lanes else out.where("lane = 'ok'").drop("lane")
 
 
 USER_ITEMS_SCHEMA = """kind STRING, data STRUCT<title: STRING, subreddit: STRING, permalink: STRING,

@@ -272,6 +272,11 @@ def drop_vote_columns(df: DataFrame, annotators=DEFAULT_ANNOTATORS) -> DataFrame
     return df.drop(*cols)
 
 
+def without_annotator(sheets: DataFrame, name: str, annotator: str = "annotator") -> DataFrame:
+    """F16: the sheets of all annotators but one (the models' file is not reviewed again)."""
+    return sheets.where(F.col(annotator) != name)
+
+
 def undecided(task: str) -> F.Column:
     """the label is the empty string (no decision yet)."""
     return F.col(task) == ""

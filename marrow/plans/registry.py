@@ -37,6 +37,6 @@ def load_all() -> dict[str, Query]:
     """Import every query module (registration happens on import)."""
     from marrow.plans import (  # noqa: F401
         q_clean, q_stats, q_votes, q_sampling, q_encode, q_evaluate, q_tree, q_language,
-        q_rowsonly, q_sinks,
+        q_rowsonly, q_sinks, q_sources,
     )
     return REGISTRY
