@@ -2,9 +2,8 @@
 
 Vocabulary ids follow binary word order (the source used set order, which
 changes per run).  The vocabulary is ranked with the same range-partition +
-prefix-sum scheme as positional ids, so no single task sorts it.  Lookups join
-distinct words, never raw tokens; AQE broadcasts a vocabulary that measures
-small and splits skewed words otherwise.
+prefix-sum scheme as positional ids, so no single task sorts it.  Lookups take
+frequent words from a small broadcast table and shuffle only the rare ones.
 """
 
 from __future__ import annotations
@@ -31,7 +30,8 @@ def build_vocab(texts: DataFrame, text: str = "text") -> DataFrame:
     nothing, as these have their entries already.  The distinct words are
     ranked once; the ranking's checkpoint is what the vocabulary reads.
     """
-    words = texts.select(F.explode(tx.space_tokens(text)).alias("word")).where(
+    # a text's distinct words only: most tokens repeat one
+    words = texts.select(F.explode(F.array_distinct(tx.space_tokens(text))).alias("word")).where(
         ~F.col("word").isin(PAD, UNK)).distinct()
     ranked = rank_table(words, None, "word", "_r")
     body = ranked.select("word", (F.col("_r") + 1).cast("long").alias("idx"))
@@ -46,25 +46,43 @@ def invert_vocab(vocab: DataFrame) -> DataFrame:
     return vocab.select("idx", "word")
 
 
+#: How many words are looked up without a shuffle, and how many counters find them: a word in more
+#: than one of ``HEAVY_COUNTERS`` tokens is among the counted ones.
+HEAVY_WORDS, HEAVY_COUNTERS = 1024, 8192
+
+
+def heavy_words(tokens: DataFrame, word: str = "word", limit: int = HEAVY_WORDS, counters: int = HEAVY_COUNTERS) -> DataFrame:
+    """The most frequent words of a column, at most ``limit``, from a mergeable sketch of bounded size
+    (one per task, merged once): no word is shuffled or counted exactly."""
+    top = tokens.agg(F.expr(f"approx_top_k(`{word}`, {limit}, {counters})").alias("_top"))
+    return top.select(F.explode("_top.item").alias("word"))
+
+
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, text: str = "text",
                   out: str = "input_ids", max_len: int | None = None) -> DataFrame:
     """Space-split tokens -> vocabulary ids (unknown -> <unk>), order kept.
 
-    ``key`` must be unique (rows that share one would be merged).  Every row's
-    distinct words are looked up with their places, not its tokens, so a word
-    that makes up half of all tokens is one row per text; AQE broadcasts a
-    vocabulary that measures small and splits skewed words otherwise.  A row's
-    group is bounded by its own tokens.  With ``max_len`` the tokens are
-    cropped before the lookup, which leaves the first ``max_len`` ids as they are.
+    ``key`` must be unique (rows that share one would be merged).  Words follow a
+    heavy tail: a few make up most tokens and would each be one join key of
+    most rows.  These are found by a sketch and looked up map-side in a table
+    of at most ``HEAVY_WORDS`` rows; only the tokens of all other words, none
+    of which is frequent, are shuffled to the vocabulary (or meet it
+    broadcast, where AQE measures it small).  Ids return to their rows in one
+    shuffle; a row's group is bounded by its own tokens.  With ``max_len`` the
+    tokens are cropped before the lookup, which leaves the first ``max_len``
+    ids as they are.
     """
     unk = vocab.where(F.col("word") == UNK).select(F.max("idx")).scalar()
+    known = vocab.where(F.col("word") != UNK)
     toks = tx.space_tokens(text)
-    toks = df.select(key, (F.slice(toks, 1, max_len) if max_len else toks).alias("_toks")).repartition(key)
-    words = toks.select(key, F.posexplode("_toks").alias("_p", "word")).groupBy(key, "word").agg(
-        F.collect_list("_p").alias("_ps"))
-    ids = words.join(vocab.where(F.col("word") != UNK), "word", "left").select(
-        key, F.coalesce(F.col("idx"), unk).alias("_id"), F.explode("_ps").alias("_p"))
-    packed = ids.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "_id"))).alias("_l"))
+    toks = df.select(F.col(key), F.posexplode(F.slice(toks, 1, max_len) if max_len else toks).alias("_p", "word"))
+    heavy = heavy_words(toks)
+    # at most HEAVY_WORDS rows, whatever the vocabulary
+    heavy_ids = F.broadcast(known.join(F.broadcast(heavy), "word", "left_semi"))
+    frequent = toks.join(heavy_ids, "word").select(key, "_p", F.col("idx").alias("_id"))
+    rare = toks.join(heavy_ids.select("word"), "word", "left_anti").join(known, "word", "left").select(
+        key, "_p", F.coalesce("idx", unk).alias("_id"))
+    packed = frequent.unionByName(rare).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "_id"))).alias("_l"))
     return packed.select(key, F.transform("_l", lambda s: s["_id"]).alias(out))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marrow.functions import text as tx
+from marrow.session import checkpoint_dir
 
 # Stop-word profile (language -> words).
 DEFAULT_PROFILE = {
@@ -113,3 +114,59 @@ def second_opinion(df: DataFrame, judge: Callable[[pd.Series], pd.Series], text:
 def accepted(df: DataFrame, lane_col: str = "lane") -> DataFrame:
     """The union of accepted rows (first pass and second opinion)."""
     return df.where(F.col(lane_col).isin("accepted", "accepted_second"))
+
+
+# ---------------------------------------------------------------------------
+# A detector learned from labelled rows: naive Bayes over character n-grams.
+# ---------------------------------------------------------------------------
+#: size of a profile, and how many thousandths per n-gram the best language must lead by
+PROFILE_GRAMS, REJECT_BELOW = 2000, 40
+MAX_LANGUAGES = 500
+
+
+def _grams(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """``keep`` + (gram): the character trigrams of all words, each word between two spaces."""
+    words = df.select(*keep, F.explode(tx.ws_tokens(F.lower(F.col(text)))).alias("_word"))
+    chars = F.split(F.concat(F.lit(" "), "_word", F.lit(" ")), "")  # linear in the word, as positions are not
+    words = words.select(*keep, chars.alias("_c"))
+    return words.select(*keep, F.explode(F.transform(
+        F.sequence(F.lit(0), F.size("_c") - 3), lambda i: F.concat(F.get("_c", i), F.get("_c", i + 1), F.get("_c", i + 2)))).alias("gram"))
+
+
+def train_profile(df: DataFrame, lang: str = "lang", text: str = "text", grams: int = PROFILE_GRAMS) -> tuple[DataFrame, list[str]]:
+    """(profile, languages): per n-gram one weight for each language, 1000 times the logarithm of its
+    smoothed share there, rounded down.
+
+    All labelled rows count; the profile keeps the ``grams`` most frequent n-grams, which bounds it
+    whatever the corpus.  It is checkpointed."""
+    checkpoint_dir(df.sparkSession)
+    counts = _grams(df.where(F.col(lang).isNotNull()), [lang], text).groupBy(F.col(lang).alias("lang"), "gram").agg(
+        F.count(F.lit(1)).alias("n")).checkpoint()
+    langs = sorted(r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang!r}")
+    top = counts.groupBy("gram").agg(F.sum("n").alias("_n"), *[
+        F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)])
+    top = top.orderBy(F.desc("_n"), "gram").limit(grams).checkpoint()
+    # one row: the grams of the profile and, per language, their occurrences
+    sums = top.agg(F.count(F.lit(1)).alias("m"), *[F.sum(f"c{i}").alias(f"t{i}") for i in range(len(langs))])
+    weights = [F.floor(F.lit(1000.0) * F.log((F.col(f"c{i}") + 1).cast("double") / (F.col(f"t{i}") + F.col("m")).cast("double")))
+               .cast("long").alias(f"w{i}") for i in range(len(langs))]
+    return top.crossJoin(F.broadcast(sums)).select("gram", *weights).checkpoint(), langs
+
+
+def detect_language(df: DataFrame, profile: DataFrame, langs: list[str], key: str, text: str = "text",
+                    reject: int = REJECT_BELOW) -> DataFrame:
+    """``df`` + (detected, margin, n_grams): the language of the highest weight over a row's n-grams.
+
+    ``key`` is unique.  The profile is broadcast (its size is a parameter) and weights are whole
+    numbers, added up per row before the one shuffle.  Rows without an n-gram of the profile, and
+    those whose best language leads by less than ``reject`` thousandths per n-gram, have null."""
+    hits = _grams(df, [key], text).join(F.broadcast(profile), "gram").groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_grams"), *[F.sum(f"w{i}").alias(f"s{i}") for i in range(len(langs))])
+    order = F.array_sort(F.array(*[F.struct((-F.col(f"s{i}")).alias("s"), F.lit(x).alias("lang")) for i, x in enumerate(langs)]))
+    lead = F.coalesce(F.get("_o", 1)["s"] - F.get("_o", 0)["s"], F.lit(1 << 60).cast("long"))
+    best = hits.withColumn("_o", order).select(
+        F.col(key).alias("_key"), "n_grams", lead.cast("long").alias("margin"),
+        F.when(lead >= reject * F.col("n_grams"), F.get("_o", 0)["lang"]).alias("detected"))
+    return df.join(best, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("n_grams", F.coalesce("n_grams", F.lit(0)))

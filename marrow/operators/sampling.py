@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marrow.operators.clean import rank_table
+
 
 def sample_key(seed, key: str) -> F.Column:
     """md5 of ``seed|key``: the ordering that defines a seeded sample."""
@@ -67,5 +69,51 @@ def limit_per_source(df: DataFrame, source: str, order: Sequence[str], limit: in
 
 
 def shuffle_rows(df: DataFrame, seed: int = 0) -> DataFrame:
-    """A seeded random order of all rows (for training loaders)."""
+    """A seeded random order of all rows by one full sort; its order follows the partitioning
+    (:func:`shuffled` gives places that do not)."""
     return df.orderBy(F.rand(seed))
+
+
+#: steps of cycle walking; the chance that one more is needed is below N ** -(CYCLE_STEPS / 2)
+CYCLE_STEPS = 64
+FEISTEL_ROUNDS = 4
+
+
+def permuted(rank: F.Column, n: F.Column, seed: int, epoch: int = 0) -> F.Column:
+    """The place of rank 0..n-1 in a keyed permutation of them, without looking at other rows.
+
+    A Feistel network on the two digits of a rank in a mixed base a x b, the smallest near-square
+    that holds n: rounds add a hash of one digit to the other, which is a bijection of a x b.
+    Places beyond n are sent on by the same bijection until they fall below it."""
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    b = F.floor((n + a - 1) / a).cast("long")
+
+    def mixed(i, digit):
+        text = F.concat_ws("|", F.lit(f"{seed}|{epoch}"), i.cast("string"), digit.cast("string"))
+        return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+    def once(x):
+        def turn(s, i):
+            left = F.struct(((s["l"] + mixed(i, s["r"])) % a).alias("l"), s["r"].alias("r"))
+            right = F.struct(s["l"].alias("l"), ((s["r"] + mixed(i, s["l"])) % b).alias("r"))
+            return F.when(i % 2 == 1, left).otherwise(right)
+
+        start = F.struct(F.floor(x / b).cast("long").alias("l"), (x % b).alias("r"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(FEISTEL_ROUNDS)), start, turn, lambda s: s["l"] * b + s["r"])
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(CYCLE_STEPS)), once(rank), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("cycle walking did not end")).cast("long"))
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 0, epoch: int = 0, place: str = "place") -> DataFrame:
+    """``df`` with every row's place (from 0) in a shuffle of all rows.
+
+    The unique ``key`` gives ranks (one ranking of the keys alone, the same for
+    every seed and epoch), and a keyed permutation gives places: no sort by
+    random numbers, the same places for any partitioning and after any lost
+    task, and any epoch or stretch of places by itself (``where(place between
+    ...)`` resumes a loader in the middle)."""
+    ranks = rank_table(df.select(key), None, key, "_rank")
+    n = F.lit(ranks.count()).cast("long")
+    places = ranks.select(F.col(key).alias("_key"), permuted(F.col("_rank"), n, seed, epoch).alias(place))
+    return df.join(places, F.col(key) == F.col("_key")).drop("_key")

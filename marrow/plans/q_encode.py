@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marrow.operators import clean, encode
+from marrow.functions import text as tx
+from marrow.operators import clean, encode, subword
 from marrow.plans import sqltext as S
 from marrow.plans.fixtures_sql import HUMAN_REVIEW, SPLIT_DOCS, VOTES
 from marrow.plans.registry import register
@@ -132,3 +133,56 @@ FROM j GROUP BY split
 def oov_rate(spark, sf_dir):
     cd = _clean_splits(spark, sf_dir)
     return encode.oov_rate(cd.where(F.col("split") != "train"), _vocab(spark, sf_dir), "split")
+
+
+# Pieces: frequent words of the training texts, and beginnings and endings of up to three letters.
+PIECES = f"""{SPLIT_DOCS},
+tw AS (SELECT unnest({S.ws_tokens('lower(text)')}) AS word FROM sdocs WHERE split = 'train'),
+k AS (SELECT unnest([1, 2, 3]) AS k),
+pieces AS (
+  (SELECT word AS piece FROM tw GROUP BY word ORDER BY count(*) DESC, word LIMIT 300)
+  UNION (SELECT left(word, k) FROM tw, k GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 600)
+  UNION (SELECT '##' || right(word, k) FROM tw, k WHERE length(word) > k GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 900)),
+subvocab AS (SELECT piece, row_number() OVER (ORDER BY piece) + 3 AS idx FROM pieces)"""
+
+
+def _pieces(spark, sf_dir):
+    docs = fx.documents_split(spark, sf_dir).where("split = 'train'")
+    words = docs.select(F.explode(tx.ws_tokens(F.lower(F.col("text")))).alias("word"))
+
+    def top(df, n):
+        return df.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "piece").limit(n).select("piece")
+
+    ks = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k")
+    cut = words.select("word", ks)
+    pieces = top(words.select(F.col("word").alias("piece")), 300)
+    pieces = pieces.union(top(cut.select(F.expr("left(word, k)").alias("piece")), 600))
+    pieces = pieces.union(top(cut.where("char_length(word) > k").select(F.expr("'##' || right(word, k)").alias("piece")), 900)).distinct()
+    body = encode.rank_table(pieces, None, "piece", "r").select(F.col("piece").alias("word"), (F.col("r") + 4).alias("idx"))
+    marks = spark.createDataFrame([("<pad>", 0), ("<unk>", 1), ("<s>", 2), ("</s>", 3)], "word STRING, idx LONG")
+    return marks.unionByName(body)
+
+
+@register("subword_encode", operators=("X6", "C15", "C16"), sql=f"""
+WITH RECURSIVE {PIECES},
+t AS (SELECT doc_id, word, p FROM (SELECT doc_id, unnest({S.ws_tokens('lower(text)')}) AS word,
+        unnest(range(1, len({S.ws_tokens('lower(text)')}) + 1)) AS p FROM sdocs WHERE split = 'test')
+      WHERE p <= 62),
+d AS (SELECT DISTINCT word FROM t),
+spots AS (SELECT word, a, unnest(range(1, least(length(word) - a + 1, (SELECT max(length(piece)) FROM pieces)) + 1)) AS n
+       FROM (SELECT word, unnest(range(1, length(word) + 1)) AS a FROM d)),
+m AS (SELECT word, a, max(n) AS n, arg_max(v.idx, n) AS idx FROM spots
+      JOIN subvocab v ON v.piece = (CASE WHEN a > 1 THEN '##' ELSE '' END) || substr(word, a, n) GROUP BY word, a),
+w AS (SELECT word, CAST(1 AS BIGINT) AS a, CAST([] AS BIGINT[]) AS ids FROM d
+      UNION ALL SELECT w.word, w.a + m.n, list_append(w.ids, m.idx) FROM w JOIN m ON m.word = w.word AND m.a = w.a),
+c AS (SELECT d.word, coalesce(max(ids) FILTER (WHERE w.a = length(d.word) + 1), [1]) AS ids FROM d JOIN w ON w.word = d.word GROUP BY d.word),
+e AS (SELECT doc_id, list_prepend(2, list_append(list_slice(flatten(list(ids ORDER BY p)), 1, 62), 3)) AS ids FROM t JOIN c USING (word) GROUP BY doc_id)
+SELECT s.doc_id, array_to_string(list_concat(coalesce(ids, [2, 3]), list_transform(range(64 - len(coalesce(ids, [2, 3]))), lambda x: 0)), ',') AS input_ids,
+       CAST(len(coalesce(ids, [2, 3])) AS BIGINT) AS n_used
+FROM sdocs s LEFT JOIN e USING (doc_id) WHERE split = 'test'
+""")
+def subword_encode(spark, sf_dir):
+    docs = fx.documents_split(spark, sf_dir).where("split = 'test'").select("doc_id", F.lower("text").alias("text"))
+    found = subword.encode_subwords(docs, _pieces(spark, sf_dir), 64, first="<s>", last="</s>")
+    return found.select("doc_id", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),
+                        F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_used"))

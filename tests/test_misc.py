@@ -2,6 +2,8 @@
 row shuffle, second opinion lanes."""
 import pandas as pd
 
+from pyspark.sql import functions as F
+
 from marrow.operators import encode, language, sampling, votes as V
 from tests.conftest import rows
 
@@ -64,3 +66,88 @@ def test_global_dedup_needs_unique_positions(spark):
     assert clean.dedup_keep_first(df, within=["category"]).count() == 4  # the null category is one too
     chain = clean.clean_chain(df)
     assert sorted(r.id for r in chain.collect()) == ["_0", "a_0", "a_1", "b_0"]
+
+
+def test_shuffled_is_a_permutation_whatever_the_partitions(spark):
+    from marrow.operators.sampling import shuffled
+
+    for n in (1, 2, 3, 7, 10, 99, 1000):
+        df = spark.range(n).select((F.col("id") * 3).alias("k"), F.lit(n).alias("n"))
+        one = {r.k: r.place for r in shuffled(df, "k", seed=5).collect()}
+        assert sorted(one.values()) == list(range(n))
+        other = {r.k: r.place for r in shuffled(df.repartition(5, F.xxhash64("k")), "k", seed=5).collect()}
+        assert one == other
+    next_epoch = {r.k: r.place for r in shuffled(df, "k", seed=5, epoch=1).collect()}
+    assert sorted(next_epoch.values()) == list(range(n)) and next_epoch != one
+    moved = sum(abs(p - k // 3) for k, p in one.items()) / n
+    assert n / 4 < moved < n / 2  # a random permutation moves a row by a third of n
+    assert shuffled(df.limit(0), "k").count() == 0
+
+
+def test_heavy_words_do_not_make_a_hot_task(spark):
+    from marrow.operators import encode
+
+    docs = spark.range(3000).select("id", F.concat(F.lit("the of the "), F.concat_ws(" ", F.transform(
+        F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("w"), ((F.col("id") * 10 + i) % 20000).cast("string"))))).alias("text"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    vocab = encode.build_vocab(docs.where("id % 2 = 0")).checkpoint()
+    ids = {r.word: r.idx for r in vocab.collect()}
+    try:
+        for threshold in ("-1", "10485760"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            got = {r.id: r.input_ids for r in encode.encode_tokens(docs, vocab, "id").collect()}
+            assert got == {r.id: [ids.get(w, ids["<unk>"]) for w in r.text.split(" ")] for r in docs.collect()}
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        words = docs.select(F.explode(F.split("text", " ")).alias("word"))
+        heavy = {r.word for r in encode.heavy_words(words, limit=8, counters=64).collect()}
+        assert {"the", "of"} <= heavy and len(heavy) <= 8
+        rare = words.where(~F.col("word").isin(*heavy)).groupBy("word").count().agg(F.max("count")).first()[0]
+        assert rare < 10  # no other word is frequent, so no key of the shuffle is
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert encode.encode_tokens(docs.limit(0), vocab, "id").count() == 0
+
+
+def test_trained_language_detector(spark):
+    from marrow.operators import language as L
+
+    rows = [("en", "the cat sat on the mat and the dog"), ("de", "der hund und die katze auf der matte"),
+            ("fr", "le chat est sur le tapis et le chien")] * 5
+    train = spark.createDataFrame(rows, "lang STRING, text STRING")
+    profile, langs = L.train_profile(train, grams=200)
+    assert langs == ["de", "en", "fr"] and profile.count() <= 200
+    df = spark.createDataFrame([(1, "the mat and the cat"), (2, "die matte und der hund"), (3, ""), (4, None), (5, "12 99"), (6, "LE CHIEN")],
+                               "k INT, text STRING")
+    got = {r.k: r.detected for r in L.detect_language(df, profile, langs, "k").collect()}
+    assert got == {1: "en", 2: "de", 3: None, 4: None, 5: None, 6: "fr"}
+
+
+def test_subwords_equal_a_plain_search(spark):
+    import random
+
+    from marrow.operators import subword
+
+    rng = random.Random(6)
+    pieces = {"a", "b", "ab", "abc", "##a", "##b", "##bc", "##cab", "c", "##c", "é", "##é", "##", "##中"}
+    vocab = {w: i for i, w in enumerate(["<pad>", "<unk>", "<s>", "</s>", *sorted(pieces)])}
+
+    def plain(word):
+        out, at = [], 0
+        while at < len(word):
+            best = max((n for n in range(1, len(word) - at + 1) if ("##" if at else "") + word[at:at + n] in vocab), default=0)
+            if not best:
+                return [1]
+            out.append(vocab[("##" if at else "") + word[at:at + best]])
+            at += best
+        return out
+
+    texts = ["".join(rng.choice("aabbcc é\n中x") for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "", "x" * 500, "ab" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "k INT, text STRING").repartition(3)
+    vf = spark.createDataFrame(list(vocab.items()), "word STRING, idx LONG")
+    for frame in ({}, {"first": "<s>", "last": "</s>"}):
+        got = {r.k: (r.input_ids, r.attention_mask) for r in subword.encode_subwords(df, vf, 12, **frame).collect()}
+        for k, text in enumerate(texts):
+            ids = [i for w in (text or "").split() for i in plain(w)][: 10 if frame else 12]
+            ids = [2, *ids, 3] if frame else ids
+            assert got[k] == (ids + [0] * (12 - len(ids)), [1] * len(ids) + [0] * (12 - len(ids))), text
+    assert subword.encode_subwords(df.limit(0), vf, 12).count() == 0
