@@ -19,9 +19,11 @@ them only where its empty places could otherwise cost it that guarantee: with
 at most agree - need such places it has ``need`` others, and two sets with
 more of them both emit all.
 
-That guarantee also prunes: whoever shares fewer than ``need`` signatures with
-anyone cannot be similar to them, so nodes and pairs are dropped on counts of
-signatures before any text is looked at.
+That guarantee also prunes, instance by instance: whoever shares fewer than
+``need`` signatures with anyone in an instance cannot be similar to them there,
+so nodes and pairs are dropped on counts of signatures before any text is looked
+at.  A pair belongs to the instance of its larger set, so two sets of the band
+below are no pair there.
 
 Links are found without expanding groups into pairs:
 
@@ -29,7 +31,9 @@ Links are found without expanding groups into pairs:
    member only, and verified links are contracted to components;
 2. signatures whose members are by then in one component are done; members of
    different components are compared with each other if they share enough
-   signatures, those that share large groups only by pairs of these groups.
+   signatures.  Two sets with ``need`` common signatures of m have one among the
+   m - need + 1 that fewest others have, so only those bring pairs together;
+   where that one is held by a large group, it takes a second common one.
 
 Every pair of similar sets is thus either verified or already connected, and
 verification is exact, on the texts' n-grams.
@@ -190,6 +194,8 @@ def signatures(owner: np.ndarray, value: np.ndarray, size: np.ndarray, percent:
         for c, subset in enumerate(subsets):
             keep = ~empty[:, c] | loose[doc]
             sig = core.mix64(total[:, subset].sum(axis=1, dtype=np.uint64) ^ core.mix64(tag + np.uint64(c)))
+            # the last bit tells a set's own instance from the one above it
+            sig = (sig & ~np.uint64(1)) | (at[doc].astype(np.uint64) & np.uint64(1))
             docs_out.append(doc[keep])
             sigs_out.append(sig[keep])
     return np.concatenate(docs_out), np.concatenate(sigs_out).view(np.int64)
@@ -325,8 +331,9 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
 
 
 def needs(sizes: DataFrame, percent: int, n2: int, k2: int) -> DataFrame:
-    """(node, size, need, least): with the signatures that a node shares at least with any similar one
-    up to its size, and with any similar one at all."""
+    """(node, size, parity, own, above): the last bit of the signatures of a node's own instance, and the
+    signatures that it shares at least with a similar node that is no larger (in its own instance), or
+    one of the band above (in that one's)."""
 
     def each(batch: pa.RecordBatch):
         size = batch.column(1).to_numpy()
@@ -334,36 +341,42 @@ def needs(sizes: DataFrame, percent: int, n2: int, k2: int) -> DataFrame:
         band = np.searchsorted(np.array([i.low for i in all_]), size, "right") - 1
         # a band whose sets may not differ has no signatures of its own
         need = np.array([i.need if i.differ else 0 for i in all_], np.int32)
-        # the larger one of a pair tells its instance, and the next band may ask for fewer
-        own, above = need[band], need[band + 1]
-        least = np.where((own > 0) & (above > 0), np.minimum(own, above), np.maximum(np.maximum(own, above), 1))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(least.astype(np.int32))],
-                                         names=["node", "size", "need", "least"])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array((band & 1).astype(np.int32)), pa.array(need[band]), pa.array(need[band + 1])],
+            names=["node", "size", "parity", "own", "above"])
 
-    return sizes.mapInArrow(core.over_batches(each), "node long, size long, need int, least int")
+    return sizes.mapInArrow(core.over_batches(each), "node long, size long, parity int, own int, above int")
 
 
-def _prune(groups: DataFrame, needed: DataFrame) -> DataFrame:
-    """Rows (sig, node) without nodes that share fewer signatures than any similar pair does, and
-    without signatures that one node is left with."""
-    enough = groups.groupBy("node").agg(F.count("*").alias("n")).join(needed, "node").filter("n >= least").select("node")
-    groups = groups.join(enough, "node", "left_semi")
-    shared = groups.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("sig")
-    return groups.join(shared, "sig", "left_semi").checkpoint()
+def _prune(groups: DataFrame, sized: DataFrame) -> DataFrame:
+    """Rows (sig, node, up, need) without a node's signatures of an instance in which it shares fewer than
+    any similar pair does there, and without signatures that no pair is left with.  ``up``: the
+    signature is of the instance above the node's own, so another such node is no partner there."""
+    rows = groups.select("sig", "node").join(sized.select("node", "parity", "own", "above"), "node").select(
+        "sig", "node", (F.col("sig").bitwiseAND(F.lit(1).cast("long")) != F.col("parity")).alias("up"), "own", "above")
+    rows = rows.select("sig", "node", "up", F.when(F.col("up"), F.col("above")).otherwise(F.col("own")).alias("need"))
+    enough = rows.groupBy("node", "up").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select("node", "up")
+    rows = rows.join(enough, ["node", "up"], "left_semi")
+    shared = rows.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.bool_and("up").alias("none")).filter(
+        "x <> y and not none").select("sig")
+    return rows.join(shared, "sig", "left_semi").checkpoint()
 
 
 def _candidates(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that sizes and shared signatures allow; ``lists`` has a node's size,
-    need and shared signatures, which are in proportion to its set."""
-    pairs = pairs.distinct().join(lists.toDF("a", "sa", "na", "la"), "a").join(lists.toDF("b", "sb", "nb", "lb"), "b")
-    need = F.when(F.col("sa") > F.col("sb"), F.col("na")).otherwise(F.col("nb"))
+    """Of pairs (a, b) those that sizes and shared signatures allow; ``lists`` has a node's size, the need
+    of its own instance and its signatures there and in all, which are in proportion to its set."""
+    pairs = pairs.distinct().join(lists.toDF("a", "sa", "na", "oa", "la"), "a").join(lists.toDF("b", "sb", "nb", "ob", "lb"), "b")
+    # the larger one's own instance holds the pair
+    more = F.col("sa") > F.col("sb")
+    shared = F.when(more, F.size(F.array_intersect("oa", "lb"))).otherwise(F.size(F.array_intersect("ob", "la")))
     return pairs.filter((100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))
-                        & (F.size(F.array_intersect("la", "lb")) >= F.greatest(need, F.lit(1)))).select("a", "b")
+                        & (shared >= F.greatest(F.when(more, F.col("na")).otherwise(F.col("nb")), F.lit(1)))).select("a", "b")
 
 
 def _apart(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes of different components that meet in a signature."""
-    return rows.toDF("sig", "a", "la").join(rows.toDF("sig", "b", "lb"), "sig").filter("a < b and la <> lb").select("a", "b")
+    """Pairs (a, b), a < b, of nodes of different components that meet in a signature of the larger one's instance."""
+    both = rows.toDF("sig", "a", "ua", "la").join(rows.toDF("sig", "b", "ub", "lb"), "sig")
+    return both.filter("a < b and la <> lb and not (ua and ub)").select("a", "b")
 
 
 def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, text: str = "text", n2: int = 2, k2: int = 1
@@ -372,37 +385,35 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, text: str = "t
     found = shared_signatures(docs, n, percent, text, n2, k2).checkpoint()
     sized = rows.select("node", "size").distinct().join(found.select("node").distinct(), "node")
     sized = needs(sized, percent, n2, k2).checkpoint()
-    groups = _prune(found, sized.select("node", "least"))
-    lists = groups.groupBy("node").agg(F.collect_list("sig").alias("sigs")).join(sized, "node").select(
-        "node", "size", "need", "sigs").checkpoint()
+    groups = _prune(_prune(found, sized), sized)
+    lists = groups.groupBy("node").agg(
+        F.collect_list(F.when(~F.col("up"), F.col("sig"))).alias("mine"), F.collect_list("sig").alias("sigs")).join(sized, "node").select(
+        "node", "size", "own", "mine", "sigs").checkpoint()
 
-    low = groups.groupBy("sig").agg(F.min("node").alias("a"))
+    low = groups.filter(~F.col("up")).groupBy("sig").agg(F.min("node").alias("a"))
     stars = groups.join(low, "sig").filter("node <> a").select("a", F.col("node").alias("b"))
     stars = _candidates(stars, lists, percent).checkpoint()
     texts = node_texts(docs, stars.select(F.col("a").alias("node")).union(stars.select("b")), n, text).checkpoint()
     first = verify(stars, texts, n, percent).checkpoint()
 
     label = components(first)
-    rows = groups.join(label, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+    rows = groups.join(label, "node", "left").select("sig", "node", "up", "need", F.coalesce("label", "node").alias("label"))
     mixed = rows.groupBy("sig").agg(
         F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members"))
     # two members are a pair that has been looked at
-    rows = rows.join(mixed.filter("x <> y and members > 2").select("sig", "members"), "sig").checkpoint()
-    small = rows.filter(F.col("members") <= SMALL_GROUP).select("sig", "node", "label")
-    large = rows.filter(F.col("members") > SMALL_GROUP).select("sig", "node", "label")
-    wide = large.groupBy("node").agg(F.count("*").alias("wide"))
-    about = sized.join(wide, "node", "left").select("node", "size", "need", "least", F.coalesce("wide", F.lit(0)).alias("wide"))
-    near = _apart(small).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    near = near.join(about.drop("least").toDF("a", "sa", "na", "wa"), "a").join(about.drop("least").toDF("b", "sb", "nb", "wb"), "b").filter(
-        (F.col("shared") + F.least("wa", "wb") + 1 >= F.when(F.col("sa") > F.col("sb"), F.col("na")).otherwise(F.col("nb")))
-        & (100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))).select("a", "b")
-    # pairs that share large groups only share two of them at least
-    # (of its first places, so many less as it needs to share)
-    places = Window.partitionBy("node").orderBy("sig")
-    most = large.withColumn("at", F.row_number().over(places)).join(about.select("node", "least", "wide"), "node").filter(
-        F.col("at") <= F.col("wide") - F.greatest("least", F.lit(2)) + 2).select("sig", "node", "label")
-    second = most.join(most.select(F.col("sig").alias("other"), "node"), "node").filter("sig < other").select(
-        F.xxhash64("sig", "other").alias("sig"), "node", "label")
+    rows = rows.join(mixed.filter("x <> y and members > 2").select("sig", "members"), "sig")
+    # two nodes with `need` common signatures have one, and two, of them among so many less of their rarest
+    places = Window.partitionBy("node", "up")
+    rows = rows.withColumn("at", F.row_number().over(places.orderBy("members", "sig"))).withColumn("all", F.count("*").over(places))
+    rows = rows.withColumn("room", F.col("all") - F.greatest("need", F.lit(2)) + 2).filter("all >= need and at <= room").checkpoint()
+    heads = rows.filter((F.col("at") < F.col("room")) | (F.col("need") < 2))
+    met = heads.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("met")).filter("x <> y")
+    heads = heads.join(met.select("sig", "met"), "sig").checkpoint()
+    near = _apart(heads.filter(F.col("met") <= SMALL_GROUP).select("sig", "node", "up", "label")).distinct()
+    # pairs whose rarest common signature is that of a large group: by two common signatures
+    large = heads.filter(F.col("met") > SMALL_GROUP).select("sig", "node", "up", "label", "at")
+    second = large.join(rows.select(F.col("sig").alias("other"), "node", "up", F.col("at").alias("later")), ["node", "up"]).filter(
+        "at < later").select(F.xxhash64(F.least("sig", "other"), F.greatest("sig", "other")).alias("sig"), "node", "up", "label")
     again = second.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
     far = _apart(second.join(again, "sig", "left_semi")).distinct()
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
