@@ -94,8 +94,8 @@ def length_whiskers(df: DataFrame, split: str = "split", text: str = "text", k:
                          F.get("q", 2).alias("q3"))
     lo = F.col("q1") - F.lit(k) * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1"))
-    # One row per split: broadcast is bounded by the number of splits.
-    j = h.join(F.broadcast(quart), split)
+    # one row per split meets the histogram; how is left to measured sizes
+    j = h.join(quart, split)
     inside = (F.col("n_tokens") >= lo) & (F.col("n_tokens") <= hi)
     return j.groupBy(split, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("n_tokens"))).cast("long").alias("lo_whisker"),
