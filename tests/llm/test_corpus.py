@@ -394,7 +394,8 @@ def test_crossover_keeps_every_item_once():
 
 
 # --- queries and pipeline --------------------------------------------------------
-@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+# op12 reads conversations: tests/llm/test_new_three.py
+@pytest.mark.parametrize("name", sorted(set(queries.ORACLES) - {"op12_conversation_repair"}))
 def test_query_handles_nulls_and_repeated_rows(spark, tmp_path, name):
     rows = [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, None, 0), (2, "", None, None, 0),
             (3, "a b c d e f g h i j k l", "en", "s", 23), (4, "a b c d e f g h i j k l", "en", "s", 23)]

@@ -285,3 +285,25 @@ def test_resample_of_empty_tables(spark):
     assert resampling.resample(none, some).count() == 0
     rows = {r.doc_id: r for r in resampling.resample(some, none, percent=100, min_words=1).collect()}
     assert sorted(r.rank for r in rows.values()) == [1, 2] and rows[1].n_features == 3
+
+
+# --- the queries against their SQL, on odd rows ----------------------------------------------------
+
+
+def test_op12_query_equals_its_sql_on_nulls_and_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(31)
+    rows = [(None, None, None, None), (None, 4, "user", None), (7, None, None, "x."), (8, 2, "", "a?"), (8, 2, "", "a?"), (9, 5, "user", "")]
+    for conv in range(60):
+        for turn in range(rng.randint(1, 9)):
+            rows.append((conv + 100, rng.choice([turn, turn, turn + 3, None]), rng.choice(["user", "assistant", "system", "tool", None]),
+                         rng.choice(["Yes.", "No!", "cut", " ", "Why? ", None, "über…", "a\nb."])))
+    for folder, data in ((tmp_path / "a", rows), (tmp_path / "b", [])):
+        spark.createDataFrame(data, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+        got = queries.op12_conversation_repair(spark, str(folder))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{folder}/conversations.parquet/*.parquet')")
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES['op12_conversation_repair']})").fetchall()
+        assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+        assert len(want) == len({r[0] for r in data})
