@@ -52,25 +52,30 @@ SELECT conv_id AS page, CAST(0 AS BIGINT) AS item, CAST(reply AS BIGINT) AS repl
 FROM c
 """)
 def thread_page_flatten(spark, sf_dir):
-    # One comment-thread page per conversation: its first turn is the top-level
-    # comment and the later turns are the replies, in turn order.
+    # Pages of a hundred turns, as the source's API gives them: the first one holds the top-level
+    # comment and its first replies, later ones an item without a comment and further replies.
     conv = table(spark, sf_dir, "conversations")
+    first = conv.groupBy("conv_id").agg(F.min("turn").alias("_t0"))
+    turns = conv.join(first, "conv_id").withColumn("k", F.col("turn") - F.col("_t0"))
 
     def snippet(r):
         return F.struct(r["role"].alias("authorDisplayName"), r["text"].alias("textDisplay"),
                         r["turn"].alias("likeCount"), F.lit("").alias("publishedAt"))
 
-    per = conv.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    top = F.get("t", 0)
-    replies = F.transform(F.slice("t", 2, 1 << 30), lambda r: F.struct(snippet(r).alias("snippet")))
+    per = turns.groupBy("conv_id", F.expr("k div 100").alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    opens = F.col("block") == 0
+    top = F.when(opens, snippet(F.get("t", 0)))
+    later = F.slice("t", F.when(opens, 2).otherwise(1), F.size("t"))
+    replies = F.transform(later, lambda r: F.struct(snippet(r).alias("snippet")))
     item = F.struct(
-        F.struct((F.size("t") - 1).cast("long").alias("totalReplyCount"),
-                 F.struct(F.lit("").alias("id"), snippet(top).alias("snippet")).alias("topLevelComment")
-                 ).alias("snippet"),
+        F.struct(F.size(later).cast("long").alias("totalReplyCount"),
+                 F.struct(F.lit("").alias("id"), top.alias("snippet")).alias("topLevelComment")).alias("snippet"),
         F.struct(replies.alias("comments")).alias("replies"))
-    pages = per.select(F.col("conv_id").alias("page"), F.array(item).alias("items"))
-    out = tree.flatten_thread_pages(pages)
-    return out.select("page", F.col("item").cast("long").alias("item"), F.col("reply").cast("long").alias("reply"),
+    pages = per.select(F.struct("conv_id", "block").alias("page"), F.array(item).alias("items"))
+    out = tree.flatten_thread_pages(pages).where((F.col("page.block") == 0) | (F.col("reply") > 0))
+    place = F.when(F.col("page.block") == 0, F.col("reply")).otherwise(F.col("page.block") * 100 + F.col("reply") - 1)
+    return out.select(F.col("page.conv_id").alias("page"), F.col("item").cast("long").alias("item"), place.cast("long").alias("reply"),
                       "author", "text", F.col("likeCount").cast("long").alias("likeCount"))
 
 
