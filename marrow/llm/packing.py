@@ -2,13 +2,17 @@
 
 Documents become token pieces of at most ``capacity`` (only longer documents
 are cut).  Full pieces are sequences by themselves.  The others are dealt by
-hash into blocks of about ``block`` pieces, and each block is packed by
-``islands`` populations that evolve apart, as Spark groups: crossover injects
-whole well-filled bins of one parent into the other, removes the bins that now
-hold duplicates, and puts the displaced pieces back by best fit.  Between the
-epochs the elite of every island migrates to the next one; at the end each
-block takes its best individual.  Bins that stay badly filled are dissolved
-once more and their pieces are packed together with those of other blocks.
+hash into blocks of about ``block`` pieces.  A block whose best-fit packing
+already meets the lower bound (``lower_bound``) is done; every other block is packed by ``islands`` populations that evolve apart,
+as Spark groups: crossover injects whole well-filled bins of one parent into the
+other, removes the bins that now hold duplicates, and puts the displaced pieces
+back: first by dominance (one or two pieces of a bin give way to one or two
+displaced ones that fill it better), the smaller ones so set free by best fit.
+An island evolves until the bound is met or ``generations`` steps in a row bring
+nothing better.  Between the epochs the elite of every island migrates to the
+next one; at the end each block takes its best individual.  Bins that stay badly
+filled are dissolved once more and their pieces are packed together with those
+of other blocks.
 
 Only lengths are shuffled, never texts or token ids; a group holds at most a
 block.  The table of pieces is written to the checkpoint folder once, so the
@@ -24,7 +28,8 @@ import json
 import os
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -40,7 +45,9 @@ BLOCK = 4096
 ISLANDS = 2
 EPOCHS = 2
 POPULATION = 6
-GENERATIONS = 10
+GENERATIONS = 30
+#: Displaced pieces, and pieces of a bin, from which pairs are formed in one step of the dominance search.
+PAIRED, PAIRED_IN_BIN = 32, 8
 #: Bins filled less than this are packed once more, across blocks.
 GOOD_FILL = 0.97
 CACHE_WORDS = 400_000
@@ -174,6 +181,20 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 # --- the grouping genetic algorithm ----------------------------------------------
 
 
+def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    """Bins that any packing needs (Martello and Toth's L2): for every threshold, pieces over half a bin
+    have one each, and pieces from the threshold on must fit into the room these leave."""
+    size = np.sort(lengths.astype(np.int64))
+    total = np.concatenate([[0], np.cumsum(size)])
+    half = np.searchsorted(size, capacity // 2, "right")
+    least = np.concatenate([[0], np.unique(size[:half])])
+    small = np.searchsorted(size, least)  # pieces below the threshold
+    alone = np.maximum(np.searchsorted(size, capacity - least, "right"), half)  # the rest takes nothing from the threshold on
+    room = (alone - half) * capacity - (total[alone] - total[half])
+    more = -(-(total[half] - total[small] - room) // capacity)
+    return int((len(size) - half + np.maximum(more, 0)).max())
+
+
 class Packer:
     """Evolves packings of one block: an individual is a list of bins, a bin a tuple of item numbers."""
 
@@ -181,7 +202,7 @@ class Packer:
         self.size = lengths.tolist()
         self.capacity = capacity
         self.rng = np.random.default_rng(seed)
-        self.bound = -(-int(lengths.sum()) // capacity)
+        self.bound = lower_bound(lengths, capacity)
 
     def load(self, bin_: tuple) -> int:
         return sum(self.size[i] for i in bin_)
@@ -203,6 +224,38 @@ class Packer:
                 insort(free, (room - size[i], k))
         return [tuple(b) for b in bins]
 
+    def refill(self, bins: list[tuple], loose: list[int]) -> list[tuple]:
+        """Put displaced items back: where one or two of them fill a bin better than up to two that it
+        holds, they change places; what is left, now smaller, goes by best fit."""
+        size, cap = self.size, self.capacity
+        bins, loose = [list(b) for b in bins], list(loose)
+
+        def offers() -> tuple[list[int], list[tuple]]:
+            some = self.rng.permutation(len(loose))[:PAIRED].tolist()
+            sets = sorted(chain(((i,) for i in loose), combinations([loose[k] for k in some], 2)), key=self.load)
+            return [self.load(x) for x in sets], sets
+
+        sums, sets = offers()
+        for k in self.rng.permutation(len(bins)).tolist():
+            if not loose:
+                break
+            held = bins[k]
+            room = cap - self.load(held)
+            if room <= 0:
+                continue
+            few = held if len(held) <= PAIRED_IN_BIN else [held[j] for j in self.rng.choice(len(held), PAIRED_IN_BIN, replace=False)]
+            gain, out, into = 0, (), ()
+            for gone in chain(((),), combinations(few, 1), combinations(few, 2)):
+                old = self.load(gone)
+                at = bisect_right(sums, old + room) - 1
+                if at >= 0 and sums[at] - old > gain:
+                    gain, out, into = sums[at] - old, gone, sets[at]
+            if gain:
+                bins[k] = [i for i in held if i not in out] + list(into)
+                loose = [i for i in loose if i not in into] + list(out)
+                sums, sets = offers()
+        return self.best_fit(bins, loose)
+
     def fitness(self, bins: list[tuple]) -> float:
         """Falkenauer's measure: the mean squared filling, which rewards full bins over even ones."""
         cap = self.capacity
@@ -218,9 +271,9 @@ class Packer:
         return self.best_fit(self.best_fit([], some), loose[len(some):].tolist())
 
     def cross(self, into: list[tuple], of: list[tuple]) -> list[tuple]:
-        """Inject well-filled bins of one parent into the other, drop the bins that hold an
-        injected item, and best-fit the pieces these leave."""
-        full = [b for b in of if self.load(b) >= GOOD_FILL * self.capacity] or of
+        """Inject some of the better-filled half of the bins of one parent into the other, drop the bins that hold an
+        injected item, and refill with the pieces these leave."""
+        full = sorted(of, key=self.load, reverse=True)[: -(-len(of) // 2)]
         take = self.rng.random(len(full)) < self.rng.uniform(0.2, 0.6)
         chosen = [b for b, t in zip(full, take) if t]
         inside = {i for b in chosen for i in b}
@@ -230,21 +283,18 @@ class Packer:
                 kept.append(b)
             else:
                 loose += [i for i in b if i not in inside]
-        return self.best_fit(kept + chosen, loose)
+        return self.refill(kept + chosen, loose)
 
     def mutate(self, bins: list[tuple]) -> list[tuple]:
-        """Empty the worst-filled bins and a few others, and best-fit their pieces."""
-        cap, n = self.capacity, len(bins)
+        """Empty the worst-filled bins and a few others, and refill with their pieces."""
+        n = len(bins)
         loads = np.array([self.load(b) for b in bins])
-        out = set(np.argsort(loads)[: max(1, n // 50)].tolist()) | set(self.rng.integers(0, n, max(1, n // 30)).tolist())
-        loose = [i for k in out for i in bins[k]]
-        self.rng.shuffle(loose)
-        some = loose[: len(loose) // 3]
-        return self.best_fit(self.best_fit([b for k, b in enumerate(bins) if k not in out], some),
-                             loose[len(some):]) if cap else bins
+        out = set(np.argsort(loads)[: max(1, n // 50)].tolist()) | set(self.rng.integers(0, n, max(2, n // 30)).tolist())
+        return self.refill([b for k, b in enumerate(bins) if k not in out], [i for k in out for i in bins[k]])
 
     def evolve(self, elite: list[list[tuple]], generations: int, population: int) -> list[list[tuple]]:
-        """The two best individuals after some generations; stops when the lower bound is met."""
+        """The two best individuals; ends when the lower bound is met, or after ``generations`` steps
+        in a row without a better best one (more in small blocks, whose steps are as much cheaper)."""
         members = elite[:population]
         if not members:
             members = [self.best_fit([], list(range(len(self.size))))]
@@ -254,14 +304,18 @@ class Packer:
             members.append(self.start())
         rank = lambda b: (len(b), -self.fitness(b))
         scored = sorted(((rank(b), k, b) for k, b in enumerate(members)), key=lambda x: x[:2])
-        for step in range(generations):
-            if scored[0][0][0] <= self.bound:
-                break
+        step, idle, generations = 0, 0, generations * max(1, BLOCK // len(self.size))
+        while idle < generations and scored[0][0][0] > self.bound:
             a, b = sorted(self.rng.integers(0, len(scored), 2).tolist())
             child = self.cross(scored[a][2], scored[b][2]) if a != b else self.mutate(scored[a][2])
             if self.rng.random() < 0.3:
                 child = self.mutate(child)
-            scored = sorted([*scored, (rank(child), len(members) + step, child)], key=lambda x: x[:2])[:population]
+            best = scored[0][0]
+            # a child that equals a member in rank would crowd out others without adding to them
+            if (mark := rank(child)) not in {x[0] for x in scored}:
+                scored = sorted([*scored, (mark, len(members) + step, child)], key=lambda x: x[:2])[:population]
+            idle = idle + 1 if scored[0][0] >= best else 0
+            step += 1
         best = [b for _, _, b in scored[:2]]
         return best if len(best) == 2 else best * 2
 
@@ -286,16 +340,21 @@ def pack_lengths(items: DataFrame, blocks: int, capacity: int = CAPACITY, island
     """(rid, length, block, bin): pack (rid, length) rows block by block."""
     schema = "block long, island int, rid long, length long, first int, second int"
 
+    def begin(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rid", ignore_index=True)
+        packer = Packer(group["length"].to_numpy(), capacity, seed=0)
+        bins = packer.best_fit([], list(range(len(group))))
+        return group.assign(bin=_as_numbers(bins, len(group)), open=len(bins) > packer.bound)
+
     def evolve(epoch: int):
         def run(group: pd.DataFrame) -> pd.DataFrame:
             block, island = int(group["block"].iloc[0]), int(group["island"].iloc[0])
             own = group[group["source"] == group["source"].iloc[0]]
             own = own.sort_values("rid", ignore_index=True)
             elite = []
-            if epoch:
-                for _, part in sorted(group.groupby("source"), key=lambda x: (x[0] != island, x[0])):
-                    part = part.sort_values("rid", ignore_index=True)
-                    elite += [_as_bins(part["first"].to_numpy()), _as_bins(part["second"].to_numpy())]
+            for _, part in sorted(group.groupby("source"), key=lambda x: (x[0] != island, x[0])):
+                part = part.sort_values("rid", ignore_index=True)
+                elite += [_as_bins(part[c].to_numpy()) for c in (("first", "second") if epoch else ("first",))]
             packer = Packer(own["length"].to_numpy(), capacity, seed=((level * 64 + epoch) * 64 + island) * 1_000_003 + block)
             best = packer.evolve(elite, generations, population)
             n = len(own)
@@ -304,10 +363,14 @@ def pack_lengths(items: DataFrame, blocks: int, capacity: int = CAPACITY, island
 
         return run
 
-    rows = items.select(
-        F.pmod(F.xxhash64("rid", F.lit(level)), F.lit(blocks)).alias("block"),
-        F.explode(F.array(*(F.lit(i) for i in range(islands)))).alias("island"), "rid", "length",
-        F.lit(0).alias("source"), F.lit(0).alias("first"), F.lit(0).alias("second"))
+    rows = items.select("rid", "length", F.pmod(F.xxhash64("rid", F.lit(level)), F.lit(blocks)).alias("block"))
+    begun = rows.groupBy("block").applyInPandas(
+        begin, "rid long, length long, block long, bin int, open boolean").checkpoint()
+    done = begun.filter(~F.col("open")).drop("open")
+    # only blocks above their bound are copied to the islands
+    rows = begun.filter("open").select(
+        "block", F.explode(F.array(*(F.lit(i) for i in range(islands)))).alias("island"), "rid", "length",
+        F.lit(0).alias("source"), F.col("bin").alias("first"), F.col("bin").alias("second"))
     for epoch in range(epochs):
         rows = rows.groupBy("block", "island").applyInPandas(evolve(epoch), schema)
         if epoch < epochs - 1:  # the elite goes to the next island too
@@ -319,7 +382,8 @@ def pack_lengths(items: DataFrame, blocks: int, capacity: int = CAPACITY, island
         chosen = group[group["island"] == bins.idxmin()].sort_values("rid", ignore_index=True)
         return chosen[["rid", "length", "block", "first"]].rename(columns={"first": "bin"})
 
-    return rows.groupBy("block").applyInPandas(best, "rid long, length long, block long, bin int")
+    evolved = rows.groupBy("block").applyInPandas(best, "rid long, length long, block long, bin int")
+    return done.union(evolved)
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,

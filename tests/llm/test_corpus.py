@@ -384,6 +384,72 @@ def test_evolution_beats_its_start_on_a_hard_block():
     assert len(best) <= len(start) and packer.fitness(best) >= packer.fitness(start)
 
 
+def triplets(seed, bins, cap):
+    """Pieces of which three at a time fill a bin exactly."""
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < 3 * bins:
+        a = int(rng.integers(cap * 38 // 100, cap * 49 // 100))
+        b = int(rng.integers(cap // 4, (cap - a) // 2 + 1))
+        if cap - a - b >= b:
+            out += [a, b, cap - a - b]
+    return out
+
+
+def test_evolution_needs_fewer_bins_than_best_fit():
+    for seed in range(4):
+        sizes = triplets(seed, 40, 1000)
+        packer = packing.Packer(np.array(sizes), 1000, seed)
+        start = packer.best_fit([], list(range(len(sizes))))
+        best = packer.evolve([start], generations=5, population=6)[0]
+        assert sorted(i for b in best for i in b) == list(range(120)) and all(packer.load(b) <= 1000 for b in best)
+        assert packer.bound == 40 and len(best) <= 41 < len(start)
+
+
+def test_islands_evolve_blocks_above_their_bound_only(spark):
+    sizes = triplets(7, 30, 1000)
+    rows = spark.createDataFrame(list(enumerate(sizes)), "rid BIGINT, length BIGINT")
+    got = packing.pack_lengths(rows, 1, 1000, generations=2).collect()
+    assert sorted((r.rid, r.length) for r in got) == list(enumerate(sizes))
+    loads = {}
+    for r in got:
+        loads[r.bin] = loads.get(r.bin, 0) + r.length
+    packer = packing.Packer(np.array(sizes), 1000, 0)
+    assert max(loads.values()) <= 1000 and 30 <= len(loads) < len(packer.best_fit([], list(range(90))))
+    # nothing to improve: the result is the best fit itself, without an island
+    easy = spark.createDataFrame([(i, 250) for i in range(40)], "rid BIGINT, length BIGINT")
+    assert {r.bin for r in packing.pack_lengths(easy, 1, 1000).collect()} == set(range(10))
+
+
+def test_lower_bound_against_all_packings():
+    def fewest(sizes, cap):
+        bins = []
+
+        def place(k, limit):
+            if k == len(sizes):
+                return len(bins)
+            best = limit
+            for j in range(len(bins)):
+                if bins[j] + sizes[k] <= cap:
+                    bins[j] += sizes[k]
+                    best = min(best, place(k + 1, best))
+                    bins[j] -= sizes[k]
+            if len(bins) + 1 < best:
+                bins.append(sizes[k])
+                best = min(best, place(k + 1, best))
+                bins.pop()
+            return best
+
+        return place(0, len(sizes) + 1)
+
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        sizes = rng.integers(1, 21, rng.integers(1, 8))
+        bound, least = packing.lower_bound(sizes, 20), fewest(sizes.tolist(), 20)
+        assert -(-int(sizes.sum()) // 20) <= bound <= least
+        best = packing.Packer(sizes, 20, 1).evolve([], 1, 4)[0]
+        assert len(best) == least
+
+
 def test_crossover_keeps_every_item_once():
     packer = packing.Packer(np.random.default_rng(2).integers(1, 900, 200), 1000, seed=3)
     a, b = packer.start(), packer.start()
