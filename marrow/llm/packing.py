@@ -45,9 +45,14 @@ BLOCK = 4096
 ISLANDS = 2
 EPOCHS = 2
 POPULATION = 6
-GENERATIONS = 30
+GENERATIONS = 6
 #: Displaced pieces, and pieces of a bin, from which pairs are formed in one step of the dominance search.
 PAIRED, PAIRED_IN_BIN = 32, 8
+#: Displaced pieces held back for the dominance search of one step, and bins it looks at: the effort of a
+#: step, so that steps in large blocks stay cheap.  All other pieces go by best fit.
+HELD_BACK, TRIED_BINS = 64, 128
+#: Steps in small blocks are cheaper; at most so many times more of them are made.
+MORE_STEPS = 32
 #: Bins filled less than this are packed once more, across blocks.
 GOOD_FILL = 0.97
 CACHE_WORDS = 400_000
@@ -227,8 +232,9 @@ class Packer:
     def refill(self, bins: list[tuple], loose: list[int]) -> list[tuple]:
         """Put displaced items back: where one or two of them fill a bin better than up to two that it
         holds, they change places; what is left, now smaller, goes by best fit."""
-        size, cap = self.size, self.capacity
-        bins, loose = [list(b) for b in bins], list(loose)
+        cap = self.capacity
+        loose = [loose[k] for k in self.rng.permutation(len(loose)).tolist()]
+        bins, loose = [list(b) for b in self.best_fit(bins, loose[HELD_BACK:])], loose[:HELD_BACK]
 
         def offers() -> tuple[list[int], list[tuple]]:
             some = self.rng.permutation(len(loose))[:PAIRED].tolist()
@@ -236,7 +242,7 @@ class Packer:
             return [self.load(x) for x in sets], sets
 
         sums, sets = offers()
-        for k in self.rng.permutation(len(bins)).tolist():
+        for k in self.rng.permutation(len(bins))[:TRIED_BINS].tolist():
             if not loose:
                 break
             held = bins[k]
@@ -304,7 +310,7 @@ class Packer:
             members.append(self.start())
         rank = lambda b: (len(b), -self.fitness(b))
         scored = sorted(((rank(b), k, b) for k, b in enumerate(members)), key=lambda x: x[:2])
-        step, idle, generations = 0, 0, generations * max(1, BLOCK // len(self.size))
+        step, idle, generations = 0, 0, generations * min(max(1, BLOCK // len(self.size)), MORE_STEPS)
         while idle < generations and scored[0][0][0] > self.bound:
             a, b = sorted(self.rng.integers(0, len(scored), 2).tolist())
             child = self.cross(scored[a][2], scored[b][2]) if a != b else self.mutate(scored[a][2])
