@@ -128,6 +128,47 @@ def test_disguises_map_back_to_the_source(text, kind, source):
     assert [(k, text[s:e]) for k, s, e in found] == [(kind, source)]
 
 
+def planted_disguises(rng):
+    """(kind, disguise) by form, of random identifiers; every transducer has its forms."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(4, 9)))
+    digits = dict(zip("0123456789", "zero one two three four five six seven eight nine".split()))
+    user, host, top = word(), word(), rng.choice(["com", "org", "net"])
+    ip = [str(rng.randint(1, 254)) for _ in range(4)]
+    phone = "49" + "".join(rng.choice("0123456789") for _ in range(9))
+    return {
+        "brackets": ("email", f"{user}[at]{host}[dot]{top}"),
+        "parens": ("email", f"{user} (at) {host} (dot) {top}"),
+        "bare words": ("email", f"{user} at {host} dot {top}"),
+        "Cyrillic": ("email", f"{user}\u0430\u0435\u043e@{host}.{top}"),
+        "full width": ("email", "".join(chr(ord(c) + 0xFEE0) for c in f"{user}@{host}.{top}")),
+        "spelled phone": ("phone", "+" + " ".join(digits[c] for c in phone)),
+        "dotted ip": ("ip", " dot ".join(ip)),
+        "bracketed ip": ("ip", "[.]".join(ip)),
+    }
+
+
+def test_disguises_planted_in_texts_of_every_language_are_found():
+    import pyarrow.parquet as pq
+
+    rng, tried, found = random.Random(4), {}, {}
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["lang", "text"]).to_pylist()
+    for row in docs:
+        text = row["text"] or ""
+        clean = pii.disguised(text, pii.detect(text))
+        assert clean == []  # these texts hold no disguise of their own
+        for form, (kind, disguise) in planted_disguises(rng).items():
+            words = text.split(" ")
+            at = rng.randrange(len(words) + 1)
+            before = " ".join(words[:at]) + " "
+            whole = before + disguise + " " + " ".join(words[at:])
+            got = pii.disguised(whole, pii.detect(whole))
+            span = (kind, len(before), len(before) + len(disguise))
+            assert all(s < span[2] and e > span[1] for _, s, e in got), (form, disguise)
+            tried[form, row["lang"]] = tried.get((form, row["lang"]), 0) + 1
+            found[form, row["lang"]] = found.get((form, row["lang"]), 0) + (span in got)
+    assert len(tried) == 8 * 4 and all(found[k] >= 0.9 * n for k, n in tried.items()), found
+
+
 @pytest.mark.parametrize("text", ["look at home.page two three", "a at the b dot of", "555 oh one", "one two three four", "don't, at. dot."])
 def test_ordinary_prose_is_left_alone(text):
     assert pii.disguised(text, pii.detect(text)) == []
