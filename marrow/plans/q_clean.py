@@ -104,8 +104,10 @@ def stage_funnel(spark, sf_dir):
     from marrow.operators.stats import stage_funnel as funnel
     raw = _comments(spark, sf_dir)
     kept = clean.dedup_keep_first(raw, within=["category"])
-    nonempty = kept.withColumn("text", clean.clean_text("text")).where(F.col("text") != "")
-    routed = route_by_language(nonempty, "pos", "en")
+    routed = route_by_language(kept.withColumn("text", clean.clean_text("text")), "pos", "en")
+    # every text is cleaned and scored once: filters on a lane would be pushed below the scoring and repeat it
+    kept = clean.written(routed.select("category", (F.col("text") != "").alias("full"), "lane"))
+    routed = nonempty = kept.where("full")
     return funnel({"raw": raw, "dedup": kept, "nonempty": nonempty,
                    "accepted": routed.where(F.col("lane") == "accepted"),
                    "undetectable": routed.where(F.col("lane") == "undetectable")}, "category")

@@ -5,6 +5,13 @@ from marrow.operators import clean
 from tests.conftest import rows
 
 
+def test_funnel_cleans_and_scores_every_text_once(spark):
+    from marrow.plans.q_clean import stage_funnel
+
+    plan = stage_funnel(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "rlike" not in plan.lower() and plan.count("parquet") == 1
+
+
 def test_mention_only_edges(spark):
     data = [
         (0, "@ab @cd", ["@ab", "@cd"]),          # |7 - 6| = 1 <= 2 -> dropped
