@@ -43,6 +43,22 @@ def test_second_opinion_lanes(spark):
     assert rows(language.accepted(out), "doc_id") == [(1,), (3,)]
 
 
+def test_second_opinion_asks_only_the_rows_in_doubt_and_reads_once(spark):
+    df = spark.range(40).select("id", F.when(F.col("id") % 4 == 0, "second_opinion").when(F.col("id") % 4 == 1, "accepted").alias("lane"),
+                                F.when(F.col("id") != 8, F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
+
+    def judge(texts: pd.Series) -> pd.Series:
+        assert len(texts) and all(t is None or int(t[1:]) % 4 == 0 for t in texts)
+        return texts.map(lambda t: None if t is None else "" if int(t[1:]) % 8 == 0 else "None")
+
+    out = language.second_opinion(df, judge)
+    assert out.columns == df.columns
+    assert {r.id: r.lane for r in out.collect()} == {
+        i: "accepted" if i % 4 == 1 else None if i % 4 else "accepted_second" if i % 8 == 0 and i != 8 else "rejected" for i in range(40)}
+    plan = out.groupBy("lane").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1 and "Union" not in plan
+
+
 def test_profile_as_table_equals_profile_as_dict(spark):
     from marrow.operators import language as L
     profile = {"fr": ("le", "la"), "it": ("la", "il"), "en": ("the",)}
