@@ -11,14 +11,17 @@ be plugged in for rows detected as another language.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marrow.functions import text as tx
+from marrow.functions.arrow import stretches
 from marrow.session import checkpoint_dir
 
 # Stop-word profile (language -> words).
@@ -131,13 +134,48 @@ PROFILE_GRAMS, REJECT_BELOW = 2000, 40
 MAX_LANGUAGES = 500
 
 
-def _grams(df: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """``keep`` + (gram): the character trigrams of all words, each word between two spaces."""
-    words = df.select(*keep, F.explode(tx.ws_tokens(F.lower(F.col(text)))).alias("_word"))
-    chars = F.split(F.concat(F.lit(" "), "_word", F.lit(" ")), "")  # linear in the word, as positions are not
-    words = words.select(*keep, chars.alias("_c"))
-    return words.select(*keep, F.explode(F.transform(
-        F.sequence(F.lit(0), F.size("_c") - 3), lambda i: F.concat(F.get("_c", i), F.get("_c", i + 1), F.get("_c", i + 2)))).alias("gram"))
+#: what separates words (``tx.WS``), and the bytes of text that are counted at once in a task
+_SPACES = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+CHUNK_BYTES = 1 << 19
+_BITS = 21  # of a code point
+
+
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, grams, row) of bounded stretches of the non-null texts of a batch: the trigrams of all
+    words, each word between two spaces, as numbers, and the row of each, ascending.
+
+    Every character of a word is the middle of one trigram, whose neighbours are characters or spaces."""
+    for at, to in stretches(texts, CHUNK_BYTES):
+        rows = [t or "" for t in texts.slice(at, to - at).to_pylist()]
+        c = np.frombuffer((" " + " ".join(rows) + " ").encode("utf-32-le"), np.uint32).astype(np.int64)
+        c[np.isin(c, _SPACES)] = 32
+        mid = np.flatnonzero(c[1:-1] != 32) + 1
+        ends = np.cumsum([len(t) + 1 for t in rows])  # the place of the space after each row
+        yield at, to, (c[mid - 1] << 2 * _BITS) | (c[mid] << _BITS) | c[mid + 1], np.searchsorted(ends, mid)
+
+
+def _gram(code: int) -> str:
+    return "".join(chr(code >> k * _BITS & (1 << _BITS) - 1) for k in (2, 1, 0))
+
+
+def _gram_counts(df: DataFrame, lang: str, text: str) -> DataFrame:
+    """(lang, gram, n): the trigrams of all words of a language's rows, counted in the tasks by bounded
+    stretches of text and then added up by Spark."""
+
+    def counted(batches):
+        for batch in batches:
+            langs, texts = batch.column(0).dictionary_encode(), batch.column(1)
+            code = langs.indices.to_numpy(zero_copy_only=False)
+            for at, _, grams, row in _chunks(texts):
+                of = code[at:][row]
+                for x in np.unique(of):
+                    found, n = np.unique(grams[of == x], return_counts=True)
+                    yield pa.RecordBatch.from_pydict({
+                        "lang": pa.array([langs.dictionary[int(x)].as_py()] * len(found), pa.string()),
+                        "gram": pa.array([_gram(g) for g in found.tolist()], pa.string()), "n": pa.array(n.astype(np.int64))})
+
+    rows = df.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string"), F.lower(F.col(text)))
+    return rows.mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def train_profile(df: DataFrame, lang: str = "lang", text: str = "text", grams: int = PROFILE_GRAMS) -> tuple[DataFrame, list[str]]:
@@ -147,8 +185,7 @@ def train_profile(df: DataFrame, lang: str = "lang", text: str = "text", grams:
     All labelled rows count; the profile keeps the ``grams`` most frequent n-grams, which bounds it
     whatever the corpus.  It is checkpointed."""
     checkpoint_dir(df.sparkSession)
-    counts = _grams(df.where(F.col(lang).isNotNull()), [lang], text).groupBy(F.col(lang).alias("lang"), "gram").agg(
-        F.count(F.lit(1)).alias("n")).checkpoint()
+    counts = _gram_counts(df, lang, text).checkpoint()
     langs = sorted(r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang!r}")
@@ -166,14 +203,33 @@ def detect_language(df: DataFrame, profile: DataFrame, langs: list[str], key: st
                     reject: int = REJECT_BELOW) -> DataFrame:
     """``df`` + (detected, margin, n_grams): the language of the highest weight over a row's n-grams.
 
-    ``key`` is unique.  The profile is broadcast (its size is a parameter) and weights are whole
-    numbers, added up per row before the one shuffle.  Rows without an n-gram of the profile, and
+    ``key`` is unique.  The profile goes to every task (its size is a parameter) and weights are whole
+    numbers, added up per row in Arrow batches before the one shuffle.  Rows without an n-gram of the profile, and
     those whose best language leads by less than ``reject`` thousandths per n-gram, have null."""
-    hits = _grams(df, [key], text).join(F.broadcast(profile), "gram").groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_grams"), *[F.sum(f"w{i}").alias(f"s{i}") for i in range(len(langs))])
+    known = sorted((sum(ord(c) << k * _BITS for c, k in zip(r.gram, (2, 1, 0))), *r[1:]) for r in profile.select(
+        "gram", *[f"w{i}" for i in range(len(langs))]).collect())
+    codes = np.array([r[0] for r in known], np.int64)
+    weights = np.array([r[1:] for r in known], np.int64).reshape(len(known), len(langs))
+    names = ["n_grams", *[f"s{i}" for i in range(len(langs))]]
+
+    def scored(batches):
+        for batch in batches:
+            sums = np.zeros((len(names), batch.num_rows), np.int64)
+            for at, to, grams, row in _chunks(batch.column(1)) if len(codes) else ():
+                place = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
+                hit = codes[place] == grams
+                place, bounds = place[hit], np.searchsorted(row[hit], np.arange(to - at + 1))
+                sums[0, at:to] = np.diff(bounds)
+                for i in range(len(langs)):
+                    sums[i + 1, at:to] = np.diff(np.concatenate(([0], np.cumsum(weights[place, i])))[bounds])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x) for x in sums]], names=["_key", *names])
+
+    rows = df.select(F.col(key).alias("_key"), F.lower(F.col(text)))
+    hits = rows.mapInArrow(scored, T.StructType([rows.schema["_key"], *[T.StructField(x, T.LongType()) for x in names]])).where(
+        "n_grams > 0").groupBy("_key").agg(*[F.sum(x).alias(x) for x in names])
     order = F.array_sort(F.array(*[F.struct((-F.col(f"s{i}")).alias("s"), F.lit(x).alias("lang")) for i, x in enumerate(langs)]))
     lead = F.coalesce(F.get("_o", 1)["s"] - F.get("_o", 0)["s"], F.lit(1 << 60).cast("long"))
     best = hits.withColumn("_o", order).select(
-        F.col(key).alias("_key"), "n_grams", lead.cast("long").alias("margin"),
+        "_key", "n_grams", lead.cast("long").alias("margin"),
         F.when(lead >= reject * F.col("n_grams"), F.get("_o", 0)["lang"]).alias("detected"))
     return df.join(best, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("n_grams", F.coalesce("n_grams", F.lit(0)))

@@ -138,6 +138,48 @@ def test_trained_language_detector(spark):
     assert got == {1: "en", 2: "de", 3: None, 4: None, 5: None, 6: "fr"}
 
 
+def test_trained_detector_equals_a_plain_count(spark, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+
+    from marrow.operators import language as L
+
+    rng = random.Random(3)
+    words = ["the", "Der", "\U0001F600x", "\u00c9t\u00e9", "a", "und", "x" * 90, "z\u0130"]
+    gaps = [" ", "\n", "\u00a0\u2003", "  ", "\x1c", "\x85", "\u3000"]
+    texts = ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["", "   ", None]
+    data = [(i % 55 if i % 9 else None, rng.choice(["de", "en", None]), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "k INT, lang STRING, text STRING").coalesce(2)
+    monkeypatch.setattr(L, "CHUNK_BYTES", 300)  # many stretches in one batch
+
+    def grams(t):
+        return [g[i:i + 3] for w in (t or "").lower().split() for g in [f" {w} "] for i in range(len(w))]
+
+    counts = Counter((lang, g) for _, lang, t in data if lang for g in grams(t))
+    total = Counter()
+    for (_, g), n in counts.items():
+        total[g] += n
+    top = sorted(total, key=lambda g: (-total[g], g.encode()))[:50]
+    sums = {x: sum(counts[x, g] for g in top) for x in ("de", "en")}
+    weight = {g: {x: math.floor(1000 * math.log((counts[x, g] + 1) / (sums[x] + len(top)))) for x in sums} for g in top}
+    profile, langs = L.train_profile(df, grams=50)
+    assert langs == ["de", "en"] and {r.gram: {"de": r.w0, "en": r.w1} for r in profile.collect()} == weight
+
+    by_key = {}
+    for k, _, t in data:
+        by_key.setdefault(k, []).extend(g for g in grams(t) if g in weight)
+    got = L.detect_language(df, profile, langs, "k").collect()
+    assert len(got) == len(data)
+    for r in got:
+        found = by_key[r.k] if r.k is not None else []
+        s = {x: sum(weight[g][x] for g in found) for x in langs}
+        margin = abs(s["de"] - s["en"]) if found else None
+        best = min(langs, key=lambda x: (-s[x], x))
+        assert (r.n_grams, r.margin) == (len(found), margin)
+        assert r.detected == (best if found and margin >= L.REJECT_BELOW * len(found) else None)
+
+
 def test_subwords_equal_a_plain_search(spark):
     import random
 
