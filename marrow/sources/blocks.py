@@ -90,7 +90,8 @@ def _ints(batch: pa.RecordBatch, name: str, a: int, b: int) -> np.ndarray:
 def block_table(spark: SparkSession, pieces: DataFrame, sep: str) -> DataFrame:
     """(file, block, inside, depth, base, unended, total, first): the state every block begins with, the
     depth between records, whether its last piece lacks its separator (the end of a file), its bytes and
-    the file's first piece.  One row per block, checkpointed."""
+    the file's first line (the header; null for JSON, where it may be a long record).  One row per block,
+    checkpointed."""
     width = len(sep)
 
     def summed(batches):
@@ -128,7 +129,7 @@ def block_table(spark: SparkSession, pieces: DataFrame, sep: str) -> DataFrame:
         "file", "block", "inside", F.coalesce(F.sum("moved").over(upto), zero).cast("long").alias("depth"),
         (opened.cast("int") if sep == BRACE else zero).alias("base"),
         ((F.col("block") == F.max("block").over(whole)) & (F.sum("bytes").over(whole) > F.col("size"))).alias("unended"),
-        F.col("bytes").alias("total"), "first").checkpoint(eager=True)
+        F.col("bytes").alias("total"), F.col("first") if sep == LINE else F.lit(None).cast("string").alias("first")).checkpoint(eager=True)
 
 
 WHOLE, TAIL, HEAD = 0, 1, 2
@@ -216,7 +217,7 @@ def records(spark: SparkSession, paths, sep: str, **options) -> tuple[DataFrame,
     """The records of text files, and their table of blocks.
 
     (file, place, record, ended, first): ``place`` grows along a file and is unique in it, ``ended`` is
-    false for a record that the file's end cuts off, ``first`` is the file's first piece.  Files are
+    false for a record that the file's end cuts off, ``first`` is the file's first line (null for JSON).  Files are
     read three times: to sum the blocks up, for the records inside them, and for those across their bounds."""
     pieces = _pieces(spark, paths, sep, **options)
     table = block_table(spark, pieces, sep)

@@ -100,6 +100,22 @@ def test_cut_off_and_broken_objects_stay_in_lane_error(spark, size):
     assert sorted(r.raw for r in got if r.lane == "error") == ['{"id": 2, "text": "b"', '{"id": 4, "text": "never clo}sed}', '{"id": x}']
 
 
+def test_blocks_grow_with_the_dump_and_short_files_share_a_task(spark):
+    from marrow.plans.q_sources import small_splits
+    root = scratch(spark, "blocks")
+    write(f"{root}/long.txt", json.dumps([{"id": i, "text": "x" * 90} for i in range(40000)]))
+    for k in range(60):
+        write(f"{root}/cut/{k}.txt", '[{"id":')
+    size = os.path.getsize(f"{root.removeprefix('file:')}/long.txt")
+    options = {"recursiveFileLookup": True, "pathGlobFilter": "*.txt"}
+    for total, most in ((size, (size >> 16) + 62), (1 << 28, 5), (1 << 40, 2)):
+        with small_splits(spark, total):
+            assert 1 <= blocks._pieces(spark, root, blocks.BRACE, **options).rdd.getNumPartitions() <= most
+            recs, table = blocks.records(spark, root, blocks.BRACE, **options)
+            assert recs.count() == 40000 + 60 + 1  # the bracket that ends the array
+            assert table.where("first IS NOT NULL").isEmpty()
+
+
 def test_one_file_is_read_by_many_tasks(spark):
     root = scratch(spark, "blocks")
     write(f"{root}/t/one.json", json.dumps([{"id": i, "text": "x" * 50} for i in range(400)]))
