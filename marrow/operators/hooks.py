@@ -14,13 +14,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marrow.functions import text as tx
+from marrow.functions.arrow import stretches
 from marrow.session import checkpoint_dir
 
+SEGMENT_BYTES = 1 << 20
 VOTE_SCHEMA = "id STRING, annotator STRING, rnk INT, label STRING, reason STRING, lane STRING, error STRING"
 
 
@@ -107,8 +110,10 @@ def segment(df: DataFrame, segmenter: Callable[[pd.Series], pd.Series] | None =
     """X5 + C6 + C7: emoji removal, word segmentation, tightened '_' joiners.
 
     The default segmenter is the whitespace split (JVM-side); a pluggable
-    segmenter runs as an Arrow ``pandas_udf``; a failing batch is retried row
-    by row, and only a failing row falls back to the emoji-free text.
+    segmenter gets series of at most ``SEGMENT_BYTES`` of text (or one longer
+    text), so a task's Python needs little more than its Arrow batch; a failing
+    series is retried row by row, and only a failing row falls back to the
+    emoji-free text.
     """
     clean = tx.remove_emoji(text)
     if segmenter is None:
@@ -120,13 +125,18 @@ def segment(df: DataFrame, segmenter: Callable[[pd.Series], pd.Series] | None =
             except Exception:  # noqa: BLE001
                 return t
 
-        @F.pandas_udf(T.StringType())
-        def _seg(s: pd.Series) -> pd.Series:
+        def _some(s: pd.Series) -> pd.Series:
             try:
                 return segmenter(s)
             except Exception:  # noqa: BLE001
                 return s.map(_one)
 
+        @F.arrow_udf(T.StringType())
+        def _seg(texts: pa.Array) -> pa.Array:
+            parts = [pa.Array.from_pandas(_some(texts.slice(a, b - a).to_pandas()), type=pa.string())
+                     for a, b in stretches(texts, SEGMENT_BYTES)]
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
         seg = _seg(clean)
     return df.withColumn(out, tx.join_underscores(seg))
 

@@ -84,6 +84,20 @@ def test_segment_falls_back_for_the_failing_row_only(spark):
     assert rows(hooks.segment(df, segmenter), "text", "segmented") == [("bad one", "bad one"), ("good one", "good_one")]
 
 
+def test_segment_hands_over_bounded_series(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(300).select("id", F.concat(F.lit("a b "), F.repeat(F.lit("word "), F.when(F.col("id") == 7, 400000).otherwise(4000))).alias("text")).coalesce(1)
+
+    def segmenter(s):
+        size = int(s.str.len().sum())
+        return s.map(lambda t: f"{len(s)} {size}")
+
+    seen = [tuple(map(int, r.segmented.split())) for r in hooks.segment(df, segmenter).collect()]
+    assert len(seen) == 300 and (1, 400000 * 5 + 4) in seen
+    assert all(n == 1 or size <= hooks.SEGMENT_BYTES for n, size in seen) and max(n for n, _ in seen) > 10
+
+
 def test_adjudicate_and_score(spark):
     payload = spark.createDataFrame([("x", '{"text": "t"}'), ("y", "bad")], "id STRING, payload STRING")
 
