@@ -1,7 +1,7 @@
 """Comment dumps: thread pages, listings, user items and reply trees.
 
 Spark has no recursive struct type, so a reply tree stays a JSON string and
-one tree (one row) is flattened by a Python UDTF with an explicit stack (no
+one tree (one row) is flattened in Arrow batches with an explicit stack (no
 recursion limit).  Forests stored as edge tables are put in order by their
 Euler tours instead, so no tree has to fit in one row.
 """
@@ -9,10 +9,12 @@ Euler tours instead, so no tree has to fit in one row.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql import types as T
 
 from marrow.operators.clean import positional_rank, rank_table
 from marrow.session import checkpoint_dir
@@ -176,48 +178,75 @@ def normalise_posts(posts: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Reply trees as JSON (S8): Python UDTF, one tree per row.
+# Reply trees as JSON (S8): one tree per row, walked in Arrow batches.
 # ---------------------------------------------------------------------------
-@udtf(returnType="seq: bigint, depth: bigint, author: string, body: string, score: double, lane: string", useArrow=True)
-class FlattenReplies:
+REPLY_COLUMNS = (T.StructType().add("seq", "long").add("depth", "long").add("author", "string").add("body", "string")
+                 .add("score", "double").add("lane", "string"))
+_REPLY_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string())
+#: characters and rows of replies that a task holds before it passes them on
+REPLY_CHARS, REPLY_ROWS = 1 << 20, 10000
+
+
+def reply_rows(doc: str | None) -> Iterator[tuple]:
     """Pre-order rows of every ``kind == 't1'`` item; ``replies`` may be '' or an object.
 
     A document that is no JSON gives one row in lane ``error``, with the document as its body."""
-
-    def eval(self, doc: str):
-        if doc is None:
-            return
-        try:
-            items = json.loads(doc)
-        except ValueError:
-            yield (None, None, None, doc, None, "error")
-            return
-        if isinstance(items, dict):
-            items = [items]
-        stack = [(it, 0) for it in reversed(items or [])]
-        seq = 0
-        while stack:
-            item, depth = stack.pop()
-            if not isinstance(item, dict) or item.get("kind") != "t1":
-                continue
-            data = item.get("data") or {}
-            score = data.get("score")
-            yield (seq, depth, data.get("author", ""), data.get("body", ""),
-                   float(score) if isinstance(score, (int, float)) and not isinstance(score, bool) else None, "ok")
-            seq += 1
-            replies = data.get("replies", "")
-            if isinstance(replies, dict):
-                children = (replies.get("data") or {}).get("children") or []
-                stack.extend((c, depth + 1) for c in reversed(children))
+    if doc is None:
+        return
+    try:
+        items = json.loads(doc)
+    except ValueError:
+        yield (None, None, None, doc, None, "error")
+        return
+    if isinstance(items, dict):
+        items = [items]
+    stack = [(it, 0) for it in reversed(items or [])]
+    seq = 0
+    while stack:
+        item, depth = stack.pop()
+        if not isinstance(item, dict) or item.get("kind") != "t1":
+            continue
+        data = item.get("data") or {}
+        score = data.get("score")
+        author, body = (x if x is None or isinstance(x, str) else str(x) for x in (data.get("author", ""), data.get("body", "")))
+        yield (seq, depth, author, body,
+               float(score) if isinstance(score, (int, float)) and not isinstance(score, bool) else None, "ok")
+        seq += 1
+        replies = data.get("replies", "")
+        if isinstance(replies, dict):
+            children = (replies.get("data") or {}).get("children") or []
+            stack.extend((c, depth + 1) for c in reversed(children))
 
 
 def flatten_reply_trees(df: DataFrame, json_col: str, keys: list[str]) -> DataFrame:
-    """Lateral-join the UDTF; output ``keys + (seq, depth, author, body, score, lane)``."""
-    spark: SparkSession = df.sparkSession
-    spark.udtf.register("marrow_flatten_replies", FlattenReplies)
-    cols = ", ".join(f"t.`{k}`" for k in keys)
-    return spark.sql(f"SELECT {cols}, f.* FROM {{trees}} t, LATERAL marrow_flatten_replies(t._doc) f",
-                     trees=df.select(*keys, F.col(json_col).alias("_doc")))
+    """``keys + (seq, depth, author, body, score, lane)``, the rows of :func:`reply_rows`.
+
+    A task holds one Arrow batch, one parsed tree and a bounded number of rows."""
+    trees = df.select(*keys, F.col(json_col).alias("_doc"))
+
+    def flat(batches):
+        for batch in batches:
+            at, rows, size = [], [], 0
+
+            def part():
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows), _REPLY_TYPES)]
+                of = pa.array(at, pa.int64())
+                return pa.RecordBatch.from_arrays([*[batch.column(k).take(of) for k in range(len(keys))], *cols],
+                                                  names=[*keys, *REPLY_COLUMNS.names])
+
+            docs = batch.column(len(keys))
+            for i in range(len(docs)):
+                for row in reply_rows(docs[i].as_py()):
+                    at.append(i)
+                    rows.append(row)
+                    size += len(row[3] or "")
+                    if size >= REPLY_CHARS or len(rows) >= REPLY_ROWS:
+                        yield part()
+                        at, rows, size = [], [], 0
+            if rows:
+                yield part()
+
+    return trees.mapInArrow(flat, T.StructType([*[trees.schema[k] for k in keys], *REPLY_COLUMNS.fields]))
 
 
 def chain_to_tree_json(turns: DataFrame, tree: str, pos: str, author: str, body: str) -> DataFrame:

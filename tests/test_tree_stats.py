@@ -7,6 +7,17 @@ from marrow.operators import stats, tree
 from tests.conftest import rows
 
 
+def test_reply_rows_leave_a_task_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(tree, "REPLY_CHARS", 50)
+    docs = [(k, json.dumps([{"kind": "t1", "data": {"author": "a", "body": "x" * i, "score": i}} for i in range(k)])) for k in range(30)]
+    df = spark.createDataFrame([*docs, (None, docs[2][1]), (40, '[{"kind": "t1", "data": {"author": 7, "body": [1]}}]'), (41, None)], "k INT, j STRING")
+    out = tree.flatten_reply_trees(df.coalesce(1), "j", ["k"])
+    got = sorted([tuple(r) for r in out.collect()], key=str)
+    want = [(k, i, 0, "a", "x" * i, float(i), "ok") for k, n in [*((k, k) for k in range(30)), (None, 2)] for i in range(n)]
+    assert got == sorted([*want, (40, 0, 0, "7", "[1]", None, "ok")], key=str)
+    assert "UDTF" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _node(name, children=None, kind="t1"):
     rep = {"data": {"children": children}} if children is not None else ""
     return {"kind": kind, "data": {"author": name, "body": f"b {name}", "score": 1, "replies": rep}}
