@@ -135,7 +135,8 @@ MAX_LANGUAGES = 500
 
 
 #: what separates words (``tx.WS``), and the bytes of text that are counted at once in a task
-_SPACES = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+_IS_SPACE = np.zeros(0x3002, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 CHUNK_BYTES = 1 << 19
 _BITS = 21  # of a code point
 
@@ -148,10 +149,11 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     for at, to in stretches(texts, CHUNK_BYTES):
         rows = [t or "" for t in texts.slice(at, to - at).to_pylist()]
         c = np.frombuffer((" " + " ".join(rows) + " ").encode("utf-32-le"), np.uint32).astype(np.int64)
-        c[np.isin(c, _SPACES)] = 32
-        mid = np.flatnonzero(c[1:-1] != 32) + 1
-        ends = np.cumsum([len(t) + 1 for t in rows])  # the place of the space after each row
-        yield at, to, (c[mid - 1] << 2 * _BITS) | (c[mid] << _BITS) | c[mid + 1], np.searchsorted(ends, mid)
+        c[_IS_SPACE[np.minimum(c, 0x3001)]] = 32
+        word = c[1:-1] != 32
+        row = np.repeat(np.arange(to - at), [len(t) + 1 for t in rows])  # with the space after each row
+        grams = (c[:-2] << 2 * _BITS) | (c[1:-1] << _BITS) | c[2:]
+        yield at, to, grams[word], row[:-1][word]
 
 
 def _gram(code: int) -> str:
