@@ -33,7 +33,15 @@ Links are found without expanding groups into pairs:
    different components are compared with each other if they share enough
    signatures.  Two sets with ``need`` common signatures of m have one among the
    m - need + 1 that fewest others have, so only those bring pairs together;
-   where that one is held by a large group, it takes a second common one.
+   where that one is held by a large group, its members' n-grams tell them
+   apart: in any one order, two similar sets have one in common near the front
+   of both, so with the n-grams that fewest members have in front, a member is
+   put beside those only that share one of its rarest (prefix and positional
+   filter of Xiao, Wang, Lin and Yu, 2008).
+
+Every node left has a sketch, the parities of its n-grams' hashes in 512 bits.
+Two sets differ in as many n-grams at least as their sketches in bits, so pairs
+whose sketches differ in more than similar sets may are left out exactly.
 
 Every pair of similar sets is thus either verified or already connected, and
 verification is exact, on the texts' n-grams.
@@ -330,6 +338,81 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     return both.mapInArrow(core.over_batches(each), "a long, b long")
 
 
+#: 64-bit words of a sketch.
+SKETCH_WORDS = 8
+
+
+def sketches(texts: DataFrame, n: int) -> DataFrame:
+    """(node, sketch): the parities of a set's n-grams by hash, so that two sets' sketches differ in no
+    more bits than the sets in n-grams."""
+
+    def each(batch: pa.RecordBatch):
+        for lo, hi, buf, offsets in core.chunks(batch.column(1)):
+            owner, value = shingles(buf, offsets, n)
+            bit = core.mix64(value ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * SKETCH_WORDS)
+            words = np.zeros((hi - lo, SKETCH_WORDS), np.uint64)
+            np.bitwise_xor.at(words, (owner, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+            sketch = pa.ListArray.from_arrays(
+                pa.array(np.arange(0, words.size + 1, SKETCH_WORDS, dtype=np.int32)), pa.array(words.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sketch], names=["node", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(core.over_batches(each), "node long, sketch array<long>")
+
+
+def _alike(percent: int) -> Column:
+    """Whether the sketches xa and xb of sets of the sizes sa and sb differ in no more bits than similar sets may."""
+    differ = sum((F.bit_count(F.col("xa")[k].bitwiseXOR(F.col("xb")[k])) for k in range(SKETCH_WORDS)), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (F.col("sa") + F.col("sb"))
+
+
+#: Buckets of n-grams by hash whose holders are counted (8 MB, whatever the input).
+GRAM_BUCKETS = 1 << 20
+
+
+def _holders(texts: DataFrame, n: int) -> np.ndarray:
+    """How many nodes hold the n-grams of each bucket; made by aggregation, of fixed size."""
+
+    def each(batch: pa.RecordBatch):
+        for _, _, buf, offsets in core.chunks(batch.column(0)):
+            bucket, count = np.unique(shingles(buf, offsets, n)[1] % np.uint64(GRAM_BUCKETS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(count, pa.int64())], names=["bucket", "n"])
+
+    rows = texts.select("text").mapInArrow(core.over_batches(each), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(GRAM_BUCKETS, np.int64)
+    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def rare_pairs(texts: DataFrame, some: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of different components that share one of their rarest n-grams, where
+    similar sets do; ``some`` has (node, size, sketch, label) of the nodes to compare.
+
+    With all n-grams in one order, the first that two similar sets have in common leaves room
+    behind it, in both, for the others that they must share.  That holds for any order; the one
+    by their buckets' holders puts the rare ones first."""
+    texts = texts.join(some.select("node"), "node", "left_semi").select("node", "text").checkpoint()
+    holders = texts.sparkSession.sparkContext.broadcast(_holders(texts, n))
+
+    def each(batch: pa.RecordBatch):
+        node = batch.column(0).to_numpy()
+        for lo, hi, buf, offsets in core.chunks(batch.column(1)):
+            owner, value = shingles(buf, offsets, n)
+            order = np.lexsort((value, holders.value[value % np.uint64(GRAM_BUCKETS)], owner))
+            owner, value = owner[order], value[order]
+            size = np.bincount(owner, minlength=hi - lo)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+            keep = 100 * (size[owner] - at) >= percent * size[owner]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node[lo + owner[keep]]), pa.array(value[keep].view(np.int64)), pa.array(at[keep])], names=["node", "gram", "at"])
+
+    front = texts.mapInArrow(core.over_batches(each), "node long, gram long, at long").join(some, "node").select(
+        "gram", "node", "at", "size", "sketch", "label").checkpoint()
+    left, right = front.toDF("gram", "a", "ia", "sa", "xa", "la"), front.toDF("other", "b", "ib", "sb", "xb", "lb")
+    room = F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib"))
+    return left.join(right, (F.col("gram") == F.col("other")) & F.expr("a < b and la <> lb") & _alike(percent)
+                     & ((100 + percent) * room >= percent * (F.col("sa") + F.col("sb")))).select("a", "b").distinct()
+
+
 def needs(sizes: DataFrame, percent: int, n2: int, k2: int) -> DataFrame:
     """(node, size, parity, own, above): the last bit of the signatures of a node's own instance, and the
     signatures that it shares at least with a similar node that is no larger (in its own instance), or
@@ -363,9 +446,10 @@ def _prune(groups: DataFrame, sized: DataFrame) -> DataFrame:
 
 
 def _candidates(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that sizes and shared signatures allow; ``lists`` has a node's size, the need
-    of its own instance and its signatures there and in all, which are in proportion to its set."""
-    pairs = pairs.distinct().join(lists.toDF("a", "sa", "na", "oa", "la"), "a").join(lists.toDF("b", "sb", "nb", "ob", "lb"), "b")
+    """Of pairs (a, b) those that sizes, sketches and shared signatures allow; ``lists`` has a node's size, the
+    need of its own instance, its signatures there and in all, which are in proportion to its set, and its sketch."""
+    pairs = pairs.distinct().join(lists.toDF("a", "sa", "na", "oa", "la", "xa"), "a").join(
+        lists.toDF("b", "sb", "nb", "ob", "lb", "xb"), "b").filter(_alike(percent))
     # the larger one's own instance holds the pair
     more = F.col("sa") > F.col("sb")
     shared = F.when(more, F.size(F.array_intersect("oa", "lb"))).otherwise(F.size(F.array_intersect("ob", "la")))
@@ -386,14 +470,14 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, text: str = "t
     sized = rows.select("node", "size").distinct().join(found.select("node").distinct(), "node")
     sized = needs(sized, percent, n2, k2).checkpoint()
     groups = _prune(_prune(found, sized), sized)
+    texts = node_texts(docs, groups, n, text).checkpoint()
     lists = groups.groupBy("node").agg(
-        F.collect_list(F.when(~F.col("up"), F.col("sig"))).alias("mine"), F.collect_list("sig").alias("sigs")).join(sized, "node").select(
-        "node", "size", "own", "mine", "sigs").checkpoint()
+        F.collect_list(F.when(~F.col("up"), F.col("sig"))).alias("mine"), F.collect_list("sig").alias("sigs")).join(sized, "node").join(
+        sketches(texts, n), "node").select("node", "size", "own", "mine", "sigs", "sketch").checkpoint()
 
     low = groups.filter(~F.col("up")).groupBy("sig").agg(F.min("node").alias("a"))
     stars = groups.join(low, "sig").filter("node <> a").select("a", F.col("node").alias("b"))
     stars = _candidates(stars, lists, percent).checkpoint()
-    texts = node_texts(docs, stars.select(F.col("a").alias("node")).union(stars.select("b")), n, text).checkpoint()
     first = verify(stars, texts, n, percent).checkpoint()
 
     label = components(first)
@@ -402,26 +486,21 @@ def links(docs: DataFrame, rows: DataFrame, n: int, percent: int, text: str = "t
         F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members"))
     # two members are a pair that has been looked at
     rows = rows.join(mixed.filter("x <> y and members > 2").select("sig", "members"), "sig")
-    # two nodes with `need` common signatures have one, and two, of them among so many less of their rarest
+    # two nodes with `need` common signatures have one of them among so many less of their rarest
     places = Window.partitionBy("node", "up")
     rows = rows.withColumn("at", F.row_number().over(places.orderBy("members", "sig"))).withColumn("all", F.count("*").over(places))
-    rows = rows.withColumn("room", F.col("all") - F.greatest("need", F.lit(2)) + 2).filter("all >= need and at <= room").checkpoint()
-    heads = rows.filter((F.col("at") < F.col("room")) | (F.col("need") < 2))
+    heads = rows.filter(F.col("at") <= F.col("all") - F.greatest("need", F.lit(1)) + 1).filter("all >= need").checkpoint()
     met = heads.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("met")).filter("x <> y")
     heads = heads.join(met.select("sig", "met"), "sig").checkpoint()
     near = _apart(heads.filter(F.col("met") <= SMALL_GROUP).select("sig", "node", "up", "label")).distinct()
-    # pairs whose rarest common signature is that of a large group: by two common signatures
-    large = heads.filter(F.col("met") > SMALL_GROUP).select("sig", "node", "up", "label", "at")
-    second = large.join(rows.select(F.col("sig").alias("other"), "node", "up", F.col("at").alias("later")), ["node", "up"]).filter(
-        "at < later").select(F.xxhash64(F.least("sig", "other"), F.greatest("sig", "other")).alias("sig"), "node", "up", "label")
-    again = second.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
-    far = _apart(second.join(again, "sig", "left_semi")).distinct()
+    # pairs whose rarest common signature is that of a large group: by a rare n-gram besides
+    large = heads.filter(F.col("met") > SMALL_GROUP).groupBy("node").agg(F.max("label").alias("label"))
+    far = rare_pairs(texts, large.join(lists.select("node", "size", "sketch"), "node").checkpoint(), n, percent)
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = near.union(far).distinct().join(done, ["a", "b"], "left_anti")
     pairs = _candidates(pairs, lists, percent).checkpoint()
     if pairs.isEmpty():
         return label
-    texts = node_texts(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), n, text).checkpoint()
     return components(first.union(verify(pairs, texts, n, percent)))
 
 

@@ -244,6 +244,37 @@ def test_join_finds_every_link(spark, monkeypatch, n, percent, n2, k2, small):
            for r in ngramjoin.score(docs_of(spark, texts), n, percent, n2=n2, k2=k2).collect()}
     assert got == brute_components(texts, n, percent)
 
+def test_join_puts_look_alikes_beside_few_others(spark, monkeypatch):
+    """Texts that share most n-grams and are yet too different: pairs to be looked at stay in proportion to their number."""
+    looked_at, candidates = [], ngramjoin._candidates
+
+    def counted(pairs, *rest):
+        looked_at.append(pairs.distinct().count())
+        return candidates(pairs, *rest)
+
+    monkeypatch.setattr(ngramjoin, "_candidates", counted)
+    monkeypatch.setattr(ngramjoin, "SMALL_GROUP", 4)
+    rng = random.Random(85)
+    common = [f"c{i}" for i in range(103)]  # 100 n-grams; each text has 12 to 16 of its own
+    texts = [" ".join(common + [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(12, 16))]) for _ in range(150)]
+    linked = [t.rsplit(" ", 1)[0] + " other" for t in texts[::10]]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.score(docs_of(spark, texts + linked)).collect()}
+    assert got == brute_components(texts + linked, 4, 85)
+    assert len({c for _, c in got.values()}) == 150
+    assert looked_at[-1] < 2 * len(texts), looked_at
+
+
+def test_sketches_differ_in_no_more_bits_than_sets(spark):
+    rng = random.Random(3)
+    texts = [t for t in near_copies(rng) if t and t.strip()]
+    sets = sets_of(texts, 4)
+    found = ngramjoin.sketches(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 4).collect()
+    words = {r.node: [w % 2**64 for w in r.sketch] for r in found}
+    assert len(words) == len(texts)
+    bits = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(words[a], words[b], strict=True))
+    assert all(bits(a, b) <= len(sets[a] ^ sets[b]) for a in range(len(texts)) for b in range(a))
+    assert any(bits(a, b) > 100 for a in range(len(texts)) for b in range(a))
+
 
 def test_similar_sets_share_the_signatures_that_pruning_asks_for():
     """The pigeonhole argument on random set pairs at the bound: at least ``need`` shared signatures."""
