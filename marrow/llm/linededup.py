@@ -120,13 +120,26 @@ def _in_map(bit_map: Column, hashed: Column) -> Column:
     return F.get(bit_map, word.cast("int")).bitwiseAND(bit) != 0
 
 
-def _near_drops(docs: DataFrame, distinct: DataFrame, key: str, text: str, near_words: int) -> DataFrame:
-    """(h, g): distinct lines that have an earlier line within one edit."""
+def _candidates(distinct: DataFrame, near_words: int) -> DataFrame:
+    """(h, g): distinct lines that share a half with another one."""
+    # dealt once, for the groups and for the join with them
     halves = distinct.filter(F.col("n") >= near_words).select(
-        "h", "g", F.explode(F.array(*(f"half{k}" for k in range(4)))).alias("half")).filter("half is not null")
-    shared = halves.groupBy("half").agg(F.count("*").alias("lines")).filter("lines > 1").select("half")
-    candidates = halves.join(shared, "half").select("h", "g").distinct()
-    firsts = distinct.select("h", "g", F.col("first").alias("place")).join(candidates, ["h", "g"]).checkpoint()
+        "h", "g", F.explode(F.array(*(f"half{k}" for k in range(4)))).alias("half")
+    ).filter("half is not null").repartition("half")
+    ends = [end(name).alias(f"{end.__name__}_{name}") for name in ("h", "g") for end in (F.min, F.max)]
+    shared = halves.groupBy("half").agg(*ends).filter("min_h <> max_h or min_g <> max_g").select("half")
+    return halves.join(shared, "half").select("h", "g").distinct()
+
+
+def _whole_hash(words: Column, seed: int) -> Column:
+    """The hash of all words of a line at their places, and of their number."""
+    each = F.transform(words, lambda word, k: F.xxhash64(F.lit(seed), word, k))
+    return F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)).bitwiseXOR(
+        F.xxhash64(F.size(words).cast("long")))
+
+
+def _near_drops(docs: DataFrame, firsts: DataFrame, key: str, text: str) -> DataFrame:
+    """(h, g): lines of ``firsts`` (h, g, place) that have an earlier one within one edit."""
     # the text of the candidates, once each: from the line's first place; bit maps spare most
     # other documents the work, and most other lines the shuffle
     held = docs.filter(_in_map(_wanted_map(firsts.select("place.rid"), "rid"), F.xxhash64(text)))
@@ -146,26 +159,21 @@ def _near_drops(docs: DataFrame, distinct: DataFrame, key: str, text: str, near_
     # without place k: words before it where they are, words after it one place earlier; and the length
     each = each.select("id", "k", *(
         F.bit_xor(f"x{s}0").over(upto).bitwiseXOR(F.col(f"x{s}0")).bitwiseXOR(F.bit_xor(f"x{s}1").over(upto))
-        .bitwiseXOR(F.bit_xor(f"x{s}1").over(whole_line)).bitwiseXOR(F.xxhash64(n - 1)).alias(f"v{s}") for s in (2, 3)),
-        *(F.bit_xor(f"x{s}0").over(whole_line).bitwiseXOR(F.xxhash64(n)).alias(f"full{s}") for s in (2, 3)))
-    each = each.select("id", "k", "v2", "v3", F.when(F.col("k") == 0, F.struct("full2", "full3")).alias("full"))
-    each = each.checkpoint()
-    whole = each.filter("full is not null").select(
-        F.col("full.full2").alias("v2"), F.col("full.full3").alias("v3"), F.col("id").alias("short"))
-
+        .bitwiseXOR(F.bit_xor(f"x{s}1").over(whole_line)).bitwiseXOR(F.xxhash64(n - 1)).alias(f"v{s}") for s in (2, 3)))
+    # dealt once, for the groups and for the join with them and with the whole lines
     variants = each.select("v2", "v3", "k", "id").repartition("v2", "v3")
     groups = variants.groupBy("v2", "v3", "k").agg(F.min("id").alias("leader"), F.count("*").alias("lines"))
-    groups = groups.filter("lines > 1").select("v2", "v3", F.col("k").alias("at"), "leader")
-    replaced = variants.join(groups, ["v2", "v3"]).filter("k - at = 0 and id <> leader").select(
-        F.col("id").alias("later"), F.col("leader").alias("earlier"))
-    inserted = variants.join(whole, ["v2", "v3"]).select(
-        F.greatest("id", "short").alias("later"), F.least("id", "short").alias("earlier"))
-    pairs = replaced.union(inserted).distinct()
-    words = found.select("id", F.split("line", " ").alias("words"))
-    mine = found.select(F.col("id").alias("later"), "h", "g", F.split("line", " ").alias("mine"))
-    theirs = words.select(F.col("id").alias("earlier"), F.col("words").alias("theirs"))
+    groups = groups.filter("lines > 1").select("v2", "v3", F.col("k").alias("at"), F.col("leader").alias("other"))
+    whole = found.select(*(_whole_hash(F.split("line", " "), s).alias(f"v{s}") for s in (2, 3)),
+                         F.lit(None).cast("int").alias("at"), F.col("id").alias("other"))
+    met = variants.join(groups.union(whole), ["v2", "v3"])
+    # a replaced word (same place, the group's first line) or an inserted one (a whole line)
+    met = met.filter("at is null or (k - at = 0 and id <> other)")
+    pairs = met.select(F.greatest("id", "other").alias("later"), F.least("id", "other").alias("earlier")).distinct()
+    mine = found.select(F.col("id").alias("later"), "h", "g", F.col("line").alias("mine"))
+    theirs = found.select(F.col("id").alias("earlier"), F.col("line").alias("theirs"))
     return (pairs.join(mine, "later").join(theirs, "earlier")
-            .filter(_within_one_edit(F.col("mine"), F.col("theirs"))).select("h", "g").distinct())
+            .filter(_within_one_edit(F.split("mine", " "), F.split("theirs", " "))).select("h", "g").distinct())
 
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
@@ -184,12 +192,15 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     distinct = lines.groupBy("h", "g").agg(
         F.min(F.struct("key", "rid", "line_no")).alias("first"), F.count("*").alias("lines"), F.max("n").alias("n"),
         *(F.max(f"half{k}").alias(f"half{k}") for k in range(4)))
-    verdict = distinct.select("h", "g", "first", "lines")
     if edit_bound:
-        near = _near_drops(docs, distinct, key, text, near_words).withColumn("near", F.lit(True))
-        verdict = verdict.join(near, ["h", "g"], "left")
+        # lines that come once and share no half lose nothing
+        may = _candidates(distinct, near_words).withColumn("may", F.lit(True))
+        firsts = distinct.select("h", "g", "first", "lines").join(may, ["h", "g"], "left").filter("may or lines > 1")
+        firsts = firsts.checkpoint()
+        near = _near_drops(docs, firsts.filter("may").select("h", "g", F.col("first").alias("place")), key, text)
+        verdict = firsts.drop("may").join(near.withColumn("near", F.lit(True)), ["h", "g"], "left")
     else:
-        verdict = verdict.withColumn("near", F.lit(None).cast("boolean"))
+        verdict = distinct.select("h", "g", "first", "lines", F.lit(None).cast("boolean").alias("near"))
     # only lines that somewhere lose a copy matter from here on
     verdict = verdict.filter("near or lines > 1").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
     lost = lines.select("key", "rid", "line_no", "h", "g").join(verdict, ["h", "g"]).filter(
@@ -216,10 +227,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits) ->
     names = {c.lower() for c in docs.columns}
     mine = {c: c if c not in names else f"_{c}_{len(names)}" for c in ("lost_key", "lost_rid", "dropped")}
     lost = lost.select(F.col("key").alias(mine["lost_key"]), F.col("rid").alias(mine["lost_rid"]),
-                       F.col("dropped").alias(mine["dropped"]))
-    rows = docs.join(lost, docs[key].eqNullSafe(F.col(mine["lost_key"]))
-                     & (F.xxhash64(docs[text]) == F.col(mine["lost_rid"])), "left")
+                       F.col("dropped").alias(mine["dropped"])).checkpoint()
+    # most documents that lose nothing stay where they are; a bit map tells
+    may_lose = _in_map(_wanted_map(lost, mine["lost_rid"]), F.xxhash64(docs[text]))
+    rows = docs.filter(may_lose).join(lost, docs[key].eqNullSafe(F.col(mine["lost_key"]))
+                                      & (F.xxhash64(docs[text]) == F.col(mine["lost_rid"])), "left")
     dropped = F.col(mine["dropped"])
     kept = F.filter(F.split(docs[text], "\n"), lambda line, i: ~F.array_contains(dropped, i))
     rows = rows.withColumn(text, F.when(dropped.isNull(), docs[text]).otherwise(F.array_join(kept, "\n")))
-    return rows.filter(dropped.isNull() | F.col(text).rlike(WORD)).select(*docs.columns)
+    rows = rows.filter(dropped.isNull() | F.col(text).rlike(WORD)).select(*docs.columns)
+    return docs.filter(~may_lose).union(rows)

@@ -191,6 +191,42 @@ def test_line_dedup_runs_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def exchanges_of(node):
+    """(description, bytes written) of the exchanges of a plan that has run, reused ones once."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return exchanges_of(node.executedPlan())
+    if name == "ReusedExchangeExec":
+        return []
+    if name.endswith("QueryStageExec"):
+        return exchanges_of(node.plan())
+    own = [(node.simpleString(1000), node.metrics().apply("shuffleBytesWritten").value())] if name == "ShuffleExchangeExec" else []
+    return own + [x for i in range(node.children().size()) for x in exchanges_of(node.children().apply(i))]
+
+
+def test_line_dedup_moves_only_documents_that_may_lose_lines(spark):
+    rng = random.Random(5)
+    texts = ["\n".join(" ".join(f"{rng.getrandbits(64):x}" for _ in range(9)) for _ in range(60)) for _ in range(200)]
+    line = "one two three four five"
+    texts += [f"{line}\nother words of this one", f"more words than {line}\n{line}", None, "", texts[0], texts[1]]
+    ids = [*range(204), 900, None]
+    kept = linededup.dedup(docs_of(spark, texts, ids))
+    got = {r.doc_id: r.text for r in kept.collect()}
+    # nulls come first, so the copy with a null key stays instead of document 1
+    assert got == {k: t for k, t in zip(ids, texts) if k not in (1, 900)} | {201: f"more words than {line}"}
+    moved = sum(size for what, size in exchanges_of(kept._jdf.queryExecution().executedPlan()) if "hashpartitioning" in what)
+    assert moved < 0.2 * sum(len(t or "") for t in texts)
+
+
+def test_line_dedup_deals_variants_once(spark):
+    base = [[f"w{i}x{k}" for k in range(12)] for i in range(30)]
+    texts = [" ".join(w) for w in base] + [" ".join(w[:5] + ["new"] + w[6:]) for w in base] + [" ".join(w[:-1]) for w in base]
+    lost = linededup.dropped_lines(docs_of(spark, texts))
+    assert sorted(r.key for r in lost.collect()) == [*range(30, 90)]
+    dealt = [what for what, _ in exchanges_of(lost._jdf.queryExecution().executedPlan()) if "REPARTITION_BY_COL" in what and "v2" in what]
+    assert len(dealt) == 1
+
+
 # --- 2 Jaccard join --------------------------------------------------------------
 def sets_of(texts, n):
     out = []
