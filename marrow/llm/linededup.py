@@ -18,7 +18,8 @@ What keeps it affordable: equal lines are one row from the start (aggregated
 before the shuffle); variants are made only for lines that share the words of
 their first or second half with another line, which no two lines within one
 edit can fail to do; all hashes of a line's variants come from two running
-XORs over its words, so long lines cost linear time.
+XORs over its words, so long lines cost linear time; and ``dedup`` moves the
+text of those documents only that may lose a line.
 
 Defined results: a null text has no lines and stays null; an empty text has one
 line without words; rows equal in key and text are one document (they keep the
